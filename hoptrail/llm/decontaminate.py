@@ -61,10 +61,10 @@ class Benchmark:
         order = np.argsort(which.reshape(-1), kind="stable")
         self.owner_item, self.owner_pos = item[starts][order], pos[starts][order]
         self.owner_from = np.searchsorted(which.reshape(-1)[order], np.arange(len(self.suffixes) + 1))
-        self.lengths, self.keys = self.suffixes[:, 0], self.suffixes[:, 1:]
+        self.lengths, self.keys = self.suffixes[:, 0].astype(np.int64), self.suffixes[:, 1:].astype(np.uint32)
         pairs = self.keys[:, 0].astype(np.uint64) << np.uint64(32)
         if window > 1:
-            pairs = pairs | self.keys[:, 1]
+            pairs = pairs | self.keys[:, 1].astype(np.uint64)
         self.singles = np.unique(self.keys[self.lengths == 1, 0])
         self.pairs = np.unique(pairs[self.lengths > 1])
 
@@ -93,7 +93,7 @@ class Benchmark:
             if len(self.singles):
                 keep |= np.isin(ids[seeds], self.singles)
             if len(self.pairs):
-                own = ids[seeds].astype(np.uint64) << np.uint64(32) | follows[seeds]
+                own = ids[seeds].astype(np.uint64) << np.uint64(32) | follows[seeds].astype(np.uint64)
                 at = np.minimum(np.searchsorted(self.pairs, own), len(self.pairs) - 1)
                 keep |= self.pairs[at] == own
             seeds = seeds[keep]
