@@ -31,23 +31,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hoptrail.llm.scratch import bounded_batches
+
 #: Entries kept by a worker's memory of encoded stretches, and their longest text.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
 #: A border this far from a chunk's end is certain: what begins before it can be no contraction that goes on.
 LOOKAHEAD = 3
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+@lru_cache(maxsize=2)
+def token_bytes(ranks_path: str) -> list[bytes]:
+    """The bytes of each id."""
+    ranks = read_ranks(ranks_path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 class Encoder:
     """Encodes whole stretches of text; made once per Python worker."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = read_ranks(ranks_path)
         self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.pieces = regex.compile(pattern)
-        self.token_bytes = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.token_bytes[rank] = token
         self._words: dict[str, bytes | None] = {}
 
     def ids(self, text: str) -> bytes:
@@ -143,6 +156,7 @@ def encode(
     overlap_chars: int = 1_024,
 ) -> DataFrame:
     """``docs`` with ``ids_col``: the token ids of every whole text."""
+    bounded_batches(docs.sparkSession)
     schema = _reshaped(docs, ids_col, T.ArrayType(T.IntegerType()))
     names = schema.fieldNames()[:-1]
 
@@ -220,13 +234,13 @@ def _stitched(chunks: pa.Table, enc: Encoder) -> bytes:
     return b"".join(out)
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``df`` with ``bytes_col``: the bytes of the ids' tokens, joined."""
     schema = _reshaped(df, bytes_col, T.BinaryType())
     names = schema.fieldNames()[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = encoder(ranks_path, pattern).token_bytes.__getitem__
+        token = token_bytes(ranks_path).__getitem__
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids_col))
             values = pc.list_flatten(lists).to_numpy(zero_copy_only=False).tolist()

@@ -52,3 +52,11 @@ def remove(spark: SparkSession, path: str) -> None:
 def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
     """``df``, a written table, marked for broadcast only when it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1_000, megabytes: int = 16) -> None:
+    """Lower the Arrow batches that Python tasks get to so many rows and bytes."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))

@@ -27,7 +27,7 @@ def test_round_trip_and_library_ids(spark, library):
     rows = [(i, t) for i, t in enumerate(texts())] + [(None, "a b"), (9000, None), (1, "same"), (1, "same")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for size, overlap in ((65536, 1024), (64, 16), (7, 3)):
-        out = bpe.decode(bpe.encode(df, PATH, P.PATTERN, chunk_chars=size, overlap_chars=overlap), PATH, P.PATTERN).collect()
+        out = bpe.decode(bpe.encode(df, PATH, P.PATTERN, chunk_chars=size, overlap_chars=overlap), PATH).collect()
         assert len(out) == len(rows)
         for r in out:
             assert r.ids == library.encode_ordinary(r.text or ""), (size, r.text)
