@@ -43,14 +43,20 @@ def text_stats(docs: DataFrame, text_col: str = "text", repeat_words: int = 5) -
     )
     # Hashes of words, then of windows; a window found twice marks all its words.
     df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    last = F.size("_hashes") - (repeat_words - 1)
-    windows = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(*[F.get("_hashes", i + (j - 1)) for j in range(repeat_words)]))
-    df = df.withColumn("_windows", F.when(last >= 1, windows).otherwise(F.array().cast("array<bigint>")))
+    # Neighbours are zipped, never looked up by index inside a lambda: the optimizer may inline what is looked up.
+    n = F.size("_hashes") - (repeat_words - 1)
+    shifted = F.arrays_zip(*[F.slice("_hashes", j + 1, F.greatest(n, F.lit(0))).alias(f"h{j}") for j in range(repeat_words)])
+    windows = F.transform(shifted, lambda x: F.xxhash64(*[x[f"h{j}"] for j in range(repeat_words)]))
+    df = df.withColumn("_windows", windows)
     df = df.withColumn("_some", F.size(F.array_distinct("_windows")) < F.size("_windows"))
-    placed = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("_sorted", F.when(F.col("_some"), placed))
-    twice = F.filter("_sorted", lambda x, k: (F.get("_sorted", k + 1)["h"] == x["h"]) | ((k > 0) & (F.get("_sorted", F.greatest(k - 1, F.lit(0)))["h"] == x["h"])))
-    df = df.withColumn("_starts", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    m = F.size("_sorted") - 1
+    same = F.zip_with(F.slice("_sorted", 1, m), F.slice("_sorted", 2, m), lambda x, y: x["h"] == y["h"])
+    df = df.withColumn("_same", F.when(F.col("_some"), same))
+    no = F.array(F.lit(False))
+    marked = F.zip_with("_sorted", F.zip_with(F.concat(no, "_same"), F.concat("_same", no), lambda x, y: x | y), lambda w, d: F.when(d, w["i"]))
+    df = df.withColumn("_starts", F.sort_array(F.filter(marked, lambda i: i.isNotNull())))
     covered = F.aggregate(
         "_starts",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-repeat_words).alias("to")),
