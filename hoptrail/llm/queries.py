@@ -8,13 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoptrail.llm import bpe, decontaminate, near_dedup, quality_rules, token_counts, warc
+from hoptrail.llm import bpe, decontaminate, lang_id, line_dedup, near_dedup, pii, quality_rules, secrets, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS p, unnest(ls) AS line FROM d),
+w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+c AS (SELECT line, length(line) AS n, min((doc_id, p)) AS first FROM w GROUP BY line),
+g AS (SELECT * FROM c WHERE n >= 20),
+near AS (
+  SELECT DISTINCT b.line FROM g a JOIN g b ON left(a.line, 9) = left(b.line, 9) AND abs(a.n - b.n) <= 1 AND a.first < b.first AND levenshtein(a.line, b.line) <= 1
+  UNION
+  SELECT DISTINCT b.line FROM g a JOIN g b ON right(a.line, 9) = right(b.line, 9) AND abs(a.n - b.n) <= 1 AND a.first < b.first AND levenshtein(a.line, b.line) <= 1
+), gone AS (
+  SELECT doc_id, p FROM w JOIN c USING (line) WHERE (doc_id, p) <> c.first OR line IN (SELECT line FROM near)
+), kept AS (SELECT l.* FROM l ANTI JOIN gone USING (doc_id, p)),
+t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text FROM kept GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.text, '') AS text, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(k.n, 0) AS n_dropped
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,6 +67,31 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def _span_digests(found: DataFrame, module, base: list[str]) -> DataFrame:
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(module.all_spans(base), 256).alias("base_sha256"),
+        module.all_spans(module.KINDS).alias("spans"),
+    )
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")), pii, pii.KINDS[:4])
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")), secrets, secrets.KINDS[:3])
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    learned = lang_id.profiles(docs.filter(part != 2))
+    held = docs.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "text")
+    return lang_id.predict(held, learned).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_duplicates(docs, shingle=3, percent=85)
@@ -118,8 +167,8 @@ FROM k
 """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_token_counts, op4_quality_rules, op7_near_dedup, op9_decontaminate, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_token_counts, op4_quality_rules, op5_pii, op6_language_id, op7_near_dedup, op8_secrets, op9_decontaminate, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_near_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op7_near_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL}
