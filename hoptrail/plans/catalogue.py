@@ -1,11 +1,509 @@
-"""Registered queries over the data folder's tables and the SQL that checks them."""
+"""Registered queries: each operator over the data folder's tables, with the SQL that checks it.
+
+``events`` stands for an event stream: user_id parts it, (ts, event_id) orders
+it, errors are gaps, sign-ups break it, value is a probability or a count and
+props holds a number that serves as an address.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from hoptrail.functions import control, literals, text
+from hoptrail.operators import graph, joins, model, vocab, windows
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+BY, ORDER = ["user_id"], ["ts", "event_id"]
+LOW, SIZE, LEAST = 20.0, 8, 3
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a row number in their stream and the number in props."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    return e.withColumn("row", F.row_number().over(windows.ordered(BY, ORDER)).cast("bigint"))
+
+
+EV = "ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row FROM events)"
+#: Errors are unscored, sign-ups break the run.
+RUNS = f"""{EV}, sc AS (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS score FROM ev),
+rs AS (SELECT *, CASE WHEN row = 1 OR event_type = 'signup' OR score IS NULL OR lag(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS r FROM sc),
+ru AS (SELECT *, sum(r) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM rs),
+lc AS (SELECT *, score < {LOW} AS is_low, sum(CASE WHEN score < {LOW} THEN 1 ELSE 0 END) OVER w AS low_count, count(*) OVER w AS observed, first_value(row) OVER w AS start_row
+       FROM ru WHERE score IS NOT NULL WINDOW w AS (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN {SIZE - 1} PRECEDING AND CURRENT ROW))"""
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).withColumn("score", F.when(F.col("event_type") != "error", F.col("value")))
+    runs = windows.scored_runs(e, "score", "row", BY, ORDER, F.col("event_type") == "signup")
+    return windows.low_counts(runs, "score", LOW, SIZE, BY, ORDER, "row")
+
+
+@query(f"WITH {RUNS} SELECT user_id, event_id, CAST(low_count AS BIGINT) AS low_count FROM lc WHERE observed >= {SIZE} AND low_count >= {LEAST}")
+def q_sliding_low_alarm(spark, sf_dir):
+    return windows.alarms(scored(spark, sf_dir), SIZE, LEAST).select("user_id", "event_id", "low_count")
+
+
+@query(f"WITH {RUNS} SELECT user_id, event_id, start_row, row AS end_row, observed FROM lc WHERE low_count >= {LEAST}")
+def q_alarm_window_bounds(spark, sf_dir):
+    return windows.alarms(scored(spark, sf_dir), SIZE, LEAST, partial=True).select("user_id", "event_id", "start_row", F.col("row").alias("end_row"), "observed")
+
+
+@query(f"WITH {RUNS} SELECT count(*) AS n_scored, CAST(sum(CASE WHEN is_low THEN 1 ELSE 0 END) AS BIGINT) AS n_low, CAST(max(low_count) AS BIGINT) AS max_window_low_count, round(sum(CASE WHEN is_low THEN 1 ELSE 0 END) / count(*), 6) AS low_ratio FROM lc")
+def q_report_summary(spark, sf_dir):
+    low = F.sum(F.col("is_low").cast("bigint"))
+    return scored(spark, sf_dir).agg(F.count("*").alias("n_scored"), low.alias("n_low"), F.max("low_count").alias("max_window_low_count"), F.round(low / F.count("*"), 6).alias("low_ratio"))
+
+
+@query(f"""WITH {RUNS} SELECT user_id, row, 'low_token' AS event, CAST(low_count AS BIGINT) AS low_count FROM lc WHERE is_low
+UNION ALL SELECT user_id, row, 'window_alarm', CAST(low_count AS BIGINT) FROM lc WHERE observed >= {SIZE} AND low_count >= {LEAST}
+UNION ALL SELECT user_id, row, 'unscored', 0 FROM sc WHERE score IS NULL""")
+def q_unscored_union(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    rows = lambda df, name, n: df.select("user_id", "row", F.lit(name).alias("event"), n.cast("bigint").alias("low_count"))
+    low = rows(s.filter("is_low"), "low_token", F.col("low_count"))
+    unscored = rows(events(spark, sf_dir).filter("event_type = 'error'"), "unscored", F.lit(0))
+    return low.unionByName(rows(windows.alarms(s, SIZE, LEAST), "window_alarm", F.col("low_count"))).unionByName(unscored)
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS context FROM events")
+def q_context_ffill(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return windows.forward_fill(e, {"context": F.when(F.col("event_type") == "signup", F.col("event_id"))}, BY, ORDER).select("event_id", "context")
+
+
+@query("""WITH c AS (SELECT event_id, user_id, ts, CASE WHEN row_number() OVER w > 1 AND event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, CAST(sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS generation FROM c""")
+def q_generation_counter(spark, sf_dir):
+    return windows.changes(table(spark, sf_dir, "events"), ["event_type"], BY, ORDER).select("event_id", "generation")
+
+
+SEGMENTS = "s AS (SELECT *, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM events)"
+
+
+@query(f"WITH {SEGMENTS} SELECT user_id, segment, count(*) AS length FROM s GROUP BY ALL HAVING count(*) >= 3")
+def q_segments(spark, sf_dir):
+    s = windows.segments(table(spark, sf_dir, "events"), F.col("event_type") == "signup", BY, ORDER)
+    return windows.segment_stats(s, ["user_id", "segment"], 3)
+
+
+@query(f"WITH {SEGMENTS}, n AS (SELECT user_id, segment, count(*) AS l FROM s GROUP BY ALL) SELECT count(*) AS n_segments, min(l) AS min_length, max(l) AS max_length, round(avg(l), 6) AS mean_length, CAST(sum(l) AS BIGINT) AS total, CAST(sum(l - 1) AS BIGINT) AS examples FROM n")
+def q_segment_length_stats(spark, sf_dir):
+    s = windows.segments(table(spark, sf_dir, "events"), F.col("event_type") == "signup", BY, ORDER)
+    n = windows.segment_stats(s, ["user_id", "segment"], 1)
+    return n.agg(F.count("*").alias("n_segments"), F.min("length").alias("min_length"), F.max("length").alias("max_length"), F.round(F.avg("length"), 6).alias("mean_length"), F.sum("length").alias("total"), F.sum(F.col("length") - 1).alias("examples"))
+
+
+@query(f"""WITH {EV}, g AS (SELECT *, event_type IN ('error', 'view') AS gap FROM ev),
+n AS (SELECT *, CASE WHEN gap AND NOT coalesce(lag(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) THEN 1 ELSE 0 END AS f FROM g),
+i AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM n)
+SELECT user_id, CAST(island AS BIGINT) AS gap, min(row) AS first_row, max(row) AS last_row, count(*) AS n_rows, string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS reasons FROM i WHERE i.gap GROUP BY user_id, island""")
+def q_gap_coalesce(spark, sf_dir):
+    return windows.coalesce_gaps(events(spark, sf_dir), F.col("event_type").isin("error", "view"), "event_type", BY, ["ts", "event_id", "row"])
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'gap' WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 'error' THEN 'after_gap' ELSE 'continuous' END AS continuity FROM events")
+def q_continuity(spark, sf_dir):
+    return windows.continuity(table(spark, sf_dir, "events"), F.col("event_type") == "error", BY, ORDER).select("event_id", "continuity")
+
+
+@query("SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n = 1 OR event_type IS DISTINCT FROM p")
+def q_dedupe_consecutive(spark, sf_dir):
+    return windows.drop_repeats(table(spark, sf_dir, "events"), "event_type", BY, ORDER).select("event_id", "event_type")
+
+
+@query(f"""WITH {EV} SELECT p.event_id, (SELECT max_by(b.event_id, b.event_id) FROM ev b WHERE b.event_type = 'view' AND b.k = p.k AND b.user_id = p.user_id AND b.event_id < p.event_id) AS last_view FROM ev p WHERE p.event_type = 'purchase'""")
+def q_asof_address(spark, sf_dir):
+    e = events(spark, sf_dir)
+    views = e.filter("event_type = 'view'").select("user_id", "k", "event_id", F.col("event_id").alias("view_id"))
+    return joins.asof_join(e.filter("event_type = 'purchase'").select("user_id", "k", "event_id"), views, ["user_id", "k"], "event_id", "view_id", "last_view").select("event_id", "last_view")
+
+
+@query(f"WITH {EV} SELECT event_id, lead(k) OVER w AS next_start, coalesce(k = lead(k) OVER w, false) AS hint_matches FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def q_next_hint(spark, sf_dir):
+    return joins.next_hint(events(spark, sf_dir), "k", "k", BY, ORDER).select("event_id", "next_start", "hint_matches")
+
+
+MAPS = "m AS (SELECT p_partkey AS map_id, p_partkey * 40 AS lo, p_partkey * 40 + p_size AS hi, p_size FROM part)"
+
+
+def maps(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("map_id"), (F.col("p_partkey") * 40).alias("lo"), (F.col("p_partkey") * 40 + F.col("p_size")).alias("hi"), "p_size")
+
+
+@query(f"WITH {MAPS} SELECT o_orderkey, map_id FROM orders LEFT JOIN m ON o_orderkey >= lo AND o_orderkey < hi")
+def q_interval_lookup(spark, sf_dir):
+    return joins.interval_join(table(spark, sf_dir, "orders").select("o_orderkey"), maps(spark, sf_dir), "o_orderkey", "lo", "hi", bin_width=64).select("o_orderkey", "map_id")
+
+
+@query(f"WITH {MAPS} SELECT o_orderkey, map_id FROM orders JOIN m ON o_orderkey >= lo AND o_orderkey < hi + 200 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY p_size, map_id) = 1")
+def q_interval_priority(spark, sf_dir):
+    wide = maps(spark, sf_dir).withColumn("hi", F.col("hi") + 200)
+    found = joins.interval_join(table(spark, sf_dir, "orders").select("o_orderkey"), wide, "o_orderkey", "lo", "hi", "inner", bin_width=256, small=False)
+    return joins.best_interval(found, ["o_orderkey"], [F.col("p_size"), F.col("map_id")]).select("o_orderkey", "map_id")
+
+
+@query("""SELECT s_suppkey, n_nationkey, score FROM (SELECT s_suppkey, n_nationkey, 100 + CASE WHEN s_nationkey = n_nationkey THEN 50 ELSE 0 END + CASE WHEN s_suppkey % 5 = n_regionkey THEN 30 ELSE 0 END AS score
+FROM supplier JOIN nation ON s_suppkey % 3 <> n_nationkey % 3) QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, n_nationkey) = 1""")
+def q_candidate_score(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    score = F.lit(100) + F.when(F.col("s_nationkey") == F.col("n_nationkey"), 50).otherwise(0) + F.when(F.col("s_suppkey") % 5 == F.col("n_regionkey"), 30).otherwise(0)
+    best = joins.best_candidate(s, table(spark, sf_dir, "nation"), F.col("s_suppkey") % 3 != F.col("n_nationkey") % 3, score, ["s_suppkey"], "n_nationkey")
+    return best.select("s_suppkey", "n_nationkey", "score")
+
+
+@query("""WITH b AS (SELECT DISTINCT p_partkey * 8 - s_suppkey * 4 AS bias FROM part JOIN supplier ON p_size = s_nationkey),
+c AS (SELECT bias, count(*) AS coverage FROM b JOIN part ON true JOIN supplier ON p_size = s_nationkey AND p_partkey * 8 - s_suppkey * 4 = bias GROUP BY bias)
+SELECT bias, coverage FROM c ORDER BY coverage DESC, abs(bias), bias LIMIT 1""")
+def q_bias_coverage(spark, sf_dir):
+    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    pairs = p.join(s, p.p_size == s.s_nationkey).select((F.col("p_partkey") * 8 - F.col("s_suppkey") * 4).alias("bias"))
+    return pairs.groupBy("bias").agg(F.count("*").alias("coverage")).orderBy(F.desc("coverage"), F.abs("bias"), "bias").limit(1)
+
+
+@query("""SELECT o_orderkey, '0x' || lower(printf('%x', o_orderkey)) AS short_hex, '0x' || lower(printf('%016x', o_orderkey)) AS long_hex,
+CASE WHEN o_orderkey % 7 - 3 < 0 THEN '-0x' || lower(printf('%x', 3 - o_orderkey % 7)) ELSE '0x' || lower(printf('%x', o_orderkey % 7 - 3)) END AS signed, o_orderkey - o_orderkey % 16 AS down, (o_orderkey + 15) // 16 * 16 AS up,
+CASE WHEN o_orderkey % 256 >= 128 THEN o_orderkey % 256 - 256 ELSE o_orderkey % 256 END AS extended FROM orders""")
+def q_hex_format(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k, literals.hex_text(k).alias("short_hex"), literals.hex_text(k, 16).alias("long_hex"), literals.signed_hex(k % 7 - 3).alias("signed"), literals.align_down(k, 16).alias("down"), literals.align_up(k, 16).alias("up"), literals.sign_extend(k, 8).alias("extended"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey & 1 <> 0 THEN 'r' ELSE '-' END || CASE WHEN o_orderkey & 2 <> 0 THEN 'w' ELSE '-' END || CASE WHEN o_orderkey & 4 <> 0 THEN 'x' ELSE '-' END AS perms,
+CASE o_orderkey % 5 WHEN 0 THEN 'direct_call' WHEN 1 THEN 'direct_branch' WHEN 2 THEN 'conditional_branch' WHEN 3 THEN 'return' ELSE 'normal' END AS kind FROM orders""")
+def q_bitmask_classify(spark, sf_dir):
+    k = F.col("o_orderkey")
+    flags = k.bitwiseAND(1) * 4 + k.bitwiseAND(2) + F.shiftright(k.bitwiseAND(4), 2)
+    words = F.element_at(F.array(*[F.lit(x) for x in (0x94000000, 0x14000000, 0x54000000, 0xD65F03C0, 0xD503201F)]), (k % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(k, literals.permission_text(flags).alias("perms"), control.instruction_kind(words).alias("kind"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN CASE o_orderstatus WHEN 'O' THEN 'cond:T' WHEN 'F' THEN 'cond:N' ELSE 'cond:?' END WHEN '2-HIGH' THEN 'ret' WHEN '3-MEDIUM' THEN 'icall' WHEN '4-LOW' THEN 'call' ELSE 'other' END AS label,
+CASE WHEN CAST(floor(o_totalprice / 1000) AS BIGINT) - 50 < 0 THEN 1 ELSE least(CAST(floor(o_totalprice / 1000) AS BIGINT) - 50, 255) + 2 END AS bucket FROM orders""")
+def q_control_labels(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "conditional_branch").when(F.col("o_orderpriority") == "2-HIGH", "return").when(F.col("o_orderpriority") == "3-MEDIUM", "indirect_call").when(F.col("o_orderpriority") == "4-LOW", "direct_call").otherwise("other")
+    flag = F.when(F.col("o_orderstatus") == "O", True).when(F.col("o_orderstatus") == "F", False)
+    return o.select("o_orderkey", control.edge_control(kind, flag).alias("label"), control.count_bucket(F.floor(F.col("o_totalprice") / 1000) - 50).alias("bucket"))
+
+
+@query("""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/]+)', 1) AS host, string_split(string_split(url, '#')[1], '/')[-1] AS last_part FROM pages""")
+def q_regex_parse(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract(u, "://([^/]+)", 1).alias("host"), text.base_name(F.split_part(u, F.lit("#"), F.lit(1))).alias("last_part"))
+
+
+@query("""SELECT p_partkey, p_type || '+0x' || lower(printf('%x', p_size)) AS symbol, p_type AS name, CAST(p_size AS BIGINT) AS off, '+' AS relation FROM part""")
+def q_symbol_split(spark, sf_dir):
+    symbol = text.symbol_text(F.col("p_type"), F.col("p_size").cast("bigint"), F.lit(True))
+    p = table(spark, sf_dir, "part").withColumn("symbol", symbol)
+    found = text.split_symbol(F.col("symbol"))
+    return p.select("p_partkey", "symbol", found["name"].alias("name"), found["offset"].alias("off"), found["relation"].alias("relation"))
+
+
+@query("""SELECT p_partkey, 'mov FUN_<ADDR>, ' || p_brand AS clean FROM part""")
+def q_autosym_normalize(spark, sf_dir):
+    raw = F.concat(F.lit("mov  FUN_00"), F.lower(F.hex("p_partkey")), F.lit(",\t "), F.col("p_brand"), F.lit(" "))
+    return table(spark, sf_dir, "part").select("p_partkey", text.normalise_instruction(raw).alias("clean"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS p0_key, event_type AS stream FROM events")
+def q_kv_parse(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    line = F.concat(F.lit("P0 Key=0x"), F.hex(F.get_json_object("props", "$.k").cast("bigint")), F.lit(", stream="), F.col("event_type"))
+    found = text.key_values(line, ("p0_key", "stream"))
+    return e.select("event_id", literals.parse_int(found["p0_key"]).alias("p0_key"), found["stream"].alias("stream"))
+
+
+@query("SELECT o_orderkey, i - 1 AS place, substr(repeat('EN', 1 + CAST(o_orderkey % 3 AS INTEGER)), CAST(i AS INTEGER), 1) AS atom FROM (SELECT o_orderkey, unnest(range(1, 3 + 2 * (o_orderkey % 3))) AS i FROM orders)")
+def q_atom_explode(spark, sf_dir):
+    atoms = F.repeat(F.lit("EN"), (1 + F.col("o_orderkey") % 3).cast("int"))
+    line = F.concat(F.lit("ATOM - "), atoms)
+    exploded = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(F.filter(F.split(text.packet_fields(line)["atoms"], ""), lambda c: c != "")).alias("place", "atom"))
+    return exploded.withColumn("place", F.col("place").cast("bigint"))
+
+
+TOP = "t AS (SELECT k, count(*) AS n, min(event_id) AS f FROM ev WHERE k IS NOT NULL GROUP BY k), top AS (SELECT k, 1 + row_number() OVER (ORDER BY n DESC, f, k) AS id FROM t QUALIFY row_number() OVER (ORDER BY n DESC, f, k) <= 50)"
+
+
+def top_tokens(spark, sf_dir):
+    counts = vocab.token_counts(events(spark, sf_dir), ["k"], "event_id")
+    return vocab.build(counts, "k", 50)
+
+
+@query(f"WITH {EV}, {TOP} SELECT k, id FROM top")
+def q_vocab_topk(spark, sf_dir):
+    return top_tokens(spark, sf_dir)
+
+
+@query(f"WITH {EV}, {TOP} SELECT event_id, coalesce(id, 1) AS token_id FROM ev LEFT JOIN top USING (k)")
+def q_dict_encode(spark, sf_dir):
+    return vocab.encode(events(spark, sf_dir), top_tokens(spark, sf_dir), {"k": "token_id"}, "k").select("event_id", "token_id")
+
+
+@query(f"WITH {EV} SELECT event_id, CASE WHEN event_type = 'error' THEN '<GAP>@0x0' WHEN event_type = 'signup' THEN NULL ELSE 'u' || user_id || '::' || event_type || '@' || k END AS node FROM ev")
+def q_joint_node(spark, sf_dir):
+    kind = F.col("event_type")
+    name = F.when(kind == "error", literals.GAP).when(kind != "signup", kind)
+    off = F.when(kind == "error", "0x0").otherwise(F.col("k").cast("string"))
+    return events(spark, sf_dir).select("event_id", control.node_id(F.concat(F.lit("u"), F.col("user_id")), name, off).alias("node"))
+
+
+@query("WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events), n AS (SELECT user_id, coalesce(sum(count(*) + 1) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM events GROUP BY user_id) SELECT event_id, CAST(start + pos AS BIGINT) AS row_id FROM r JOIN n USING (user_id)")
+def q_row_ids(spark, sf_dir):
+    return windows.row_ids(table(spark, sf_dir, "events"), BY, ORDER).select("event_id", "row_id")
+
+
+@query(f"WITH {EV} SELECT event_id, array_to_string(list_concat(list_transform(range(8 - len(h)), lambda x: 0), h), ',') AS history FROM (SELECT event_id, coalesce(list(k) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), []) AS h FROM ev)")
+def q_history_window(spark, sf_dir):
+    h = windows.history(events(spark, sf_dir), "k", 8, BY, ORDER, pad=0)
+    return h.select("event_id", F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))
+
+
+@query("WITH n AS (SELECT coalesce(sum(count(*) + 1) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(count(*) + 1) OVER () AS total FROM events GROUP BY user_id) SELECT CAST(b AS BIGINT) AS split_row FROM n ORDER BY abs(b - floor(total * 0.8)), b DESC LIMIT 1")
+def q_boundary_split(spark, sf_dir):
+    rows = windows.row_ids(table(spark, sf_dir, "events"), BY, ORDER)
+    starts = rows.groupBy("user_id").agg((F.min("row_id") - 1).alias("split_row"), F.count("*").alias("n"))
+    total = starts.agg(F.sum(F.col("n") + 1).alias("total"))
+    return windows.boundary_split(starts.crossJoin(F.broadcast(total)), "split_row", F.floor(F.col("total") * 0.8))
+
+
+@query("""SELECT l_returnflag, CAST(sum(CASE WHEN l_linenumber > 1 AND l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS ctrl_rows, CAST(sum(CASE WHEN l_linenumber > 1 AND l_linestatus = 'O' AND l_quantity > 10 THEN 1 ELSE 0 END) AS BIGINT) AS dst_rows,
+round(sum(CASE WHEN l_linenumber > 1 AND l_linestatus = 'O' AND l_quantity > 10 THEN -ln(greatest(l_discount, 1e-7)) ELSE 0 END) / sum(CASE WHEN l_linenumber > 1 AND l_linestatus = 'O' AND l_quantity > 10 THEN 1 ELSE 0 END), 6) AS loss FROM lineitem GROUP BY l_returnflag""")
+def q_loss_masks(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumns(model.loss_weights(F.col("l_linenumber") > 1, F.col("l_linestatus") == "O", F.col("l_quantity") > 10))
+    floor = F.greatest(F.col("l_discount"), F.lit(1e-7))
+    return li.groupBy("l_returnflag").agg(F.sum("ctrl_weight").alias("ctrl_rows"), F.sum("dst_weight").alias("dst_rows"), F.round(F.sum(-F.log(floor) * F.col("dst_weight")) / F.sum("dst_weight"), 6).alias("loss"))
+
+
+BIGRAM = "p AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events), c AS (SELECT prev, event_type, count(*) AS n FROM p WHERE prev IS NOT NULL GROUP BY ALL), md AS (SELECT prev, event_type, n, n / sum(n) OVER (PARTITION BY prev) AS prob FROM c)"
+
+
+def bigrams(spark, sf_dir):
+    pairs = model.transitions(table(spark, sf_dir, "events"), "event_type", BY, ORDER)
+    return pairs, model.fit_bigram(pairs, "event_type")
+
+
+@query(f"WITH {BIGRAM} SELECT prev, event_type, n, round(prob, 6) AS prob FROM md")
+def q_ngram_next(spark, sf_dir):
+    return bigrams(spark, sf_dir)[1].select("prev", "event_type", "n", F.round("prob", 6).alias("prob"))
+
+
+@query(f"""WITH {BIGRAM}, sc AS (SELECT p.user_id, p.ts, p.event_id, prob FROM p LEFT JOIN md USING (prev, event_type) WHERE prev IS NOT NULL),
+w AS (SELECT *, sum(CASE WHEN prob < 0.1998 THEN 1 ELSE 0 END) OVER x AS low, count(*) OVER x AS n FROM sc WINDOW x AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
+SELECT event_id, CAST(low AS BIGINT) AS low_count FROM w WHERE n >= 8 AND low >= 4""")
+def q_ngram_score_alarm(spark, sf_dir):
+    pairs, fitted = bigrams(spark, sf_dir)
+    s = model.score_bigram(pairs, F.broadcast(fitted), "event_type").filter("dst_prob IS NOT NULL").withColumn("row", F.row_number().over(windows.ordered(BY, ORDER)))
+    runs = windows.scored_runs(s, "dst_prob", "row", BY, ORDER)
+    return windows.alarms(windows.low_counts(runs, "dst_prob", 0.1998, 8, BY, ORDER, "row"), 8, 4).select("event_id", "low_count")
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS best, CASE WHEN list_position(embedding, list_max(embedding)) - 1 < 25 THEN (SELECT n_name FROM nation WHERE n_nationkey = list_position(embedding, list_max(embedding)) - 1) ELSE '<id:' || (list_position(embedding, list_max(embedding)) - 1) || '>' END AS token FROM embeddings")
+def q_argmax_token(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", model.argmax(F.col("embedding")).cast("bigint").alias("best"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("best"), "n_name")
+    return e.join(F.broadcast(names), "best", "left").select("vec_id", "best", model.token_name(F.col("n_name"), F.col("best")).alias("token"))
+
+
+@query("SELECT vec_id, round(coalesce(embedding[CAST(vec_id % 100 AS INTEGER) + 1], 0.0), 5) AS prob FROM embeddings")
+def q_prob_at(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(model.probability_at(F.col("embedding"), F.col("vec_id") % 100).cast("double"), 5).alias("prob"))
+
+
+@query("WITH v AS (SELECT abs(unnest(embedding)) AS m FROM embeddings), r AS (SELECT m, row_number() OVER (ORDER BY m) AS i, count(*) OVER () AS n FROM v) SELECT CAST(floor(n * 0.2) AS BIGINT) AS k, round(CAST(m AS DOUBLE), 7) AS threshold, (SELECT count(*) FROM v WHERE v.m > r.m) AS kept FROM r WHERE i = floor(n * 0.2)")
+def q_prune_threshold(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.explode("embedding").alias("w"))
+    cut = model.kth_magnitude(v, "w", 0.2)
+    kept = v.crossJoin(F.broadcast(cut)).groupBy("k", "threshold").agg(F.count_if(F.abs("w") > F.col("threshold")).alias("kept"))
+    return kept.select("k", F.round(F.col("threshold").cast("double"), 7).alias("threshold"), "kept")
+
+
+@query("SELECT n_nationkey, round(0.7 + (0.2 - 0.7) * pow(1 - greatest(0.0, least(1.0, (n_nationkey - 2) / 20)), 3), 9) AS sparsity FROM nation")
+def q_sparsity_schedule(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.round(model.scheduled_sparsity(0.2, 0.7, (F.col("n_nationkey") - 2) / 20), 9).alias("sparsity"))
+
+
+@query("SELECT l_orderkey, l_linenumber, confidence FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 'low' WHEN 'N' THEN 'medium' ELSE 'high' END AS confidence, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS rank FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY rank DESC, l_linenumber, l_partkey) = 1")
+def q_keep_best(spark, sf_dir):
+    named = F.when(F.col("l_returnflag") == "A", "low").when(F.col("l_returnflag") == "N", "medium").otherwise("high")
+    li = table(spark, sf_dir, "lineitem").withColumn("confidence", named)
+    return graph.keep_best(li, ["l_orderkey"], control.confidence_rank(F.col("confidence")), ["l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber", "confidence")
+
+
+@query("SELECT l_orderkey, count(DISTINCT t) AS n_targets, coalesce(string_agg(DISTINCT t, ';' ORDER BY t), '') AS targets, CASE WHEN count(t) = 0 THEN 'unresolved' WHEN max(c) = 1 THEN 'resolved' ELSE 'partial' END AS status FROM (SELECT l_orderkey, CASE WHEN l_quantity > 25 THEN CAST(l_suppkey AS VARCHAR) END AS t, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS c FROM lineitem) GROUP BY l_orderkey")
+def q_indirect_sites(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("target", F.when(F.col("l_quantity") > 25, F.col("l_suppkey").cast("string")))
+    return graph.indirect_sites(li, ["l_orderkey"], "target", F.col("l_returnflag") == "R")
+
+
+@query("WITH e AS (SELECT l_partkey % 50 AS a, l_suppkey AS b FROM lineitem), n AS (SELECT a AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT b, 1, 0 FROM e) SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM n GROUP BY node")
+def q_degrees(spark, sf_dir):
+    e = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("a"), F.col("l_suppkey").alias("b"))
+    return graph.degrees(e, "a", "b")
+
+
+@query("SELECT l_orderkey, sha256(string_agg('B:' || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || ':' || l_partkey, chr(10) ORDER BY 'B:' || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || ':' || l_partkey)) AS layout_hash, FROM lineitem GROUP BY l_orderkey")
+def q_layout_hash(spark, sf_dir):
+    part = F.concat(F.lit("B:"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.lit(":"), F.col("l_partkey"))
+    return graph.ordered_hash(table(spark, sf_dir, "lineitem"), ["l_orderkey"], part, "layout_hash")
+
+
+WL_STEP = """i{t} AS (SELECT e.g, e.dst AS node, string_agg(e.type || ':' || c.colour, ',' ORDER BY e.type || ':' || c.colour) AS s FROM e JOIN c{p} c ON c.g = e.g AND c.node = e.src GROUP BY ALL),
+o{t} AS (SELECT e.g, e.src AS node, string_agg(e.type || ':' || c.colour, ',' ORDER BY e.type || ':' || c.colour) AS s FROM e JOIN c{p} c ON c.g = e.g AND c.node = e.dst GROUP BY ALL),
+c{t} AS (SELECT c.g, c.node, CASE WHEN rounds >= {t} THEN sha256(c.colour || '|' || coalesce(i.s, '') || '|' || coalesce(o.s, '')) ELSE c.colour END AS colour, rounds FROM c{p} c LEFT JOIN i{t} i USING (g, node) LEFT JOIN o{t} o USING (g, node))"""
+
+
+@query(
+    f"""WITH e AS (SELECT DISTINCT l_orderkey % 40 AS g, l_partkey % 12 AS src, l_suppkey % 12 AS dst, l_returnflag AS type FROM lineitem),
+n AS (SELECT g, src AS node FROM e UNION SELECT g, dst FROM e),
+c0 AS (SELECT g, node, sha256(CASE WHEN node = 0 THEN 'ENTRY' ELSE 'NODE' END) AS colour, least(count(*) OVER (PARTITION BY g), 2) AS rounds FROM n),
+{WL_STEP.format(t=1, p=0)}, {WL_STEP.format(t=2, p=1)}
+SELECT g, sha256(string_agg(colour, chr(10) ORDER BY colour)) AS fingerprint FROM c2 GROUP BY g"""
+)
+def q_wl_fingerprint(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    e = li.select((F.col("l_orderkey") % 40).alias("g"), (F.col("l_partkey") % 12).alias("src"), (F.col("l_suppkey") % 12).alias("dst"), F.col("l_returnflag").alias("type")).distinct()
+    n = e.select("g", F.col("src").alias("node")).union(e.select("g", "dst")).distinct()
+    return graph.fingerprint(n, e, "g", F.when(F.col("node") == 0, "ENTRY").otherwise("NODE"), rounds=2)
+
+
+VERSIONS = """o AS (SELECT p_partkey AS oid, p_brand || (p_partkey % 40) AS name, p_type AS sig FROM part WHERE p_partkey % 2 = 0), n AS (SELECT p_partkey AS nid, p_brand || (p_partkey % 40 - 1) AS name, p_type AS sig FROM part WHERE p_partkey % 2 = 1)"""
+
+
+def versions(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    old = p.filter(k % 2 == 0).select(k.alias("oid"), F.concat("p_brand", (k % 40).cast("string")).alias("name"), F.col("p_type").alias("sig"))
+    new = p.filter(k % 2 == 1).select(k.alias("nid"), F.concat("p_brand", (k % 40 - 1).cast("string")).alias("name"), F.col("p_type").alias("sig"))
+    return old, new
+
+
+@query(f"""WITH {VERSIONS}, m1 AS (SELECT oid, nid FROM (SELECT name, min(oid) AS oid FROM o GROUP BY name HAVING count(*) = 1) JOIN (SELECT name, min(nid) AS nid FROM n GROUP BY name HAVING count(*) = 1) USING (name)),
+o1 AS (SELECT * FROM o ANTI JOIN m1 USING (oid)), n1 AS (SELECT * FROM n ANTI JOIN m1 USING (nid)),
+m2 AS (SELECT oid, nid FROM (SELECT name, sig, min(oid) AS oid FROM o1 GROUP BY ALL HAVING count(*) = 1) JOIN (SELECT name, sig, min(nid) AS nid FROM n1 GROUP BY ALL HAVING count(*) = 1) USING (name, sig)),
+o2 AS (SELECT * FROM o1 ANTI JOIN m2 USING (oid)), n2 AS (SELECT * FROM n1 ANTI JOIN m2 USING (nid)),
+m3 AS (SELECT oid, nid FROM (SELECT name, min(oid) AS oid FROM o2 GROUP BY name HAVING count(*) = 1) JOIN (SELECT name, min(nid) AS nid FROM n2 GROUP BY name HAVING count(*) = 1) USING (name))
+SELECT *, 'name' AS method, 'high' AS confidence FROM m1 UNION ALL SELECT *, 'signature', 'high' FROM m2 UNION ALL SELECT *, 'residual', 'medium' FROM m3""")
+def q_function_match(spark, sf_dir):
+    old, new = versions(spark, sf_dir)
+    return joins.match_versions(old, new, "name", "sig", "oid", "nid")
+
+
+@query(f"WITH {VERSIONS} SELECT oid, nid FROM (SELECT name, sig, min(oid) AS oid FROM o GROUP BY ALL HAVING count(*) = 1) JOIN (SELECT name, sig, min(nid) AS nid FROM n GROUP BY ALL HAVING count(*) = 1) USING (name, sig)")
+def q_unique_block_map(spark, sf_dir):
+    old, new = versions(spark, sf_dir)
+    return joins.unique_pairs(old, new, ["name", "sig"], "oid", "nid").select("oid", "nid")
+
+
+PROP_STEP = """a{t} AS (SELECT m.o, m.n, e.type, min(e.dst) AS o2 FROM (SELECT * FROM eo WHERE dst NOT IN (SELECT o FROM m{p})) e JOIN m{p} m ON e.src = m.o GROUP BY ALL HAVING count(*) = 1),
+b{t} AS (SELECT m.o, m.n, e.type, min(e.dst) AS n2 FROM (SELECT * FROM en WHERE dst NOT IN (SELECT n FROM m{p})) e JOIN m{p} m ON e.src = m.n GROUP BY ALL HAVING count(*) = 1),
+d{t} AS (SELECT DISTINCT o2, n2 FROM a{t} JOIN b{t} USING (o, n, type)),
+m{t} AS (SELECT o, n FROM m{p} UNION ALL SELECT o2, n2 FROM (SELECT *, count(*) OVER (PARTITION BY o2) AS x, count(*) OVER (PARTITION BY n2) AS y FROM d{t}) WHERE x = 1 AND y = 1)"""
+
+
+@query(f"""WITH eo AS (SELECT DISTINCT l_orderkey AS src, l_orderkey * 3 % 997 AS dst, l_returnflag AS type FROM lineitem WHERE l_orderkey < 997), en AS (SELECT DISTINCT l_orderkey + 10000 AS src, l_orderkey * 3 % 997 + 10000 AS dst, l_returnflag AS type FROM lineitem WHERE l_orderkey < 997 AND l_orderkey % 11 <> 0),
+m0 AS (SELECT DISTINCT l_orderkey AS o, l_orderkey + 10000 AS n FROM lineitem WHERE l_orderkey < 40), {PROP_STEP.format(t=1, p=0)}, {PROP_STEP.format(t=2, p=1)} SELECT o, n FROM m2""")
+def q_neighbor_propagate(spark, sf_dir):
+    k = F.col("l_orderkey")
+    li = table(spark, sf_dir, "lineitem").filter(k < 997)
+    eo = li.select(k.alias("src"), (k * 3 % 997).alias("dst"), F.col("l_returnflag").alias("type")).distinct()
+    en = li.filter(k % 11 != 0).select((k + 10000).alias("src"), (k * 3 % 997 + 10000).alias("dst"), F.col("l_returnflag").alias("type")).distinct()
+    return joins.propagate(li.filter(k < 40).select(k.alias("o"), (k + 10000).alias("n")).distinct(), eo, en, 2)
+
+
+SIMILAR = """pr AS (SELECT a.p_partkey AS o, b.p_partkey AS n, 0.30 * (a.p_brand = b.p_brand)::INT + 0.25 * (a.p_name = b.p_name)::INT + 0.15 * (a.p_type = b.p_type)::INT + 0.15 / (1 + abs(a.p_size - b.p_size)) + 0.10 * least(a.p_size, b.p_size) / greatest(a.p_size, b.p_size) + 0.05 * (a.p_size = b.p_size)::INT AS s
+FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1)"""
+
+
+@query(f"""WITH {SIMILAR}, x AS (SELECT o, n, s FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY round(s, 9) DESC, n) AS k, coalesce(lead(round(s, 9)) OVER (PARTITION BY o ORDER BY round(s, 9) DESC, n), 0) AS nx FROM pr) WHERE k = 1 AND round(s, 9) >= 0.4 AND round(s, 9) - nx >= 0.02),
+y AS (SELECT o, n FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY round(s, 9) DESC, o) AS k, coalesce(lead(round(s, 9)) OVER (PARTITION BY n ORDER BY round(s, 9) DESC, o), 0) AS nx FROM pr) WHERE k = 1 AND round(s, 9) >= 0.4 AND round(s, 9) - nx >= 0.02)
+SELECT o, n, round(s, 9) AS similarity FROM x JOIN y USING (o, n)""")
+def q_mutual_best(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    a, b = p.filter("p_partkey % 2 = 0").alias("a"), p.filter("p_partkey % 2 = 1").alias("b")
+    same = lambda c: F.col(f"a.{c}") == F.col(f"b.{c}")
+    ratio = F.least("a.p_size", "b.p_size") / F.greatest("a.p_size", "b.p_size")
+    s = graph.block_similarity(same("p_brand"), same("p_name"), same("p_type"), F.abs(F.col("a.p_size") - F.col("b.p_size")), ratio, same("p_size"))
+    pairs = a.join(b, same("p_type")).select(F.col("a.p_partkey").alias("o"), F.col("b.p_partkey").alias("n"), F.round(s, 9).alias("similarity"))
+    return joins.mutual_best(pairs, 0.4, 0.02)
+
+
+EDGES = "a AS (SELECT l_partkey AS src, l_suppkey AS dst, min(l_returnflag) AS t FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY ALL), b AS (SELECT l_partkey AS src, l_suppkey AS dst, min(l_returnflag) AS t FROM lineitem WHERE l_orderkey % 3 <> 1 GROUP BY ALL), df AS (SELECT src, dst, a.t AS old_type, b.t AS new_type, CASE WHEN a.t IS NULL THEN 'ADDED' WHEN b.t IS NULL THEN 'REMOVED' WHEN a.t = b.t THEN 'UNCHANGED' ELSE 'TYPE_CHANGED' END AS status FROM a FULL JOIN b USING (src, dst))"
+
+
+def edge_rows(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    side = lambda skip: li.filter(F.col("l_orderkey") % 3 != skip).groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.min("l_returnflag").alias("t"))
+    return joins.edge_diff(side(0), side(1), ["src", "dst"], "t")
+
+
+@query(f"WITH {EDGES} SELECT * FROM df")
+def q_edge_diff(spark, sf_dir):
+    return edge_rows(spark, sf_dir)
+
+
+@query(f"""WITH {EDGES}, g AS (SELECT src, count(*) FILTER (status = 'ADDED') AS added, count(*) FILTER (status = 'REMOVED') AS removed, count(*) FILTER (status = 'TYPE_CHANGED') AS changed FROM df GROUP BY src)
+SELECT src, added, removed, changed, CASE WHEN src % 97 = 0 THEN 'FAILED' WHEN src % 89 = 0 THEN 'PARTIAL' WHEN added + removed > 0 THEN 'CFG_CHANGED' WHEN changed > 0 THEN 'CONTENT_ONLY' ELSE 'UNCHANGED' END AS status FROM g""")
+def q_pair_status(spark, sf_dir):
+    n = lambda s: F.count_if(F.col("status") == s)
+    g = edge_rows(spark, sf_dir).groupBy("src").agg(n("ADDED").alias("added"), n("REMOVED").alias("removed"), n("TYPE_CHANGED").alias("changed"))
+    no = F.lit(False)
+    return g.withColumn("status", graph.function_status(F.col("src") % 97 == 0, F.col("src") % 89 == 0, no, F.col("added") + F.col("removed") > 0, F.col("changed") > 0, no))
+
+
+@query("SELECT k, in_old, in_new FROM (SELECT DISTINCT l_partkey AS k, true AS in_old FROM lineitem WHERE l_returnflag = 'R') FULL JOIN (SELECT DISTINCT l_partkey AS k, true AS in_new FROM lineitem WHERE l_returnflag = 'A') USING (k)")
+def q_set_ops(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    old, new = (li.filter(F.col("l_returnflag") == x).select(F.col("l_partkey").alias("k")) for x in "RA")
+    both = old.intersect(new).select("k", F.lit(True).alias("in_old"), F.lit(True).alias("in_new"))
+    none = F.lit(None).cast("boolean")
+    return both.unionByName(old.exceptAll(new).distinct().join(both, "k", "left_anti").select("k", F.lit(True).alias("in_old"), none.alias("in_new"))).unionByName(new.subtract(old).select("k", none.alias("in_old"), F.lit(True).alias("in_new")))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 8")
+def q_counters_topn(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(8)
+
 
-def queries():
-    return {}
+@query("""WITH f AS (SELECT *, CASE WHEN role = 'user' OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT *, CAST(sum(s) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS packet FROM f)
+SELECT conv_id, packet, count(*) AS n_lines, sha256(string_agg(text, chr(10) ORDER BY turn)) AS joined FROM g GROUP BY ALL""")
+def q_packet_text_sessions(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = windows.segments(table(spark, sf_dir, "conversations"), (F.col("role") == "user") | (F.row_number().over(w) == 1), ["conv_id"], ["turn"], "packet")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return c.groupBy("conv_id", "packet").agg(F.count("*").alias("n_lines"), F.sha2(F.array_join(lines, "\n"), 256).alias("joined"))
 
 
-def oracle_sql():
-    return {}
+@query(f"WITH {EV}, d AS (SELECT event_id, user_id, ts, k, CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS step FROM ev) SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN NULL ELSE lag(k) OVER w END AS before_k, CAST(sum(step) OVER w AS BIGINT) AS balance FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def q_call_balance(spark, sf_dir):
+    step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    e = events(spark, sf_dir)
+    return e.select("event_id", F.lag("k").over(windows.ordered(BY, ORDER)).alias("before_k"), F.sum(step).over(windows.up_to_now(BY, ORDER)).alias("balance"))
