@@ -22,35 +22,44 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hoptrail.functions.fence import fenced
+
 WORD = r"[^\x20\x09-\x0D]+"
-NOT_WORD = r"[\x20\x09-\x0D]+"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Ratios that rules may test, from the base statistics and the text's length.
-FEATURES = ["n_words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "letter_ratio", "short_line_ratio", "distinct_ratio"]
+FEATURES = ["n_words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "short_line_ratio"]
+_BLANKS, _SYMBOLS = "\t\n\x0b\x0c\r", "#*$%&|<>"
 
 
 def text_stats(docs: DataFrame, text_col: str = "text", repeat_words: int = 5) -> DataFrame:
     """``docs`` with the base statistics and the features of each whole text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = [c for c in docs.columns if c not in {*BASE, *FEATURES, "base_failed"}]
+    # Plain replacements and a split at one character are several times cheaper than expressions over classes.
+    spaced, bare, plain = text, text, text
+    for c in _BLANKS:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    for c in _SYMBOLS:
+        plain = F.replace(plain, F.lit(c), F.lit(""))
+    for c in " " + _BLANKS:
+        bare = F.replace(bare, F.lit(c), F.lit(""))
+    size = F.char_length(text)
     df = docs.select(
         *[F.col(f"`{c}`") for c in own],
-        F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("_words"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("_lines"),
-        (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.char_length(F.regexp_replace(text, NOT_WORD, "")).cast("long").alias("word_chars"),
-        F.char_length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long").alias("_letters"),
+        fenced(F.array_remove(F.split(spaced, " "), "")).alias("_words"),
+        fenced(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))).alias("_lines"),
+        (size - F.char_length(plain)).cast("long").alias("n_symbols"),
+        F.char_length(bare).cast("long").alias("word_chars"),
     )
-    # Hashes of words, then of windows; a window found twice marks all its words.
-    df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    # Neighbours are zipped, never looked up by index inside a lambda: the optimizer may inline what is looked up.
+    # Hashes of words, then of windows; a window found twice marks all its words. The fences keep each array
+    # a column of its own, so that looking up neighbours in it never computes it again.
+    df = df.withColumn("_hashes", fenced(F.transform("_words", lambda w: F.xxhash64(w))))
     n = F.size("_hashes") - (repeat_words - 1)
-    shifted = F.arrays_zip(*[F.slice("_hashes", j + 1, F.greatest(n, F.lit(0))).alias(f"h{j}") for j in range(repeat_words)])
-    windows = F.transform(shifted, lambda x: F.xxhash64(*[x[f"h{j}"] for j in range(repeat_words)]))
-    df = df.withColumn("_windows", windows)
+    windows = F.transform(F.slice("_hashes", 1, F.greatest(n, F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get("_hashes", i + j) for j in range(1, repeat_words)]))
+    df = df.withColumn("_windows", fenced(windows))
     df = df.withColumn("_some", F.size(F.array_distinct("_windows")) < F.size("_windows"))
     placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_sorted", F.when(F.col("_some"), placed))
+    df = df.withColumn("_sorted", fenced(F.when(F.col("_some"), placed)))
     m = F.size("_sorted") - 1
     same = F.zip_with(F.slice("_sorted", 1, m), F.slice("_sorted", 2, m), lambda x, y: x["h"] == y["h"])
     df = df.withColumn("_same", F.when(F.col("_some"), same))
@@ -70,10 +79,8 @@ def text_stats(docs: DataFrame, text_col: str = "text", repeat_words: int = 5) -
         "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
-        "_letters",
         F.size("_lines").alias("_n_lines"),
         F.size(F.filter("_lines", lambda x: F.char_length(x) < 30)).alias("_n_short"),
-        F.size(F.array_distinct("_hashes")).alias("_n_distinct"),
     )
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     n = F.col("n_words")
@@ -85,9 +92,7 @@ def text_stats(docs: DataFrame, text_col: str = "text", repeat_words: int = 5) -
         ratio(F.col("n_symbols"), F.col("word_chars")).alias("symbol_ratio"),
         ratio(F.col("n_dup_lines"), F.col("_n_lines")).alias("dup_line_ratio"),
         ratio(F.col("n_repeat_words"), n).alias("repeat_ratio"),
-        ratio(F.col("_letters"), F.col("word_chars")).alias("letter_ratio"),
         ratio(F.col("_n_short"), F.col("_n_lines")).alias("short_line_ratio"),
-        ratio(F.col("_n_distinct"), n).alias("distinct_ratio"),
     )
 
 
@@ -186,14 +191,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = docs.sparkSession.createDataFrame([(r["_id"], 1 - int(r["_label"] > 0)) for r in held], "_id long, bad int")
     own = docs.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("text"))
     stats = text_stats(own.join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("_id", "bad", "text"))
-    rows = stats.filter("NOT base_failed").select("_id", "bad", *FEATURES).orderBy(F.xxhash64("_id"), *FEATURES).limit(2 * sample_rows).collect()
-    return cover([{**{f: float(r[f]) for f in FEATURES}, "bad": r["bad"]} for r in rows], **how)
+    # No filter here: pushed down, it would copy the nested array expressions. The sample bounds the rows.
+    rows = stats.select("_id", "bad", "base_failed", *FEATURES).orderBy(F.xxhash64("_id"), *FEATURES).limit(2 * sample_rows).collect()
+    return cover([{**{f: float(r[f]) for f in FEATURES}, "bad": r["bad"]} for r in rows if not r["base_failed"]], **how)
 
 
 def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
     """``docs`` with statistics, base_failed and ``kept``."""
     stats = text_stats(docs.drop("kept"), text_col)
-    return stats.withColumn("kept", ~F.col("base_failed") & rules.column())
+    return stats.withColumn("kept", fenced(~F.col("base_failed") & rules.column()))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
