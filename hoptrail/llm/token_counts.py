@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from hoptrail.llm.scratch import bounded_batches
 
 #: Entries of a worker's memory of stretches, and the longest stretch kept.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
 _CONTRACTION = regex.compile("'(?:s|t|re|ve|m|ll|d)")
 
 
@@ -59,7 +59,8 @@ class PrefixCounter:
         self.pieces = regex.compile(pattern)
         self._apart: dict[tuple[bytes, bytes], bool] = {}
         self._alone: dict[bytes, bool] = {}
-        self._units: dict[str, int | None] = {}
+        self._units: dict[str, int] = {}
+        self._pieces: dict[str, int] = {}
 
     def merge(self, parts: list[bytes]) -> list[bytes]:
         """Byte-pair merges in order of rank."""
@@ -96,21 +97,35 @@ class PrefixCounter:
         """Tokens of each prefix of a pre-token, from 0 bytes to all."""
         last: list[bytes] = [b""] * (len(piece) + 1)
         count = [0] * (len(piece) + 1)
-        vocabulary = self.vocabulary
+        vocabulary, apart, longest = self.vocabulary, self._apart, self.longest
         for i in range(1, len(piece) + 1):
-            for start in range(max(0, i - self.longest), i):
+            for start in range(i - longest if i > longest else 0, i):
                 token = piece[start:i]
-                if token in vocabulary and (self._stay_apart(last[start], token) if start else self._stand_alone(token)):
-                    last[i], count[i] = token, count[start] + 1
-                    break
+                if token in vocabulary:
+                    if start:
+                        fits = apart.get((last[start], token))
+                        if fits is None:
+                            fits = self._stay_apart(last[start], token)
+                    else:
+                        fits = self._stand_alone(token)
+                    if fits:
+                        last[i], count[i] = token, count[start] + 1
+                        break
         return count
 
     def total(self, text: str) -> int:
         """Tokens of an ordinary text between certain borders."""
         n = 0
         for piece in self.pieces.findall(text):
-            raw = piece.encode()
-            n += 1 if raw in self.vocabulary and self._stand_alone(raw) else self.counts(raw)[-1]
+            own = self._pieces.get(piece)
+            if own is None:
+                raw = piece.encode()
+                own = 1 if raw in self.vocabulary and self._stand_alone(raw) else self.counts(raw)[-1]
+                if len(piece) <= CACHE_CHARS:
+                    if len(self._pieces) >= CACHE_ENTRIES:
+                        self._pieces.clear()
+                    self._pieces[piece] = own
+            n += own
         return n
 
     def _unit(self, word: str) -> int | None:
