@@ -9,7 +9,7 @@ lines of under ``min_chars`` characters only when equal.
 2. A class can have a partner within one edit only if some other class equals it
    outside one of ``parts`` segments. Two rounds of such keys, coarse without
    texts and then fine, leave few suspects; none that has a partner is lost.
-3. Suspects emit all deletion variants as hashed keys. Two lines that differ in
+3. Suspects emit, for those segments, all deletion variants as hashed keys. Two lines that differ in
    one place share the variant with that place deleted, so each is joined to the
    earliest of its variant and place; a line that lacks one character equals a
    variant of the other. Both joins give at most one partner a variant.
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hoptrail.functions.arrays import running_sums
+from hoptrail.functions.fence import fenced
 from hoptrail.llm.scratch import broadcast_within, materialize
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -47,15 +48,21 @@ def _segment_keys(line: Column, length: Column, parts: int) -> Column:
     return F.array(*[keys(length - d, q) for d in (0, 1) for q in range(parts)])
 
 
-def _shared(rows: DataFrame, keys: Column) -> DataFrame:
-    """Distinct (k1, k2) of the rows that share a key with another class."""
-    exploded = rows.select("k1", "k2", F.explode(keys).alias("key")).repartition("key")
+def _shared_segments(texts: DataFrame, parts: int) -> DataFrame:
+    """k1, k2 and ``spots``, the segments outside which the line equals one of another class."""
+    length = F.char_length("line")
+    where = F.array(*[F.struct(F.floor((length - d) * q / parts).alias("lo"), F.floor((length - d) * (q + 1) / parts).alias("hi")) for d in (0, 1) for q in range(parts)])
+    keyed = texts.select("k1", "k2", F.arrays_zip(_segment_keys(F.col("line"), length, parts).alias("key"), where.alias("spot")).alias("z"))
+    exploded = keyed.select("k1", "k2", F.explode("z").alias("z")).select("k1", "k2", "z.key", "z.spot").repartition("key")
     twice = exploded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return exploded.join(twice, "key", "left_semi").select("k1", "k2").distinct()
+    return exploded.join(twice, "key", "left_semi").groupBy("k1", "k2").agg(F.collect_set("spot").alias("spots"))
 
 
 def _variants(texts: DataFrame) -> DataFrame:
-    """k1, k2, at (character order), place and hash of the line without that character; place -1: the whole line."""
+    """k1, k2, first, place and hash of the line without the character there; place -1: the whole line.
+
+    Places outside a line's ``spots`` can't be where it differs from another line.
+    """
     mask = (1 << 40) - 1
     chars = F.filter(F.split("line", ""), lambda c: c != "")
 
@@ -69,7 +76,9 @@ def _variants(texts: DataFrame) -> DataFrame:
     cut = F.zip_with(F.concat(zero, F.slice("here", 1, n - 1)), F.col("moved"), lambda before, upto: before - upto)
     total = F.get("moved", n - 1)
     rows = sums.withColumn("cut", cut).withColumn("total", total).withColumn("whole", F.get("here", n - 1))
-    each = rows.select("k1", "k2", "first", F.posexplode("cut").alias("place", "c"), "total").select("k1", "k2", "first", "place", (F.col("c") + F.col("total")).alias("h"))
+    placed = F.transform("cut", lambda c, i: F.struct(i.alias("place"), c.alias("c")))
+    near = F.filter(placed, lambda x: F.exists("spots", lambda r: x["place"].between(r["lo"], r["hi"])))
+    each = rows.select("k1", "k2", "first", F.inline(near), "total").select("k1", "k2", "first", "place", (F.col("c") + F.col("total")).alias("h"))
     return each.unionByName(rows.select("k1", "k2", "first", F.lit(-1).alias("place"), F.col("whole").alias("h")))
 
 
@@ -82,8 +91,8 @@ def _near(classes: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
     own = lines.select("k1", "k2", "line").join(broadcast_within(suspects, BROADCAST_ROWS), ["k1", "k2"], "left_semi")
     texts = own.groupBy("k1", "k2").agg(F.min("line").alias("line")).join(classes.select("k1", "k2", "first"), ["k1", "k2"])
     texts = materialize(texts, "suspect-lines")
-    fine = materialize(_shared(texts, _segment_keys(F.col("line"), F.char_length("line"), 16)), "fine")
-    texts = materialize(texts.join(broadcast_within(fine, BROADCAST_ROWS), ["k1", "k2"], "left_semi"), "fine-lines")
+    fine = materialize(_shared_segments(texts, 16), "fine")  # at most 32 spots a line
+    texts = materialize(texts.join(broadcast_within(fine, BROADCAST_ROWS), ["k1", "k2"]), "fine-lines")
     variants = materialize(_variants(texts), "variants")
     cut, whole = variants.filter("place >= 0"), variants.filter("place < 0")
     earliest = cut.groupBy("h", "place").agg(F.min("first").alias("e"), F.count("*").alias("n")).filter("n > 1")
@@ -122,7 +131,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = F.filter(F.zip_with("_lines", flags, lambda x, f: F.when(f["f"], x)), lambda x: x.isNotNull())
     text = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(left, "\n"))
     out = [text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in own]
-    return joined.select(*out, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select(*out, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), fenced(F.coalesce(F.size("gone"), F.lit(0)).cast("long")).alias("n_dropped"))
 
 
 def cut_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
