@@ -11,9 +11,11 @@
    the full sets give components.
 4. A star can miss a link between two members when neither is linked to the
    centre. Buckets whose members lie in more than one component are looked at
-   again: after a second star around another centre, the pairs that remain,
-   across components only, once per pair, of fitting sizes and of sketches near
-   the threshold, are confirmed too. No bucket is dropped or cut.
+   again: after a second star around another centre, members of different
+   components are compared within the join itself, once per pair, by sizes, by
+   sketches and then by their sets (32 bits a shingle), so that the join gives
+   links and hardly anything else, however many members are merely alike; these
+   are confirmed too. No bucket is dropped or cut.
 
 Confirmation intersects full sets. Intermediate tables are written to the
 shared folder, so lost executors cost a task and not the run.
@@ -198,12 +200,15 @@ class NearDedup:
         one, two = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
         return pairs.join(one, "a").join(two, "b").filter(_agreeing("sa", "sb") >= self.least_agree).select("a", "b")
 
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """Full shingle sets of the documents of a written table of ids."""
+        some = self.docs.withColumn("_id", F.col(self.id_col).cast("long")).join(broadcast_within(ids, BROADCAST_ROWS), F.col("_id") == ids.doc_id, "left_semi")
+        return set_table(some, "_id", self.text_col, self.shingle).filter(F.size("shingles") > 0)
+
     def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-        some = self.docs.withColumn("_id", F.col(self.id_col).cast("long")).join(broadcast_within(ids, BROADCAST_ROWS), F.col("_id") == ids.doc_id, "left_semi")
-        sets = set_table(some, "_id", self.text_col, self.shingle).filter(F.size("shingles") > 0)
-        sets = materialize(sets, f"{name}-sets")
+        sets = materialize(self.sets_of(ids), f"{name}-sets")
         one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
         kept = pairs.join(one, "a").join(two, "b").withColumn("both", both).filter(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * self.percent)
@@ -224,7 +229,9 @@ class NearDedup:
         marked = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", label.alias("label"))
         mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
         left = materialize(marked.join(mixed, "key"), "mixed")
-        rest = self.across(left, classes.select("rep", "sketch", "bands"))
+        ids = materialize(left.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")
+        short = self.sets_of(ids).select(F.col("doc_id").alias("rep"), F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("set"))
+        rest = self.across(left, classes.select("rep", "sketch", "bands").join(materialize(short, "mixed-sets"), "rep"))
         return links.unionByName(self.confirm(materialize(rest.join(tested, ["a", "b"], "left_anti"), "rest"), "rest"))
 
     def across(self, left: DataFrame, classes: DataFrame) -> DataFrame:
@@ -232,11 +239,13 @@ class NearDedup:
         group = left.groupBy("key", "label").agg(F.count("*").alias("g"))
         largest = group.groupBy("key").agg(F.max_by("label", F.struct("g", "label")).alias("main"))
         full = left.join(classes, "rep").join(largest, "key")
-        one = full.filter("label != main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "label", "sketch", "bands")])
-        two = full.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "label", "sketch", "bands")])
+        one = full.filter("label != main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "label", "sketch", "bands", "set")])
+        two = full.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "label", "sketch", "bands", "set")])
         first_shared = F.element_at(F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda k: k.isNotNull()), 1)
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        alike = both * 100 >= (F.size("set_a") + F.size("set_b") - both) * (self.percent - 1)  # less one for equal short hashes
         once = (F.col("label_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b"))
-        pairs = one.join(two, (one.key == two.key) & (F.col("label_a") != F.col("label_b")) & once & self.sizes_fit("n_a", "n_b") & (_agreeing("sketch_a", "sketch_b") >= self.least_agree) & (first_shared == one.key))
+        pairs = one.join(two, (one.key == two.key) & (F.col("label_a") != F.col("label_b")) & once & self.sizes_fit("n_a", "n_b") & (_agreeing("sketch_a", "sketch_b") >= self.least_agree) & (first_shared == one.key) & alike)
         return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
     def result(self) -> DataFrame:
