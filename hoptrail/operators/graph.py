@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hoptrail.written import materialize
+
 ROUNDS = 8
 
 
@@ -31,11 +33,13 @@ def ordered_hash(df: DataFrame, keys: list[str], part: Column, out: str) -> Data
     return df.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(part)), "\n"), 256).alias(out))
 
 
-def fingerprint(nodes: DataFrame, edges: DataFrame, graph: str, label: Column, rounds: int = ROUNDS) -> DataFrame:
+def fingerprint(nodes: DataFrame, edges: DataFrame, graph: str, label: Column, rounds: int = ROUNDS, triples: bool = True) -> DataFrame:
     """A hash of each graph that doesn't depend on node names, by colour refinement.
 
     ``nodes`` has graph, node and what ``label`` reads; ``edges`` has graph, src,
-    dst, type. A graph of n nodes refines min(max(n, 1), rounds) times.
+    dst, type. A graph of n nodes refines min(max(n, 1), rounds) times. The hash
+    is of the numbers of nodes and edges, the sorted colours and, sorted, each
+    edge as colour:type:colour; without ``triples`` of the colours alone.
     """
     size = nodes.groupBy(graph).agg(F.least(F.greatest(F.count("*"), F.lit(1)), F.lit(rounds)).alias("_rounds"))
     colours = nodes.select(graph, "node", F.sha2(label, 256).alias("colour")).join(size, graph)
@@ -45,7 +49,17 @@ def fingerprint(nodes: DataFrame, edges: DataFrame, graph: str, label: Column, r
         ins = edges.join(plain.withColumnRenamed("node", "src"), [graph, "src"]).groupBy(graph, F.col("dst").alias("node")).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "type", "colour"))), ",").alias("ins"))
         nxt = F.sha2(F.concat_ws("|", "colour", F.coalesce("ins", F.lit("")), F.coalesce("outs", F.lit(""))), 256)
         colours = colours.join(ins, [graph, "node"], "left").join(outs, [graph, "node"], "left").select(graph, "node", F.when(F.col("_rounds") > turn, nxt).otherwise(F.col("colour")).alias("colour"), "_rounds")
-    return ordered_hash(colours, [graph], F.col("colour"), "fingerprint")
+        if triples:  # each round reads the colours three times
+            colours = materialize(colours, "colours")
+    if not triples:
+        return ordered_hash(colours, [graph], F.col("colour"), "fingerprint")
+    ends = [colours.select(graph, F.col("node").alias(end), F.col("colour").alias(f"{end}_colour")) for end in ("src", "dst")]
+    named = edges.join(ends[0], [graph, "src"]).join(ends[1], [graph, "dst"])
+    lines = lambda df, part, out: df.groupBy(graph).agg(F.sort_array(F.collect_list(part)).alias(out))
+    both = lines(colours, F.col("colour"), "_nodes").join(lines(named, F.concat_ws(":", "src_colour", "type", "dst_colour"), "_edges"), graph, "left").withColumn("_edges", F.coalesce("_edges", F.array().cast("array<string>")))
+    count = lambda name, c: F.array(F.lit(name), F.size(c).cast("string"))
+    text = F.array_join(F.concat(count("NODES", "_nodes"), "_nodes", count("EDGES", "_edges"), "_edges"), "\n")
+    return both.select(graph, F.sha2(text, 256).alias("fingerprint"))
 
 
 def block_similarity(same_instructions: Column, same_mnemonics: Column, same_flow: Column, degree_gap: Column, count_ratio: Column, same_offset: Column) -> Column:

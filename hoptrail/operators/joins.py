@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hoptrail.written import materialize
+
 #: Rows of an interval table up to which it is broadcast; larger ones are joined by bins.
 SMALL_ROWS = 200_000
 
@@ -75,19 +77,40 @@ def match_versions(old: DataFrame, new: DataFrame, name: str, signature: str, ol
     return by_name.unionByName(signed).unionByName(single)
 
 
-def propagate(mapping: DataFrame, old_edges: DataFrame, new_edges: DataFrame, rounds: int) -> DataFrame:
-    """Mapped pairs (o, n) grown along edges (src, dst, type): successors that are unique of their type on both sides."""
-    for _ in range(rounds):
-        done = mapping
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst, type) with each one's reverse; the direction is part of the type."""
+    out = edges.select("src", "dst", F.concat(F.lit("out:"), "type").alias("type"))
+    return out.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.concat(F.lit("in:"), "type").alias("type")))
+
+
+def propagate(mapping: DataFrame, old_edges: DataFrame, new_edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Mapped pairs (o, n) grown along edges (src, dst, type): successors that are unique of their type on both sides.
+
+    Without ``rounds`` it goes on until a round adds no pair; pairs and the edges
+    to unmapped nodes are then written every round.
+    """
+
+    def free(edges: DataFrame, done: DataFrame, own: str) -> DataFrame:
+        return edges.join(done.select(F.col(own).alias("dst")), "dst", "left_anti")
 
-        def step(edges: DataFrame, own: str, other: str) -> DataFrame:
-            free = edges.join(done.select(F.col(own).alias("dst")), "dst", "left_anti")
-            return free.join(done, free.src == done[own]).groupBy("o", "n", "type").agg(F.count("*").alias("_c"), F.min("dst").alias(other)).filter("_c = 1").drop("_c")
+    def step(edges: DataFrame, done: DataFrame, own: str, other: str) -> DataFrame:
+        return edges.join(done, edges.src == done[own]).groupBy("o", "n", "type").agg(F.count("*").alias("_c"), F.min("dst").alias(other)).filter("_c = 1").drop("_c")
 
-        both = step(old_edges, "o", "o2").join(step(new_edges, "n", "n2"), ["o", "n", "type"]).select("o2", "n2").distinct()
+    def added(old_free: DataFrame, new_free: DataFrame, done: DataFrame) -> DataFrame:
+        both = step(old_free, done, "o", "o2").join(step(new_free, done, "n", "n2"), ["o", "n", "type"]).select("o2", "n2").distinct()
         sole = both.withColumns({"_a": F.count("*").over(Window.partitionBy("o2")), "_b": F.count("*").over(Window.partitionBy("n2"))}).filter("_a = 1 AND _b = 1")
-        mapping = mapping.unionByName(sole.select(F.col("o2").alias("o"), F.col("n2").alias("n")))
-    return mapping
+        return sole.select(F.col("o2").alias("o"), F.col("n2").alias("n"))
+
+    if rounds is not None:
+        for _ in range(rounds):
+            mapping = mapping.unionByName(added(free(old_edges, mapping, "o"), free(new_edges, mapping, "n"), mapping))
+        return mapping
+    done = last = materialize(mapping, "pairs")
+    while not last.isEmpty():
+        old_edges, new_edges = materialize(free(old_edges, last, "o"), "old-edges"), materialize(free(new_edges, last, "n"), "new-edges")
+        last = materialize(added(old_edges, new_edges, done), "pairs")
+        done = materialize(done.unionByName(last), "pairs")
+    return done
 
 
 def mutual_best(pairs: DataFrame, least: float, margin: float) -> DataFrame:

@@ -392,7 +392,7 @@ def q_wl_fingerprint(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     e = li.select((F.col("l_orderkey") % 40).alias("g"), (F.col("l_partkey") % 12).alias("src"), (F.col("l_suppkey") % 12).alias("dst"), F.col("l_returnflag").alias("type")).distinct()
     n = e.select("g", F.col("src").alias("node")).union(e.select("g", "dst")).distinct()
-    return graph.fingerprint(n, e, "g", F.when(F.col("node") == 0, "ENTRY").otherwise("NODE"), rounds=2)
+    return graph.fingerprint(n, e, "g", F.when(F.col("node") == 0, "ENTRY").otherwise("NODE"), rounds=2, triples=False)
 
 
 VERSIONS = """o AS (SELECT p_partkey AS oid, p_brand || (p_partkey % 40) AS name, p_type AS sig FROM part WHERE p_partkey % 2 = 0), n AS (SELECT p_partkey AS nid, p_brand || (p_partkey % 40 - 1) AS name, p_type AS sig FROM part WHERE p_partkey % 2 = 1)"""
