@@ -10,12 +10,15 @@
    so candidates grow with the bucket, not with its square. Links that hold on
    the full sets give components.
 4. A star can miss a link between two members when neither is linked to the
-   centre. Buckets whose members lie in more than one component are looked at
-   again: after a second star around another centre, members of different
-   components are compared within the join itself, once per pair, by sizes, by
-   sketches and then by their sets (32 bits a shingle), so that the join gives
-   links and hardly anything else, however many members are merely alike; these
-   are confirmed too. No bucket is dropped or cut.
+   centre. Members of buckets that hold several components are compared again,
+   after a second star around another centre, by a prefix filter that loses no
+   link: shingles are ordered from rare to common, and the first shingle that
+   two linked sets share stands early enough in both to leave room for what they
+   must share. Rows are keyed by shingle and by the two size classes for which
+   this holds, so members of a common template that are merely alike don't meet.
+   Keys of one component are left out, large ones are salted, ids alone are
+   joined, and sketches and sets are fetched for candidates. Nothing is dropped
+   or cut.
 
 Confirmation intersects full sets. Intermediate tables are written to the
 shared folder, so lost executors cost a task and not the run.
@@ -45,6 +48,8 @@ _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _ODD = (np.arange(1, 65, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 #: Documents of at most so many candidates are found by a broadcast of their ids; more by a shuffled join.
 BROADCAST_ROWS = 1_000_000
+#: Hash slots in which shingles are counted to order them, and the rows of a key that one salt takes.
+SLOTS, SALT_ROWS = 1 << 19, 1_000
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -163,6 +168,51 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def size_class(n: np.ndarray) -> np.ndarray:
+    """A number that grows with the size: exact below 32, then 16 classes for each doubling."""
+    e = np.maximum(np.frexp(n.astype(np.float64))[1] - 5, 0)
+    return 16 * e + (n >> e)
+
+
+def prefix_rows(members: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """A row for each shingle and partner size class by which a set (rep, label, shingles) could find a linked one.
+
+    Sets of sizes n and m are linked when they share at least percent * (n + m) / (100 + percent)
+    shingles. If the first they share stands at place i of n, at most n - i are shared.
+    """
+    per = percent
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = []
+            ends = batch.column(2).offsets.to_numpy()
+            values = batch.column(2).values.to_numpy()
+            for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                n = b - a
+                least = -(-per * n // 100)
+                seen = counts[values[a:b] & (SLOTS - 1)]
+                order = np.lexsort((values[a:b], seen))[: n - least + 1]
+                i = np.arange(len(order))
+                most = np.minimum(100 * n // per, (100 + per) * (n - i) // per - n)
+                good = (most >= least) & (seen[order] > 1)  # a shingle that is alone in its slot has one set
+                order, i, most = order[good], i[good], most[good]
+                low, high = size_class(np.array([least]))[0], size_class(most)
+                times = high - low + 1
+                other = low + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                out.append([np.repeat(values[a:b][order], times), other, np.repeat(i, times), np.full(len(other), k), np.full(len(other), n)])
+            token, other, place, row, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 5
+            own = size_class(n)
+            for at in range(0, len(token), 500_000):
+                cut = slice(at, at + 500_000)
+                pick = pa.array(row[cut])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token[cut]), *(pa.array(x[cut].astype(np.int32)) for x in (np.minimum(own, other), np.maximum(own, other), own, n - place, n)), batch.column(0).take(pick), batch.column(1).take(pick)],
+                    names=["token", "small", "large", "own", "room", "n", "rep", "label"],
+                )
+
+    return members.select("rep", "label", "shingles").mapInArrow(run, "token long, small int, large int, own int, room int, n int, rep long, label long")
+
+
 def _agreeing(a: str, b: str) -> F.Column:
     """Sketch values that two rows share."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -229,24 +279,39 @@ class NearDedup:
         marked = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", label.alias("label"))
         mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
         left = materialize(marked.join(mixed, "key"), "mixed")
-        ids = materialize(left.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")
-        short = self.sets_of(ids).select(F.col("doc_id").alias("rep"), F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("set"))
-        rest = self.across(left, classes.select("rep", "sketch", "bands").join(materialize(short, "mixed-sets"), "rep"))
-        return links.unionByName(self.confirm(materialize(rest.join(tested, ["a", "b"], "left_anti"), "rest"), "rest"))
-
-    def across(self, left: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs of one bucket but two components: smaller groups of a bucket against all of it."""
-        group = left.groupBy("key", "label").agg(F.count("*").alias("g"))
-        largest = group.groupBy("key").agg(F.max_by("label", F.struct("g", "label")).alias("main"))
-        full = left.join(classes, "rep").join(largest, "key")
-        one = full.filter("label != main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "label", "sketch", "bands", "set")])
-        two = full.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "label", "sketch", "bands", "set")])
-        first_shared = F.element_at(F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda k: k.isNotNull()), 1)
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        alike = both * 100 >= (F.size("set_a") + F.size("set_b") - both) * (self.percent - 1)  # less one for equal short hashes
-        once = (F.col("label_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b"))
-        pairs = one.join(two, (one.key == two.key) & (F.col("label_a") != F.col("label_b")) & once & self.sizes_fit("n_a", "n_b") & (_agreeing("sketch_a", "sketch_b") >= self.least_agree) & (first_shared == one.key) & alike)
-        return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+        ids = materialize(left.select("rep", "label").distinct(), "mixed-ids")
+        sets = self.sets_of(ids.select(F.col("rep").alias("doc_id"))).groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles"))
+        rest = self.across(materialize(sets.join(ids, "rep"), "mixed-sets"))
+        return links.unionByName(self.confirm(materialize(self.near(rest.join(tested, ["a", "b"], "left_anti"), sketches), "rest"), "rest"))
+
+    def keyed(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of the prefix filter, and its keys that hold several components: largest component, salts and pairs to visit."""
+        slots = members.select(F.explode(F.transform("shingles", lambda x: x.bitwiseAND(F.lit(SLOTS - 1)).cast("int"))).alias("slot")).groupBy("slot").agg(F.least(F.count("*"), F.lit(65_535)).cast("int").alias("c")).toArrow()
+        counts = np.zeros(SLOTS, np.uint16)
+        counts[slots.column("slot").to_numpy()] = slots.column("c").to_numpy()
+        rows = materialize(prefix_rows(members, counts, self.percent), "prefixes")
+        key = ["token", "small", "large"]
+        per = rows.groupBy(*key, "label").agg(F.count_if(F.col("own") == F.col("small")).alias("l"), F.count_if(F.col("own") == F.col("large")).alias("r"))
+        main = F.max_by(F.struct("label", "l", "r"), F.struct(F.col("l") + F.col("r"), "label")).alias("m")
+        groups = per.groupBy(*key).agg(main, F.count("*").alias("labels"), F.sum("l").alias("ls"), F.sum("r").alias("rs")).filter("labels > 1 AND ls > 0 AND rs > 0")
+        visits = F.col("ls") * F.col("rs") - F.col("m.l") * F.col("m.r")
+        return rows, materialize(groups.select(*key, F.col("m.label").alias("main"), F.ceil(F.col("rs") / SALT_ROWS).cast("int").alias("salts"), visits.alias("visits")), "prefix-keys")
+
+    def across(self, members: DataFrame) -> DataFrame:
+        """Pairs of members (rep, label, shingles) of two components that may be links; no link is missed."""
+        rows, groups = self.keyed(members)
+        key = ["token", "small", "large"]
+        held = materialize(rows.join(groups.drop("visits"), key), "prefix-rows")
+        left = held.filter("own = small").select(*key, "main", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "room", "label")], F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        right = held.filter("own = large").select(*key, *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "room", "label")], F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), (F.col("label") == F.col("main")).alias("main_b"))
+
+        def pairs(one: DataFrame, two: DataFrame) -> DataFrame:
+            fits = self.sizes_fit("n_a", "n_b") & (F.least("room_a", "room_b").cast("long") * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")).cast("long") * self.percent)
+            once = (F.col("l.small") < F.col("l.large")) | (F.col("rep_a") < F.col("rep_b"))
+            same = reduce(lambda x, c: x & (F.col(f"l.{c}") == F.col(f"r.{c}")), [*key[1:], "salt"], F.col("l.token") == F.col("r.token"))
+            return one.alias("l").join(two.alias("r"), same & (F.col("label_a") != F.col("label_b")) & once & fits).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+
+        return pairs(left.filter("label_a != main"), right).unionByName(pairs(left.filter("label_a = main"), right.filter("NOT main_b"))).distinct()
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept, one row for each row of the table."""
