@@ -6,9 +6,10 @@ token of the prefix before it. So ``last[i]`` follows from earlier entries, and
 ``count[i] = count[i - len(last[i])] + 1``: one pass gives the token count of
 every prefix without encoding any of them again. Texts are sums of pre-tokens.
 
-``prefix_table`` keeps, per document, the counts at the end of each stretch
-between blanks (or at every character); ``tokens_within`` and ``longest_prefix``
-answer budget and truncation questions from it in SQL.
+``prefix_table`` keeps, per document, the prefixes at which the count changes (or
+all of them): an entry holds up to the next one, and the last entry is the whole
+text. So ``tokens_within`` and ``longest_prefix`` answer budget and truncation
+questions for every prefix in SQL.
 
 Defined cases: a null or empty text has the table [0], [0]; special strings in a
 text are one token each, as the library's default has it; other columns pass
@@ -33,6 +34,8 @@ from hoptrail.llm.scratch import bounded_batches
 
 #: Entries of a worker's memory of stretches, and the longest stretch kept.
 CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
+#: Entries of a worker's memory of changes within stretches; each takes some hundred bytes.
+CHANGE_ENTRIES = 250_000
 _CONTRACTION = regex.compile("'(?:s|t|re|ve|m|ll|d)")
 
 
@@ -61,6 +64,7 @@ class PrefixCounter:
         self._alone: dict[bytes, bool] = {}
         self._units: dict[str, int] = {}
         self._pieces: dict[str, int] = {}
+        self._changes: dict[str, tuple[tuple[int, ...], tuple[int, ...], int, int, int]] = {}
 
     def merge(self, parts: list[bytes]) -> list[bytes]:
         """Byte-pair merges in order of rank."""
@@ -180,6 +184,52 @@ class PrefixCounter:
             counts += c
         return list(accumulate(sizes)), list(accumulate(counts))
 
+    def _stretch_changes(self, stretch: str) -> tuple[tuple[int, ...], tuple[int, ...], int, int, int]:
+        """Where the count changes within a stretch, the counts there, how many they are, characters and tokens."""
+        found = self._changes.get(stretch)
+        if found is None:
+            n = [0, *self._every_ordinary(stretch)]
+            at = tuple(i for i in range(1, len(n)) if n[i] != n[i - 1])
+            found = at, tuple(n[i] for i in at), len(at), len(stretch), n[-1]
+            if len(stretch) <= CACHE_CHARS:
+                if len(self._changes) >= CHANGE_ENTRIES:
+                    self._changes.clear()
+                self._changes[stretch] = found
+        return found
+
+    def changes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix lengths in characters at which the token count changes and the counts from there on, from (0, 0) to the whole text."""
+        if self.special and self.split_special.search(text):
+            n = np.array(self.every(text), np.int64)
+            at = np.flatnonzero(np.diff(n, prepend=-1))
+            chars, tokens, size, total = at, n[at], len(text), n[-1]
+        else:
+            # A blank between two characters that aren't white space begins a stretch, whatever follows.
+            first, *words = text.split(" ")
+            stretches, open_ = [], first
+            for word in words:
+                if open_ and word and not open_[-1].isspace() and not word[0].isspace():
+                    stretches.append(open_)
+                    open_ = " " + word
+                else:
+                    open_ += " " + word
+            stretches.append(open_)
+            places: list[int] = []
+            counts: list[int] = []
+            shape = []
+            for stretch in stretches:
+                at, n, *own = self._changes.get(stretch) or self._stretch_changes(stretch)
+                places += at
+                counts += n
+                shape.append(own)
+            many, sizes, totals = np.array(shape, np.int64).T
+            chars = np.concatenate([[0], np.array(places, np.int64) + np.repeat(np.cumsum(sizes) - sizes, many)])
+            tokens = np.concatenate([[0], np.array(counts, np.int64) + np.repeat(np.cumsum(totals) - totals, many)])
+            size, total = len(text), totals.sum()
+        if chars[-1] != size:
+            chars, tokens = np.append(chars, size), np.append(tokens, total)
+        return chars, tokens
+
     def every(self, text: str) -> list[int]:
         """Token counts of all prefixes of a text, character by character."""
         out, at = [0], 0
@@ -228,7 +278,7 @@ def counter(path: str, pattern: str) -> PrefixCounter:
 
 
 def prefix_table(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", every_character: bool = False) -> DataFrame:
-    """``docs`` with ``prefix_chars`` and ``prefix_tokens``: exact token counts of prefixes of these lengths."""
+    """``docs`` with ``prefix_chars`` and ``prefix_tokens``: exact token counts of prefixes from each of these lengths up to the next."""
     bounded_batches(docs.sparkSession)
     ints = T.ArrayType(T.IntegerType())
     own = [f for f in docs.schema.fields if f.name not in ("prefix_chars", "prefix_tokens")]
@@ -243,7 +293,7 @@ def prefix_table(docs: DataFrame, vocabulary_path: str, pattern: str, text_col:
                     n = count.every(text or "")
                     c = range(len(n))
                 else:
-                    c, n = count.table(text or "")
+                    c, n = count.changes(text or "")
                 chars.append(np.asarray(c, np.int32))
                 tokens.append(np.asarray(n, np.int32))
             ends = np.cumsum([0, *map(len, chars)], dtype=np.int32)
@@ -259,11 +309,11 @@ def total_tokens() -> Column:
 
 
 def longest_prefix(budget: int) -> Column:
-    """Characters of the longest kept prefix that takes at most ``budget`` tokens."""
-    fits = F.filter("prefix_tokens", lambda n: n <= budget)
-    return F.array_max(F.transform(F.arrays_zip("prefix_chars", "prefix_tokens"), lambda p: F.when(p.prefix_tokens <= F.array_max(fits), p.prefix_chars)))
+    """Characters of the longest prefix that takes at most ``budget`` tokens."""
+    ends = F.transform("prefix_chars", lambda c, i: F.coalesce(F.get("prefix_chars", i + 1) - 1, c))  # each count holds up to the next
+    return F.array_max(F.zip_with(ends, "prefix_tokens", lambda end, n: F.when(n <= budget, end)))
 
 
 def tokens_within(chars: int) -> Column:
-    """Tokens of the longest kept prefix of at most ``chars`` characters."""
+    """Tokens of the prefix of ``chars`` characters, or of the whole text if that is shorter."""
     return F.element_at("prefix_tokens", F.size(F.filter("prefix_chars", lambda c: c <= chars)))
