@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hoptrail.written import materialize
+
+#: Blocks that magnitudes are counted in, and the distinct ones that one task may sort.
+BLOCKS, FEW = 65_536, 10_000
+
 
 def transitions(df: DataFrame, token: str, by: list[str], order: list[str]) -> DataFrame:
     """Each row with the token before it."""
@@ -49,20 +56,38 @@ def weighted_loss(df: DataFrame, prob: str, weight: str, by: list[str], floor: f
     return df.groupBy(*by).agg((F.sum(-F.log(F.greatest(F.col(prob), F.lit(floor))) * F.col(weight)) / F.sum(weight)).alias("loss"))
 
 
-def kth_magnitude(weights: DataFrame, value: str, share: float) -> DataFrame:
-    """One row: the k-th smallest magnitude, k = share of all, and k.
+def near_kth(weights: DataFrame, value: str, share: float) -> tuple[DataFrame, int, int]:
+    """At most ``FEW`` distinct magnitudes m with counts c, the k-th smallest among them; how many are smaller; and k.
 
-    Values are counted in blocks of magnitude first, so only the block that holds
-    the k-th value is sorted, by one task.
+    Equal magnitudes are counted first. Blocks of magnitude are counted, and the
+    block that holds the k-th value is cut into blocks again until its distinct
+    values are few; its least and greatest value never share a block.
     """
-    size = F.abs(F.col(value))
-    total = weights.agg(F.count(value).alias("n"), F.max(size).alias("top"))
-    block = F.floor(F.coalesce(size / F.nullif("top", F.lit(0.0)), F.lit(0.0)) * 65_536)
-    placed = weights.crossJoin(F.broadcast(total)).filter(F.col(value).isNotNull()).select(size.alias("m"), block.alias("b"), F.floor(F.col("n") * share).cast("bigint").alias("k"))
-    per = placed.groupBy("b").agg(F.count("*").alias("c"), F.first("k").alias("k")).withColumn("before", F.sum("c").over(Window.orderBy("b")) - F.col("c"))
-    hit = per.filter((F.col("before") < F.col("k")) & (F.col("before") + F.col("c") >= F.col("k"))).select("b", "before", F.col("k").alias("kk"))
-    inside = placed.join(F.broadcast(hit), "b").withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy("m")))
-    return inside.filter(F.col("i") == F.col("kk") - F.col("before")).select(F.col("m").alias("threshold"), F.col("kk").alias("k"))
+    left = materialize(weights.filter(F.col(value).isNotNull()).groupBy(F.abs(F.col(value)).alias("m")).agg(F.count("*").alias("c")), "magnitudes")
+    m = F.col("m").cast("double")
+    finite = F.when(m < float("inf"), m)
+    total = left.agg(F.sum("c")).first()[0] or 0
+    k, before = math.floor(total * share), 0
+    if not 0 < k <= total:
+        return left.limit(0), before, k
+    while True:
+        n, low, high = left.agg(F.count("*"), F.min(finite), F.max(finite)).first()
+        if n <= FEW:
+            return left, before, k
+        block = F.when(F.isnan(m), BLOCKS + 1).when(m == float("inf"), BLOCKS).otherwise(F.least(F.floor((m - low) / (high - low) * BLOCKS), F.lit(BLOCKS - 1))).cast("int")
+        seen = 0
+        for b, c in sorted((r[0], r[1]) for r in left.groupBy(block.alias("b")).agg(F.sum("c")).collect()):
+            if seen + c >= k - before:
+                break
+            seen += c
+        left, before = materialize(left.filter(block == b), "magnitudes"), before + seen
+
+
+def kth_magnitude(weights: DataFrame, value: str, share: float) -> DataFrame:
+    """One row: the k-th smallest magnitude, k = share of all, and k. None if k is 0 or above the number of values."""
+    few, before, k = near_kth(weights, value, share)
+    ranked = few.withColumn("_to", F.sum("c").over(Window.orderBy("m")) + before)  # at most FEW rows
+    return ranked.filter((F.col("_to") >= k) & (F.col("_to") - F.col("c") < k)).select(F.col("m").alias("threshold"), F.lit(k).cast("bigint").alias("k"))
 
 
 def scheduled_sparsity(initial: float, final: float, progress: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hoptrail.written import materialize
+
 
 def ordered(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -70,12 +72,17 @@ def continuity(df: DataFrame, is_gap: Column, by: list[str], order: list[str]) -
 def row_ids(df: DataFrame, segment: list[str], order: list[str]) -> DataFrame:
     """Row numbers of a flat layout with one padding row before each segment.
 
-    Segments are numbered by a small aggregate, so that no window spans the table.
+    Segments are dealt by ranges and numbered within each; only the ranges' totals
+    are summed up in one task, so that no window spans the table or its segments.
     """
     sizes = df.groupBy(*segment).agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum(F.col("_n") + 1).over(Window.orderBy(*segment).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranged = materialize(sizes.repartitionByRange(*segment).withColumn("_range", F.spark_partition_id()), "segments")
+    ranges = ranged.groupBy("_range").agg(F.sum(F.col("_n") + 1).alias("_total"))
+    before = ranges.select("_range", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(F.col("_n") + 1).over(Window.partitionBy("_range").orderBy(*segment).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").select(*segment, (F.col("_before") + F.col("_inside")).alias("_start"))
     pos = F.row_number().over(Window.partitionBy(*segment).orderBy(*order)).cast("bigint")
-    return df.withColumn("pos", pos - 1).join(starts.drop("_n"), segment).withColumn("row_id", F.col("_start") + F.col("pos") + 1).drop("_start")
+    return df.withColumn("pos", pos - 1).join(starts, segment).withColumn("row_id", F.col("_start") + F.col("pos") + 1).drop("_start")
 
 
 def history(df: DataFrame, col: str, size: int, by: list[str], order: list[str], out: str = "history", pad=0) -> DataFrame:
