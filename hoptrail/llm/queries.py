@@ -58,7 +58,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     table = token_counts.prefix_table(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     n = token_counts.total_tokens()
-    return table.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 512).alias("over_limit"))
+    fits = F.when(n > 512, token_counts.longest_prefix(512)).otherwise(F.element_at("prefix_chars", -1))
+    return table.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 512).alias("over_limit"), fits.cast("long").alias("chars_within_limit"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

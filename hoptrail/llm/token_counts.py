@@ -19,6 +19,7 @@ through and result columns replace columns of the same name.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -32,10 +33,10 @@ from pyspark.sql import types as T
 
 from hoptrail.llm.scratch import bounded_batches
 
-#: Entries of a worker's memory of stretches, and the longest stretch kept.
-CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
-#: Entries of a worker's memory of changes within stretches; each takes some hundred bytes.
-CHANGE_ENTRIES = 250_000
+#: A worker's memory: stretches and pieces of at most so many characters, and so many of either; it starts anew when full.
+CACHE_CHARS, CACHE_ENTRIES, CACHE_CHANGES = 48, 1_000_000, 8_000_000
+#: Where the pieces of a prefix aren't prefixes of the whole text's pieces.
+_UNEVEN = regex.compile(r"\s\s|'(?:s|t|re|ve|m|ll|d)")
 _CONTRACTION = regex.compile("'(?:s|t|re|ve|m|ll|d)")
 
 
@@ -47,213 +48,216 @@ def _byte_letters() -> dict[str, int]:
 
 
 class PrefixCounter:
-    """Counts tokens of prefixes; made once per Python worker."""
+    """Counts tokens of prefixes; made once per Python worker.
+
+    The tokens that end at a byte come from an automaton over the vocabulary, whose
+    state is the longest end of what was read that begins some token.
+    """
 
     def __init__(self, path: str, pattern: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = _byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
-        self.vocabulary = {as_bytes(t) for t in spec["model"]["vocab"]}
-        self.ranks = {tuple(map(as_bytes, m if isinstance(m, list) else m.split(" "))): i for i, m in enumerate(spec["model"]["merges"])}
-        self.longest = max(map(len, self.vocabulary))
+        self.tokens = [as_bytes(t) for t in spec["model"]["vocab"]]
+        self.vocabulary = {t: i for i, t in enumerate(self.tokens)}
+        # By the ids of a pair: its rank and what it becomes.
+        pairs = [tuple(map(as_bytes, m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
+        self._merges = {self.vocabulary[a] << 20 | self.vocabulary[b]: rank << 20 | self.vocabulary[a + b] for rank, (a, b) in enumerate(pairs)}
+        self._pair_of = {rank: (self.vocabulary[a], self.vocabulary[b]) for rank, (a, b) in enumerate(pairs)}
+        self._byte = [self.vocabulary[bytes([x])] for x in range(256)]
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.split_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.pieces = regex.compile(pattern)
-        self._apart: dict[tuple[bytes, bytes], bool] = {}
-        self._alone: dict[bytes, bool] = {}
-        self._units: dict[str, int] = {}
-        self._pieces: dict[str, int] = {}
-        self._changes: dict[str, tuple[tuple[int, ...], tuple[int, ...], int, int, int]] = {}
-
-    def merge(self, parts: list[bytes]) -> list[bytes]:
+        self._begins = {t[:i] for t in self.tokens for i in range(len(t) + 1)}
+        self._states: dict[bytes, tuple] = {}
+        self._root = self._state(b"")
+        self._apart: dict[int, bool] = {}
+        self._pieces: dict[str, tuple] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the memory of stretches: numbers by text, with and without a blank before it, and what each number stands for."""
+        self._after_blank: dict[str, int] = {}
+        self._other: dict[str, int] = {}
+        self._places, self._counts, self._ends, self._sizes, self._totals = array("i"), array("i"), array("q", [0]), array("q"), array("q")
+
+    def merge(self, ids: list[int]) -> list[int]:
         """Byte-pair merges in order of rank."""
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(((ranks.get((parts[i], parts[i + 1]), 1 << 40), i) for i in range(len(parts) - 1)))
-            if best[0] == 1 << 40:
+        get, none = self._merges.get, 1 << 60
+        while len(ids) > 1:
+            best = min([get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)])
+            if best == none:
                 break
-            pair = (parts[best[1]], parts[best[1] + 1])
+            (first, second), whole = self._pair_of[best >> 20], best & 0xFFFFF
             out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(pair[0] + pair[1])
+            while i < len(ids):
+                if ids[i] == first and i + 1 < len(ids) and ids[i + 1] == second:
+                    out.append(whole)
                     i += 2
                 else:
-                    out.append(parts[i])
+                    out.append(ids[i])
                     i += 1
-            parts = out
-        return parts
+            ids = out
+        return ids
+
+    def _state(self, read: bytes) -> tuple[dict, bytes, tuple]:
+        """Next states by byte, what was read, and the tokens that end there with their lengths, longest first."""
+        found = self._states.get(read)
+        if found is None:
+            ends = tuple((self.vocabulary[read[k:]], len(read) - k) for k in range(len(read)) if read[k:] in self.vocabulary)
+            found = self._states[read] = ({}, read, ends)
+        return found
 
-    def _stand_alone(self, token: bytes) -> bool:
-        if (found := self._alone.get(token)) is None:
-            found = self._alone[token] = len(self.merge([bytes([b]) for b in token])) == 1
+    def _next(self, state: tuple, byte: int) -> tuple:
+        read = state[1] + bytes([byte])
+        while read not in self._begins:
+            read = read[1:]
+        found = state[0][byte] = self._state(read)
         return found
 
-    def _stay_apart(self, a: bytes, b: bytes) -> bool:
-        if (found := self._apart.get((a, b))) is None:
-            if len(self._apart) > 500_000:
-                self._apart.clear()
-            found = self._apart[a, b] = self.merge([bytes([x]) for x in a + b]) == [a, b]
+    def _fits(self, before: int, token: int) -> bool:
+        """Whether ``token`` stands alone (before -1) or stays apart from the token before it."""
+        if len(self._apart) > 1_000_000:
+            self._apart.clear()
+        pair = [t for t in (before, token) if t >= 0]
+        found = self._apart[before << 20 | token] = self.merge([self._byte[x] for t in pair for x in self.tokens[t]]) == pair
         return found
 
     def counts(self, piece: bytes) -> list[int]:
         """Tokens of each prefix of a pre-token, from 0 bytes to all."""
-        last: list[bytes] = [b""] * (len(piece) + 1)
-        count = [0] * (len(piece) + 1)
-        vocabulary, apart, longest = self.vocabulary, self._apart, self.longest
-        for i in range(1, len(piece) + 1):
-            for start in range(i - longest if i > longest else 0, i):
-                token = piece[start:i]
-                if token in vocabulary:
-                    if start:
-                        fits = apart.get((last[start], token))
-                        if fits is None:
-                            fits = self._stay_apart(last[start], token)
-                    else:
-                        fits = self._stand_alone(token)
-                    if fits:
-                        last[i], count[i] = token, count[start] + 1
-                        break
+        state, last, count, apart = self._root, [-1], [0], self._apart
+        for i, byte in enumerate(piece, 1):
+            state = state[0].get(byte) or self._next(state, byte)
+            for token, size in state[2]:
+                before = last[i - size]
+                fits = apart.get(before << 20 | token)
+                if fits is None:
+                    fits = self._fits(before, token)
+                if fits:
+                    last.append(token)
+                    count.append(count[i - size] + 1)
+                    break
         return count
 
-    def total(self, text: str) -> int:
-        """Tokens of an ordinary text between certain borders."""
-        n = 0
-        for piece in self.pieces.findall(text):
-            own = self._pieces.get(piece)
-            if own is None:
-                raw = piece.encode()
-                own = 1 if raw in self.vocabulary and self._stand_alone(raw) else self.counts(raw)[-1]
-                if len(piece) <= CACHE_CHARS:
-                    if len(self._pieces) >= CACHE_ENTRIES:
-                        self._pieces.clear()
-                    self._pieces[piece] = own
-            n += own
-        return n
-
-    def _unit(self, word: str) -> int | None:
-        """Tokens of a blank and ``word``; None if white space touches the blank's borders."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        n = self.total(" " + word)
-        if len(word) <= CACHE_CHARS:
-            if len(self._units) >= CACHE_ENTRIES:
-                self._units.clear()
-            self._units[word] = n
-        return n
+    def _by_char(self, piece: str) -> list[int]:
+        """Tokens of each prefix of a pre-token, from 0 characters to all."""
+        raw = piece.encode()
+        counts = self.counts(raw)
+        return counts if len(raw) == len(piece) else [counts[b] for b in accumulate((len(c.encode()) for c in piece), initial=0)]
+
+    def _piece(self, piece: str) -> tuple[tuple[int, ...], tuple[int, ...], int, int]:
+        """Where the count changes within a piece, the counts there, characters and tokens."""
+        n = self._by_char(piece)
+        at = tuple([i for i in range(1, len(n)) if n[i] != n[i - 1]])
+        found = at, tuple([n[i] for i in at]), len(piece), n[-1]
+        if len(piece) <= CACHE_CHARS:
+            if len(self._pieces) >= CACHE_ENTRIES:
+                self._pieces.clear()
+            self._pieces[piece] = found
+        return found
 
-    def _stretches(self, text: str) -> tuple[list[int], list[int]]:
-        """Lengths and token counts of the stretches of an ordinary text."""
+    def _number(self, stretch: str) -> int:
+        """A new number, under which the stretch's changes are held."""
+        if _UNEVEN.search(stretch):
+            n = [0, *self._every_ordinary(stretch)]
+            at = [i for i in range(1, len(n)) if n[i] != n[i - 1]]
+            self._places.extend(at)
+            self._counts.extend([n[i] for i in at])
+            size, total = len(stretch), n[-1]
+        else:
+            size = total = 0
+            for piece in self.pieces.findall(stretch):
+                at, n, chars, tokens = self._pieces.get(piece) or self._piece(piece)
+                self._places.extend([size + x for x in at] if size else at)
+                self._counts.extend([total + x for x in n] if total else n)
+                size += chars
+                total += tokens
+        self._sizes.append(size)
+        self._totals.append(total)
+        self._ends.append(len(self._places))
+        return len(self._sizes) - 1
+
+    def _numbers(self, text: str) -> list[int]:
+        """Numbers of the stretches of an ordinary text: a blank between two characters that aren't white space begins one, whatever follows."""
         first, *words = text.split(" ")
-        known, sizes, counts = self._units, [len(first)], [self.total(first)]
+        known = self._after_blank
         if not first or not first[-1].isspace():
-            for word in words if first else [None] * bool(words):
-                n = known.get(word)
-                if n is None and (word is None or (n := self._unit(word)) is None):
-                    break
-                counts.append(n)
+            out = list(map(known.get, words))
+            for k in [k for k, n in enumerate(out) if n is None] if None in out else ():
+                word = words[k]
+                if not word or word[0].isspace() or word[-1].isspace():
+                    break  # white space touches the blank
+                if (n := known.get(word)) is None:
+                    n = self._number(" " + word)
+                    if len(word) <= CACHE_CHARS:
+                        known[word] = n
+                out[k] = n
             else:
-                sizes += [len(w) + 1 for w in words]
-                return sizes, counts
-        sizes, counts, open_ = [], [], first
+                return [self._numbered(first), *out] if first else out
+        out, open_ = [], first
         for word in words:
             if open_ and word and not open_[-1].isspace() and not word[0].isspace():
-                sizes.append(len(open_))
-                counts.append(self.total(open_))
+                out.append(self._numbered(open_))
                 open_ = " " + word
             else:
                 open_ += " " + word
-        return [*sizes, len(open_)], [*counts, self.total(open_)]
-
-    def table(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends of stretches in characters and the token counts up to them, from (0, 0)."""
-        sizes, counts, at = [0], [0], 0
-        found = self.split_special.finditer(text) if self.special else ()
-        for m in found:
-            if m.start() > at:
-                s, c = self._stretches(text[at : m.start()])
-                sizes += s
-                counts += c
-            sizes.append(m.end() - m.start())
-            counts.append(1)
-            at = m.end()
-        if at < len(text):
-            s, c = self._stretches(text[at:])
-            sizes += s
-            counts += c
-        return list(accumulate(sizes)), list(accumulate(counts))
-
-    def _stretch_changes(self, stretch: str) -> tuple[tuple[int, ...], tuple[int, ...], int, int, int]:
-        """Where the count changes within a stretch, the counts there, how many they are, characters and tokens."""
-        found = self._changes.get(stretch)
-        if found is None:
-            n = [0, *self._every_ordinary(stretch)]
-            at = tuple(i for i in range(1, len(n)) if n[i] != n[i - 1])
-            found = at, tuple(n[i] for i in at), len(at), len(stretch), n[-1]
+        return [*out, self._numbered(open_)]
+
+    def _numbered(self, stretch: str) -> int:
+        n = self._other.get(stretch)
+        if n is None:
+            n = self._number(stretch)
             if len(stretch) <= CACHE_CHARS:
-                if len(self._changes) >= CHANGE_ENTRIES:
-                    self._changes.clear()
-                self._changes[stretch] = found
-        return found
+                self._other[stretch] = n
+        return n
+
+    def _ordinary(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of prefixes of a text without special strings at which the count changes, and the counts, without (0, 0)."""
+        if len(self._sizes) > CACHE_ENTRIES or len(self._places) > CACHE_CHANGES:
+            self._forget()
+        own = np.array(self._numbers(text), np.int64)
+        ends, sizes, totals = (np.frombuffer(x, np.int64) for x in (self._ends, self._sizes, self._totals))
+        start, many, size, total = ends[own], ends[own + 1] - ends[own], sizes[own], totals[own]
+        after = np.cumsum(many)
+        at = np.arange(after[-1] if len(after) else 0) + np.repeat(start - after + many, many)
+        places, counts = (np.frombuffer(x, np.int32)[at] if len(x) else np.zeros(0, np.int32) for x in (self._places, self._counts))
+        return places + np.repeat(np.cumsum(size) - size, many), counts + np.repeat(np.cumsum(total) - total, many)
 
     def changes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Prefix lengths in characters at which the token count changes and the counts from there on, from (0, 0) to the whole text."""
-        if self.special and self.split_special.search(text):
-            n = np.array(self.every(text), np.int64)
-            at = np.flatnonzero(np.diff(n, prepend=-1))
-            chars, tokens, size, total = at, n[at], len(text), n[-1]
-        else:
-            # A blank between two characters that aren't white space begins a stretch, whatever follows.
-            first, *words = text.split(" ")
-            stretches, open_ = [], first
-            for word in words:
-                if open_ and word and not open_[-1].isspace() and not word[0].isspace():
-                    stretches.append(open_)
-                    open_ = " " + word
-                else:
-                    open_ += " " + word
-            stretches.append(open_)
-            places: list[int] = []
-            counts: list[int] = []
-            shape = []
-            for stretch in stretches:
-                at, n, *own = self._changes.get(stretch) or self._stretch_changes(stretch)
-                places += at
-                counts += n
-                shape.append(own)
-            many, sizes, totals = np.array(shape, np.int64).T
-            chars = np.concatenate([[0], np.array(places, np.int64) + np.repeat(np.cumsum(sizes) - sizes, many)])
-            tokens = np.concatenate([[0], np.array(counts, np.int64) + np.repeat(np.cumsum(totals) - totals, many)])
-            size, total = len(text), totals.sum()
-        if chars[-1] != size:
-            chars, tokens = np.append(chars, size), np.append(tokens, total)
-        return chars, tokens
-
-    def every(self, text: str) -> list[int]:
-        """Token counts of all prefixes of a text, character by character."""
-        out, at = [0], 0
-        for m in (*self.split_special.finditer(text), None):
-            base, start = out[-1], len(out) - 1
+        zero = np.zeros(1, np.int64)
+        chars, tokens, at, base = [zero], [zero], 0, 0
+        for m in (*(self.split_special.finditer(text) if self.special else ()), None):
             run = text[at : m.end() - 1 if m else len(text)]  # a special string that is cut off is ordinary text
-            out += [base + n for n in self._every_ordinary(run)]
+            c, n = self._ordinary(run)
+            chars.append(c + at)
+            tokens.append(n + base)
             if m:
-                out.append(out[m.start() if m.start() > start else start] + 1)
+                before = int(np.searchsorted(c, m.start() - at, side="right"))
+                base += (int(n[before - 1]) if before else 0) + 1
                 at = m.end()
-        return out
+                chars.append(zero + at)
+                tokens.append(zero + base)
+        c, n = np.concatenate(chars), np.concatenate(tokens)
+        return (c, n) if c[-1] == len(text) else (np.append(c, len(text)), np.append(n, n[-1]))
+
+    def every(self, text: str) -> list[int]:
+        """Token counts of all prefixes of a text, character by character."""
+        c, n = self.changes(text)
+        return np.repeat(n, np.diff(np.append(c, len(text) + 1))).tolist()
 
     def _every_ordinary(self, run: str) -> list[int]:
+        """Counts after each character of an ordinary text, by what pre-tokenisation makes of each prefix."""
         out, before = [], 0  # before: tokens of the whole pre-tokens so far
         blank_counts: list[int] = []
         blank_from = blank_base = 0
         for m in self.pieces.finditer(run):
             piece, a = m.group(), m.start()
             contraction = _CONTRACTION.fullmatch(piece)
-            counts = self.counts(piece.encode())
-            byte = 0
+            counts = self._by_char(piece)
             for k, c in enumerate(piece):
                 i = a + k  # the character added
-                byte += len(c.encode())
                 if c.isspace() and regex.match(r"\s", c):
                     if i == 0 or not regex.match(r"\s", run[i - 1]):
                         end = regex.compile(r"\s+").match(run, i).end()
@@ -261,16 +265,12 @@ class PrefixCounter:
                         blank_base = out[-1] if out else 0
                     out.append(blank_base + blank_counts[i - blank_from + 1])
                 elif contraction and k + 1 < len(piece):
-                    out.append(before + self.total(piece[: k + 1]))
+                    out.append(before + sum(self._by_char(x)[-1] for x in self.pieces.findall(piece[: k + 1])))
                 else:
-                    out.append(before + counts[byte])
+                    out.append(before + counts[k + 1])
             before += counts[-1]
         return out
 
-    def _by_char(self, piece: str) -> list[int]:
-        counts = self.counts(piece.encode())
-        return [counts[b] for b in accumulate((len(c.encode()) for c in piece), initial=0)]
-
 
 @lru_cache(maxsize=2)
 def counter(path: str, pattern: str) -> PrefixCounter:

@@ -25,7 +25,7 @@ def test_every_prefix(library):
     count = token_counts.counter(PATH, P.PATTERN)
     for t in texts():
         assert count.every(t) == [library(t[:i]) for i in range(len(t) + 1)], repr(t)
-        chars, tokens = count.table(t)
+        chars, tokens = count.changes(t)
         assert chars[-1] == len(t) and tokens[-1] == library(t), repr(t)
 
 
@@ -51,3 +51,6 @@ def test_query(spark, library):
     for r in out:
         t = docs[r.doc_id]
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), library(t), library(t) > 512)
+        assert library(t[: r.chars_within_limit]) <= 512 and (r.chars_within_limit == len(t)) == (library(t) <= 512)
+        if r.over_limit:
+            assert library(t[: r.chars_within_limit + 1]) > 512
