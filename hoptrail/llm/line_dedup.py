@@ -1,18 +1,23 @@
 """Line dedup over a corpus by a deletion-neighbourhood join.
 
 A line is dropped when an earlier line of the corpus equals it or lies within
-one edit (insertion, deletion or substitution of a character); earlier means a
-smaller (doc_id, row, line number). Lines without a word are never dropped,
-lines of under ``min_chars`` characters only when equal.
-
-1. Lines are compared by 128-bit hashes; equal lines become one class.
-2. A class can have a partner within one edit only if some other class equals it
-   outside one of ``parts`` segments. Two rounds of such keys, coarse without
-   texts and then fine, leave few suspects; none that has a partner is lost.
-3. Suspects emit, for those segments, all deletion variants as hashed keys. Two lines that differ in
-   one place share the variant with that place deleted, so each is joined to the
-   earliest of its variant and place; a line that lacks one character equals a
-   variant of the other. Both joins give at most one partner a variant.
+the edit bound; earlier means a smaller (doc_id, row, line number). The bound is
+part of the contract: two lines of at least ``near_chars`` characters may differ
+by one edit (insertion, deletion or substitution of a character), shorter ones
+not at all, for one edit makes another word of a short line. Lines without a
+word are never dropped.
+
+1. Lines are compared by 128-bit hashes; equal lines are one class.
+2. A class can have a partner within one edit only if another class equals it
+   outside one of ``parts`` segments. Two rounds of such keys, halves without
+   texts and then sixteenths, leave few suspects; none that has a partner is lost.
+   Keys are aggregated to the least and greatest class before any join, so that a
+   half that many lines share is one row a task.
+3. Suspects emit all deletion variants within those segments as hashed keys; the
+   segment's key is part of a variant's. Two lines that differ in one place share
+   the variant with that place deleted, so each is joined to the earliest of its
+   variant and place; a line that lacks one character equals a variant of the
+   other. Both joins give at most one partner a variant.
 4. Levenshtein's distance confirms each pair.
 
 A variant's hash is a sum of hashes of (character, place), so all variants of a
@@ -31,99 +36,99 @@ from pyspark.sql import functions as F
 
 from hoptrail.functions.arrays import running_sums
 from hoptrail.functions.fence import fenced
-from hoptrail.llm.scratch import broadcast_within, materialize
+from hoptrail.llm.scratch import looked_up, materialize
 
 WORD = r"[^\x20\x09-\x0D]"
-SALTS = 16
-BROADCAST_ROWS = 1_000_000
+CLASS = ["k1", "k2"]
 
 
-def _segment_keys(line: Column, length: Column, parts: int) -> Column:
-    """Hashes of a line without each segment, for partners as long or longer and for those one shorter."""
+def _segments(line: Column, length: Column, parts: int) -> list[tuple[Column, Column, Column, int]]:
+    """Key, first and last place of each segment, and the characters lacking in a partner: 0 for partners as long or longer, 1 for shorter ones.
 
-    def keys(m: Column, q: int) -> Column:
-        left, right = F.floor(m * q / parts).cast("int"), (m - F.floor(m * (q + 1) / parts)).cast("int")
-        return F.xxhash64(F.lit(q), m, F.left(line, left), F.right(line, right))
-
-    return F.array(*[keys(length - d, q) for d in (0, 1) for q in range(parts)])
+    The key is a hash of the line without the segment.
+    """
+    out = []
+    for lacks in (0, 1):
+        m = length - lacks
+        for q in range(parts):
+            lo, hi = F.floor(m * q / parts).cast("int"), F.floor(m * (q + 1) / parts).cast("int")
+            out.append((F.xxhash64(F.lit(q), m, F.left(line, lo), F.right(line, m - hi)), lo, hi, lacks))
+    return out
 
 
-def _shared_segments(texts: DataFrame, parts: int) -> DataFrame:
-    """k1, k2 and ``spots``, the segments outside which the line equals one of another class."""
-    length = F.char_length("line")
-    where = F.array(*[F.struct(F.floor((length - d) * q / parts).alias("lo"), F.floor((length - d) * (q + 1) / parts).alias("hi")) for d in (0, 1) for q in range(parts)])
-    keyed = texts.select("k1", "k2", F.arrays_zip(_segment_keys(F.col("line"), length, parts).alias("key"), where.alias("spot")).alias("z"))
-    exploded = keyed.select("k1", "k2", F.explode("z").alias("z")).select("k1", "k2", "z.key", "z.spot").repartition("key")
-    twice = exploded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return exploded.join(twice, "key", "left_semi").groupBy("k1", "k2").agg(F.collect_set("spot").alias("spots"))
+def _in_two_classes(keyed: DataFrame) -> DataFrame:
+    """The values of ``key`` that lines of different classes have; of a class, half its hash tells it apart."""
+    return keyed.groupBy("key").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo != hi").select("key")
 
 
 def _variants(texts: DataFrame) -> DataFrame:
-    """k1, k2, first, place and hash of the line without the character there; place -1: the whole line.
-
-    Places outside a line's ``spots`` can't be where it differs from another line.
-    """
-    mask = (1 << 40) - 1
-    chars = F.filter(F.split("line", ""), lambda c: c != "")
-
-    def places(shift: int) -> Column:
-        return F.transform(chars, lambda c, j: F.xxhash64(c, j - shift).bitwiseAND(F.lit(mask)))
-
-    sums = texts.withColumn("here", running_sums(places(0))).withColumn("moved", running_sums(places(1)))
-    zero = F.array(F.lit(0).cast("bigint"))
-    n = F.size("here")
-    # Before place i as it stands, after it moved by one.
-    cut = F.zip_with(F.concat(zero, F.slice("here", 1, n - 1)), F.col("moved"), lambda before, upto: before - upto)
-    total = F.get("moved", n - 1)
-    rows = sums.withColumn("cut", cut).withColumn("total", total).withColumn("whole", F.get("here", n - 1))
-    placed = F.transform("cut", lambda c, i: F.struct(i.alias("place"), c.alias("c")))
-    near = F.filter(placed, lambda x: F.exists("spots", lambda r: x["place"].between(r["lo"], r["hi"])))
-    each = rows.select("k1", "k2", "first", F.inline(near), "total").select("k1", "k2", "first", "place", (F.col("c") + F.col("total")).alias("h"))
-    return each.unionByName(rows.select("k1", "k2", "first", F.lit(-1).alias("place"), F.col("whole").alias("h")))
-
-
-def _near(classes: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
-    """(k1, k2) of classes with an earlier class within one edit."""
-    long = classes.filter(F.col("length") >= min_chars)
-    coarse = long.select("k1", "k2", F.explode("keys").alias("key")).repartition("key")
-    twice = coarse.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    suspects = materialize(coarse.join(twice, "key", "left_semi").select("k1", "k2").distinct(), "suspects")
-    own = lines.select("k1", "k2", "line").join(broadcast_within(suspects, BROADCAST_ROWS), ["k1", "k2"], "left_semi")
-    texts = own.groupBy("k1", "k2").agg(F.min("line").alias("line")).join(classes.select("k1", "k2", "first"), ["k1", "k2"])
-    texts = materialize(texts, "suspect-lines")
-    fine = materialize(_shared_segments(texts, 16), "fine")  # at most 32 spots a line
-    texts = materialize(texts.join(broadcast_within(fine, BROADCAST_ROWS), ["k1", "k2"]), "fine-lines")
+    """k1, k2, first, and for each place of each of a line's ``spots`` the spot's key and lacks, the place, and the hash of the line without its character; place -1: the whole line."""
+    mask = (1 << 40) - 1  # sums of up to 2 ** 23 such numbers fit a long
+    chars = texts.withColumn("chars", fenced(F.filter(F.split("line", ""), lambda c: c != "")))
+    hashed = chars.select(*CLASS, "first", "spots", *[fenced(F.transform("chars", lambda c, j: F.xxhash64(c, j - shift).bitwiseAND(F.lit(mask)))).alias(name) for name, shift in (("here", 0), ("moved", 1))])
+    # Up to a place as it stands, after it moved by one.
+    sums = hashed.select(*CLASS, "first", "spots", fenced(running_sums(F.col("here"))).alias("here"), fenced(running_sums(F.col("moved"))).alias("moved"))
+    last = F.size("here") - 1
+
+    def cut(s: Column) -> Column:
+        def row(i: Column) -> Column:
+            before = F.when(i > 0, F.get("here", i - 1)).otherwise(F.lit(0).cast("bigint"))
+            return F.struct(s["key"].alias("key"), s["lacks"].alias("lacks"), i.alias("place"), (before + F.get("moved", last) - F.get("moved", i)).alias("h"))
+
+        return F.transform(F.sequence(s["lo"], F.least(s["hi"], last)), row)
+
+    whole = F.transform(F.filter("spots", lambda s: s["lacks"] == 0), lambda s: F.struct(s["key"].alias("key"), s["lacks"].alias("lacks"), F.lit(-1).alias("place"), F.get("here", last).alias("h")))
+    return sums.select(*CLASS, "first", F.inline(F.concat(F.flatten(F.transform("spots", cut)), whole)))
+
+
+def _suspects(lines: DataFrame, placed: DataFrame) -> DataFrame:
+    """k1, k2, line and ``spots`` of the classes that equal another one outside a sixteenth of the line, written."""
+    keys = placed.select(*CLASS, F.explode("keys").alias("key"))
+    shared = materialize(_in_two_classes(keys), "shared-keys")
+    some = materialize(looked_up(keys, shared, ["key"], "left_semi").select(*CLASS).distinct(), "suspects")
+    texts = materialize(looked_up(lines.select(*CLASS, "line"), some, CLASS, "left_semi").groupBy(*CLASS).agg(F.first("line").alias("line")), "suspect-lines")
+    spots = F.array(*[F.struct(key.alias("key"), lo.alias("lo"), hi.alias("hi"), F.lit(lacks).alias("lacks")) for key, lo, hi, lacks in _segments(F.col("line"), F.char_length("line"), 16)])
+    fine = materialize(texts.select(*CLASS, F.inline(spots)), "fine-keys")
+    kept = looked_up(fine, materialize(_in_two_classes(fine), "shared-fine"), ["key"], "left_semi").groupBy(*CLASS).agg(F.collect_set(F.struct("key", "lo", "hi", "lacks")).alias("spots"))  # at most 32 a line
+    return materialize(texts.join(kept, CLASS), "fine-lines")
+
+
+def _near(suspects: DataFrame, firsts: DataFrame) -> DataFrame:
+    """k1, k2 of the suspects with an earlier one within one edit."""
+    texts = materialize(suspects.join(firsts, CLASS), "placed-lines")
     variants = materialize(_variants(texts), "variants")
-    cut, whole = variants.filter("place >= 0"), variants.filter("place < 0")
-    earliest = cut.groupBy("h", "place").agg(F.min("first").alias("e"), F.count("*").alias("n")).filter("n > 1")
-    replaced = cut.join(earliest, ["h", "place"]).filter(F.col("first") != F.col("e")).select("k1", "k2", F.col("e").alias("other"))
-    sides = cut.select("h", F.struct("k1", "k2", "first").alias("a")).distinct().join(whole.select("h", F.struct("k1", "k2", "first").alias("b")), "h")
-    longer = sides.filter("a.first != b.first").select(F.greatest(F.struct("a.first", "a.k1", "a.k2"), F.struct("b.first", "b.k1", "b.k2")).alias("late"), F.least("a.first", "b.first").alias("other"))
-    pairs = replaced.unionByName(longer.select("late.k1", "late.k2", "other")).distinct()
-    there = pairs.join(texts.select("k1", "k2", "line"), ["k1", "k2"]).join(texts.select(F.col("first").alias("other"), F.col("line").alias("earlier")), "other")
-    return there.filter(F.levenshtein("line", "earlier", 1).between(0, 1)).select("k1", "k2").distinct()
+    replaced, deleted, whole = variants.filter("lacks = 0 AND place >= 0"), variants.filter("lacks = 1"), variants.filter("place < 0")
+    earliest = replaced.groupBy("key", "h", "place").agg(F.min("first").alias("other"), F.max("first").alias("last")).filter("other != last").select("key", "h", "place", "other")
+    one = replaced.join(earliest, ["key", "h", "place"]).filter("first != other").select(*CLASS, "other")
+    longer = deleted.select("key", "h", F.struct("first", *CLASS).alias("a")).distinct().join(whole.select("key", "h", F.struct("first", *CLASS).alias("b")), ["key", "h"])
+    two = longer.select(F.greatest("a", "b").alias("late"), F.least("a.first", "b.first").alias("other")).select("late.k1", "late.k2", "other")
+    there = one.unionByName(two).distinct().join(texts.select(*CLASS, "line"), CLASS).join(texts.select(F.col("first").alias("other"), F.col("line").alias("earlier")), "other")
+    return there.filter(F.levenshtein("line", "earlier", 1).between(0, 1)).select(*CLASS).distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
+def _dropped(lines: DataFrame, near_chars: int) -> DataFrame:
+    """_d, _r and ``gone``, the numbers of the lines that a document loses, written."""
+    length = F.char_length("line")
+    keys = F.when(length >= near_chars, F.array(*[s[0] for s in _segments(F.col("line"), length, 2)]))
+    placed = materialize(lines.select("d", "r", "p", *CLASS, keys.alias("keys")), "lines")
+    suspects = _suspects(lines, placed)
+    repeated = placed.groupBy(*CLASS).agg(F.count("*").alias("n")).filter("n > 1").select(*CLASS)
+    asked = materialize(repeated.unionByName(suspects.select(*CLASS)).distinct(), "asked")
+    found = materialize(looked_up(placed.select("d", "r", "p", *CLASS), asked, CLASS, "inner"), "found")
+    firsts = materialize(found.groupBy(*CLASS).agg(F.min(F.struct("d", "r", "p")).alias("first")), "firsts")
+    near = _near(suspects, firsts).withColumn("near", F.lit(True))
+    marked = materialize(firsts.join(near, CLASS, "left"), "marked")
+    gone = looked_up(found, marked, CLASS, "inner").filter(F.col("near").isNotNull() | (F.struct("d", "r", "p") != F.col("first")))
+    return materialize(gone.groupBy(F.col("d").alias("_d"), F.col("r").alias("_r")).agg(F.collect_set("p").alias("gone")), "gone")  # one document's lines
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = 20) -> DataFrame:
     """``docs`` with duplicate lines cut from the text, n_lines (of the input) and n_dropped."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("d"), F.xxhash64(F.lit(7), F.col(f"`{text_col}`")).alias("r"), F.col(f"`{text_col}`").alias("t"))
     lines = marked.select("d", "r", F.posexplode(F.split("t", "\n")).alias("p", "line")).filter(F.col("line").rlike(WORD))
     lines = lines.select("*", F.xxhash64(F.lit(1), "line").alias("k1"), F.xxhash64(F.lit(2), "line").alias("k2"))
-    length = F.char_length("line")
-    keys = F.when(length >= min_chars, _segment_keys(F.col("line"), length, 2)).otherwise(F.array().cast("array<bigint>"))
-    placed = materialize(lines.select("d", "r", "p", "k1", "k2", length.alias("length")), "lines")
-    # Keys are computed from the text once for each class of equal lines and task.
-    keyed = lines.groupBy("k1", "k2").agg(F.first(length).alias("length"), F.min(F.struct("d", "r", "p")).alias("first"), F.count("*").alias("n"), F.first(keys).alias("keys"))
-    classes = materialize(keyed, "classes")
-    near = materialize(_near(classes, lines, min_chars), "near")
-    repeated = classes.filter("n > 1").select("k1", "k2", "first", F.lit(False).alias("near")).join(near, ["k1", "k2"], "left_anti")
-    gone = repeated.unionByName(near.select("k1", "k2", F.lit(None).cast(classes.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
-    salted = gone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    cut = placed.withColumn("salt", F.pmod(F.xxhash64("d", "r", "p"), F.lit(SALTS)).cast("int")).join(salted, ["k1", "k2", "salt"])
-    cut = cut.filter(F.col("near") | (F.struct("d", "r", "p") != F.col("first")))
-    lists = cut.groupBy("d", "r").agg(F.collect_set("p").alias("gone"))  # one document's lines
-    lists = lists.select(F.col("d").alias("_d"), F.col("r").alias("_r"), "gone")
+    lists = _dropped(lines, near_chars)
     joined = marked.join(lists, (F.col("r") == F.col("_r")) & F.col("d").eqNullSafe(F.col("_d")), "left").withColumn("_lines", F.split("t", "\n"))
     # Flags in line order, zipped with the lines: linear, with no lookup inside a lambda.
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
@@ -134,8 +139,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select(*out, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), fenced(F.coalesce(F.size("gone"), F.lit(0)).cast("long")).alias("n_dropped"))
 
 
-def cut_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
+def cut_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = 20) -> DataFrame:
     """``docs`` with duplicate lines cut; documents all of whose words stood in such lines are dropped."""
-    done = dedup_lines(docs, id_col, text_col, min_chars)
+    done = dedup_lines(docs, id_col, text_col, near_chars)
     empty = (F.col("n_dropped") > 0) & ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
     return done.filter(~empty).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -29,6 +29,21 @@ def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of a table that a join may broadcast, and the salts over which it deals a key otherwise.
+LOOKUP_ROWS, SALTS = 200_000, 16
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``rows`` joined with a written table of distinct keys, whatever share of the rows a key has.
+
+    A table of few rows is broadcast; a larger one has a row for each salt, over which the rows of a key are dealt.
+    """
+    if table.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
+        return rows.join(F.broadcast(table), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"], how).drop("_salt")
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1_000, megabytes: int = 16) -> None:
     """Lower the Arrow batches that Python tasks get to so many rows and bytes."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)):

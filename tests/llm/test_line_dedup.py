@@ -71,3 +71,29 @@ def test_nulls_repeats_and_empty(spark):
     assert got == sorted([(None, "first"), (1, ""), (2, None), (3, ""), (4, "same"), (5, "two rows"), (5, "two rows"), (6, "x" * 5000)], key=str)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
     assert 1 not in {r.doc_id for r in line_dedup.cut_repeated_lines(df).collect()}
+
+
+def test_edit_bound_at_every_length(spark):
+    """One edit from ``near_chars`` characters on, none below; every kind of edit at every length."""
+    rng = random.Random(3)
+    docs = []
+    for n in range(1, 46):
+        line = "".join(rng.choice("abcé") for _ in range(n))
+        p = rng.randrange(n)
+        docs += [line, line[:p] + "z" + line[p + 1 :], line[:p] + line[p + 1 :], line[:p] + "y" + line[p:], line + "w"]
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for least in (1, 20):
+        assert dict(line_dedup.dedup_lines(df, near_chars=least).select("doc_id", "text").collect()) == brute(docs, least)
+
+
+def test_halves_shared_by_many_lines(spark):
+    docs = [(i, f"a common beginning of many lines, number {i % 60:05d} {'same end' * 3}") for i in range(120)]
+    got = dict(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text").collect())
+    assert got == brute(docs)
+
+
+def test_larger_tables_are_joined_with_salts(spark, monkeypatch):
+    monkeypatch.setattr("hoptrail.llm.scratch.LOOKUP_ROWS", 0)
+    docs = corpus()
+    assert dict(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text").collect()) == brute(docs)
