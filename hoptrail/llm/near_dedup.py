@@ -11,8 +11,7 @@
    the full sets give components.
 4. A star can miss a link between two members when neither is linked to the
    centre. Members of buckets that hold several components are compared again,
-   after a second star around another centre, by a prefix filter that loses no
-   link: shingles are ordered from rare to common, and the first shingle that
+   after another star across components, by a prefix filter that loses no link: shingles are ordered from rare to common, and the first shingle that
    two linked sets share stands early enough in both to leave room for what they
    must share. Rows are keyed by shingle and by the two size classes for which
    this holds, so members of a common template that are merely alike don't meet.
@@ -26,7 +25,8 @@ shared folder, so lost executors cost a task and not the run.
 Defined cases: texts that are null or without words have an empty set and are
 linked with nothing; texts of fewer words than a shingle have one shingle, the
 whole sequence; rows that share a doc_id are one node; a null doc_id gets a null
-component and is kept. Extra columns pass through.
+component and is kept. ``near_duplicates`` returns its four columns alone,
+``deduplicate`` all columns of the kept documents.
 """
 
 from __future__ import annotations
@@ -229,20 +229,22 @@ class NearDedup:
         share = percent / 100
         self.least_agree = int(self.values * share - slack * (self.values * share * (1 - share)) ** 0.5)
         self.sketched = materialize(sketch_table(docs, id_col, text_col, shingle, passes, bins, rows), "sketches")
-
-    def classes(self) -> DataFrame:
-        """One row for each distinct set: its smallest doc_id, size, sketch and bands."""
+        # One row for each distinct set: its smallest doc_id, size, sketch and bands.
         full = self.sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-        return full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+        self.held = materialize(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
 
     def sizes_fit(self, a: str, b: str) -> F.Column:
         return (F.col(a) * 100 >= F.col(b) * self.percent) & (F.col(b) * 100 >= F.col(a) * self.percent)
 
     def star(self, buckets: DataFrame, turn: int) -> DataFrame:
-        """Pairs of the bucket's centre and each other member, of fitting sizes and sketches."""
-        rank = F.xxhash64(F.lit(turn), "key", "rep")
-        centre = buckets.groupBy("key").agg(F.min_by(F.struct("rep", "n"), F.struct(rank.alias("r"), F.col("rep"))).alias("c"), F.count("*").alias("m")).filter("m > 1").select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"))
-        pairs = buckets.join(centre, "key").filter("rep != centre").filter(self.sizes_fit("n", "centre_n"))
+        """Pairs of the bucket's centre and each other member of another component, of fitting sizes.
+
+        The first two turns rank members alike in all buckets, so that a group meets few centres.
+        """
+        rank = F.xxhash64(F.lit(turn), *(["key"] if turn > 1 else []), "rep")
+        centre = F.min_by(F.struct("rep", "n", "label"), F.struct(rank.alias("r"), F.col("rep"))).alias("c")
+        centres = buckets.groupBy("key").agg(centre, F.count("*").alias("m")).filter("m > 1").select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.label").alias("centre_label"))
+        pairs = buckets.join(centres, "key").filter("label != centre_label").filter(self.sizes_fit("n", "centre_n"))
         return pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
     def near(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -264,22 +266,27 @@ class NearDedup:
         kept = pairs.join(one, "a").join(two, "b").withColumn("both", both).filter(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * self.percent)
         return materialize(kept.select("a", "b").distinct(), f"{name}-links")
 
+    def mixed(self, buckets: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """The rows of buckets that hold several components of the links so far, with the components as labels."""
+        labels = materialize(connected_components(links), f"{name}-labels")
+        marked = buckets.drop("label").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
+        several = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
+        return materialize(marked.join(several, "key"), f"{name}-mixed")
+
     def links(self) -> DataFrame:
         """Confirmed links between class representatives that connect every component."""
-        classes = materialize(self.classes(), "classes")
-        sketches = classes.select("rep", "sketch")
-        members = classes.select("rep", "n", F.explode("bands").alias("key"))
+        sketches = self.held.select("rep", "sketch")
+        members = self.held.select("rep", "n", F.explode("bands").alias("key"))
         shared = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-        buckets = materialize(members.join(shared, "key"), "buckets")
+        buckets = materialize(members.join(shared, "key").withColumn("label", F.col("rep")), "buckets")
         tested = materialize(self.near(self.star(buckets, 0).unionByName(self.star(buckets, 1)).distinct(), sketches), "star")
         links = self.confirm(tested, "star")
-        labels = materialize(connected_components(links), "labels")
-        # Buckets that still hold several components: their pairs across components, each pair once.
-        label = F.coalesce("component", "rep")
-        marked = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", label.alias("label"))
-        mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-        left = materialize(marked.join(mixed, "key"), "mixed")
-        ids = materialize(left.select("rep", "label").distinct(), "mixed-ids")
+        left = self.mixed(buckets, links, "star")
+        again = materialize(self.near(self.star(left, 2).join(tested, ["a", "b"], "left_anti"), sketches), "second")
+        tested = tested.unionByName(again)
+        links = links.unionByName(self.confirm(again, "second"))
+        # Buckets that still hold several components: pairs across components, each once.
+        ids = materialize(self.mixed(left, links, "second").select("rep", "label").distinct(), "mixed-ids")
         sets = self.sets_of(ids.select(F.col("rep").alias("doc_id"))).groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles"))
         rest = self.across(materialize(sets.join(ids, "rep"), "mixed-sets"))
         return links.unionByName(self.confirm(materialize(self.near(rest.join(tested, ["a", "b"], "left_anti"), sketches), "rest"), "rest"))
@@ -316,7 +323,7 @@ class NearDedup:
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept, one row for each row of the table."""
         labels = connected_components(self.links())
-        classes = self.classes().select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+        classes = self.held.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
         wide = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))  # a set may have a third of all rows
         rows = self.sketched.select("doc_id", "n_shingles", "d1", "d2").withColumn("salt", F.when(F.col("n_shingles") > 0, F.pmod(F.xxhash64("doc_id"), F.lit(16))).cast("int"))
         out = rows.join(wide, ["d1", "d2", "salt"], "left")
