@@ -1,25 +1,25 @@
 """Byte-level BPE encoding by overlapping chunks, and decoding.
 
-A text is cut where pre-tokenisation cannot depend on what came before. For
-texts up to ``chunk_chars`` those places are single blanks between two
-characters that are not white space: no pre-token but one of white space holds
-a blank after its first character. Longer texts become rows of overlapping
-chunks that are pre-tokenised and encoded apart, each from an arbitrary place.
-The pre-token pattern looks at nothing before a border, so once two
-neighbouring chunks share a border inside their overlap they agree from there
-on; the pieces are stitched at the first such border. Where an overlap has
-none (one pre-token as long as the overlap), that stretch is encoded again from
-its last certain border.
+Every text is cut into chunks of ``chunk_chars`` that reach ``overlap_chars`` into
+the next one; each is pre-tokenised from its own start and its pre-tokens are
+encoded, in any task. The pre-token pattern looks at nothing before a border, so
+once two neighbouring chunks share a border inside their overlap they agree from
+there on; the pieces are stitched at the first such border. Where an overlap has
+none (a pre-token as long as the overlap), the two chunks alone are pre-tokenised
+again as one, from the last border before the overlap. A text of one chunk needs
+no stitching and stays in its task; chunks of longer texts are rows of their own,
+found again by the digest of the text, so that equal texts are encoded once.
 
 Defined cases: a null or empty text has no ids; decoding a null list gives null;
-extra columns pass through, and the result columns replace columns of the same
-name. Repeated rows give repeated results.
+extra columns pass through whatever their names, and the result columns replace
+columns of the same name. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hoptrail.llm.scratch import bounded_batches
+from hoptrail.llm.scratch import bounded_batches, materialize
 
-#: Entries kept by a worker's memory of encoded stretches, and their longest text.
-CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
+#: Entries kept by a worker's memory of encoded pre-tokens, and their longest text.
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 #: A border this far from a chunk's end is certain: what begins before it can be no contraction that goes on.
 LOOKAHEAD = 3
 
@@ -55,55 +55,31 @@ def token_bytes(ranks_path: str) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes whole stretches of text; made once per Python worker."""
+    """Encodes pre-tokens; made once per Python worker."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        ranks = read_ranks(ranks_path)
-        self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        # The pattern of the library's encoder takes what it is given as one piece.
+        self._encode = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=read_ranks(ranks_path), special_tokens={}).encode_ordinary
         self.pieces = regex.compile(pattern)
-        self._words: dict[str, bytes | None] = {}
-
-    def ids(self, text: str) -> bytes:
-        """The ids of a text that starts and ends at certain borders, as 32-bit integers."""
-        return np.array(self._encode(text), "<i4").tobytes()
-
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a blank and ``word``; None if white space touches the blank's borders."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        found = self.ids(" " + word)
-        if len(word) <= CACHE_CHARS:
-            if len(self._words) >= CACHE_ENTRIES:
-                self._words.clear()
-            self._words[word] = found
+        self._known: dict[str, bytes] = {}
+
+    def _ids(self, piece: str) -> bytes:
+        found = np.array(self._encode(piece), "<i4").tobytes()
+        if len(piece) <= CACHE_CHARS:
+            if len(self._known) >= CACHE_ENTRIES:
+                self._known.clear()
+            self._known[piece] = found
         return found
 
-    def whole(self, text: str) -> bytes:
-        """The ids of a whole text."""
-        first, *words = text.split(" ")
-        if not words:
-            return self.ids(text) if text else b""
-        if first and not first[-1].isspace():
-            known = self._words
-            out = [self.ids(first)]
-            for word in words:
-                ids = known.get(word)
+    def chunk(self, text: str) -> list[bytes]:
+        """The ids of each pre-token of a chunk, as 32-bit integers."""
+        pieces = self.pieces.findall(text)
+        out = list(map(self._known.get, pieces))
+        if None in out:
+            for k, ids in enumerate(out):
                 if ids is None:
-                    ids = self._word(word)
-                    if ids is None:
-                        break
-                out.append(ids)
-            else:
-                return b"".join(out)
-        out, open_ = [], first  # white space touches some blank: join such words to what they follow
-        for word in words:
-            if open_ and word and not open_[-1].isspace() and not word[0].isspace():
-                out.append(self.ids(open_))
-                open_ = " " + word
-            else:
-                open_ += " " + word
-        out.append(self.ids(open_))
-        return b"".join(out)
+                    out[k] = self._known.get(pieces[k]) or self._ids(pieces[k])
+        return out
 
     def borders(self, text: str) -> np.ndarray:
         """Where pre-tokens begin, and the end."""
@@ -120,25 +96,49 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
 
-def stitch(chunks: list[tuple[int, str]], enc: Encoder) -> bytes:
-    """Ids of the text that overlapping chunks (start, text), in order, cover."""
-    out, known = [], None  # known: certain borders so far of the current chunk, in the text's offsets
-    start, text = chunks[0]
-    known = enc.borders(text)
-    for later, more in chunks[1:]:
-        theirs = enc.borders(more) + later
-        sure = known[known <= start + len(text) - LOOKAHEAD]
-        common = np.intersect1d(sure[sure > later], theirs[theirs < later + len(more)], assume_unique=True)
+@dataclass
+class Chunk:
+    """A pre-tokenised piece of a text: its place, its borders in the text's offsets, and where the ids of each pre-token end."""
+
+    at: int
+    text: str
+    borders: np.ndarray
+    ends: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, at: int, text: str, enc: Encoder) -> Chunk:
+        parts = enc.chunk(text)
+        return cls(at, text, enc.borders(text) + at, np.cumsum([0, *(len(p) // 4 for p in parts)]), np.frombuffer(b"".join(parts), "<i4"))
+
+    def between(self, first: int, last: int) -> bytes:
+        return self.ids[self.ends[first] : self.ends[last]].tobytes()
+
+
+def stitch(chunks: list[Chunk], enc: Encoder) -> bytes:
+    """Ids of the text that overlapping chunks, in order, cover."""
+    out: list[bytes] = []
+    now, begin, k, joined = chunks[0], 0, 1, 1  # begin: the first pre-token of the current chunk that counts
+    while k < len(chunks):
+        later = chunks[k]
+        mine = now.borders[begin:-1]
+        sure = mine[(mine > later.at) & (mine <= now.at + len(now.text) - LOOKAHEAD)]
+        common = np.intersect1d(sure, later.borders[:-1], assume_unique=True)
         if len(common):
-            cut = int(common[0])
-            out.append(enc.ids(text[int(known[0]) - start : cut - start]))
-            known = theirs[theirs >= cut]
-            start, text = later, more
-        else:  # no shared border: keep the chunk open and read on with the later one's text
-            text += more[start + len(text) - later :]
-            first = int(known[0])
-            known = enc.borders(text[first - start :]) + first
-    out.append(enc.ids(text[int(known[0]) - start :]))
+            out.append(now.between(begin, int(np.searchsorted(now.borders, common[0]))))
+            now, begin, k, joined = later, int(np.searchsorted(later.borders, common[0])), k + 1, 1
+            continue
+        # No shared border: these chunks become one from the last border before the overlap on. A pre-token over
+        # many chunks takes twice as many each time, so that its length is gone through about twice.
+        cut = max(begin, int(np.searchsorted(now.borders, later.at, side="right")) - 1)
+        out.append(now.between(begin, cut))
+        start = int(now.borders[cut])
+        parts, reach = [now.text[start - now.at :]], now.at + len(now.text)
+        for more in chunks[k : k + joined]:
+            parts.append(more.text[max(0, reach - more.at) :])
+            reach = max(reach, more.at + len(more.text))
+        now, begin, k, joined = Chunk.of(start, "".join(parts), enc), 0, k + joined, joined * 2
+    out.append(now.between(begin, len(now.ends) - 1))
     return b"".join(out)
 
 
@@ -157,81 +157,50 @@ def encode(
 ) -> DataFrame:
     """``docs`` with ``ids_col``: the token ids of every whole text."""
     bounded_batches(docs.sparkSession)
-    schema = _reshaped(docs, ids_col, T.ArrayType(T.IntegerType()))
-    names = schema.fieldNames()[:-1]
-
-    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = [c for c in docs.columns if c != ids_col]
+    place = own.index(text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))  # no name of the input can clash
+    ids_field = T.StructField("ids", T.ArrayType(T.IntegerType()))
+    text = F.col("row")[text_col]
+    many = F.coalesce(F.char_length(text), F.lit(0)) > chunk_chars
+
+    def one_chunk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            ids = _lists([enc.whole(t) if t else b"" for t in texts.to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), ids], names=[*names, ids_col])
+            texts = batch.column(0).field(place).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([b"".join(enc.chunk(t)) if t else b"" for t in texts])], names=["row", "ids"])
 
-    long = F.coalesce(F.char_length(text_col), F.lit(0)) > chunk_chars
-    short_part = docs.filter(~long).mapInArrow(whole, schema)
+    single = rows.filter(~many).mapInArrow(one_chunk, T.StructType([rows.schema["row"], ids_field]))
 
-    # Long texts: rows of chunks, spread over all tasks, then joined again per document.
-    rows = docs.filter(long).withColumn("_row", F.monotonically_increasing_id())
-    chunk = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_at", T.LongType()), T.StructField("_rest", T.StringType())])
+    # Chunks of texts of several, spread over all tasks, then joined again for each text.
+    long = materialize(rows.filter(many).withColumn("digest", F.sha2(text, 256)), "long-texts")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = list(range(0, len(text), chunk_chars))
                 for some in (at[i : i + 64] for i in range(0, len(at), 64)):
-                    yield pa.RecordBatch.from_pydict({"_row": [row] * len(some), "_at": some, "_rest": [text[a : a + chunk_chars + overlap_chars] for a in some]}, schema=pa.schema([("_row", pa.int64()), ("_at", pa.int64()), ("_rest", pa.string())]))
-
-    tokened = T.StructType([*chunk.fields[:2], T.StructField("_starts", T.ArrayType(T.LongType())), T.StructField("_ends", T.ArrayType(T.IntegerType())), T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_text", T.StringType())])
+                    yield pa.RecordBatch.from_pydict({"digest": [digest] * len(some), "at": some, "rest": [text[a : a + chunk_chars + overlap_chars] for a in some]}, schema=pa.schema([("digest", pa.string()), ("at", pa.int64()), ("rest", pa.string())]))
 
     def pre_tokenise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Borders of each chunk's pre-tokens and the ids of each pre-token, from an arbitrary start."""
+        """Borders of each chunk's pre-tokens and their ids, from an arbitrary start."""
         enc = encoder(ranks_path, pattern)
         for batch in batches:
-            for row, at, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                borders = enc.borders(text)
-                parts = [enc.ids(text[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
-                ends = np.cumsum([len(p) // 4 for p in parts])
-                yield pa.RecordBatch.from_pydict({"_row": [row], "_at": [at], "_starts": [borders + at], "_ends": [ends], "_ids": [np.frombuffer(b"".join(parts), "<i4")], "_text": [text]}, schema=pa.schema([("_row", pa.int64()), ("_at", pa.int64()), ("_starts", pa.list_(pa.int64())), ("_ends", pa.list_(pa.int32())), ("_ids", pa.list_(pa.int32())), ("_text", pa.string())]))
+            for digest, at, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                c = Chunk.of(at, text, enc)
+                yield pa.RecordBatch.from_pydict({"digest": [digest], "at": [at], "rest": [text], "borders": [c.borders], "ends": [c.ends], "ids": [c.ids]}, schema=pa.schema([("digest", pa.string()), ("at", pa.int64()), ("rest", pa.string()), ("borders", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("ids", pa.list_(pa.int32()))]))
 
     def join_chunks(key: tuple, table: pa.Table) -> pa.Table:
-        ids = _stitched(table.sort_by("_at"), encoder(ranks_path, pattern))
-        return pa.table({"_row": pa.array([key[0].as_py()], pa.int64()), ids_col: _lists([ids])})
-
-    pieces = rows.select("_row", F.col(text_col).alias("_rest")).mapInArrow(cut, chunk).repartition("_row", "_at").mapInArrow(pre_tokenise, tokened)
-    stitched = pieces.groupBy("_row").applyInArrow(join_chunks, T.StructType([T.StructField("_row", T.LongType()), T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
-    long_part = rows.drop(ids_col).join(stitched, "_row").select(*names, ids_col)
-    return short_part.unionByName(long_part)
-
-
-def _stitched(chunks: pa.Table, enc: Encoder) -> bytes:
-    """Ids of a text from its encoded chunks, cut at the first border that neighbours share."""
-    out: list[bytes] = []
-    n = chunks.num_rows
-    starts = [np.asarray(x) for x in chunks["_starts"].to_pylist()]
-    ends = [np.concatenate([[0], x]).astype(int) for x in chunks["_ends"].to_pylist()]
-    ids = [np.asarray(x, "<i4") for x in chunks["_ids"].to_pylist()]
-    texts, at = chunks["_text"].to_pylist(), chunks["_at"].to_pylist()
-    k, begin = 0, 0  # the chunk and its first pre-token that count
-    while k < n:
-        if k == n - 1:
-            out.append(ids[k][ends[k][begin] :].tobytes())
-            break
-        mine = starts[k][begin:-1]
-        mine = mine[(mine > at[k + 1]) & (mine <= at[k] + len(texts[k]) - LOOKAHEAD)]
-        theirs = starts[k + 1][:-1]
-        common = np.intersect1d(mine, theirs, assume_unique=True)
-        if len(common):
-            stop = int(np.searchsorted(starts[k], common[0]))
-            out.append(ids[k][ends[k][begin] : ends[k][stop]].tobytes())
-            begin = int(np.searchsorted(starts[k + 1], common[0]))
-            k += 1
-            continue
-        # No shared border: from the last certain one on, go through the texts themselves.
-        first = int(starts[k][begin])
-        rest = [(first, texts[k][first - at[k] :]), *((at[j], texts[j]) for j in range(k + 1, n))]
-        out.append(stitch(rest, enc))
-        break
-    return b"".join(out)
+        table = table.sort_by("at")
+        numbers = (table[c].to_numpy() for c in ("borders", "ends", "ids"))
+        chunks = [Chunk(*x) for x in zip(table["at"].to_pylist(), table["rest"].to_pylist(), *numbers, strict=True)]
+        return pa.table({"digest": pa.array([key[0].as_py()], pa.string()), "ids": _lists([stitch(chunks, encoder(ranks_path, pattern))])})
+
+    pieces = long.select("digest", F.col("row")[text_col].alias("rest")).mapInArrow(cut, "digest string, at long, rest string").dropDuplicates(["digest", "at"])
+    encoded = pieces.mapInArrow(pre_tokenise, "digest string, at long, rest string, borders array<long>, ends array<long>, ids array<int>")
+    stitched = encoded.groupBy("digest").applyInArrow(join_chunks, "digest string, ids array<int>")
+    out = single.unionByName(long.join(stitched, "digest").select("row", "ids"))
+    return out.select(*[F.col("row")[c].alias(c) for c in own], F.col("ids").alias(ids_col))
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

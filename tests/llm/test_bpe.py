@@ -38,3 +38,39 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "ids string, text string, _row int")
     assert bpe.encode(df, PATH, P.PATTERN).columns == ["text", "_row", "ids"]
     assert bpe.encode(df, PATH, P.PATTERN).count() == 0
+
+
+def test_ids_stay_with_their_rows(spark, library):
+    """After a round-robin shuffle and after a join, with repeated long texts and with every name that the operator uses itself."""
+    rng = random.Random(5)
+    words = ["word", " other", "'s", "\n\n", "  ", "é", "12"]
+    rows = [(i, "".join(rng.choice(words) for _ in range(rng.randint(20, 80)))) for i in range(150)]
+    rows += [(1000 + i, rows[0][1]) for i in range(30)] + [(2000, "y" * 1500 + " end"), (2001, "a b" + " " * 900 + "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id * 3 as _row", "'r' as row", "doc_id as digest", "doc_id as at", "doc_id as rest")
+    for given in (df.repartition(8), df.join(df.select("doc_id"), "doc_id").select(*df.columns)):
+        out = bpe.decode(bpe.encode(given, PATH, P.PATTERN, chunk_chars=100, overlap_chars=20), PATH).collect()
+        assert sorted((r.doc_id, r.text) for r in out) == sorted(rows)
+        for r in out:
+            assert r.ids == library.encode_ordinary(r.text) and bytes(r.decoded) == r.text.encode()
+            assert (r._row, r.row, r.digest, r.at, r.rest) == (3 * r.doc_id, "r", r.doc_id, r.doc_id, r.doc_id)
+
+
+def test_query_against_library(spark, library):
+    from hashlib import sha256
+
+    from hoptrail.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op2_byte_bpe(spark, sf).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        ids = library.encode_ordinary(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(docs[r.doc_id].encode()).hexdigest())
+
+
+def test_long_pre_token_is_gone_through_a_few_times(library):
+    enc = bpe.encoder(PATH, P.PATTERN)
+    text = "z" * 20_000 + " a b c"
+    chunks = [bpe.Chunk.of(a, text[a : a + 120], enc) for a in range(0, len(text), 100)]
+    assert bpe.stitch(chunks, enc) == bpe.np.array(library.encode_ordinary(text), "<i4").tobytes()
