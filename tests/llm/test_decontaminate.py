@@ -70,3 +70,28 @@ def test_query(spark):
             n, hit, found = brute(docs[r.doc_id], items)
             assert (r.n_words, r.n_hit, r.n_items) == (n, hit, len(found))
             assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+
+
+def test_suffix_array_is_in_order_of_all_words():
+    rng = random.Random(2)
+    docs = ["", "a", "a b a b a b", "a b a b a b", "c " * 40, *(" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 50))) for _ in range(30))]
+    raw, offsets = decontaminate.string_buffers(decontaminate.pa.array(docs))
+    hashes, first = decontaminate.hashed_words(raw, offsets, decontaminate.ALNUM)
+    array = decontaminate.SuffixArray(hashes, first)
+    suffixes = [tuple(array.words[i : array.ends[i]].tolist()) for i in array.order]
+    assert suffixes == sorted(suffixes) and sorted(array.order.tolist()) == list(range(len(hashes)))
+
+
+def test_clashing_names_and_many_blocks(spark):
+    """A benchmark of fifty blocks; columns named like the operator's own stay."""
+    items = [(i, f"w{i} x y z u v w s t r q{i}") for i in range(50)]
+    docs = [(i, f"before w{i} x y z u v w s t r q{i} after") for i in range(0, 60, 2)] + [(99, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "doc_id as spans", "'r' as row", "1 as n_words", "7 as digest")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.find_overlaps(d, b, block_chars=40).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        n, hit, found = brute(r.text, items)
+        assert (r.n_words, r.n_hit, {m.item_id for m in r.matches}, r.spans, r.row, r.digest) == (n, hit, found, r.doc_id, "r", 7)
+    kept = decontaminate.remove_contaminated(d, b)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {50, 52, 54, 56, 58, 99}
