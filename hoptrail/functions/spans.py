@@ -19,8 +19,8 @@ def with_spans(df: DataFrame, text_col: str, pattern: str, out_col: str, context
     """``df`` with ``out_col``: leftmost non-overlapping matches as structs.
 
     start and stop are code points, stop exclusive; text is the match; before and
-    after hold up to ``context`` characters around it within the text between
-    matches; g1, g2, ... are the asked groups. The pattern must not match nothing.
+    after hold up to ``context`` characters around it, at most as far as the
+    fourth match before or after; g1, g2, ... are the asked groups. The pattern must not match nothing.
     """
     q = F.lit(pattern)
     found, cut = f"_{out_col}_found", f"_{out_col}_cut"
@@ -32,8 +32,13 @@ def with_spans(df: DataFrame, text_col: str, pattern: str, out_col: str, context
     steps = F.zip_with(gaps, found, lambda gap, m: (F.char_length(gap) + F.char_length(m)).cast("bigint"))
     ends = f"_{out_col}_ends"
     df = df.withColumn(ends, F.when(F.size(found) > 0, running_sums(steps)))
-    after = F.transform(F.slice(cut, 2, F.size(found)), lambda x: F.left(x, F.lit(context)))
-    before = F.transform(gaps, lambda x: F.right(x, F.lit(context)))
+    # Around a match stand the gaps and the matches next to it, in turn.
+    if context:
+        around = lambda i, steps: F.concat_ws("", *[F.get(found if odd else cut, i + j) for j, odd in steps])
+        after = F.transform(found, lambda x, i: F.left(around(i, [(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1), (4, 0)]), F.lit(context)))
+        before = F.transform(found, lambda x, i: F.right(around(i, [(-3, 0), (-3, 1), (-2, 0), (-2, 1), (-1, 0), (-1, 1), (0, 0)]), F.lit(context)))
+    else:
+        before = after = F.transform(found, lambda x: F.lit(""))
     parts = [F.col(found).alias("text"), F.col(ends).alias("stop"), before.alias("before"), after.alias("after")] + [F.col(f"{found}{g}").alias(f"g{g}") for g in groups]
     spans = F.transform(
         F.arrays_zip(*parts),
@@ -50,10 +55,11 @@ def with_spans(df: DataFrame, text_col: str, pattern: str, out_col: str, context
     return df.withColumn(out_col, F.when(F.size(found) > 0, spans).otherwise(F.array().cast(kind))).drop(found, cut, ends, *[f"{found}{g}" for g in groups])
 
 
-def spans_text(kinds: list[tuple[str, Column]]) -> Column:
-    """``kind:start:stop`` of all spans, by start, then in the order of ``kinds``, joined by commas."""
+def spans_text(kinds: list[tuple[str, Column]], field: str = "stop") -> Column:
+    """``kind:start:stop`` of all spans, by start, then in the order of ``kinds``, joined by commas; or another field in place of stop."""
+
     def rows(place: int, kind: str, spans: Column) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("i"), F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["stop"].cast("string")).alias("t")))
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("i"), F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s[field].cast("string")).alias("t")))
 
     every = F.concat(*[rows(i, kind, spans) for i, (kind, spans) in enumerate(kinds)])
     return F.array_join(F.transform(F.sort_array(every), lambda r: r["t"]), ",")

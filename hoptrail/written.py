@@ -18,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-hoptrail-"))
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="spark-hoptrail-")
+    return "file://" + _own[sc.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
