@@ -68,8 +68,9 @@ def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", pr
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(sums)], names=["lang", "gram", "n"])
 
     total = counted.mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
-    return total.withColumn("place", place).filter(F.col("place") < profile_size).select("lang", "gram", "place")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    # The limit on the bare row number lets Spark keep that many of a language in each task before it shuffles.
+    return total.withColumn("row", place).filter(F.col("row") <= profile_size).select("lang", "gram", (F.col("row") - 1).alias("place"))
 
 
 def predict(docs: DataFrame, profile_rows: DataFrame, text_col: str = "text", profile_size: int = 300, most_languages: int = 5_000) -> DataFrame:
@@ -84,22 +85,21 @@ def predict(docs: DataFrame, profile_rows: DataFrame, text_col: str = "text", pr
     for r in rows:
         places[np.searchsorted(known, r.gram), langs.index(r.lang)] = r.place
     held = docs.sparkSession.sparkContext.broadcast((langs, known, places))
-    own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "_letters")]
-    names = [f.name for f in own]
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, known, places = held.value
         for batch in batches:
-            at = {c: i for i, c in enumerate(batch.schema.names)}
             best, scores = [], []
-            for text in batch.column(at["_letters"]).to_pylist():
+            for text in batch.column(1).to_pylist():
                 found = _nearest(text, langs, known, places, profile_size)
                 best.append(found[0])
                 scores.append(found[1])
-            yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in names), pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
 
-    clean = docs.select(*[F.col(f"`{c}`") for c in names], letters_only(F.col(f"`{text_col}`")).alias("_letters"))
-    return clean.mapInArrow(run, T.StructType([*own, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    clean = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), letters_only(F.col(f"`{text_col}`")).alias("letters"))  # no name of the input can clash
+    found = clean.mapInArrow(run, T.StructType([clean.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return found.select(*[F.col("row")[c].alias(c) for c in names], "lang_pred", "score")
 
 
 def _nearest(text: str | None, langs: list[str], known: np.ndarray, places: np.ndarray, size: int) -> tuple[str, float]:

@@ -6,7 +6,7 @@ ended (``\\G``), and possessive quantifiers never give characters back.
 
 Every span has a score: 0.5 by its form, plus 0.4 when a checksum confirms it
 (Luhn, mod 97), plus 0.2 when a context word of its kind stands within
-``CONTEXT`` characters. Base kinds are kept at any score; an added kind is kept
+``CONTEXT`` characters, at most as far as the fourth match of the kind. Base kinds are kept at any score; an added kind is kept
 from ``least_score`` on.
 
 Defined cases: a null text is empty; a text without spans gets the empty list;
@@ -94,7 +94,8 @@ def _scored(kind: str) -> Column:
 
 def find_pii(docs: DataFrame, text_col: str = "text", least_score: float = 0.6) -> DataFrame:
     """``docs`` with one column of spans (start, stop, text, score) for each of ``KINDS``."""
-    df = docs.drop(*KINDS).withColumn("_text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    own = [c for c in docs.columns if c not in KINDS]
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))  # no name of the input can clash
     # A kind's scan is skipped where a sign that all its matches have is missing.
     signs = {"email": F.col("_text").contains("@"), "phone": F.col("_text").contains("+"), "ssn": F.col("_text").contains("-"), "ip": F.col("_text").contains(".")}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN}
@@ -103,13 +104,18 @@ def find_pii(docs: DataFrame, text_col: str = "text", least_score: float = 0.6)
         df = with_spans(seen, "_seen", patterns[kind], kind, CONTEXT, groups=(1, 2, 3, 4) if kind == "ip" else ()).drop("_seen")
         scored = _scored(kind)
         df = df.withColumn(kind, scored if kind in KINDS[:4] else F.filter(scored, lambda s: s["score"] >= least_score))
-    return df.drop("_text")
+    return df.select(*[F.col("_row")[c].alias(c) for c in own], *KINDS)
 
 
 def all_spans(kinds: list[str]) -> Column:
     return spans_text([(k, F.col(k)) for k in kinds])
 
 
+def all_scores() -> Column:
+    """``kind:start:score`` of all spans, in the order of their text."""
+    return spans_text([(k, F.col(k)) for k in KINDS], "score")
+
+
 def redact(found: DataFrame, text_col: str = "text", mark: str = "[{}]") -> DataFrame:
     """The result of ``find_pii`` with each span of its text replaced by its kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))

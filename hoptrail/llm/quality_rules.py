@@ -10,8 +10,9 @@ there is bad often enough; covered rows are removed and the next rule is grown.
 
 Defined cases: a null text has no words; without labels of both kinds there are
 no rules and every document that passes the base stays; repeated rows get
-repeated results; extra columns pass through and result columns replace columns
-of the same name.
+repeated results; of contradicting labels of a doc_id the least counts; extra
+columns pass through whatever their names, and result columns replace columns of
+the same name.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def text_stats(docs: DataFrame, text_col: str = "text", repeat_words: int = 5) -
         bare = F.replace(bare, F.lit(c), F.lit(""))
     size = F.char_length(text)
     df = docs.select(
-        *[F.col(f"`{c}`") for c in own],
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"),  # no name of the input can clash
         fenced(F.array_remove(F.split(spaced, " "), "")).alias("_words"),
         fenced(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))).alias("_lines"),
         (size - F.char_length(plain)).cast("long").alias("n_symbols"),
@@ -73,7 +74,7 @@ def text_stats(docs: DataFrame, text_col: str = "text", repeat_words: int = 5) -
         lambda s: s["n"],
     )
     df = df.select(
-        *[F.col(f"`{c}`") for c in own],
+        "_row",
         F.size("_words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -84,8 +85,8 @@ def text_stats(docs: DataFrame, text_col: str = "text", repeat_words: int = 5) -
     )
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     n = F.col("n_words")
-    return df.select(
-        *[F.col(f"`{c}`") for c in own],
+    df = df.select(
+        "_row",
         *BASE,
         ((n < 10) | (F.col("n_repeat_words") * 100 > n * 20)).alias("base_failed"),
         ratio(F.col("word_chars"), n).alias("mean_word"),
@@ -94,6 +95,7 @@ def text_stats(docs: DataFrame, text_col: str = "text", repeat_words: int = 5) -
         ratio(F.col("n_repeat_words"), n).alias("repeat_ratio"),
         ratio(F.col("_n_short"), F.col("_n_lines")).alias("short_line_ratio"),
     )
+    return df.select(*[F.col("_row")[c].alias(c) for c in own], *BASE, "base_failed", *FEATURES[1:])
 
 
 @dataclass
@@ -183,7 +185,8 @@ def cover(rows: list[dict], features: list[str] = FEATURES, most_rules: int = 12
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6_000, **how) -> DecisionList:
     """A decision list from at most ``sample_rows`` labelled documents that pass the base rules."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).dropna().dropDuplicates(["_id"])
+    # Of labels that contradict each other the worse one counts.
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).dropna().groupBy("_id").agg(F.min("_label").alias("_label"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     held = sample.collect()  # sample_rows bounds it
     if len({r["_label"] > 0 for r in held}) < 2:

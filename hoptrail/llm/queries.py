@@ -68,17 +68,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
-def _span_digests(found: DataFrame, module, base: list[str]) -> DataFrame:
+def _span_digests(found: DataFrame, module, base: list[str], *more) -> DataFrame:
     return found.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
         F.sha2(module.all_spans(base), 256).alias("base_sha256"),
         module.all_spans(module.KINDS).alias("spans"),
+        *more,
     )
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _span_digests(pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")), pii, pii.KINDS[:4])
+    return _span_digests(pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")), pii, pii.KINDS[:4], pii.all_scores().alias("scores"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,8 @@ def _random(spans: Column, width: int, least: float, holds: str) -> Column:
 
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with one column of spans (start, stop, text) for each of ``KINDS``."""
-    df = docs.drop(*KINDS).withColumn("_text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    own = [c for c in docs.columns if c not in KINDS]
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))  # no name of the input can clash
     plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["text"].alias("text")))
     df = with_spans(df.withColumn("_seen", F.when(F.col("_text").rlike("[:=]"), F.col("_text")).otherwise(F.lit(""))), "_seen", ASSIGN, "assign", groups=(2,))
     df = df.withColumn("assign", plain(F.filter("assign", lambda s: F.char_length(s["g2"]) >= 8)))
@@ -94,7 +95,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
         df = df.withColumn(f"_{name}", plain(_random(F.col(f"_{name}"), width, least, holds)))
         parts.append(F.col(f"_{name}"))
     df = df.withColumn("entropy", F.array_distinct(F.concat(*parts)))
-    return df.drop("_text", "_seen", *[f"_{c[0]}" for c in CLASSES])
+    return df.select(*[F.col("_row")[c].alias(c) for c in own], *KINDS)
 
 
 def all_spans(kinds: list[str]) -> Column:

@@ -16,7 +16,8 @@ Reading: sidecars give the members; each is inflated alone and parsed.
 Defined cases: a null html is an empty payload; a null page_id is kept as null
 and never preferred as response unless its whole group is null; rows that tie
 on the largest page_id are all responses; a null url leaves the target header
-out; an empty table gives no records. Extra columns are ignored.
+out; rows equal in page_id and payload share a record id; an empty table gives no
+records. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import posixpath
+import re
 import urllib.parse
 import uuid
 import zlib
@@ -34,13 +36,15 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoptrail.llm.scratch import new_path
+from hoptrail.llm.scratch import new_path, remove
 
 #: Records per written file: bounds a file, not the table.
 FILE_RECORDS = 4_000
 #: Spread of the rows of one payload over tasks.
 SALTS = 32
 _CRLF = b"\r\n"
+#: The characters that URIs reserve.
+_RESERVED = ":/?#[]@!$&'()*+,;="
 
 
 def decide_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
@@ -55,8 +59,18 @@ def decide_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     return joined.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper")).alias("refers_to"))
 
 
+def target_uri(url: F.Column) -> F.Column:
+    """The URL with what a URI can't hold percent-encoded; escapes that it has already stay."""
+    out = F.replace(F.regexp_replace(F.url_encode(url), "%25([0-9A-Fa-f]{2})", "%$1"), F.lit("+"), F.lit("%20"))
+    for c in _RESERVED:
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return out
+
+
 def _record(url, head: list) -> F.Column:
-    return F.concat_ws("\r\n", F.lit("WARC/1.1"), *head, F.when(url.isNotNull(), F.concat(F.lit("WARC-Target-URI: "), F.url_encode(url))))
+    target = target_uri(url)
+    own = F.when(target != url, F.concat(F.lit("Page-URL: "), F.url_encode(url)))  # the exact one, where it is no URI
+    return F.concat_ws("\r\n", F.lit("WARC/1.1"), *head, F.when(url.isNotNull(), F.concat(F.lit("WARC-Target-URI: "), target)), own)
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -64,23 +78,24 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, date: str
     rows = decide_revisits(pages, min_bytes)
     revisit = F.col("refers_to").isNotNull()
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    length = F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string")
+    size = F.col("payload_bytes").cast("string")
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit("\r\n\r\n"))
+    length = (F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))).cast("string")
     head = _record(
         F.col("url"),
         [
             F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-            F.concat(F.lit("WARC-Record-ID: <urn:page:"), name, F.lit(">")),
+            F.concat(F.lit("WARC-Record-ID: <urn:page:"), name, F.lit(":"), F.col("digest"), F.lit(">")),
             F.lit(f"WARC-Date: {date}"),
             F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
-            F.concat(F.lit("Payload-Length: "), F.col("payload_bytes").cast("string")),
-            F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
+            F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(":"), F.col("digest"), F.lit(">"))),
             F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-            F.lit("Content-Type: text/html; charset=utf-8"),
+            F.lit("Content-Type: application/http; msgtype=response"),
             F.concat(F.lit("Content-Length: "), length),
         ],
     )
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    text = rows.select(F.concat(head, F.lit("\r\n\r\n"), body).alias("value"))
+    text = rows.select(F.concat(head, F.lit("\r\n\r\n"), http, body).alias("value"))
     text.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -124,11 +139,12 @@ def fields(head: bytes) -> dict[str, str]:
 
 
 def _page(urn: str | None) -> int | None:
-    found = urn.removeprefix("<urn:page:").removesuffix(">") if urn else "none"
+    found = urn.removeprefix("<urn:page:").partition(":")[0] if urn else "none"
     return None if found == "none" else int(found)
 
 
 def _filesystem(path: str):
+    path = re.sub("^s3[an]://", "s3://", path)  # Hadoop's names of the same store
     return pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
@@ -195,18 +211,20 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
-def _parsed(head: dict[str, str], payload: bytes) -> dict:
+def _parsed(head: dict[str, str], block: bytes) -> dict:
+    """A row of a record's fields and block: an HTTP header and, in a response, the payload."""
     digest, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
+    http, _, payload = block.partition(_CRLF * 2)
     if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"payload of {head['warc-record-id']} doesn't match its digest")
-    url = head.get("warc-target-uri")
+    own = head.get("page-url")
     return {
         "page_id": _page(head["warc-record-id"]),
-        "payload_bytes": int(head["payload-length"]),
+        "payload_bytes": int(fields(http)["content-length"]),
         "payload_digest": digest,
         "record_type": kind,
         "refers_to": _page(head.get("warc-refers-to")),
-        "url": urllib.parse.unquote_plus(url) if url is not None else None,
+        "url": urllib.parse.unquote_plus(own) if own is not None else head.get("warc-target-uri"),
         "payload": payload if kind == "response" else None,
     }
 
@@ -217,4 +235,5 @@ def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 1000)
     folder = folder or new_path(spark, "warc")
     write_archives(pages, f"{folder}/monolithic", min_bytes)
     normalise(spark, f"{folder}/monolithic", f"{folder}/members").agg(F.sum("records")).collect()
+    remove(spark, f"{folder}/monolithic")  # no later read needs it
     return read_archives(spark, f"{folder}/members")

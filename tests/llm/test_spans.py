@@ -65,6 +65,10 @@ def test_pii(spark):
     extra = spark.createDataFrame([(1, "IBAN GB82 WEST 1234 5698 7654 32 ok, ssn: 078-05-1120"), (2, "GB82 WEST 1234 5698 7654 33, 078-05-1120")], "doc_id long, text string")
     got = {r.doc_id: ([s.text for s in r.iban], [s.text for s in r.ssn]) for r in pii.find_pii(extra).collect()}
     assert got == {1: (["GB82 WEST 1234 5698 7654 32"], ["078-05-1120"]), 2: ([], [])}
+    several = spark.createDataFrame([(1, "SSN 123-45-6789, 234-56-7890 and 345-67-8901.")], "doc_id long, text string").selectExpr("*", "7 as _text", "8 as _seen", "'r' as _row")
+    r = pii.find_pii(several).first()
+    assert [(s.start, s.score) for s in r.ssn] == [(4, 0.7), (17, 0.7), (33, 0.7)] and (r._text, r._seen, r._row) == (7, 8, "r")
+    assert pii.find_pii(several).select(pii.all_scores().alias("s")).first().s == "ssn:4:0.7,ssn:17:0.7,ssn:33:0.7"
     assert [r.text for r in pii.redact(pii.find_pii(extra)).orderBy("doc_id").collect()][0].startswith("IBAN [iban] ok")
 
 
@@ -72,6 +76,8 @@ def test_secrets(spark):
     check(spark, secrets.find_secrets, SECRETS, lambda f: queries._span_digests(f, secrets, secrets.KINDS[:3]), secrets.KINDS)
     t = "k q7Fz0Lk2Xp9Vb4Tn8Wm1Rc6Y and AAAAAAAAAAAAAAAAAAAAAAAAAAAa1 and example7Fz0Lk2Xp9Vb4Tn8Wm1Rc"
     r = secrets.find_secrets(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    clash = secrets.find_secrets(spark.createDataFrame([(1, t, 5)], "doc_id long, text string, _text int").selectExpr("*", "6 as _seen", "7 as _base64", "8 as _upper")).first()
+    assert (clash._text, clash._seen, clash._base64, clash._upper, clash.entropy) == (5, 6, 7, 8, r.entropy)
     assert [s.text for s in r.entropy] == ["q7Fz0Lk2Xp9Vb4Tn8Wm1Rc6Y"]
 
 

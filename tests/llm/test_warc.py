@@ -56,3 +56,23 @@ def test_members_are_gzip_of_their_own_and_indexed(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive(df).count() == 0
+
+
+def test_records_are_warc(spark):
+    """A true target URI, an HTTP block, and lengths and digests that hold."""
+    urls = ["http://a/b?c=d&e=%20f#g", "http://a/ä b", "u\r\nx: y", "http://a/100%", None]
+    df = spark.createDataFrame([(i, u, f"<p>{i}</p>" + "x" * 2000 * (i > 2)) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    got = {r.page_id: r.url for r in warc.archive(df, folder).collect()}
+    assert got == dict(enumerate(urls))
+    import glob
+
+    seen = {}
+    for path in glob.glob(f"{folder}/members/*.warc.gz"):
+        for head, block in warc.RecordStream(open(path, "rb")):
+            h = warc.fields(head)
+            http, _, payload = block.partition(b"\r\n\r\n")
+            assert h["content-type"] == "application/http; msgtype=response" and http.startswith(b"HTTP/1.1 200 OK\r\n")
+            assert int(h["content-length"]) == len(block) and h["warc-payload-digest"] == "sha1:" + hashlib.sha1(payload).hexdigest()
+            seen[warc._page(h["warc-record-id"])] = h.get("warc-target-uri")
+    assert seen == {0: urls[0], 1: "http://a/%C3%A4%20b", 2: "u%0D%0Ax:%20y", 3: "http://a/100%25", 4: None}
