@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoptrail.llm.scratch import materialize
+from hoptrail.llm.scratch import materialize, release
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -16,6 +16,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     log(n) rounds. Every round is written to the shared folder.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    seen = None
     for _ in range(most_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -23,12 +24,13 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         paired = large.join(smallest, "u")
         small = paired.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(paired.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        after = materialize(small, "edges")
-        same = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = after
-        if same:
+        edges = materialize(small, "edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
             break
+        seen = now
     else:
         raise RuntimeError("components did not settle")
+    release(links.sparkSession)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()

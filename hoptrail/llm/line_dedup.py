@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from hoptrail.functions.arrays import running_sums
 from hoptrail.functions.fence import fenced
-from hoptrail.llm.scratch import looked_up, materialize
+from hoptrail.llm.scratch import looked_up, materialize, release
 
 WORD = r"[^\x20\x09-\x0D]"
 CLASS = ["k1", "k2"]
@@ -112,6 +112,7 @@ def _dropped(lines: DataFrame, near_chars: int) -> DataFrame:
     keys = F.when(length >= near_chars, F.array(*[s[0] for s in _segments(F.col("line"), length, 2)]))
     placed = materialize(lines.select("d", "r", "p", *CLASS, keys.alias("keys")), "lines")
     suspects = _suspects(lines, placed)
+    release(lines.sparkSession)
     repeated = placed.groupBy(*CLASS).agg(F.count("*").alias("n")).filter("n > 1").select(*CLASS)
     asked = materialize(repeated.unionByName(suspects.select(*CLASS)).distinct(), "asked")
     found = materialize(looked_up(placed.select("d", "r", "p", *CLASS), asked, CLASS, "inner"), "found")
@@ -119,6 +120,7 @@ def _dropped(lines: DataFrame, near_chars: int) -> DataFrame:
     near = _near(suspects, firsts).withColumn("near", F.lit(True))
     marked = materialize(firsts.join(near, CLASS, "left"), "marked")
     gone = looked_up(found, marked, CLASS, "inner").filter(F.col("near").isNotNull() | (F.struct("d", "r", "p") != F.col("first")))
+    release(lines.sparkSession)
     return materialize(gone.groupBy(F.col("d").alias("_d"), F.col("r").alias("_r")).agg(F.collect_set("p").alias("gone")), "gone")  # one document's lines
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hoptrail.llm.components import connected_components
-from hoptrail.llm.scratch import bounded_batches, broadcast_within, materialize
+from hoptrail.llm.scratch import bounded_batches, broadcast_within, looked_up, materialize, release
 from hoptrail.llm.words import SPACED, U, hashed_words, mix, slices, string_buffers
 
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -270,8 +270,8 @@ class NearDedup:
         """The rows of buckets that hold several components of the links so far, with the components as labels."""
         labels = materialize(connected_components(links), f"{name}-labels")
         marked = buckets.drop("label").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
-        several = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-        return materialize(marked.join(several, "key"), f"{name}-mixed")
+        several = materialize(marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key"), f"{name}-several")
+        return materialize(looked_up(marked, several, ["key"], "inner"), f"{name}-mixed")
 
     def links(self) -> DataFrame:
         """Confirmed links between class representatives that connect every component."""
@@ -289,6 +289,7 @@ class NearDedup:
         ids = materialize(self.mixed(left, links, "second").select("rep", "label").distinct(), "mixed-ids")
         sets = self.sets_of(ids.select(F.col("rep").alias("doc_id"))).groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles"))
         rest = self.across(materialize(sets.join(ids, "rep"), "mixed-sets"))
+        release(self.docs.sparkSession)
         return links.unionByName(self.confirm(materialize(self.near(rest.join(tested, ["a", "b"], "left_anti"), sketches), "rest"), "rest"))
 
     def keyed(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -24,6 +24,11 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop broadcasts and shuffle files of finished steps: it acts once the driver has collected what refers to them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
     """``df``, a written table, marked for broadcast only when it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

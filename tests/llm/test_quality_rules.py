@@ -73,10 +73,10 @@ def test_query(spark):
 def test_clashing_names_and_contradicting_labels(spark):
     names = ["_words", "_lines", "_hashes", "_windows", "_n_lines", "_n_short", "_some", "_sorted", "_same", "_starts", "_row"]
     docs = spark.createDataFrame([(i, f"some words {i} " * (1 + i % 7)) for i in range(40)], "doc_id long, text string")
-    given = docs.select("*", *[quality_rules.F.lit(k).alias(n) for k, n in enumerate(names)])
-    for r in quality_rules.judge(given, quality_rules.DecisionList()).collect():
+    given = docs.select("*", *[q.F.lit(k).alias(n) for k, n in enumerate(names)])
+    for r in q.judge(given, q.DecisionList()).collect():
         assert [r[n] for n in names] == list(range(len(names))) and r.n_words == len(r.text.split())
     labels = spark.createDataFrame([(i, q) for i in range(40) for q in ([0, 1] if i % 5 == 0 else [1])], "doc_id long, quality int")
-    assert quality_rules.keep_good(given, labels).columns == given.columns
-    first, again = (str([str(x) for x in quality_rules.learn(docs, d).rules]) for d in (labels, labels.orderBy("quality", "doc_id").repartition(3)))
+    assert q.keep_good(given, labels).columns == given.columns
+    first, again = (str([str(x) for x in q.learn(docs, d).rules]) for d in (labels, labels.orderBy("quality", "doc_id").repartition(3)))
     assert first == again
