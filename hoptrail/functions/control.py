@@ -17,12 +17,26 @@ WORDS = [
     (0xFFFFFC1F, 0xD61F0000, "indirect_branch"),
     (0xFFFFFC1F, 0xD63F0000, "indirect_call"),
     (0xFFFFFC1F, 0xD65F0000, "return"),
-    (0xFFFFFBFF, 0xD65F0BFF, "return"),
-    (0xFFFFFBFF, 0xD69F03E0, "exception_return"),
-    (0xFF000000, 0xD4000000, "exception_instruction"),
+    (0xFFFFFFFF, 0xD65F0BFF, "return"),
+    (0xFFFFFFFF, 0xD65F0FFF, "return"),
+    (0xFFFFFFFF, 0xD69F03E0, "exception_return"),
+    (0xFFFFFFFF, 0xD6BF03E0, "exception_return"),
+    (0xFFFFFFFF, 0xD69F0BFF, "exception_return"),
+    (0xFFFFFFFF, 0xD69F0FFF, "exception_return"),
+    (0xFFE0001F, 0xD4000001, "exception_instruction"),
+    (0xFFE0001F, 0xD4000002, "exception_instruction"),
+    (0xFFE0001F, 0xD4000003, "exception_instruction"),
+    (0xFFE0001F, 0xD4200000, "exception_instruction"),
+    (0xFFE0001F, 0xD4400000, "exception_instruction"),
+    (0xFFFFF81F, 0xD61F081F, "indirect_branch"),
+    (0xFFFFF800, 0xD71F0800, "indirect_branch"),
+    (0xFFFFF81F, 0xD63F081F, "indirect_call"),
+    (0xFFFFF800, 0xD73F0800, "indirect_call"),
 ]
 #: Rank of confidences.
 RANKS = {"low": 1, "medium": 2, "high": 3}
+#: Statuses of ranges whose target is known, and of those that still are evidence.
+NORMAL = ("resolved", "target_resolved")
 EVIDENCE = ("resolved", "target_resolved", "conflict", "target_unknown", "target_unresolved")
 
 
@@ -86,20 +100,26 @@ def confidence_rank(confidence: Column) -> Column:
     return out
 
 
-def target_quality(status: Column, kind: Column, source: Column, confidence: Column, next_pc: Column, hint_matches: Column, speculative: Column) -> dict[str, Column]:
-    """source, confidence and validity of an edge's target."""
-    sure = hint_matches & ~speculative
+def target_quality(status: Column, kind: Column, source: Column, confidence: Column, next_pc: Column, next_start: Column, next_speculative: Column) -> dict[str, Column]:
+    """Source, confidence and validity of an edge's target; ``next_start`` is where the range after it starts."""
+    confirmed = F.coalesce((next_pc == next_start) & ~F.coalesce(next_speculative, F.lit(False)), F.lit(False))
     made = F.coalesce(
         source,
-        F.when(sure, "next_range")
+        F.when(confirmed, "next_range")
         .when(status == "target_resolved", "address_packet")
         .when(status.isin("target_unresolved", "target_unknown", "conflict"), "unknown")
         .when(kind == "return", "software_return_stack")
         .when(kind.isin("indirect_branch", "indirect_call"), "unknown")
         .otherwise("static"),
     )
-    rated = F.when(sure, "confirmed").otherwise(F.coalesce(confidence, F.when(status.isin("target_unresolved", "target_unknown"), "unresolved").when(status == "conflict", "conflict").when(speculative | (made == "software_return_stack"), "speculative").otherwise("exact")))
-    return {"target_source": made, "confidence": rated, "target_valid": next_pc.isNotNull() & status.isin("resolved", "target_resolved") & rated.isin("exact", "confirmed")}
+    by_source = (
+        F.when(status.isin("target_unresolved", "target_unknown") | (made == "unknown"), "unresolved")
+        .when(status == "conflict", "conflict")
+        .when(made == "software_return_stack", "speculative")
+        .otherwise("exact")
+    )
+    rated = F.when(confirmed, "confirmed").otherwise(F.coalesce(confidence, by_source))
+    return {"target_source": made, "confidence": rated, "target_valid": next_pc.isNotNull() & status.isin(*NORMAL) & rated.isin("exact", "confirmed")}
 
 
 def edge_class(flow: Column, conditional: Column, computed: Column, follows_call: Column) -> Column:
@@ -113,16 +133,30 @@ def edge_class(flow: Column, conditional: Column, computed: Column, follows_call
     )
 
 
-def is_return(mnemonic: Column, operands: Column) -> Column:
-    """Whether an instruction of some architecture returns."""
-    name, args = F.upper(mnemonic), F.upper(F.regexp_replace(operands, r"\s", ""))
-    return (
-        name.isin("RET", "RETF", "RETN", "RETAA", "RETAB", "ERET", "BLR_RET")
-        | (name.isin("BX", "BR") & (args == "LR"))
-        | (name.isin("JR") & args.isin("RA", "$RA"))
-        | (name.isin("POP", "LDM") & args.contains("PC"))
-        | ((name == "MOV") & args.isin("PC,LR"))
+#: Mnemonics of returns and of returns from exceptions, in any architecture.
+RETURNS = ["RET", "RETN", "RETF"]
+EXCEPTION_RETURNS = ["IRET", "IRETD", "IRETQ", "ERET", "RFI", "RFID"]
+
+
+def return_kind(mnemonic: Column, operands: Column, returns_by_semantics: Column) -> dict[str, Column]:
+    """kind and method of an instruction's return, empty for others; ``operands`` is an array of texts."""
+    name, args = F.upper(mnemonic), F.transform(operands, lambda x: F.upper(x))
+    first, second = F.coalesce(F.get(args, F.lit(0)), F.lit("")), F.coalesce(F.get(args, F.lit(1)), F.lit(""))
+    link = lambda x: x.contains("LR") | x.contains("X30")
+    by_operand = (
+        F.when(name.isin("BX", "BR"), link(first))
+        .when(name == "JR", first.contains("$RA") | (F.trim(first) == "RA"))
+        .when(name == "POP", F.exists(args, lambda x: x.contains("PC")))
+        .when(name == "MOV", first.contains("PC") & link(second))
+    )
+    method = (
+        F.when(name.isin(*EXCEPTION_RETURNS), "exception_mnemonic")
+        .when(F.coalesce(returns_by_semantics, F.lit(False)), "pcode")
+        .when(name.isin(*RETURNS), "return_mnemonic")
+        .when(by_operand, "operand_heuristic")
+        .otherwise("")
     )
+    return {"kind": F.when(method == "exception_mnemonic", "exception_return").when(method != "", "return").otherwise(""), "method": method}
 
 
 def score(mode: str, dst_prob: Column, ctrl_prob: Column, transition_valid: Column, control_valid: Column, target_valid: Column, weight: float = 0.2) -> dict[str, Column]:

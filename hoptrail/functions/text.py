@@ -9,7 +9,7 @@ from hoptrail.functions.literals import UNKNOWN, clean_value, parse_int
 
 SYMBOL = r"^(.+?)(~?\+)(0[xX][0-9a-fA-F]+|[0-9]+)$"
 #: Prefixes of generated names that carry an address.
-GENERATED = ["FUN", "LAB", "DAT", "SUB", "PTR", "UNK", "s", "switchD", "caseD", "thunk_FUN"]
+GENERATED = ["FUN", "LAB", "DAT", "PTR", "UNK", "SUB", "switchD", "caseD", "off"]
 FLUSH, TRACE_ON, DISCARD = "Conditional flush", "TraceOn", "Discard"
 
 
@@ -63,8 +63,30 @@ def key_values(text: Column, keys: tuple[str, ...]) -> dict[str, Column]:
     return {k: last(k) for k in keys}
 
 
+#: The forms of packets and context fields in decoded traces.
+ADDRESS = r"Address - Instruction address\s+(0x[0-9a-fA-F]+),\s*Instruction set\s+(\S+)"
+CONTEXT_ID = r"Context ID\s*=\s*(0x[0-9a-fA-F]+)"
+VMID = r"VMID\s*=\s*(0x[0-9a-fA-F]+)"
+EXCEPTION_LEVEL = r"Exception level\s*=\s*(EL\d)"
+SECURITY = r"Security\s*=\s*([^,\s]+)"
+TIMESTAMP = r"Timestamp\s*-\s*(\d+)"
+ATOM = r"^ATOM\s*-\s*([EN]+)\s*$"
+COMMIT = r"^Commit\s*-\s*(\d+)\s*$"
+CANCEL = r"^Cancel\s*-\s*(\d+)(?:.*)?$"
+EXCEPTION = r"^Exception(?:\s*-\s*(.*))?$"
+EXCEPTION_TYPE = r"(?i)exception type\s+([^,]+)"
+EXCEPTION_ADDRESS = r"(?i)\baddress\s+(0x[0-9a-fA-F]+)"
+
+
+def _found(text: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match, null without one."""
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+
+
 def exception_fields(text: Column) -> dict[str, Column]:
-    return {"type": F.nullif(F.regexp_extract(text, r"(?i)exception(?: type)?\s*[:=]\s*([A-Za-z0-9_ ]+)", 1), F.lit("")), "address": parse_int(F.nullif(F.regexp_extract(text, r"(?i)(?:address|addr|ret addr)\s*[:=]?\s*(0x[0-9a-f]+)", 1), F.lit("")))}
+    """Type and address of an exception packet; both null when it has no detail."""
+    detail = F.when(text.rlike(EXCEPTION), F.regexp_extract(text, EXCEPTION, 1)).otherwise(text)
+    return {"type": F.trim(_found(detail, EXCEPTION_TYPE)), "address": parse_int(_found(detail, EXCEPTION_ADDRESS))}
 
 
 def packet_kind(line: Column) -> Column:
@@ -93,16 +115,16 @@ def packet_kind(line: Column) -> Column:
 
 def packet_fields(line: Column) -> dict[str, Column]:
     """Fields that lines of the kinds above may carry."""
-    found = lambda pattern: F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
     return {
-        "trace_id": parse_int(found(r"(?i)\bID\s+(0x[0-9a-f]+|[0-9]+)")),
-        "address": parse_int(found(r"(?i)(?:address|addr)\D*?(0x[0-9a-f]+)")),
-        "isa": found(r"(?i)\b(A64|A32|T32|AArch64|AArch32)\b"),
-        "context_id": parse_int(found(r"(?i)context id\D*?(0x[0-9a-f]+|[0-9]+)")),
-        "vmid": parse_int(found(r"(?i)vmid\D*?(0x[0-9a-f]+|[0-9]+)")),
-        "el": found(r"\b(EL[0-3])\b"),
-        "security": found(r"(?i)\b((?:non-)?secure)\b"),
-        "timestamp": parse_int(found(r"(?i)timestamp\D*?(0x[0-9a-f]+|[0-9]+)")),
-        "atoms": found(r"ATOM\s*-?\s*([EN]+)"),
-        "count": parse_int(found(r"(?i)(?:commit|cancel)\D*?([0-9]+)")),
+        "trace_id": parse_int(_found(line, r"(?i)\bID\s+(0x[0-9a-f]+|[0-9]+)")),
+        "address": F.coalesce(parse_int(_found(line, ADDRESS)), exception_fields(line)["address"]),
+        "isa": F.coalesce(_found(line, ADDRESS, 2), _found(line, r"\b(AArch64|AArch32|A64|A32|T32)\b")),
+        "context_id": parse_int(_found(line, CONTEXT_ID)),
+        "vmid": parse_int(_found(line, VMID)),
+        "el": _found(line, EXCEPTION_LEVEL),
+        "security": _found(line, SECURITY),
+        "timestamp": parse_int(_found(line, TIMESTAMP)),
+        "atoms": _found(line, ATOM),
+        "count": parse_int(F.coalesce(_found(line, COMMIT), _found(line, CANCEL))),
+        "exception_type": exception_fields(line)["type"],
     }

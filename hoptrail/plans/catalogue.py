@@ -197,11 +197,11 @@ def q_hex_format(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey & 1 <> 0 THEN 'r' ELSE '-' END || CASE WHEN o_orderkey & 2 <> 0 THEN 'w' ELSE '-' END || CASE WHEN o_orderkey & 4 <> 0 THEN 'x' ELSE '-' END AS perms,
-CASE o_orderkey % 5 WHEN 0 THEN 'direct_call' WHEN 1 THEN 'direct_branch' WHEN 2 THEN 'conditional_branch' WHEN 3 THEN 'return' ELSE 'normal' END AS kind FROM orders""")
+CASE o_orderkey % 12 WHEN 0 THEN 'direct_call' WHEN 1 THEN 'direct_branch' WHEN 2 THEN 'conditional_branch' WHEN 3 THEN 'return' WHEN 5 THEN 'exception_return' WHEN 6 THEN 'normal' WHEN 7 THEN 'indirect_branch' WHEN 8 THEN 'indirect_call' WHEN 9 THEN 'return' WHEN 10 THEN 'exception_instruction' ELSE 'normal' END AS kind FROM orders""")
 def q_bitmask_classify(spark, sf_dir):
     k = F.col("o_orderkey")
     flags = k.bitwiseAND(1) * 4 + k.bitwiseAND(2) + F.shiftright(k.bitwiseAND(4), 2)
-    words = F.element_at(F.array(*[F.lit(x) for x in (0x94000000, 0x14000000, 0x54000000, 0xD65F03C0, 0xD503201F)]), (k % 5 + 1).cast("int"))
+    words = F.element_at(F.array(*[F.lit(x) for x in (0x94000000, 0x14000000, 0x54000000, 0xD65F03C0, 0xD503201F, 0xD6BF03E0, 0xD4A00001, 0xD71F0822, 0xD73F0C22, 0xD65F0FFF, 0xD4000001, 0xD4000000)]), (k % 12 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select(k, literals.permission_text(flags).alias("perms"), control.instruction_kind(words).alias("kind"))
 
 
@@ -228,9 +228,10 @@ def q_symbol_split(spark, sf_dir):
     return p.select("p_partkey", "symbol", found["name"].alias("name"), found["offset"].alias("off"), found["relation"].alias("relation"))
 
 
-@query("""SELECT p_partkey, 'mov FUN_<ADDR>, ' || p_brand AS clean FROM part""")
+@query("""SELECT p_partkey, 'mov FUN_<ADDR>, off_<ADDR>, s_' || lower(printf('%x', p_partkey)) || ', ' || p_brand AS clean FROM part""")
 def q_autosym_normalize(spark, sf_dir):
-    raw = F.concat(F.lit("mov  FUN_00"), F.lower(F.hex("p_partkey")), F.lit(",\t "), F.col("p_brand"), F.lit(" "))
+    hexed = F.lower(F.hex("p_partkey"))
+    raw = F.concat(F.lit("mov  FUN_00"), hexed, F.lit(", off_"), hexed, F.lit(", s_"), hexed, F.lit(",\t "), F.col("p_brand"), F.lit(" "))
     return table(spark, sf_dir, "part").select("p_partkey", text.normalise_instruction(raw).alias("clean"))
 
 
@@ -376,23 +377,29 @@ def q_layout_hash(spark, sf_dir):
     return graph.ordered_hash(table(spark, sf_dir, "lineitem"), ["l_orderkey"], part, "layout_hash")
 
 
-WL_STEP = """i{t} AS (SELECT e.g, e.dst AS node, string_agg(e.type || ':' || c.colour, ',' ORDER BY e.type || ':' || c.colour) AS s FROM e JOIN c{p} c ON c.g = e.g AND c.node = e.src GROUP BY ALL),
-o{t} AS (SELECT e.g, e.src AS node, string_agg(e.type || ':' || c.colour, ',' ORDER BY e.type || ':' || c.colour) AS s FROM e JOIN c{p} c ON c.g = e.g AND c.node = e.dst GROUP BY ALL),
-c{t} AS (SELECT c.g, c.node, CASE WHEN rounds >= {t} THEN sha256(c.colour || '|' || coalesce(i.s, '') || '|' || coalesce(o.s, '')) ELSE c.colour END AS colour, rounds FROM c{p} c LEFT JOIN i{t} i USING (g, node) LEFT JOIN o{t} o USING (g, node))"""
+#: The unit separator between the parts of a hash.
+SEP = "chr(31)"
+WL_STEP = f"""i{{t}} AS (SELECT e.g, e.dst AS node, string_agg(e.type || ':' || c.colour, {SEP} ORDER BY e.type || ':' || c.colour) AS s FROM e JOIN c{{p}} c ON c.g = e.g AND c.node = e.src GROUP BY ALL),
+o{{t}} AS (SELECT e.g, e.src AS node, string_agg(e.type || ':' || c.colour, {SEP} ORDER BY e.type || ':' || c.colour) AS s FROM e JOIN c{{p}} c ON c.g = e.g AND c.node = e.dst GROUP BY ALL),
+c{{t}} AS (SELECT c.g, c.node, CASE WHEN rounds >= {{t}} THEN sha256(c.colour || {SEP} || 'IN' || coalesce({SEP} || i.s, '') || {SEP} || 'OUT' || coalesce({SEP} || o.s, '')) ELSE c.colour END AS colour, rounds FROM c{{p}} c LEFT JOIN i{{t}} i USING (g, node) LEFT JOIN o{{t}} o USING (g, node))"""
 
 
 @query(
     f"""WITH e AS (SELECT DISTINCT l_orderkey % 40 AS g, l_partkey % 12 AS src, l_suppkey % 12 AS dst, l_returnflag AS type FROM lineitem),
 n AS (SELECT g, src AS node FROM e UNION SELECT g, dst FROM e),
-c0 AS (SELECT g, node, sha256(CASE WHEN node = 0 THEN 'ENTRY' ELSE 'NODE' END) AS colour, least(count(*) OVER (PARTITION BY g), 2) AS rounds FROM n),
-{WL_STEP.format(t=1, p=0)}, {WL_STEP.format(t=2, p=1)}
-SELECT g, sha256(string_agg(colour, chr(10) ORDER BY colour)) AS fingerprint FROM c2 GROUP BY g"""
+di AS (SELECT g, dst AS node, count(*) AS i FROM e GROUP BY ALL), dout AS (SELECT g, src AS node, count(*) AS o FROM e GROUP BY ALL),
+c0 AS (SELECT g, node, sha256(CASE WHEN node = 0 THEN 'ENTRY' ELSE 'NODE' END || {SEP} || 'flow' || {SEP} || coalesce(i, 0) || {SEP} || coalesce(o, 0)) AS colour, least(count(*) OVER (PARTITION BY g), 8) AS rounds FROM n LEFT JOIN di USING (g, node) LEFT JOIN dout USING (g, node)),
+{", ".join(WL_STEP.format(t=t, p=t - 1) for t in range(1, 9))},
+a AS (SELECT g, count(*) AS n, string_agg(colour, {SEP} ORDER BY colour) AS s FROM c8 GROUP BY g),
+t AS (SELECT e.g, x.colour || ':' || e.type || ':' || y.colour AS line FROM e JOIN c8 x ON x.g = e.g AND x.node = e.src JOIN c8 y ON y.g = e.g AND y.node = e.dst),
+b AS (SELECT g, count(*) AS n, string_agg(line, {SEP} ORDER BY line) AS s FROM t GROUP BY g)
+SELECT g, sha256('NODES' || {SEP} || a.n || {SEP} || a.s || {SEP} || 'EDGES' || {SEP} || b.n || {SEP} || b.s) AS fingerprint FROM a JOIN b USING (g)"""
 )
 def q_wl_fingerprint(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     e = li.select((F.col("l_orderkey") % 40).alias("g"), (F.col("l_partkey") % 12).alias("src"), (F.col("l_suppkey") % 12).alias("dst"), F.col("l_returnflag").alias("type")).distinct()
     n = e.select("g", F.col("src").alias("node")).union(e.select("g", "dst")).distinct()
-    return graph.fingerprint(n, e, "g", F.when(F.col("node") == 0, "ENTRY").otherwise("NODE"), rounds=2, triples=False)
+    return graph.fingerprint(n, e, "g", [F.when(F.col("node") == 0, "ENTRY").otherwise("NODE"), F.lit("flow")])
 
 
 VERSIONS = """o AS (SELECT p_partkey AS oid, p_brand || (p_partkey % 40) AS name, p_type AS sig FROM part WHERE p_partkey % 2 = 0), n AS (SELECT p_partkey AS nid, p_brand || (p_partkey % 40 - 1) AS name, p_type AS sig FROM part WHERE p_partkey % 2 = 1)"""

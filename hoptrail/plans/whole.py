@@ -14,12 +14,11 @@ from hoptrail.operators import graph, joins
 
 
 def q_wl_fingerprint_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graphs of 12 nodes by all rounds of refinement and their edge triples; nodes start from their degrees, too."""
+    """Graphs of 12 nodes whose nodes carry a hash of their own, by all rounds of refinement."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     e = li.select((F.col("l_orderkey") % 40).alias("g"), (F.col("l_partkey") % 12).alias("src"), (F.col("l_suppkey") % 12).alias("dst"), F.col("l_returnflag").alias("type")).distinct()
-    ends = e.select("g", F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(e.select("g", F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    n = ends.groupBy("g", "node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-    return graph.fingerprint(n, e, "g", F.concat_ws("|", F.when(F.col("node") == 0, "ENTRY").otherwise("NODE"), "i", "o"))
+    n = e.select("g", F.col("src").alias("node")).union(e.select("g", "dst")).distinct()
+    return graph.fingerprint(n, e, "g", [F.when(F.col("node") == 0, "ENTRY").otherwise("NODE"), F.lit("flow"), (F.col("node") % 3).cast("string")])
 
 
 def q_neighbor_propagate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:

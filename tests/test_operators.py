@@ -32,10 +32,42 @@ def test_words_and_targets(spark):
 
 
 def test_packets(spark):
-    lines = spark.createDataFrame([(1, "ATOM - EEN"), (2, "Address - 0x7f00, A64"), (3, "Exception return"), (4, "Timestamp: 0x10")], "line_no long, line string")
+    lines = spark.createDataFrame([(1, "ATOM - EEN"), (2, "Address - Instruction address 0x7f00, Instruction set AArch64"), (3, "Exception return"), (4, "Timestamp - 16"), (5, "Exception - exception type 0x1, address 0x7f04"), (6, "Cancel - 3 (speculation)"), (7, "Context ID = 0x2a, VMID = 0x1, Exception level = EL1, Security = NS"), (8, "Exception")], "line_no long, line string")
     got = traces.packets(lines).orderBy("line_no").collect()
-    assert [r.kind for r in got] == ["atom", "address", "exception_return", "timestamp"]
-    assert (got[0].p_atoms, got[1].p_address, got[1].p_isa, got[3].p_timestamp) == ("EEN", 0x7F00, "A64", 16)
+    assert [r.kind for r in got] == ["atom", "address", "exception_return", "timestamp", "exception", "cancel", "context", "exception"]
+    assert (got[0].p_atoms, got[1].p_address, got[1].p_isa, got[3].p_timestamp) == ("EEN", 0x7F00, "AArch64", 16)
+    assert (got[4].p_exception_type, got[4].p_address, got[5].p_count) == ("0x1", 0x7F04, 3)
+    assert (got[6].p_context_id, got[6].p_vmid, got[6].p_el, got[6].p_security) == (42, 1, "EL1", "NS")
+    assert (got[7].p_exception_type, got[7].p_address) == (None, None)
+
+
+def test_returns(spark):
+    rows = [("BR", ["X30"], None, "return", "operand_heuristic"), ("BX", ["LR"], None, "return", "operand_heuristic"), ("MOV", ["PC", "X30"], None, "return", "operand_heuristic"), ("LDM", ["SP", "{PC}"], None, "", ""), ("POP", ["{R4", "PC}"], None, "return", "operand_heuristic"), ("IRET", [], None, "exception_return", "exception_mnemonic"), ("retaa", [], True, "return", "pcode"), ("BLR_RET", [], None, "", ""), ("ret", [], None, "return", "return_mnemonic"), ("JR", ["$RA"], None, "return", "operand_heuristic"), (None, None, None, "", "")]
+    df = spark.createDataFrame(rows, "m string, o array<string>, p boolean, kind string, method string")
+    found = control.return_kind(F.col("m"), F.col("o"), F.col("p"))
+    for r in df.select("*", found["kind"].alias("k"), found["method"].alias("w")).collect():
+        assert (r.k, r.w) == (r.kind, r.method), r
+
+
+def test_target_quality(spark):
+    """Every branch of the rule."""
+    rows = [
+        ("resolved", "direct_branch", None, None, 8, None, False, "static", "exact", True),
+        ("resolved", "indirect_branch", None, None, 8, None, False, "unknown", "unresolved", False),
+        ("resolved", "return", None, None, 8, None, False, "software_return_stack", "speculative", False),
+        ("target_resolved", "indirect_call", None, None, 8, None, False, "address_packet", "exact", True),
+        ("target_unresolved", "return", None, None, 8, None, False, "unknown", "unresolved", False),
+        ("conflict", "direct_call", None, None, 8, None, False, "unknown", "unresolved", False),
+        ("conflict", "direct_call", "static", None, 8, None, False, "static", "conflict", False),
+        ("resolved", "indirect_branch", None, None, 8, 8, False, "next_range", "confirmed", True),
+        ("resolved", "return", "software_return_stack", "speculative", 8, 8, False, "software_return_stack", "confirmed", True),
+        ("resolved", "return", "software_return_stack", "speculative", 8, 8, True, "software_return_stack", "speculative", False),
+        ("resolved", "direct_branch", None, None, None, None, False, "static", "exact", False),
+    ]
+    df = spark.createDataFrame(rows, "st string, k string, src string, conf string, pc long, nxt long, spec boolean, source string, confidence string, valid boolean")
+    q = control.target_quality(*[F.col(c) for c in ("st", "k", "src", "conf", "pc", "nxt", "spec")])
+    for r in df.select("*", *[c.alias(f"out_{n}") for n, c in q.items()]).collect():
+        assert (r.out_target_source, r.out_confidence, r.out_target_valid) == (r.source, r.confidence, r.valid), r
 
 
 def test_maps(spark):

@@ -65,11 +65,14 @@ def sha(s):
 
 
 def brute_fingerprint(labels, edges):
-    colours = {v: sha(x) for v, x in labels.items()}
+    """Colours from (mark, flow, more...) and degrees, refined, then hashed with the edges."""
+    joined = lambda parts: sha("\x1f".join(map(str, parts)))
+    ins, outs = Counter(b for _, b, _ in edges), Counter(a for a, _, _ in edges)
+    colours = {v: joined([*x[:2], ins[v], outs[v], *x[2:]]) for v, x in labels.items()}
     for _ in range(min(max(len(labels), 1), 8)):
-        part = lambda v, at, to: ",".join(sorted(f"{e[2]}:{colours[e[to]]}" for e in edges if e[at] == v))  # noqa: B023, E731
-        colours = {v: sha(f"{c}|{part(v, 1, 0)}|{part(v, 0, 1)}") for v, c in colours.items()}
-    return sha("\n".join(["NODES", str(len(labels)), *sorted(colours.values()), "EDGES", str(len(edges)), *sorted(f"{colours[a]}:{t}:{colours[b]}" for a, b, t in edges)]))
+        part = lambda v, at, to: sorted(f"{e[2]}:{colours[e[to]]}" for e in edges if e[at] == v)  # noqa: B023, E731
+        colours = {v: joined([c, "IN", *part(v, 1, 0), "OUT", *part(v, 0, 1)]) for v, c in colours.items()}
+    return joined(["NODES", len(labels), *sorted(colours.values()), "EDGES", len(edges), *sorted(f"{colours[a]}:{t}:{colours[b]}" for a, b, t in edges)])
 
 
 def test_fingerprint_sees_far_and_edges(spark):
@@ -77,10 +80,8 @@ def test_fingerprint_sees_far_and_edges(spark):
     nodes = [(g, i, "mark" if i in (6, 12 + g) else "plain") for g in (0, 1) for i in range(20)] + [(g, i, "plain") for g in (2, 3) for i in range(1)]
     edges = [(g, i, i + 1, "x") for g in (0, 1) for i in range(19)] + [(3, 0, 0, "x")]
     n, e = spark.createDataFrame(nodes, "g long, node long, name string"), spark.createDataFrame(edges, "g long, src long, dst long, type string")
-    short = {r.g: r.fingerprint for r in graph.fingerprint(n, e, "g", F.col("name"), rounds=2, triples=False).collect()}
-    assert short[0] == short[1]
-    got = {r.g: r.fingerprint for r in graph.fingerprint(n, e, "g", F.col("name")).collect()}
-    want = {g: brute_fingerprint({v: x for h, v, x in nodes if h == g}, [(a, b, t) for h, a, b, t in edges if h == g]) for g in range(4)}
+    got = {r.g: r.fingerprint for r in graph.fingerprint(n, e, "g", [F.lit("NODE"), F.lit("f"), F.col("name")]).collect()}
+    want = {g: brute_fingerprint({v: ("NODE", "f", x) for h, v, x in nodes if h == g}, [(a, b, t) for h, a, b, t in edges if h == g]) for g in range(4)}
     assert got == want and len(set(got.values())) == 4
 
 
@@ -89,6 +90,21 @@ def test_fingerprint_query(spark):
     want = {}
     for g in {r[0] for r in rows}:
         edges = [r[1:] for r in rows if r[0] == g]
-        ins, outs = Counter(b for _, b, _ in edges), Counter(a for a, _, _ in edges)
-        want[g] = brute_fingerprint({v: f"{'NODE' if v else 'ENTRY'}|{ins[v]}|{outs[v]}" for v in {*ins, *outs}}, edges)
+        want[g] = brute_fingerprint({v: ("NODE" if v else "ENTRY", "flow", v % 3) for v in {x for e in edges for x in e[:2]}}, edges)
     assert {r.g: r.fingerprint for r in whole.q_wl_fingerprint_whole(spark, SF).collect()} == want
+
+
+def test_four_hashes(spark):
+    """Layout in order of offsets and of edges; topology, mnemonic and instruction hashes; a function without blocks."""
+    blocks = [("f", "b1", 0, 8, 2, "jump", "m1", "i1"), ("f", "b2", 8, 4, 1, "terminal", "m2", "i2"), ("f", "b0", 100, 4, 1, "terminal", "m2", "i3")]
+    edges = [("f", "b1", "b2", "fallthrough"), ("f", "b1", "b0", "conditional_taken")]
+    b = spark.createDataFrame(blocks, "function string, block string, relative_offset long, address_count long, instruction_count long, terminal_flow string, mnemonic_hash string, instruction_hash string")
+    e = spark.createDataFrame(edges, "function string, src string, dst string, type string")
+    got = {r.function: r for r in graph.cfg_hashes(spark.createDataFrame([("f",), ("none",)], "function string"), b, e).collect()}
+    at = {x[1]: x for x in blocks}
+    layout = [f"B:{x[2]}:{x[3]}:{x[4]}" for x in sorted(blocks, key=lambda x: x[2])] + [f"E:{at[s][2]}:{at[d][2]}:{t}" for _, s, d, t in sorted(edges)]
+    assert got["f"].layout_hash == sha("\x1f".join(layout))
+    for name, more in (("topology_hash", 8), ("mnemonic_hash", 6), ("instruction_hash", 7)):
+        want = brute_fingerprint({x[1]: ("NODE" if x[2] else "ENTRY", x[5], *x[more : more + 1]) for x in blocks}, [x[1:] for x in edges])
+        assert got["f"][name] == want
+        assert got["none"][name] == sha("EMPTY_GRAPH")
