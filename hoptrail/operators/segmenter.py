@@ -3,16 +3,18 @@
 A range waits until it is known where control went; it then becomes an edge of
 the open segment. Breaks close the segment. Under the evidence policy, doubtful
 steps become edges with invalid targets and gap tokens; under the strict policy
-they break.
+they break. The machine says only what it has seen around an edge; what a
+target is worth follows from ``control.target_quality``, in columns.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from hoptrail.functions.control import EVIDENCE
+from hoptrail.functions.control import EVIDENCE, target_quality
 from hoptrail.functions.literals import ELF, GAP, OPAQUE, UNKNOWN, UNKNOWN_TARGET
 from hoptrail.operators.sequential import Machine, run_machines
 
@@ -21,7 +23,9 @@ TOKEN = (
     "dst_address:string,instruction_count:long,status:string,reason:string,target_source:string,confidence:string,target_valid:boolean,"
     "control_valid:boolean,continuity:string,path_confidence:string,return_stack_match:boolean,expected_pc:string,observed_pc:string>"
 )
-SCHEMA = f"segment_id long, first_event long, length int, break_reason string, tokens array<{TOKEN}>"
+#: What the machine says of an edge, from which its target's quality follows.
+SEEN = "struct<forced:string,next_pc:long,next_start:long,next_speculative:boolean>"
+SCHEMA = f"segment_id long, first_event long, length int, break_reason string, tokens array<struct<token:{TOKEN},seen:{SEEN}>>"
 CUT = {"address-not-in-maps", "address-in-non-executable-map"}
 PARTIAL = {"conflict", "target_unknown", "target_unresolved"}
 
@@ -49,15 +53,21 @@ def base(path: str | None) -> str | None:
     return path.rsplit("/", 1)[-1] if path and not path.startswith("[") else None
 
 
+def context_of(row: dict) -> tuple:
+    return tuple(row.get(c) for c in ("context_id", "vmid", "el", "security", "isa"))
+
+
 @dataclass
 class Range:
     row: dict
     module: str | None
     start: int | None
     end: int | None
+    elf_start: int | None
+    elf_end: int | None
     next_pc: int | None
     confidence: str | None
-    confirmed_by: str | None = None
+    context: tuple | None = None
 
     @property
     def waypoint(self) -> dict:
@@ -67,6 +77,11 @@ class Range:
     def speculative(self) -> bool:
         return self.row.get("path_confidence") == "speculative"
 
+    @property
+    def doubtful(self) -> bool:
+        """Whether its target was foretold, not seen."""
+        return self.speculative or self.row.get("target_source") == "software_return_stack"
+
 
 @dataclass
 class Segmenter(Machine):
@@ -75,9 +90,10 @@ class Segmenter(Machine):
     strict: bool = False
     targets: frozenset = frozenset()
     least: int = 1
-    context: tuple | None = None
+    context: tuple = (None,) * 5
     trace_id: str | None = None
     module: str | None = None
+    default_module: str | None = None
     pending: Range | None = None
     tokens: list = field(default_factory=list)
     after_gap: bool = False
@@ -94,15 +110,32 @@ class Segmenter(Machine):
             self.on_range(row)
         elif kind == "address":
             self.on_address(row)
+        elif kind == "header":
+            names = [n for n in row.get("modules") or [] if n]
+            if len(names) == 1:
+                self.default_module = self.module = names[0]
         elif kind == "trace_stream":
             if row.get("trace_id") != self.trace_id:
-                self.cut("trace_stream")
-            self.trace_id = row.get("trace_id")
+                self.cut("trace_stream_change")
+            self.trace_id = row.get("trace_id") or self.trace_id
         elif kind == "context":
-            self.on_context(row, forget_trace=True)
-        elif kind in ("flow_gap", "overflow"):
-            self.soft(row.get("reason") or kind, row)
-        elif kind in ("discontinuity", "exception", "exception_return") or (kind == "trace_control" and row.get("reason") != "conditional_flush"):
+            self.on_context(context_of(row))
+            self.trace_id = None
+        elif kind == "flow_gap":
+            why = row.get("reason") or kind
+            if self.strict:
+                self.cut(f"flow_gap:{why}")
+            else:
+                self.soft(why, row)
+        elif kind == "overflow":
+            self.soft(kind, row)
+        elif kind == "discontinuity":
+            self.cut(f"discontinuity:{row.get('reason') or kind}")
+        elif kind == "trace_control":
+            why = row.get("kind") or row.get("reason") or kind
+            if why != "conditional_flush":
+                self.cut(f"trace_control:{why}")
+        elif kind in ("exception", "exception_return"):
             self.cut(kind)
         return self.out
 
@@ -127,21 +160,21 @@ class Segmenter(Machine):
             self.edge(pending)
         self.close(reason)
 
-    def add(self, token: dict) -> None:
+    def add(self, token: dict, seen: dict | None = None) -> None:
         if not self.tokens:
             self.first_event = self.event
-        self.tokens.append(token)
+        self.tokens.append({"token": token, "seen": seen})
 
     def gap(self, reason: str, row: dict, module: str | None = None, function: str = GAP, expected: int | None = None, observed: int | None = None, offset: str | None = None) -> None:
         """A gap token; it grows if one stands there already."""
-        if self.tokens and self.tokens[-1]["kind"] == "flow_gap":
-            last = self.tokens[-1]
+        if self.tokens and self.tokens[-1]["token"]["kind"] == "flow_gap":
+            last = self.tokens[-1]["token"]
             if reason not in last["reason"].split(";"):
                 last["reason"] += f";{reason}"
             return
         place = row.get("pc") or row.get("address") or row.get("runtime_addr")
         wanted = hex(expected) if expected is not None else row.get("pc")
-        self.add({"kind": "flow_gap", "module": module or self.module, "function": function, "function_offset": offset or "0x0", "dst_module": module or self.module, "dst_function": function, "dst_offset": offset or "0x0", "dst_address": place, "status": "gap", "reason": reason, "confidence": "unresolved", "target_valid": False, "control_valid": False, "continuity": "gap", "expected_pc": wanted, "observed_pc": hex(observed) if observed is not None else None})
+        self.add({"kind": "flow_gap", "module": module or self.module, "function": function, "function_offset": offset or "0x0", "dst_module": module or self.module, "dst_function": function, "dst_offset": offset or "0x0", "dst_address": place, "status": "gap", "reason": reason, "target_source": "none", "confidence": "observed", "target_valid": False, "continuity": "continuous", "expected_pc": wanted, "observed_pc": hex(observed) if observed is not None else None})
         self.after_gap = True
 
     def soft(self, reason: str, row: dict, **more) -> None:
@@ -159,13 +192,10 @@ class Segmenter(Machine):
 
     # Events
 
-    def on_context(self, row: dict, forget_trace: bool) -> None:
-        key = tuple(row.get(c) for c in ("context_id", "vmid", "el", "security", "isa"))
-        if self.context is not None and key != self.context:
-            self.cut("context")
+    def on_context(self, key: tuple) -> None:
+        if key != self.context:
+            self.cut("context_change")
         self.context = key
-        if forget_trace:
-            self.trace_id = None
 
     def on_address(self, row: dict) -> None:
         at, reason = number(row.get("runtime_addr") or row.get("address")), row.get("reason")
@@ -178,7 +208,7 @@ class Segmenter(Machine):
             self.cut(f"address:{reason or 'outside-target'}", keep=not (self.pending and self.pending.next_pc == at))
             return
         waiting = self.pending
-        if waiting and (waiting.speculative or waiting.confidence == "speculative") and waiting.next_pc is not None:
+        if waiting and waiting.doubtful and at is not None and waiting.next_pc is not None:
             if waiting.next_pc == at:
                 waiting.confidence = "confirmed"
             elif not self.strict:
@@ -192,37 +222,56 @@ class Segmenter(Machine):
             if key[1] is not None:
                 self.seen[key] = known
 
+    def read(self, row: dict) -> Range:
+        """A range with what earlier addresses say of its module and symbols."""
+        nested = row.get("context")
+        if nested and any(v is not None for v in nested.values()):
+            self.on_context(context_of(nested))
+        start, end, elf_start, elf_end = (number(row.get(c)) for c in ("runtime_start", "runtime_end", "elf_start", "elf_end"))
+        first, last = (self.seen.get(("r", r)) or self.seen.get(("e", e)) or {} for r, e in ((start, elf_start), (end, elf_end)))
+        module = row.get("module") or base(row.get("map")) or first.get("module") or last.get("module") or self.module or self.default_module
+        self.module = module or self.module
+        row = row | {"start_symbol": row.get("start_symbol") or first.get("symbol"), "end_symbol": row.get("end_symbol") or last.get("symbol")}
+        return Range(row, module, start, end, elf_start, elf_end, number(row.get("next_pc")), row.get("confidence"), self.context)
+
     def on_range(self, row: dict) -> None:
-        item = Range(row, row.get("module") or self.module, number(row.get("runtime_start")), number(row.get("runtime_end")), number(row.get("next_pc")), row.get("confidence"))
+        item = self.read(row)
         status = row.get("status") or "resolved"
-        if row.get("reason") in CUT or status not in EVIDENCE:
-            self.cut(f"range:{row.get('reason') or status}")
+        if row.get("reason") in CUT:
+            self.cut(f"range:{row['reason']}")
+            return
+        if status not in EVIDENCE or (self.strict and status in PARTIAL):
+            self.cut(f"range_status:{status}")
             return
         if status in PARTIAL:
-            if self.strict:
-                self.cut(f"range_status:{status}")
-                return
             waiting, self.pending = self.pending, None
             if waiting:
                 if waiting.next_pc == item.start:
                     self.edge(waiting, hint=item)
                 else:
                     self.edge(waiting, bad="conflict")
-                    self.gap("range_before_partial_mismatch", row, expected=waiting.next_pc, observed=item.start)
-            self.edge(item, bad=None, invalid=True)
+                    self.gap("range_before_partial_mismatch", {})
+            self.edge(item, invalid=True)
             self.gap(f"range_status:{status}", row)
             return
-        if item.start is None or item.end is None:
-            self.cut("missing_start" if item.start is None else "missing_end")
+        if item.start is None or item.elf_start is None:
+            self.cut("range_missing_start")
+            return
+        if item.end is None or item.elf_end is None:
+            self.cut("range_missing_end")
             return
         if self.targets and item.module not in self.targets:
-            self.cut("outside_target", keep=not (self.pending and self.pending.next_pc == item.start))
+            self.cut("range:outside_target_module", keep=not (self.pending and self.pending.next_pc == item.start))
             return
+        if self.pending and self.pending.context != item.context:
+            self.cut("context_change")
         waiting, self.pending = self.pending, item
         if waiting is None:
             return
         if waiting.next_pc is None:
-            if not self.strict:
+            if self.strict:
+                self.close("missing_prev_next_pc")
+            else:
                 self.edge(waiting, invalid=True)
                 self.gap("missing_prev_next_pc", row)
         elif waiting.next_pc != item.start:
@@ -263,24 +312,14 @@ class Segmenter(Machine):
         return module, function, offset
 
     def edge(self, item: Range, hint: Range | None = None, bad: str | None = None, invalid: bool = False) -> None:
-        row, way = item.row, item.waypoint
-        status, kind = row.get("status") or "resolved", way.get("kind") or "unknown"
-        source, confidence = row.get("target_source"), bad or item.confidence
-        if hint and not hint.speculative:
-            source, confidence = source or "next_range", "confirmed"
-        if source is None:
-            source = "address_packet" if status == "target_resolved" else "unknown" if status in PARTIAL else "software_return_stack" if kind == "return" else "unknown" if kind.startswith("indirect") else "static"
-        if confidence is None:
-            confidence = "conflict" if status == "conflict" else "unresolved" if status in PARTIAL else "speculative" if source == "software_return_stack" or item.speculative else "exact"
-        control = not item.speculative
-        valid = item.next_pc is not None and status not in PARTIAL and confidence in ("exact", "confirmed") and control and not invalid and not bad
+        row = item.row
         module, function, offset = self.target(item, hint)
         own_function, own_offset = split(row.get("end_symbol") or row.get("start_symbol"))
         if own_function == UNKNOWN and row.get("elf_end"):
             own_function, own_offset = ELF, row["elf_end"]
         self.add(
             {
-                "kind": kind,
+                "kind": item.waypoint.get("kind") or "unknown",
                 "atom": row.get("atom"),
                 "module": item.module,
                 "function": own_function,
@@ -290,16 +329,16 @@ class Segmenter(Machine):
                 "dst_offset": offset,
                 "dst_address": hex(item.next_pc) if item.next_pc is not None else None,
                 "instruction_count": row.get("instruction_count"),
-                "status": status,
+                "status": row.get("status") or "resolved",
                 "reason": row.get("reason"),
-                "target_source": source,
-                "confidence": confidence,
-                "target_valid": valid,
-                "control_valid": control,
+                "target_source": row.get("target_source"),
+                "confidence": item.confidence,
+                "target_valid": not (invalid or bad),
+                "control_valid": not item.speculative,
                 "continuity": "after_gap" if self.after_gap else "continuous",
                 "path_confidence": row.get("path_confidence"),
-                "return_stack_match": {"confirmed": True, "conflict": False}.get(confidence) if source == "software_return_stack" else None,
-            }
+            },
+            {"forced": bad, "next_pc": item.next_pc, "next_start": hint.start if hint else None, "next_speculative": bool(hint and hint.speculative)},
         )
         self.after_gap = False
 
@@ -310,4 +349,15 @@ def segment_events(events: DataFrame, by: str = "file", order: str = "event_inde
         raise ValueError("policy is evidence or strict, min_edges at least 1")
     numbered = events.withColumnRenamed(order, "event_index")
     kind = numbered.schema[by].dataType.simpleString()
-    return run_machines(numbered, [by], ["event_index"], lambda: Segmenter(strict=policy == "strict", targets=frozenset(target_modules), least=min_edges), f"{by} {kind}, {SCHEMA}")
+    found = run_machines(numbered, [by], ["event_index"], lambda: Segmenter(strict=policy == "strict", targets=frozenset(target_modules), least=min_edges), f"{by} {kind}, {SCHEMA}")
+    return found.withColumn("tokens", F.transform("tokens", lambda x: F.when(x["seen"].isNull(), x["token"]).otherwise(rated(x["token"], x["seen"]))))
+
+
+def rated(token: Column, seen: Column) -> Column:
+    """An edge's token with the quality of its target; its own target_valid says whether it may be valid at all."""
+    q = target_quality(token["status"], token["kind"], token["target_source"], token["confidence"], seen["next_pc"], seen["next_start"], seen["next_speculative"])
+    confidence = F.coalesce(seen["forced"], q["confidence"])
+    match = F.when(q["target_source"] == "software_return_stack", F.when(confidence == "confirmed", True).when(confidence == "conflict", False))
+    for name, value in (("target_source", q["target_source"]), ("confidence", confidence), ("target_valid", token["target_valid"] & q["target_valid"] & token["control_valid"]), ("return_stack_match", match)):
+        token = token.withField(name, value)
+    return token

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hoptrail.functions import control, literals, text
-from hoptrail.operators import graph, joins, model, vocab, windows
+from hoptrail.operators import graph, joins, model, segmenter, vocab, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -402,6 +402,21 @@ def q_wl_fingerprint(spark, sf_dir):
     return graph.fingerprint(n, e, "g", [F.when(F.col("node") == 0, "ENTRY").otherwise("NODE"), F.lit("flow")])
 
 
+@query(f"""WITH {EV}, r AS (SELECT user_id, ts, event_id, event_type = 'error' AS cut, k % 4 AS here, k // 4 % 4 AS there FROM ev),
+p AS (SELECT *, lag(cut) OVER w AS pc, lag(there) OVER w AS pt, row_number() OVER w AS rn FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(CASE WHEN cut OR pc IS NULL OR pc OR pt IS DISTINCT FROM here THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY rn) AS run FROM p),
+x AS (SELECT user_id, run, count(*) AS length, max(rn) AS last FROM s WHERE NOT cut GROUP BY ALL)
+SELECT x.user_id, row_number() OVER (PARTITION BY x.user_id ORDER BY x.run) - 1 AS segment_id, CAST(length AS INTEGER) AS length, CASE WHEN n.rn IS NULL THEN 'file_end' WHEN n.cut THEN 'discontinuity:error' ELSE 'pc_mismatch' END AS break_reason,
+CAST(length AS INTEGER) AS n_valid FROM x LEFT JOIN s n ON n.user_id = x.user_id AND n.rn = x.last + 1""")
+def q_segmenter(spark, sf_dir):
+    """The machine under the strict policy, on ranges that begin and go on at one of four places each."""
+    place = lambda n: (n * 64 + 0x1000).cast("string")
+    k, cut = F.col("k"), F.col("event_type") == "error"
+    e = events(spark, sf_dir).select("user_id", F.col("row").alias("n"), F.when(cut, "discontinuity").otherwise("instruction_range").alias("event"), F.when(cut, F.lit("error")).alias("reason"), F.lit("m").alias("module"), *[place(k % 4).alias(c) for c in ("runtime_start", "runtime_end", "elf_start", "elf_end")], place(F.floor(k / 4) % 4).alias("next_pc"), F.struct(F.lit("direct_branch").alias("kind")).alias("waypoint"))
+    found = segmenter.segment_events(e, by="user_id", order="n", policy="strict")
+    return found.select("user_id", "segment_id", "length", "break_reason", F.size(F.filter("tokens", lambda t: t["target_valid"])).alias("n_valid"))
+
+
 VERSIONS = """o AS (SELECT p_partkey AS oid, p_brand || (p_partkey % 40) AS name, p_type AS sig FROM part WHERE p_partkey % 2 = 0), n AS (SELECT p_partkey AS nid, p_brand || (p_partkey % 40 - 1) AS name, p_type AS sig FROM part WHERE p_partkey % 2 = 1)"""
 
 

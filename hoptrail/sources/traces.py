@@ -23,7 +23,8 @@ TOKEN = T.StructType(
 )
 SEGMENT = T.StructType([T.StructField("schema_version", T.IntegerType()), T.StructField("recovery_policy", T.StringType()), T.StructField("segment_id", T.LongType()), T.StructField("context", T.MapType(T.StringType(), T.StringType())), T.StructField("length", T.IntegerType()), T.StructField("start", LOCATION), T.StructField("tokens", T.ArrayType(TOKEN)), T.StructField("break_reason", T.StringType())])
 EVENT = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("event", "module", "atom", "status", "reason", "runtime_start", "runtime_end", "elf_start", "elf_end", "start_symbol", "end_symbol", "next_pc", "target_source", "confidence", "path_confidence", "address", "runtime_addr", "elf_addr", "symbol", "map", "map_file_offset", "pc", "detail", "trace_id", "context_id", "vmid", "el", "security", "isa")]
+    [T.StructField(n, T.StringType()) for n in ("event", "module", "atom", "status", "reason", "runtime_start", "runtime_end", "elf_start", "elf_end", "start_symbol", "end_symbol", "next_pc", "target_source", "confidence", "path_confidence", "address", "runtime_addr", "elf_addr", "symbol", "map", "map_file_offset", "pc", "detail", "trace_id", "context_id", "vmid", "el", "security", "isa", "kind")]
+    + [T.StructField("context", T.StructType([T.StructField(n, T.StringType()) for n in ("context_id", "vmid", "el", "security", "isa")])), T.StructField("modules", T.ArrayType(T.StringType()))]
     + [T.StructField("instruction_count", T.LongType()), T.StructField("waypoint", T.StructType([T.StructField("kind", T.StringType()), T.StructField("asm", T.StringType()), T.StructField("taken", T.BooleanType())]))]
 )
 
