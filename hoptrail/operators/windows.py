@@ -85,6 +85,15 @@ def row_ids(df: DataFrame, segment: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("pos", pos - 1).join(starts, segment).withColumn("row_id", F.col("_start") + F.col("pos") + 1).drop("_start")
 
 
+def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
+    """Row numbers from 1 of the whole table in an order without ties, by ranges: only their totals are summed up in one task."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_range").agg(F.count("*").alias("_total"))
+    before = totals.select("_range", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(before), "_range").withColumn(out, (F.col("_before") + place).cast("bigint")).drop("_range", "_before")
+
+
 def history(df: DataFrame, col: str, size: int, by: list[str], order: list[str], out: str = "history", pad=0) -> DataFrame:
     """The ``size`` values before each row of its segment, padded on the left."""
     w = ordered(by, order).rowsBetween(-size, -1)

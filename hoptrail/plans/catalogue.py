@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hoptrail.functions import control, literals, text
-from hoptrail.operators import graph, joins, model, segmenter, vocab, windows
+from hoptrail.operators import dataset, graph, joins, model, segmenter, vocab, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -417,6 +417,70 @@ def q_segmenter(spark, sf_dir):
     return found.select("user_id", "segment_id", "length", "break_reason", F.size(F.filter("tokens", lambda t: t["target_valid"])).alias("n_valid"))
 
 
+SHARED_SQL = {"module": (["src_module", "dst_module"], 10, []), "function": (["src_ctrl_func", "dst_func"], 5, []), "offset": (["src_ctrl_off", "dst_off"], 60, []), "node": (["dst_node"], 80, ["<UNKNOWN_TARGET>@0x0", "<GAP>@0x0"]), "ctrl_type": (["ctrl_type"], 0, [])}
+
+
+def _vocabulary_sql(name: str) -> str:
+    fields, size, reserved = SHARED_SQL[name]
+    each = " UNION ALL ".join(f"SELECT {f} AS t, row_id * {len(fields)} + {i} AS seen FROM e WHERE {f} IS NOT NULL" for i, f in enumerate(fields))
+    top = f"QUALIFY row_number() OVER (ORDER BY n DESC, f, t) <= {size - 2 - len(reserved)}" if size else ""
+    kept = " WHERE t NOT IN (" + ", ".join(f"'{r}'" for r in reserved) + ")" if reserved else ""
+    fixed = "".join(f" UNION ALL SELECT '{r}', {2 + i}" for i, r in enumerate(reserved))
+    return f"c_{name} AS (SELECT t, count(*) AS n, min(seen) AS f FROM ({each}) GROUP BY t), k_{name} AS (SELECT * FROM c_{name} {top}), v_{name} AS (SELECT t, {1 + len(reserved)} + row_number() OVER (ORDER BY n DESC, f, t) AS id FROM k_{name}{kept}{fixed})"
+
+
+def _id_sql(field: str) -> str:
+    name = next(n for n, (fields, *_) in SHARED_SQL.items() if field in fields)
+    return f"CAST(coalesce((SELECT id FROM v_{name} WHERE t = {field}), 1) AS INTEGER) AS {field}"
+
+
+#: Edges of user streams, as segments: a control transfer each, some to gaps, some doubtful.
+EDGES_SQL = f"""{EV}, n AS (SELECT user_id, coalesce(sum(count(*) + 1) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM events GROUP BY user_id HAVING count(*) >= 3),
+e0 AS (SELECT user_id, CAST(start + row AS BIGINT) AS row_id, row - 1 AS pos, k, 'm' || user_id % 7 AS src_module, event_type AS src_ctrl_func, CASE WHEN k % 11 <> 0 THEN CAST(k AS VARCHAR) END AS src_ctrl_off,
+event_type || CASE WHEN k % 2 = 0 THEN ':taken' WHEN k % 3 = 0 THEN ':not_taken' ELSE ':unknown' END || CASE WHEN k % 5 = 0 THEN '|speculative' ELSE '' END AS ctrl_type,
+CASE WHEN k % 23 = 0 THEN '<UNKNOWN_MODULE>' ELSE 'm' || k % 3 END AS dst_module, CASE WHEN k % 13 = 0 THEN '<GAP>' WHEN k % 7 <> 0 THEN event_type END AS dst_func, CASE WHEN k % 13 = 0 THEN '0x0' ELSE CAST(k % 50 AS VARCHAR) END AS dst_off FROM ev JOIN n USING (user_id)),
+e AS (SELECT *, CASE WHEN dst_func = '<GAP>' THEN dst_func || '@' || dst_off WHEN dst_func IS NOT NULL THEN dst_module || '::' || dst_func || '@' || dst_off END AS dst_node FROM e0)"""
+
+
+def edge_segments(spark, sf_dir):
+    """Segments as they are written, one for each user."""
+    k, text_of = F.col("k"), lambda c: c.cast("string")
+    place = lambda module, function, offset: F.struct(module.alias("module"), function.alias("function"), offset.alias("function_offset"))
+    dst = place(F.when(k % 23 != 0, F.concat(F.lit("m"), k % 3)), F.when(k % 13 == 0, literals.GAP).when(k % 7 == 0, "<unknown>").otherwise(F.col("event_type")), F.when(k % 13 == 0, "0x0").otherwise(text_of(k % 50)))
+    src = place(F.concat(F.lit("m"), F.col("user_id") % 7), F.col("event_type"), F.when(k % 11 != 0, text_of(k)))
+    ctrl = F.struct(F.col("event_type").alias("kind"), F.when(k % 2 == 0, "E").when(k % 3 == 0, "N").alias("atom"))
+    quality = F.create_map(*[x for name, c in {"target_valid": text_of(k % 4 != 0), "confidence": F.when(k % 5 == 0, "speculative").otherwise("exact"), "path_confidence": F.when(k % 5 == 0, "speculative"), "continuity": F.when(k % 17 == 0, "after_gap"), "status": F.when(k % 13 == 0, "gap")}.items() for x in (F.lit(name), c)])
+    token = F.struct(src.alias("src_ctrl"), ctrl.alias("ctrl"), dst.alias("dst"), F.when(k % 19 == 0, "<unknown>").otherwise(text_of(k % 300)).alias("instruction_count"), quality.alias("quality"))
+    listed = events(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("row", F.to_json(token).alias("t")))).alias("x"))
+    kind = "struct<src_ctrl:struct<module:string,function:string,function_offset:string>,ctrl:struct<kind:string,atom:string>,dst:struct<module:string,function:string,function_offset:string>,instruction_count:string,quality:map<string,string>>"
+    return listed.select("user_id", F.transform("x", lambda r: F.from_json(r["t"], kind)).alias("tokens"))
+
+
+LIMITS = dataset.Limits(**{name: size for name, (_, size, _) in SHARED_SQL.items()}, min_length=3)
+
+
+@query(f"""WITH {EDGES_SQL}, {", ".join(map(_vocabulary_sql, SHARED_SQL))}
+SELECT row_id, {", ".join(_id_sql(f) for fields, *_ in SHARED_SQL.values() for f in fields)}, CAST(CASE WHEN k % 19 = 0 THEN 1 ELSE least(k % 300, 255) + 2 END AS INTEGER) AS icount,
+CAST(k % 4 <> 0 AND dst_func IS NOT NULL AS INTEGER) AS target_valid, CAST(k % 5 <> 0 AS INTEGER) AS control_valid, CAST(k % 17 <> 0 AS INTEGER) AS transition_valid, CAST(k % 13 = 0 AS INTEGER) AS is_gap FROM e
+UNION ALL SELECT CAST(start AS BIGINT), {", ".join(["0"] * 13)} FROM n""")
+def q_dataset_rows(spark, sf_dir):
+    return dataset.build(edge_segments(spark, sf_dir), ["user_id"], LIMITS).rows
+
+
+@query(f"""WITH {EDGES_SQL}, {", ".join(map(_vocabulary_sql, SHARED_SQL))} {" UNION ALL ".join(f"SELECT '{name}' AS name, t AS token, id FROM v_{name}" for name in SHARED_SQL)}""")
+def q_dataset_vocabulary(spark, sf_dir):
+    found = dataset.build(edge_segments(spark, sf_dir), ["user_id"], LIMITS).vocabs
+    parts = [v.select(F.lit(name).alias("name"), "token", "id") for name, v in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
+@query(f"""WITH {EDGES_SQL}, s AS (SELECT count(*) AS seen, count_if(c >= 3) AS kept FROM (SELECT count(*) AS c FROM events GROUP BY user_id))
+SELECT seen AS segments_seen, CAST(kept AS BIGINT) AS segments_kept, CAST(seen - kept AS BIGINT) AS segments_dropped_short, count(*) AS edges, CAST(count_if(pos > 0) AS BIGINT) AS examples, CAST(count_if(NOT (k % 4 <> 0 AND dst_func IS NOT NULL)) AS BIGINT) AS invalid_target_edges,
+CAST(count_if(k % 5 = 0) AS BIGINT) AS invalid_control_edges, CAST(count_if(k % 13 = 0) AS BIGINT) AS gap_edges, CAST(count_if(pos > 0 AND k % 17 = 0) AS BIGINT) AS invalid_transition_examples FROM e, s GROUP BY ALL""")
+def q_dataset_stats(spark, sf_dir):
+    return dataset.build(edge_segments(spark, sf_dir), ["user_id"], LIMITS).stats
+
+
 VERSIONS = """o AS (SELECT p_partkey AS oid, p_brand || (p_partkey % 40) AS name, p_type AS sig FROM part WHERE p_partkey % 2 = 0), n AS (SELECT p_partkey AS nid, p_brand || (p_partkey % 40 - 1) AS name, p_type AS sig FROM part WHERE p_partkey % 2 = 1)"""
 
 
