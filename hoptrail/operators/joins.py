@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 
 from hoptrail.written import materialize
 
-#: Rows of an interval table up to which it is broadcast; larger ones are joined by bins.
-SMALL_ROWS = 200_000
+#: Rows of a candidate table that a join may broadcast.
+MOST_CANDIDATES = 100_000
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: str, stop: str, how: str = "left", bin_width: int = 1 << 16, small: bool | None = None) -> DataFrame:
-    """Points with the half-open intervals [start, stop) that hold them.
+def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: str, stop: str, how: str = "left", bin_width: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """Points with the half-open intervals [start, stop) that hold them, within equal values of ``by``.
 
-    Interval tables of at most ``SMALL_ROWS`` rows are broadcast. Others are cut
-    into bins of ``bin_width`` and joined by bin, which shuffles both sides.
+    Intervals are cut into bins and joined by bin, whatever their number, so both sides are
+    shuffled at most once. A bin is as wide as the mean interval unless ``bin_width``
+    says otherwise, so an interval has about two bins on average, however long some are.
     """
-    if small is None:
-        small = intervals.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    inside = (F.col(point) >= F.col(start)) & (F.col(point) < F.col(stop))
-    if small:
-        return points.join(F.broadcast(intervals), inside, how)
+    if bin_width is None:
+        mean = intervals.filter(F.col(stop) > F.col(start)).agg(F.avg(F.col(stop) - F.col(start))).first()[0]
+        bin_width = max(1, int(mean or 1))
     width = F.lit(bin_width)
-    binned = intervals.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(stop) - 1) / width))))
+    real = intervals.filter(F.col(stop) > F.col(start))
+    binned = real.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(stop) - 1) / width))))
     own = points.withColumn("_at", F.floor(F.col(point) / width))
-    return own.join(binned, (F.col("_at") == F.col("_bin")) & inside, how).drop("_at", "_bin")
+    same = F.col("_at") == F.col("_bin")
+    for c in by or []:
+        binned = binned.withColumnRenamed(c, f"_{c}")
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    inside = (F.col(point) >= F.col(start)) & (F.col(point) < F.col(stop))
+    return own.join(binned, same & inside, how).drop("_at", "_bin", *[f"_{c}" for c in by or []])
 
 
 def best_interval(joined: DataFrame, keys: list[str], priority: list[Column]) -> DataFrame:
@@ -49,8 +54,15 @@ def next_hint(df: DataFrame, target: str, start: str, by: list[str], order: list
 
 
 def best_candidate(points: DataFrame, candidates: DataFrame, allowed: Column, score: Column, keys: list[str], rank: str) -> DataFrame:
-    """The candidate of the highest score for each point; the smaller ``rank`` on ties. Candidates are few and broadcast."""
-    scored = points.join(F.broadcast(candidates), allowed).withColumn("score", score)
+    """The candidate of the highest score for each point; the smaller ``rank`` on ties.
+
+    ``allowed`` may be any condition, so each point meets each candidate: they are broadcast,
+    and more than ``MOST_CANDIDATES`` are an error. Candidates that lie in intervals are found by ``interval_join``.
+    """
+    held = materialize(candidates, "candidates")
+    if held.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates")
+    scored = points.join(F.broadcast(held), allowed).withColumn("score", score)
     return best_interval(scored, keys, [F.desc("score"), F.col(rank)])
 
 

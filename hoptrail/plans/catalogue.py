@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hoptrail.functions import control, literals, text
-from hoptrail.operators import dataset, graph, joins, model, segmenter, vocab, windows
+from hoptrail.operators import dataset, graph, joins, model, resolver, segmenter, vocab, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -160,13 +160,13 @@ def maps(spark, sf_dir):
 
 @query(f"WITH {MAPS} SELECT o_orderkey, map_id FROM orders LEFT JOIN m ON o_orderkey >= lo AND o_orderkey < hi")
 def q_interval_lookup(spark, sf_dir):
-    return joins.interval_join(table(spark, sf_dir, "orders").select("o_orderkey"), maps(spark, sf_dir), "o_orderkey", "lo", "hi", bin_width=64).select("o_orderkey", "map_id")
+    return joins.interval_join(table(spark, sf_dir, "orders").select("o_orderkey"), maps(spark, sf_dir), "o_orderkey", "lo", "hi").select("o_orderkey", "map_id")
 
 
 @query(f"WITH {MAPS} SELECT o_orderkey, map_id FROM orders JOIN m ON o_orderkey >= lo AND o_orderkey < hi + 200 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY p_size, map_id) = 1")
 def q_interval_priority(spark, sf_dir):
     wide = maps(spark, sf_dir).withColumn("hi", F.col("hi") + 200)
-    found = joins.interval_join(table(spark, sf_dir, "orders").select("o_orderkey"), wide, "o_orderkey", "lo", "hi", "inner", bin_width=256, small=False)
+    found = joins.interval_join(table(spark, sf_dir, "orders").select("o_orderkey"), wide, "o_orderkey", "lo", "hi", "inner", bin_width=256)
     return joins.best_interval(found, ["o_orderkey"], [F.col("p_size"), F.col("map_id")]).select("o_orderkey", "map_id")
 
 
@@ -322,7 +322,7 @@ w AS (SELECT *, sum(CASE WHEN prob < 0.1998 THEN 1 ELSE 0 END) OVER x AS low, co
 SELECT event_id, CAST(low AS BIGINT) AS low_count FROM w WHERE n >= 8 AND low >= 4""")
 def q_ngram_score_alarm(spark, sf_dir):
     pairs, fitted = bigrams(spark, sf_dir)
-    s = model.score_bigram(pairs, F.broadcast(fitted), "event_type").filter("dst_prob IS NOT NULL").withColumn("row", F.row_number().over(windows.ordered(BY, ORDER)))
+    s = model.score_bigram(pairs, fitted, "event_type").filter("dst_prob IS NOT NULL").withColumn("row", F.row_number().over(windows.ordered(BY, ORDER)))
     runs = windows.scored_runs(s, "dst_prob", "row", BY, ORDER)
     return windows.alarms(windows.low_counts(runs, "dst_prob", 0.1998, 8, BY, ORDER, "row"), 8, 4).select("event_id", "low_count")
 
@@ -331,7 +331,7 @@ def q_ngram_score_alarm(spark, sf_dir):
 def q_argmax_token(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", model.argmax(F.col("embedding")).cast("bigint").alias("best"))
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("best"), "n_name")
-    return e.join(F.broadcast(names), "best", "left").select("vec_id", "best", model.token_name(F.col("n_name"), F.col("best")).alias("token"))
+    return e.join(names, "best", "left").select("vec_id", "best", model.token_name(F.col("n_name"), F.col("best")).alias("token"))
 
 
 @query("SELECT vec_id, round(coalesce(embedding[CAST(vec_id % 100 AS INTEGER) + 1], 0.0), 5) AS prob FROM embeddings")
@@ -481,6 +481,50 @@ def q_dataset_stats(spark, sf_dir):
     return dataset.build(edge_segments(spark, sf_dir), ["user_id"], LIMITS).stats
 
 
+#: A process's maps, the rules of 25 modules and the segments of five files.
+PLACES_SQL = """mp AS (SELECT s_suppkey AS map_idx, s_suppkey * 200 AS start, s_suppkey * 200 + 150 + s_suppkey % 3 * 40 AS stop, CASE WHEN s_suppkey % 4 = 0 THEN 'rw-p' ELSE 'r-xp' END AS perms, s_suppkey % 2 * 100 AS pgoff, '/lib/n' || s_nationkey || '.so' AS path FROM supplier),
+ru AS (SELECT n_nationkey AS module_idx, 'n' || n_nationkey AS name, 'e' || n_nationkey % 5 AS elf, n_nationkey * 300 AS load_bias, n_nationkey % 2 = 0 AS some_contexts, n_nationkey % 3 = 0 AS some_els, n_nationkey % 4 = 0 AS ranged, n_nationkey % 5 = 1 AS anchored FROM nation),
+sg AS (SELECT 'e' || r_regionkey AS elf, 0 AS seg_idx, 50 AS p_offset, 100 AS p_vaddr, 3000 AS p_filesz, 4000 + r_regionkey * 100 AS p_memsz, 5 AS flags FROM region UNION ALL SELECT 'e' || r_regionkey, 1, 3050, 4100 + r_regionkey * 100, 300, 400, 6 FROM region)"""
+
+
+def places(spark, sf_dir):
+    """Maps, rules and segments as ``resolver`` takes them."""
+    k, n = F.col("s_suppkey"), F.col("n_nationkey")
+    maps_ = table(spark, sf_dir, "supplier").select(k.alias("map_idx"), (k * 200).alias("start"), (k * 200 + 150 + k % 3 * 40).alias("stop"), F.when(k % 4 == 0, "rw-p").otherwise("r-xp").alias("perms"), (k % 2 * 100).alias("pgoff"), F.concat(F.lit("/lib/n"), "s_nationkey", F.lit(".so")).alias("path"))
+    span = F.array(F.struct((n * 300).alias("start"), (n * 300 + 2000).alias("stop")))
+    rules = table(spark, sf_dir, "nation").select(n.alias("module_idx"), F.concat(F.lit("n"), n).alias("name"), F.concat(F.lit("e"), n % 5).alias("elf"), (n * 300).alias("load_bias"), F.when(n % 5 == 1, F.array(F.concat(F.lit("n"), n, F.lit("[.]so$")))).otherwise(F.array().cast("array<string>")).alias("anchors"), F.when(n % 2 == 0, F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("context_ids"), F.lit(None).cast("array<bigint>").alias("vmids"), F.when(n % 3 == 0, F.array(F.lit("EL1"))).alias("els"), F.when(n % 4 == 0, span).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("ranges"))
+    r = F.col("r_regionkey")
+    elf = F.concat(F.lit("e"), r)
+    code = table(spark, sf_dir, "region").select(elf.alias("elf"), F.lit(0).alias("seg_idx"), F.lit(50).alias("p_offset"), F.lit(100).alias("p_vaddr"), F.lit(3000).alias("p_filesz"), (r * 100 + 4000).alias("p_memsz"), F.lit(5).alias("flags"))
+    data = table(spark, sf_dir, "region").select(elf.alias("elf"), F.lit(1).alias("seg_idx"), F.lit(3050).alias("p_offset"), (r * 100 + 4100).alias("p_vaddr"), F.lit(300).alias("p_filesz"), F.lit(400).cast("long").alias("p_memsz"), F.lit(6).alias("flags"))
+    return maps_, rules, code.unionByName(data)
+
+
+@query(f"""WITH {PLACES_SQL}, pt AS (SELECT o_orderkey AS row_id, o_orderkey % 20011 AS address, o_custkey % 4 AS context_id, 'EL' || o_orderkey % 2 AS el FROM orders),
+md AS (SELECT pt.*, map_idx, perms, path FROM pt LEFT JOIN mp ON address >= start AND address < stop QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY start DESC, map_idx) = 1),
+cd AS (SELECT md.row_id, name AS module, ru.elf, address - load_bias AS elf_va, CASE WHEN address - load_bias < p_vaddr + p_filesz THEN p_offset + address - load_bias - p_vaddr END AS file_offset, seg_idx,
+100 + CASE WHEN path IS NOT NULL THEN 80 + CASE WHEN anchored AND regexp_matches(path, name || '[.]so$') THEN 100 ELSE 0 END ELSE 0 END + CASE WHEN ranged THEN 100 ELSE 0 END + CASE WHEN some_contexts THEN 50 ELSE 0 END + CASE WHEN some_els THEN 30 ELSE 0 END AS score
+FROM md JOIN ru ON (NOT some_contexts OR context_id < 2) AND (NOT some_els OR el = 'EL1') AND (NOT ranged OR (address >= load_bias AND address < load_bias + 2000)) JOIN sg ON sg.elf = ru.elf AND flags = 5 AND address - load_bias >= p_vaddr AND address - load_bias < p_vaddr + p_memsz
+WHERE perms IS NULL OR perms = 'r-xp' QUALIFY row_number() OVER (PARTITION BY md.row_id ORDER BY score DESC, module_idx, seg_idx) = 1)
+SELECT md.row_id, path, module, elf, elf_va, file_offset, seg_idx, score, CASE WHEN perms = 'rw-p' THEN 'address-in-non-executable-map' WHEN module IS NOT NULL THEN NULL WHEN path IS NULL THEN 'address-not-in-maps' ELSE 'no-configured-elf' END AS reason FROM md LEFT JOIN cd USING (row_id)""")
+def q_resolve(spark, sf_dir):
+    maps_, rules, segments = places(spark, sf_dir)
+    k = F.col("o_orderkey")
+    points = table(spark, sf_dir, "orders").select(k.alias("row_id"), (k % 20011).alias("address"), (F.col("o_custkey") % 4).alias("context_id"), F.lit(None).cast("long").alias("vmid"), F.concat(F.lit("EL"), k % 2).alias("el"))
+    return resolver.resolve(points, maps_, rules, segments).drop("address", "context_id", "vmid", "el")
+
+
+@query(f"""WITH {PLACES_SQL}, pr AS (SELECT module_idx, ru.elf, map_idx, seg_idx, start - p_vaddr // 100 * 100 AS bias, CASE WHEN anchored THEN 1000 ELSE 0 END + CASE WHEN contains(path, '/' || name) THEN 300 ELSE 0 END + CASE WHEN pgoff = p_offset // 100 * 100 THEN 200 WHEN pgoff <> 0 THEN -200 ELSE 0 END
++ CASE WHEN stop - start = runs THEN 400 WHEN stop - start <= runs THEN 80 ELSE -least(300, (stop - start - runs) // 100) END + CASE WHEN (perms = 'r-xp') = (flags = 5) THEN 150 ELSE 0 END AS own
+FROM ru JOIN (SELECT *, (p_vaddr - p_vaddr // 100 * 100 + p_memsz + 99) // 100 * 100 AS runs FROM sg) sg USING (elf) JOIN mp ON (NOT anchored OR regexp_matches(path, name || '[.]so$')) AND NOT (perms = 'r-xp' AND flags = 6)),
+bs AS (SELECT DISTINCT module_idx, elf, bias FROM pr), ht AS (SELECT module_idx, bias, map_idx, perms, min_by(flags, seg_idx) AS flags FROM bs JOIN sg USING (elf) JOIN mp ON start - bias >= p_vaddr AND start - bias < p_vaddr + p_memsz GROUP BY ALL),
+cv AS (SELECT module_idx, bias, count(*) * 10 + count_if(perms = 'r-xp' AND flags = 5) * 30 AS c FROM ht GROUP BY ALL)
+SELECT module_idx, bias AS load_bias, CAST(own + coalesce(c, 0) AS BIGINT) AS score FROM pr LEFT JOIN cv USING (module_idx, bias) QUALIFY row_number() OVER (PARTITION BY module_idx ORDER BY score DESC, abs(bias), map_idx, seg_idx) = 1""")
+def q_infer_bias(spark, sf_dir):
+    maps_, rules, segments = places(spark, sf_dir)
+    return resolver.infer_bias(rules, maps_, segments, page=100)
+
+
 VERSIONS = """o AS (SELECT p_partkey AS oid, p_brand || (p_partkey % 40) AS name, p_type AS sig FROM part WHERE p_partkey % 2 = 0), n AS (SELECT p_partkey AS nid, p_brand || (p_partkey % 40 - 1) AS name, p_type AS sig FROM part WHERE p_partkey % 2 = 1)"""
 
 
