@@ -116,4 +116,4 @@ def block_status(old: Column, new: Column, same_content: Column, same_place: Col
 
 def function_status(failed: Column, partial: Column, ambiguous: Column, cfg_changed: Column, content_changed: Column, layout_changed: Column) -> Column:
     """The first that holds, in this order."""
-    return F.when(failed, "FAILED").when(partial, "PARTIAL").when(ambiguous, "BLOCK_MAPPING_AMBIGUOUS").when(cfg_changed, "CFG_CHANGED").when(content_changed, "CONTENT_ONLY").when(layout_changed, "LAYOUT_ONLY").otherwise("UNCHANGED")
+    return F.when(failed, "ANALYSIS_FAILED").when(partial, "ANALYSIS_PARTIAL").when(ambiguous, "BLOCK_MAPPING_AMBIGUOUS").when(cfg_changed, "CFG_CHANGED").when(content_changed, "CONTENT_ONLY").when(layout_changed, "LAYOUT_ONLY").otherwise("UNCHANGED")

@@ -95,34 +95,37 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.concat(F.lit("in:"), "type").alias("type")))
 
 
-def propagate(mapping: DataFrame, old_edges: DataFrame, new_edges: DataFrame, rounds: int | None = None) -> DataFrame:
+def propagate(mapping: DataFrame, old_edges: DataFrame, new_edges: DataFrame, rounds: int | None = None, named: bool = False) -> DataFrame:
     """Mapped pairs (o, n) grown along edges (src, dst, type): successors that are unique of their type on both sides.
 
     Without ``rounds`` it goes on until a round adds no pair; pairs and the edges
-    to unmapped nodes are then written every round.
+    to unmapped nodes are then written every round. With ``named`` each pair has
+    ``how``, the greatest type of the edges that led to it, null for given ones.
     """
 
     def free(edges: DataFrame, done: DataFrame, own: str) -> DataFrame:
         return edges.join(done.select(F.col(own).alias("dst")), "dst", "left_anti")
 
     def step(edges: DataFrame, done: DataFrame, own: str, other: str) -> DataFrame:
-        return edges.join(done, edges.src == done[own]).groupBy("o", "n", "type").agg(F.count("*").alias("_c"), F.min("dst").alias(other)).filter("_c = 1").drop("_c")
+        return edges.join(done.select("o", "n"), F.col("src") == F.col(own)).groupBy("o", "n", "type").agg(F.count("*").alias("_c"), F.min("dst").alias(other)).filter("_c = 1").drop("_c")
 
     def added(old_free: DataFrame, new_free: DataFrame, done: DataFrame) -> DataFrame:
-        both = step(old_free, done, "o", "o2").join(step(new_free, done, "n", "n2"), ["o", "n", "type"]).select("o2", "n2").distinct()
+        both = step(old_free, done, "o", "o2").join(step(new_free, done, "n", "n2"), ["o", "n", "type"]).groupBy("o2", "n2").agg(F.max("type").alias("how"))
         sole = both.withColumns({"_a": F.count("*").over(Window.partitionBy("o2")), "_b": F.count("*").over(Window.partitionBy("n2"))}).filter("_a = 1 AND _b = 1")
-        return sole.select(F.col("o2").alias("o"), F.col("n2").alias("n"))
+        return sole.select(F.col("o2").alias("o"), F.col("n2").alias("n"), "how")
 
+    mapping = mapping.withColumn("how", F.lit(None).cast("string"))
+    columns = ["o", "n", "how"] if named else ["o", "n"]
     if rounds is not None:
         for _ in range(rounds):
             mapping = mapping.unionByName(added(free(old_edges, mapping, "o"), free(new_edges, mapping, "n"), mapping))
-        return mapping
+        return mapping.select(*columns)
     done = last = materialize(mapping, "pairs")
     while not last.isEmpty():
         old_edges, new_edges = materialize(free(old_edges, last, "o"), "old-edges"), materialize(free(new_edges, last, "n"), "new-edges")
         last = materialize(added(old_edges, new_edges, done), "pairs")
         done = materialize(done.unionByName(last), "pairs")
-    return done
+    return done.select(*columns)
 
 
 def mutual_best(pairs: DataFrame, least: float, margin: float) -> DataFrame:

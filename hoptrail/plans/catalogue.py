@@ -600,7 +600,7 @@ def q_edge_diff(spark, sf_dir):
 
 
 @query(f"""WITH {EDGES}, g AS (SELECT src, count(*) FILTER (status = 'ADDED') AS added, count(*) FILTER (status = 'REMOVED') AS removed, count(*) FILTER (status = 'TYPE_CHANGED') AS changed FROM df GROUP BY src)
-SELECT src, added, removed, changed, CASE WHEN src % 97 = 0 THEN 'FAILED' WHEN src % 89 = 0 THEN 'PARTIAL' WHEN added + removed > 0 THEN 'CFG_CHANGED' WHEN changed > 0 THEN 'CONTENT_ONLY' ELSE 'UNCHANGED' END AS status FROM g""")
+SELECT src, added, removed, changed, CASE WHEN src % 97 = 0 THEN 'ANALYSIS_FAILED' WHEN src % 89 = 0 THEN 'ANALYSIS_PARTIAL' WHEN added + removed > 0 THEN 'CFG_CHANGED' WHEN changed > 0 THEN 'CONTENT_ONLY' ELSE 'UNCHANGED' END AS status FROM g""")
 def q_pair_status(spark, sf_dir):
     n = lambda s: F.count_if(F.col("status") == s)
     g = edge_rows(spark, sf_dir).groupBy("src").agg(n("ADDED").alias("added"), n("REMOVED").alias("removed"), n("TYPE_CHANGED").alias("changed"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoptrail.operators import graph, joins
+from hoptrail.operators import diff, graph, joins, sequential
 
 
 def q_wl_fingerprint_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +30,55 @@ def q_neighbor_propagate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.propagate(seeds, joins.both_ways(edges(li, 0)), joins.both_ways(edges(li.filter(k % 11 != 0), 10000)))
 
 
+def function_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Blocks and edges of two versions of a function for each order: blocks are its line numbers, some moved, changed or gone."""
+    rest = F.struct("l_returnflag", "l_quantity", "l_partkey", "l_suppkey", "l_linestatus")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min(rest).alias("s")).select("l_orderkey", "l_linenumber", "s.*")
+    k, i = F.col("l_orderkey"), F.col("l_linenumber")
+
+    def blocks(offset, content):
+        return [k.alias("pair_id"), i.alias("block"), offset.cast("long").alias("relative_offset"), F.col("l_returnflag").alias("terminal_flow"), (i * 4).cast("long").alias("address_count"), F.col("l_quantity").cast("long").alias("instruction_count"), F.concat(F.lit("m"), F.col("l_partkey") % 50).alias("mnemonic_hash"), content.alias("instruction_hash")]
+
+    plain = F.concat(F.lit("i"), "l_suppkey")
+    old = li.select(*blocks((i - 1) * 16, plain))
+    there = ~((k % 3 == 0) & (i == 3))
+    new = li.filter(there).select(*blocks((i - 1) * 16 + F.when((k % 5 == 0) & (i > 3), 16).otherwise(0), F.when((k % 7 == 0) & (i == 2), F.concat(plain, F.lit("x"))).otherwise(plain)))
+    steps = li.select(k.alias("pair_id"), i.alias("src"), (i + 1).alias("dst"), F.lit("fallthrough").alias("type"))
+    jumps = li.filter("l_linestatus = 'O' AND l_linenumber > 2").select(k.alias("pair_id"), i.alias("src"), F.lit(1).cast(li.schema["l_linenumber"].dataType).alias("dst"), F.lit("conditional_taken").alias("type"))
+    every = steps.unionByName(jumps)
+
+    def inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        for end in ("src", "dst"):
+            edges = edges.join(nodes.select("pair_id", F.col("block").alias(end)), ["pair_id", end], "left_semi")
+        return edges.select("pair_id", "src", "dst", "type").distinct()
+
+    changed = every.withColumn("type", F.when((F.col("pair_id") % 11 == 0) & (F.col("type") != "fallthrough"), "direct_jump").otherwise(F.col("type")))
+    return old, inside(every, old), new, inside(changed, new)
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> tuple[diff.Side, diff.Side, DataFrame]:
+    old_blocks, old_edges, new_blocks, new_edges = function_versions(spark, sf_dir)
+    old, new = diff.Side.of(old_blocks, old_edges, "old"), diff.Side.of(new_blocks, new_edges, "new")
+    return old, new, diff.map_blocks(old, new)
+
+
+def q_block_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block of two versions of all functions, mapped by the whole cascade, with its status."""
+    return diff.block_rows(*_mapped(spark, sf_dir))
+
+
+def q_edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of two versions that differ under the mapping of their blocks."""
+    return diff.edge_rows(*_mapped(spark, sf_dir))
+
+
+def q_return_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that returns pop, and the depth of the stack, along every user's events: views call, purchases return."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "view", "call").when(F.col("event_type") == "purchase", "return").otherwise("other")
+    rows = e.select("user_id", "ts", F.col("event_id").alias("row_id"), kind.alias("kind"), (F.col("event_id") * 4).alias("address"))
+    return sequential.return_stack(rows, ["user_id"], ["ts", "row_id"], depth=8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (q_wl_fingerprint_whole, q_neighbor_propagate_whole)}
+    return {f.__name__: f for f in (q_wl_fingerprint_whole, q_neighbor_propagate_whole, q_block_diff, q_edge_rows, q_return_stack)}
