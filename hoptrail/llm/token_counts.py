@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from hoptrail.llm.scratch import bounded_batches
 
 #: A worker's memory: stretches and pieces of at most so many characters, and so many of either; it starts anew when full.
-CACHE_CHARS, CACHE_ENTRIES, CACHE_CHANGES = 48, 1_000_000, 8_000_000
+CACHE_CHARS, CACHE_ENTRIES, CACHE_PIECES, CACHE_CHANGES = 48, 600_000, 250_000, 8_000_000
 #: Where the pieces of a prefix aren't prefixes of the whole text's pieces.
 _UNEVEN = regex.compile(r"\s\s|'(?:s|t|re|ve|m|ll|d)")
 _CONTRACTION = regex.compile("'(?:s|t|re|ve|m|ll|d)")
@@ -118,7 +118,7 @@ class PrefixCounter:
 
     def _fits(self, before: int, token: int) -> bool:
         """Whether ``token`` stands alone (before -1) or stays apart from the token before it."""
-        if len(self._apart) > 1_000_000:
+        if len(self._apart) > CACHE_ENTRIES:
             self._apart.clear()
         pair = [t for t in (before, token) if t >= 0]
         found = self._apart[before << 20 | token] = self.merge([self._byte[x] for t in pair for x in self.tokens[t]]) == pair
@@ -152,7 +152,7 @@ class PrefixCounter:
         at = tuple([i for i in range(1, len(n)) if n[i] != n[i - 1]])
         found = at, tuple([n[i] for i in at]), len(piece), n[-1]
         if len(piece) <= CACHE_CHARS:
-            if len(self._pieces) >= CACHE_ENTRIES:
+            if len(self._pieces) >= CACHE_PIECES:
                 self._pieces.clear()
             self._pieces[piece] = found
         return found
