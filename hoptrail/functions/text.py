@@ -48,11 +48,6 @@ def normalise_instruction(text: Column) -> Column:
     return F.trim(F.regexp_replace(named, r"\s+", " "))
 
 
-def hash_parts(*parts: Column) -> Column:
-    """SHA-256 of the parts joined by the unit separator; nulls count as empty."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
-
-
 def key_values(text: Column, keys: tuple[str, ...]) -> dict[str, Column]:
     """Values of ``key=value`` fields parted by commas; keys in lower case with underscores."""
     pairs = F.transform(F.filter(F.split(text, ","), lambda p: p.contains("=")), lambda p: F.struct(F.replace(F.lower(F.trim(F.split_part(p, F.lit("="), F.lit(1)))), F.lit(" "), F.lit("_")).alias("k"), F.lower(F.trim(F.split_part(p, F.lit("="), F.lit(2)))).alias("v")))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hoptrail.functions import text
-from hoptrail.functions.literals import parse_int
 
 MAP_LINE = r"^([0-9a-fA-F]+)-([0-9a-fA-F]+)\s+([rwxsp-]{4})\s+([0-9a-fA-F]+)\s+(\S+)\s+(\d+)\s*(.*)$"
 LOCATION = T.StructType([T.StructField(n, T.StringType()) for n in ("module", "runtime_addr", "elf_addr", "function", "function_offset")])
@@ -90,7 +89,3 @@ def module_rules(spark: SparkSession, config: dict) -> DataFrame:
         ids = lambda k, m=m: [int(str(x), 0) for x in m[k]] if m.get(k) else None
         rows.append((i, m.get("name") or m["elf"].rsplit("/", 1)[-1].rsplit(".", 1)[0], m["elf"], None if bias in (None, "auto") else int(str(bias), 0), m.get("anchor_maps") or [], ids("context_ids"), ids("vmids"), [str(x).upper() for x in m["els"]] if m.get("els") else None, ranges))
     return spark.createDataFrame(rows, "module_idx int, name string, elf string, load_bias long, anchors array<string>, context_ids array<long>, vmids array<long>, els array<string>, ranges array<struct<start:long,stop:long>>")
-
-
-def optional(value: str | None) -> F.Column:
-    return parse_int(F.lit(value))
