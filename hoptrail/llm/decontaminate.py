@@ -55,7 +55,7 @@ class SuffixArray:
     def _sorted(self) -> np.ndarray:
         """By as many words as a number holds, then by twice as many as before among those that still tie."""
         every = np.arange(len(self.words))
-        bits = int(len(self.vocabulary)).bit_length()
+        bits = max(1, len(self.vocabulary).bit_length())  # a shard may have no word at all
         depth = max(1, 62 // bits)
         key = self.words.copy()
         for j in range(1, depth):

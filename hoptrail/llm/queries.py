@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoptrail.llm import bpe, decontaminate, lang_id, line_dedup, near_dedup, pii, quality_rules, secrets, token_counts, warc
+from hoptrail.functions.fence import fenced
+from hoptrail.llm import alignment, bpe, decontaminate, lang_id, line_dedup, mixing, near_dedup, pii, quality_rules, runs, secrets, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,9 +169,75 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM k
 """
 
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    scored = alignment.score_links(aligned.select("doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "pairs", "times"))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    return mixing.mix(docs, [5, 2, 1]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || left(md5('0:' || CAST(doc_id AS VARCHAR)), 15) AS BIGINT) AS key FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source
+), w AS (
+  SELECT source, source_size, CAST(2 * source_size AS DOUBLE) AS cap, CAST(CASE r % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM s
+), c AS (
+  SELECT *, coalesce(sum(cap) OVER before, 0) AS caps, coalesce(sum(weight) OVER before, 0) AS weights, sum(source_size) OVER () * CAST(1.5 AS DOUBLE) AS total, sum(weight) OVER () AS every
+  FROM w WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT (total - caps) / (every - weights) AS level FROM c WHERE cap >= weight * ((total - caps) / (every - weights)) ORDER BY weights LIMIT 1
+), t AS (SELECT source, source_size, least(cap, weight * level) AS target, CAST(round(least(cap, weight * level)) AS BIGINT) AS budget FROM w, l),
+p AS (
+  SELECT d.*, source_size, target, budget, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(least(budget - epochs * source_size - before, size), 0) AS BIGINT) AS taken FROM p
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_with_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    best = F.col("best")
+    return found.withColumn("best", fenced(runs.strongest(F.col("runs")))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """Where the crc32 h of the decimal doc_id ends in 0, the words from a = g % n on become repeats of the p words there; g = h // 10."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), fenced(F.when(chosen, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))).alias("words"))
+    n = F.size("words")
+    placed = split.withColumn("a", F.when(n > 0, F.pmod("g", n))).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    piece = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    again = F.flatten(F.array_repeat(piece, F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    repeated = F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), F.slice(again, F.lit(1), (n - F.col("a")).cast("int")))
+    return placed.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_token_counts, op4_quality_rules, op5_pii, op6_language_id, op7_near_dedup, op8_secrets, op9_decontaminate, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_token_counts, op4_quality_rules, op5_pii, op6_language_id, op7_near_dedup, op8_secrets, op9_decontaminate, op10_warc, op11_alignment, op12_mixing, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op7_near_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op7_near_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL, "op12_mixing": OP12_SQL}

@@ -95,3 +95,16 @@ def test_clashing_names_and_many_blocks(spark):
         assert (r.n_words, r.n_hit, {m.item_id for m in r.matches}, r.spans, r.row, r.digest) == (n, hit, found, r.doc_id, "r", 7)
     kept = decontaminate.remove_contaminated(d, b)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {50, 52, 54, 56, 58, 99}
+
+
+def test_shards_without_words(spark):
+    """One-row tables, and a partition of its own beside others with words."""
+    b = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
+    for text in (None, "", "--- !!"):
+        d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        r = decontaminate.find_overlaps(d, b).first()
+        assert (r.n_words, r.n_hit, r.matches) == (0, 0, [])
+        assert decontaminate.remove_contaminated(d, b).count() == 1
+    d = spark.createDataFrame([(1, "x a b c d e f g h i j k"), (2, "--- !!"), (3, None)], "doc_id long, text string").repartition(3, "doc_id")
+    assert {r.doc_id: r.n_hit for r in decontaminate.find_overlaps(d, b, shard_bytes=1).collect()} == {1: 11, 2: 0, 3: 0}
+    assert {r.doc_id for r in decontaminate.remove_contaminated(d, b.limit(0)).collect()} == {1, 2, 3}
