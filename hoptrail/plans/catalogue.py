@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hoptrail.functions import control, literals, text
-from hoptrail.operators import dataset, graph, joins, model, resolver, segmenter, vocab, windows
+from hoptrail.operators import dataset, graph, joins, model, packets, resolver, segmenter, vocab, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -637,3 +637,49 @@ def q_call_balance(spark, sf_dir):
     step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
     e = events(spark, sf_dir)
     return e.select("event_id", F.lag("k").over(windows.ordered(BY, ORDER)).alias("before_k"), F.sum(step).over(windows.up_to_now(BY, ORDER)).alias("balance"))
+
+
+#: Lines of a trace for each user: what an event's number and kind make of it.
+LINES_SQL = """ln AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS k, event_id % 7 AS m FROM events)"""
+
+
+def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as packets: errors discard or flush, sign-ups switch tracing on, views are atoms, purchases commits, clicks addresses."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
+    k, m = F.get_json_object("props", "$.k").cast("bigint") % 3, F.col("event_id") % 7
+    line = (
+        F.when(F.col("event_type") == "error", F.when(k == 0, "Conditional flush").otherwise("Discard"))
+        .when((F.col("event_type") == "signup") & (k == 0), "TraceOn")
+        .when((F.col("event_type") == "signup"), F.concat(F.lit("TraceInfo - cc_threshold = "), k))
+        .when(F.col("event_type") == "view", F.concat(F.lit("ATOM - "), F.repeat(F.lit("E"), (k + 1).cast("int"))))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit("Commit - "), m))
+        .otherwise(F.concat(F.lit("Address - Instruction address 0x"), F.lower(F.hex(F.col("event_id"))), F.lit(", Instruction set AArch64")))
+    )
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), n.alias("line_no"), line.alias("line"))
+
+
+@query(f"""WITH {LINES_SQL}, st AS (SELECT *, CASE WHEN event_type = 'error' AND k <> 0 THEN 'discard' WHEN event_type = 'error' THEN 'conditional-flush' WHEN event_type = 'signup' AND k = 0 THEN 'trace-on' END AS word,
+CASE WHEN event_type = 'error' AND k <> 0 THEN 1 WHEN event_type IN ('error', 'signup') AND NOT (event_type = 'signup' AND k = 0) THEN NULL ELSE 0 END AS state FROM ln),
+bf AS (SELECT *, coalesce(last_value(state IGNORE NULLS) OVER (PARTITION BY stream ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS was FROM st),
+isl AS (SELECT *, sum(CASE WHEN word IN ('discard', 'trace-on') AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY n) AS island FROM bf),
+mem AS (SELECT stream, island, word, min(n) AS pos FROM isl WHERE word IN ('discard', 'trace-on') OR (word = 'conditional-flush' AND was) GROUP BY ALL)
+SELECT stream, min(pos) AS first_line, string_agg(word, ',' ORDER BY pos) AS reasons, island AS generation FROM mem GROUP BY stream, island""")
+def q_packet_resync(spark, sf_dir):
+    """Runs of discards, flushes and restarts as one record each."""
+    done = packets.dispatch(trace_lines(spark, sf_dir)).filter("action = 'resync'")
+    return done.select("stream", F.col("count").alias("first_line"), F.col("detail").alias("reasons"), "generation")
+
+
+@query(f"""WITH {LINES_SQL}, st AS (SELECT *, event_type = 'error' AND k <> 0 AS dis, event_type = 'signup' AND k = 0 AS restart, CASE WHEN event_type = 'error' AND k <> 0 THEN 1 WHEN event_type = 'error' OR event_type = 'signup' AND k <> 0 THEN NULL ELSE 0 END AS state FROM ln),
+bf AS (SELECT *, coalesce(last_value(state IGNORE NULLS) OVER (PARTITION BY stream ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS was FROM st),
+ep AS (SELECT *, sum(CASE WHEN (dis OR restart) AND NOT was OR event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY n) AS epoch FROM bf),
+q AS (SELECT *, CASE WHEN event_type = 'view' THEN k + 1 ELSE 0 END AS a, CASE WHEN event_type = 'purchase' THEN m ELSE 0 END AS c FROM ep WHERE event_type IN ('view', 'purchase')),
+s AS (SELECT *, sum(a) OVER w AS arrived, sum(c) OVER w AS asked FROM q WINDOW w AS (PARTITION BY stream, epoch ORDER BY n)),
+g AS (SELECT *, asked + least(0, min(arrived - asked) OVER (PARTITION BY stream, epoch ORDER BY n)) AS given FROM s)
+SELECT stream, CAST(sum(given_here) AS BIGINT) AS atoms_taken, CAST(sum(c) - sum(given_here) AS BIGINT) AS atoms_missing, CAST(sum(a) - sum(given_here) AS BIGINT) AS atoms_discarded
+FROM (SELECT *, given - coalesce(lag(given) OVER (PARTITION BY stream, epoch ORDER BY n), 0) AS given_here FROM g) GROUP BY stream""")
+def q_packet_commit(spark, sf_dir):
+    """Atoms that commits take, that they miss, and that are discarded, for each stream."""
+    done = packets.dispatch(trace_lines(spark, sf_dir), mode="commit").filter(F.col("action").isin("atom", "commit", "atoms_discarded"))
+    total = lambda action, of: F.coalesce(F.sum(F.when(F.col("action") == action, of)), F.lit(0)).cast("bigint")
+    return done.groupBy("stream").agg(total("atom", F.lit(1)).alias("atoms_taken"), total("commit", F.col("missing")).alias("atoms_missing"), total("atoms_discarded", F.col("count")).alias("atoms_discarded"))
