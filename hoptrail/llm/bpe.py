@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hoptrail.llm.scratch import bounded_batches, materialize
+from hoptrail.llm.scratch import bounded_batches, looked_up, materialize
 
 #: Entries kept by a worker's memory of encoded pre-tokens, and their longest text.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
@@ -198,8 +198,8 @@ def encode(
 
     pieces = long.select("digest", F.col("row")[text_col].alias("rest")).mapInArrow(cut, "digest string, at long, rest string").dropDuplicates(["digest", "at"])
     encoded = pieces.mapInArrow(pre_tokenise, "digest string, at long, rest string, borders array<long>, ends array<long>, ids array<int>")
-    stitched = encoded.groupBy("digest").applyInArrow(join_chunks, "digest string, ids array<int>")
-    out = single.unionByName(long.join(stitched, "digest").select("row", "ids"))
+    stitched = materialize(encoded.groupBy("digest").applyInArrow(join_chunks, "digest string, ids array<int>"), "stitched")
+    out = single.unionByName(looked_up(long, stitched, ["digest"], "inner").select("row", "ids"))  # a text may be that of many rows
     return out.select(*[F.col("row")[c].alias(c) for c in own], F.col("ids").alias(ids_col))
 
 

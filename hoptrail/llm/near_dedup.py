@@ -48,6 +48,8 @@ _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _ODD = (np.arange(1, 65, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 #: Documents of at most so many candidates are found by a broadcast of their ids; more by a shuffled join.
 BROADCAST_ROWS = 1_000_000
+#: Copies from which on a set's rows look their component up, instead of meeting in one task.
+HOT_ROWS = 1_000
 #: Hash slots in which shingles are counted to order them, and the rows of a key that one salt takes.
 SLOTS, SALT_ROWS = 1 << 19, 1_000
 
@@ -231,7 +233,7 @@ class NearDedup:
         self.sketched = materialize(sketch_table(docs, id_col, text_col, shingle, passes, bins, rows), "sketches")
         # One row for each distinct set: its smallest doc_id, size, sketch and bands.
         full = self.sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-        self.held = materialize(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
+        self.held = materialize(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
 
     def sizes_fit(self, a: str, b: str) -> F.Column:
         return (F.col(a) * 100 >= F.col(b) * self.percent) & (F.col(b) * 100 >= F.col(a) * self.percent)
@@ -324,10 +326,14 @@ class NearDedup:
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept, one row for each row of the table."""
         labels = connected_components(self.links())
-        classes = self.held.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-        wide = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))  # a set may have a third of all rows
-        rows = self.sketched.select("doc_id", "n_shingles", "d1", "d2").withColumn("salt", F.when(F.col("n_shingles") > 0, F.pmod(F.xxhash64("doc_id"), F.lit(16))).cast("int"))
-        out = rows.join(wide, ["d1", "d2", "salt"], "left")
+        classes = materialize(self.held.select("d1", "d2", "rep", "copies").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "copies", F.coalesce("component", "rep").alias("component")), "labelled")
+        # Sets of many rows are few: those rows look theirs up, whatever share of the table one set has.
+        hot = materialize(classes.filter(F.col("copies") > HOT_ROWS).select("d1", "d2", F.col("component").alias("hot")), "hot-classes")
+        rows = self.sketched.select("doc_id", "n_shingles", "d1", "d2")
+        marked = looked_up(rows.filter("n_shingles > 0"), hot, ["d1", "d2"], "left")
+        cold = marked.filter("hot IS NULL").join(classes.filter(F.col("copies") <= HOT_ROWS).drop("copies"), ["d1", "d2"], "left")
+        out = cold.select("doc_id", "n_shingles", "component").unionByName(marked.filter("hot IS NOT NULL").select("doc_id", "n_shingles", F.col("hot").alias("component")))
+        out = out.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
         own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
         return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -26,7 +26,8 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)([0-9]++)(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: No blank in it stands before the beginning of another one.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20(?![A-Z]{2}[0-9]{2})[A-Z0-9]|[A-Z0-9]){11,30}(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 #: Kinds in the order in which they are listed; those after the first four are added by the method.
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
@@ -75,12 +76,20 @@ def _confirmed(kind: str, s: Column) -> Column:
     if kind == "phone":
         return F.char_length(digits(s["text"])).between(10, 15)
     if kind == "iban":
-        return mod97(s["text"])
+        return s["text"].isNotNull()
     if kind == "ssn":
         return ~s["text"].rlike("^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
 
 
+def _shortened(s: Column) -> Column:
+    """A span of an account number up to the last blank or end where its check holds: capitals after it aren't part of it."""
+    words = F.split(s["text"], " ")
+    heads = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    text = F.get(F.filter(heads, lambda h: (F.char_length(F.replace(h, F.lit(" "), F.lit(""))) >= 15) & mod97(h)), F.lit(0))
+    return F.struct(s["start"].alias("start"), (s["start"] + F.char_length(text)).cast("bigint").alias("stop"), text.alias("text"), s["before"].alias("before"), F.concat(F.substr(s["text"], F.char_length(text) + 1), s["after"]).alias("after"))
+
+
 def _scored(kind: str) -> Column:
     """The confirmed spans of a kind with their scores."""
 
@@ -88,7 +97,8 @@ def _scored(kind: str) -> Column:
         near = s["before"].rlike(WORDS[kind]) | s["after"].rlike(WORDS[kind])
         return F.round(F.lit(0.9 if kind in ("card", "iban") else 0.5) + F.when(near, 0.2).otherwise(0.0), 2)
 
-    good = F.filter(kind, lambda s: _confirmed(kind, s))
+    found = F.transform(kind, _shortened) if kind == "iban" else F.col(kind)
+    good = F.filter(found, lambda s: _confirmed(kind, s))
     return F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["text"].alias("text"), score(s).alias("score")))
 
 

@@ -191,8 +191,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = sample.collect()  # sample_rows bounds it
     if len({r["_label"] > 0 for r in held}) < 2:
         return DecisionList()
-    chosen = docs.sparkSession.createDataFrame([(r["_id"], 1 - int(r["_label"] > 0)) for r in held], "_id long, bad int")
-    own = docs.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("text"))
+    kind = known.schema["_id"].dataType.simpleString()  # ids may be numbers or texts
+    chosen = docs.sparkSession.createDataFrame([(r["_id"], 1 - int(r["_label"] > 0)) for r in held], f"_id {kind}, bad int")
+    own = docs.select(F.col(id_col).cast(kind).alias("_key"), F.col(text_col).alias("text"))
     stats = text_stats(own.join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("_id", "bad", "text"))
     # No filter here: pushed down, it would copy the nested array expressions. The sample bounds the rows.
     rows = stats.select("_id", "bad", "base_failed", *FEATURES).orderBy(F.xxhash64("_id"), *FEATURES).limit(2 * sample_rows).collect()

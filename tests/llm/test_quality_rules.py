@@ -7,6 +7,9 @@ from hoptrail.llm import queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: Least share of held-back bad documents that the learned rules find.
+BAD_FOUND = 0.5
+
 
 def brute(text):
     t = text or ""
@@ -80,3 +83,24 @@ def test_clashing_names_and_contradicting_labels(spark):
     assert q.keep_good(given, labels).columns == given.columns
     first, again = (str([str(x) for x in q.learn(docs, d).rules]) for d in (labels, labels.orderBy("quality", "doc_id").repartition(3)))
     assert first == again
+
+
+def test_rules_reject_bad_documents_that_were_held_back(spark):
+    """Learned from the labels of three quarters of the documents, judged on the other quarter."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = q.F.crc32(q.F.col("doc_id").cast("string").cast("binary")) % 4 == 0
+    rules = q.learn(docs, labels.filter(~held))
+    out = q.judge(docs.join(labels.filter(held), "doc_id"), rules).select("quality", "base_failed", "kept").collect()
+    open_ = [r for r in out if not r.base_failed]
+    bad, good = [r for r in open_ if not r.quality], [r for r in open_ if r.quality]
+    assert rules.rules and sum(r.kept for r in good) > 0.97 * len(good)
+    assert bad and sum(not r.kept for r in bad) > BAD_FOUND * len(bad), (len(bad), sum(not r.kept for r in bad), len(good))
+
+
+def test_ids_of_texts_and_a_long_text(spark):
+    docs = spark.createDataFrame([(f"d{i}", ("some plain words " if i % 2 else "## $$ ** ## %% ") * (3 + i % 9)) for i in range(400)] + [("long", "word and more " * 130_000)], "doc_id string, text string")
+    labels = docs.filter("doc_id != 'long'").selectExpr("doc_id", "int(substr(doc_id, 2)) % 2 as quality")
+    rules = q.learn(docs, labels)
+    out = {r.doc_id: r for r in q.judge(docs, rules).select("doc_id", "n_words", "n_repeat_words", "kept").collect()}
+    assert out["long"].n_words == out["long"].n_repeat_words == 390_000 and len(out) == 401

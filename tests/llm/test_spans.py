@@ -72,6 +72,14 @@ def test_pii(spark):
     assert [r.text for r in pii.redact(pii.find_pii(extra)).orderBy("doc_id").collect()][0].startswith("IBAN [iban] ok")
 
 
+def test_account_numbers_end_where_their_check_holds(spark):
+    rows = [(1, "iban DE89370400440532013000 BIC COBADEFF"), (2, "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 NOW"), (3, "DE89370400440532013001 BIC"), (4, "DE89370400440532013000X")]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: [s.text for s in r.iban] for r in found}
+    assert got == {1: ["DE89370400440532013000"], 2: ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"], 3: [], 4: []}
+    assert all(r.text[s.start : s.stop] == s.text for r in found for s in r.iban)
+
+
 def test_secrets(spark):
     check(spark, secrets.find_secrets, SECRETS, lambda f: queries._span_digests(f, secrets, secrets.KINDS[:3]), secrets.KINDS)
     t = "k q7Fz0Lk2Xp9Vb4Tn8Wm1Rc6Y and AAAAAAAAAAAAAAAAAAAAAAAAAAAa1 and example7Fz0Lk2Xp9Vb4Tn8Wm1Rc"
