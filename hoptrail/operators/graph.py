@@ -57,14 +57,13 @@ def fingerprint(nodes: DataFrame, edges: DataFrame, graph: str, labels: list[Col
     first = _hashed(F.array(*labels[:2], known(F.col("_i")), known(F.col("_o")), *labels[2:]))
     colours = materialize(nodes.join(degree, [graph, "node"], "left").select(graph, "node", first.alias("colour")).join(size, graph), "colours")
     marked = lambda mark, c: F.concat(F.array(F.lit(mark)), F.coalesce(c, F.array().cast("array<string>")))
-    around = F.sort_array(F.collect_list(F.concat_ws(":", "type", "colour")))
-    for turn in range(rounds):  # each round is written: the next reads it three times
-        plain = colours.select(graph, "node", "colour")
-        outs = inside.join(plain.withColumnRenamed("node", "dst"), [graph, "dst"]).groupBy(graph, F.col("src").alias("node")).agg(around.alias("outs"))
-        ins = inside.join(plain.withColumnRenamed("node", "src"), [graph, "src"]).groupBy(graph, F.col("dst").alias("node")).agg(around.alias("ins"))
+    # Both directions of an edge in one table: a round is one join and one aggregation of it.
+    ways = materialize(inside.select(graph, F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("OUT").alias("way"), "type").unionByName(inside.select(graph, F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("IN").alias("way"), "type")), "ways")
+    around = lambda way: F.sort_array(F.collect_list(F.when(F.col("way") == way, F.concat_ws(":", "type", "colour"))))
+    for turn in range(size.agg(F.coalesce(F.max("_rounds"), F.lit(0))).first()[0]):  # each round is written: the next reads it twice
+        near = ways.join(colours.select(graph, F.col("node").alias("other"), "colour"), [graph, "other"]).groupBy(graph, "node").agg(around("OUT").alias("outs"), around("IN").alias("ins"))
         nxt = _hashed(F.concat(F.array("colour"), marked("IN", F.col("ins")), marked("OUT", F.col("outs"))))
-        colours = colours.join(ins, [graph, "node"], "left").join(outs, [graph, "node"], "left").select(graph, "node", F.when(F.col("_rounds") > turn, nxt).otherwise(F.col("colour")).alias("colour"), "_rounds")
-        colours = materialize(colours, "colours")
+        colours = materialize(colours.join(near, [graph, "node"], "left").select(graph, "node", F.when(F.col("_rounds") > turn, nxt).otherwise(F.col("colour")).alias("colour"), "_rounds"), "colours")
     named = inside
     for end in ("src", "dst"):
         named = named.join(colours.select(graph, F.col("node").alias(end), F.col("colour").alias(f"{end}_colour")), [graph, end])

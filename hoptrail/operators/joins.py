@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hoptrail.operators.scans import scan
 from hoptrail.written import materialize
 
 #: Rows of a candidate table that a join may broadcast.
@@ -144,3 +145,53 @@ def edge_diff(old: DataFrame, new: DataFrame, keys: list[str], kind: str) -> Dat
     a, b = old.select(*keys, F.col(kind).alias("old_type")), new.select(*keys, F.col(kind).alias("new_type"))
     status = F.when(F.col("old_type").isNull(), "ADDED").when(F.col("new_type").isNull(), "REMOVED").when(F.col("old_type") == F.col("new_type"), "UNCHANGED").otherwise("TYPE_CHANGED")
     return a.join(b, keys, "full_outer").withColumn("status", status)
+
+
+#: Kinds of symbols that are code (public ELF format).
+FUNCTIONS = (2, 10)
+
+
+def symbol_lookup(points: DataFrame, symbols: DataFrame, module: str = "module", at: str = "elf_va", near: int = 8, span: int = 1 << 22) -> DataFrame:
+    """``points`` with symbol, symbol_offset and symbol_contains: the symbol at or before each address of its module.
+
+    ``symbols`` has module, name, addr, size and kind (a number; ``FUNCTIONS`` come first). Of the ``near`` + 1
+    symbols that end at the last one not after an address, one that holds it wins: a function, then the
+    smaller, then the later; a symbol of size 0 holds its own address, as the largest. Without any, the nearest
+    before counts. Each distinct address is looked up once, in blocks of ``span`` addresses, and goes
+    back to its rows by a join.
+    """
+    ordered_ = Window.partitionBy(module).orderBy("addr", F.desc("size"), "name").rowsBetween(-near, 0)
+    entry = F.struct("name", "addr", "size", "kind")
+    place = F.row_number().over(Window.partitionBy(module).orderBy("addr", F.desc("size"), "name"))
+    listed = symbols.select(F.col(module).alias("_m"), F.col("addr").alias("_a"), place.alias("_i"), F.collect_list(entry).over(ordered_).alias("_near"))
+    # At an address of several symbols the last one's list counts.
+    builds = listed.groupBy("_m", "_a").agg(F.max_by("_near", "_i").alias("_near")).select("_m", (F.col("_a") * 2).alias("_k"), F.lit(None).cast("bigint").alias("_va"), "_near")
+    probes = points.select(F.col(module).alias("_m"), F.col(at).cast("bigint").alias("_va")).filter("_m IS NOT NULL AND _va IS NOT NULL").distinct()
+    both = probes.select("_m", (F.col("_va") * 2 + 1).alias("_k"), "_va", F.lit(None).cast(builds.schema["_near"].dataType).alias("_near")).unionByName(builds)
+    placed = scan(both, ["_m"], "_k", fills={"_before": F.col("_near")}, block=2 * span).filter("_va IS NOT NULL")
+    va = F.col("_va")
+    holds = F.filter("_before", lambda s: F.when(s["size"] > 0, (va >= s["addr"]) & (va < s["addr"] + s["size"])).otherwise(va == s["addr"]))
+    ranked = F.array_min(F.transform(holds, lambda s: F.struct(F.when(s["kind"].isin(*FUNCTIONS), 0).otherwise(1).alias("a"), F.when(s["size"] > 0, s["size"]).otherwise(F.lit(1 << 62)).alias("b"), (-s["addr"]).alias("c"), s["name"].alias("name"), s["addr"].alias("addr"))))
+    last = F.element_at(F.transform("_before", lambda s: s["addr"]), -1)
+    first = F.get(F.filter("_before", lambda s: s["addr"] == last), F.lit(0))  # of several at the nearest address the first
+    found = placed.select("_m", "_va", ranked.alias("_hold"), F.when(F.col("_before").isNotNull(), first).alias("_first"))
+    found = found.select("_m", "_va", F.coalesce("_hold.name", "_first.name").alias("symbol"), (va - F.coalesce("_hold.addr", "_first.addr")).alias("symbol_offset"), F.col("_hold").isNotNull().alias("symbol_contains"))
+    own = points.drop("symbol", "symbol_offset", "symbol_contains")
+    out = own.join(found, (F.col(module) == F.col("_m")) & (F.col(at) == F.col("_va")), "left").drop("_m", "_va")
+    return out.withColumn("symbol_contains", F.coalesce("symbol_contains", F.lit(False)))
+
+
+def merged_ranges(ranges: DataFrame, by: list[str], start: str, stop: str) -> DataFrame:
+    """Disjoint half-open ranges that cover the same places as those of each key, touching ones joined."""
+    w = Window.partitionBy(*by).orderBy(start, stop)
+    reach = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = ranges.filter(F.col(start) < F.col(stop)).withColumn("_new", F.coalesce(F.col(start) > reach, F.lit(True)).cast("bigint"))
+    numbered_ = marked.withColumn("_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered_.groupBy(*by, "_no").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("_no")
+
+
+def containing(points: DataFrame, bodies: DataFrame, key: list[str], point: str, owner: str, start: str, stop: str, by: list[str] | None = None) -> DataFrame:
+    """``points``, unique by ``key``, with the owner whose body, a set of ranges, holds each; the smallest owner of several; null without one."""
+    whole = merged_ranges(bodies.select(*(by or []), owner, start, stop), [*(by or []), owner], start, stop)
+    joined = interval_join(points, whole, point, start, stop, by=by)
+    return best_interval(joined, key, [F.col(owner)]).drop(start, stop)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hoptrail.operators.windows import numbered
 from hoptrail.written import materialize
 
 #: Blocks that magnitudes are counted in, and the distinct ones that one task may sort.
@@ -94,3 +96,54 @@ def scheduled_sparsity(initial: float, final: float, progress: Column) -> Column
     """From ``initial`` to ``final`` by a cubic of the progress, which is held within 0 and 1."""
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), progress))
     return F.lit(final) + F.lit(initial - final) * F.pow(1 - p, F.lit(3.0))
+
+
+def prunable(tensors: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Tensors (name, shape, dtype) that pruning may touch: of two dimensions at least, floating, with no excluded part in the name."""
+    named = F.lower("name")
+    kept = (F.size("shape") >= 2) & F.col("dtype").rlike("^b?float")
+    for part in exclude:
+        kept = kept & ~named.contains(part)
+    return tensors.filter(kept)
+
+
+def sparsity_stats(weights: DataFrame, value: str, tensor: str = "tensor") -> DataFrame:
+    """One row: tensors, parameters, zeros among them, and their share."""
+    out = weights.agg(F.count_distinct(tensor).alias("tensors"), F.count("*").alias("parameters"), F.count_if(F.col(value) == 0).alias("zero_parameters"))
+    return out.withColumn("sparsity", F.when(F.col("parameters") > 0, F.col("zero_parameters") / F.col("parameters")).otherwise(0.0))
+
+
+def prune(weights: DataFrame, value: str, sparsities: list[float], train: Callable[[DataFrame, int], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Weights after steps of pruning by magnitude, and a row a step: target, threshold, parameters and zeros.
+
+    A step keeps what is above the k-th smallest magnitude of all weights, those masked before
+    among them as zeros. Between steps ``train`` may move weights; masked ones stay zero, whatever it gives them.
+    """
+    kept = materialize(weights.withColumn("_keep", F.lit(True)), "weights")
+    rows = []
+    for step, target in enumerate(sparsities):
+        if train is not None and step:
+            kept = materialize(train(kept, step).withColumn(value, F.when(F.col("_keep"), F.col(value)).otherwise(F.lit(0.0))), "trained")
+        cut = kth_magnitude(kept.select(value), value, target).first() if target > 0 else None
+        above = F.abs(value) > F.lit(cut.threshold) if cut else F.lit(True)
+        kept = materialize(kept.withColumn("_keep", above).withColumn(value, F.when(above, F.col(value)).otherwise(F.lit(0.0))), "pruned")
+        n = kept.agg(F.count("*").alias("n"), F.count_if(~F.col("_keep")).alias("z")).first()
+        rows.append((step, float(target), float(cut.threshold) if cut else None, n.n, n.z))
+    stats = weights.sparkSession.createDataFrame(rows, "step int, target double, threshold double, parameters long, zeros long")
+    return kept.drop("_keep"), stats
+
+
+def full_batches(rows: DataFrame, order: list, batch: int, piece: int, limit: int) -> DataFrame:
+    """``rows`` in pieces of exactly ``piece`` rows, cut from batches of ``batch``, until ``limit`` rows are reached.
+
+    A batch's rest that fills no piece is left out, as is a short last batch's; rows get ``piece_no`` and ``place``.
+    """
+    placed = numbered(rows, order, "_n").withColumn("_n", F.col("_n") - 1)
+    total = placed.agg(F.count("*")).first()[0]
+    of = F.floor(F.col("_n") / batch)
+    inside = F.col("_n") - of * batch
+    own = F.floor(inside / piece)
+    whole = (own + 1) * piece <= F.least(F.lit(batch), F.lit(total) - of * batch)
+    number = of * (batch // piece) + own
+    kept = placed.withColumns({"_whole": whole, "piece_no": number, "place": inside - own * piece}).filter(F.col("_whole") & (F.col("piece_no") < -(-limit // piece)))
+    return kept.drop("_n", "_whole")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hoptrail.functions.literals import align_down, align_up, file_offset, permission_compatible, permission_text
 from hoptrail.functions.text import base_name
-from hoptrail.operators.joins import best_interval, interval_join
+from hoptrail.operators.joins import best_interval, interval_join, symbol_lookup
 from hoptrail.written import materialize
 
 #: Reasons of addresses without a module.
@@ -113,3 +113,20 @@ def with_bias(rules: DataFrame, inferred: DataFrame) -> DataFrame:
     """Rules whose bias is given, or inferred where it isn't."""
     found = inferred.select("module_idx", F.col("load_bias").alias("_bias"))
     return rules.join(found, "module_idx", "left").withColumn("load_bias", F.coalesce("load_bias", "_bias")).drop("_bias")
+
+
+NO_BYTES = "elf-bytes-unavailable"
+
+
+def described(resolved: DataFrame, symbols: DataFrame, sections: DataFrame, words: DataFrame, key: str = "row_id") -> DataFrame:
+    """The result of ``resolve`` with the symbol, section and instruction word of each address.
+
+    ``symbols`` (elf, name, addr, size, kind), ``sections`` (elf, name, addr, size) and ``words`` (elf, va, word) come
+    from the files; an address that resolves but has no word gets the reason ``NO_BYTES``.
+    """
+    held = materialize(symbol_lookup(resolved, symbols, module="elf"), "symbols")
+    spans = sections.filter("size > 0").select("elf", F.col("name").alias("section"), F.col("addr").alias("_a"), (F.col("addr") + F.col("size")).alias("_b"))
+    placed = best_interval(interval_join(held, spans, "elf_va", "_a", "_b", by=["elf"]), [key], [F.desc("_a"), F.asc(F.col("_b"))]).drop("_a", "_b")
+    read = words.select(F.col("elf").alias("_e"), F.col("va").alias("_va"), "word")
+    out = placed.join(read, (F.col("elf") == F.col("_e")) & (F.col("elf_va") == F.col("_va")), "left").drop("_e", "_va")
+    return out.withColumn("reason", F.when(F.col("reason").isNull() & F.col("elf_va").isNotNull() & F.col("word").isNull(), NO_BYTES).otherwise(F.col("reason")))

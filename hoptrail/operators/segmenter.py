@@ -199,6 +199,7 @@ class Segmenter(Machine):
 
     def on_address(self, row: dict) -> None:
         at, reason = number(row.get("runtime_addr") or row.get("address")), row.get("reason")
+        elf = row.get("elf_addr") or row.get("elf_va")
         module = row.get("module") or base(row.get("map"))
         if reason == "no-configured-elf":
             self.module = base(row.get("map"))
@@ -213,12 +214,12 @@ class Segmenter(Machine):
                 waiting.confidence = "confirmed"
             elif not self.strict:
                 self.pending = None
-                self.edge(waiting, bad="conflict")
+                self.edge(waiting, bad="conflict", why="address_anchor_mismatch")
                 self.gap("address_anchor_mismatch", row, expected=waiting.next_pc, observed=at)
         if module:
             self.module = module
-        known = {"module": module, "symbol": row.get("symbol"), "elf": row.get("elf_addr")}
-        for key in (("r", at), ("e", number(row.get("elf_addr")))):
+        known = {"module": module, "symbol": row.get("symbol"), "elf": elf}
+        for key in (("r", at), ("e", number(elf))):
             if key[1] is not None:
                 self.seen[key] = known
 
@@ -227,6 +228,7 @@ class Segmenter(Machine):
         nested = row.get("context")
         if nested and any(v is not None for v in nested.values()):
             self.on_context(context_of(nested))
+        row = row | {"elf_start": row.get("elf_start") or row.get("elf_va")}
         start, end, elf_start, elf_end = (number(row.get(c)) for c in ("runtime_start", "runtime_end", "elf_start", "elf_end"))
         first, last = (self.seen.get(("r", r)) or self.seen.get(("e", e)) or {} for r, e in ((start, elf_start), (end, elf_end)))
         module = row.get("module") or base(row.get("map")) or first.get("module") or last.get("module") or self.module or self.default_module
@@ -249,7 +251,7 @@ class Segmenter(Machine):
                 if waiting.next_pc == item.start:
                     self.edge(waiting, hint=item)
                 else:
-                    self.edge(waiting, bad="conflict")
+                    self.edge(waiting, bad="conflict", why="range_before_partial_mismatch")
                     self.gap("range_before_partial_mismatch", {})
             self.edge(item, invalid=True)
             self.gap(f"range_status:{status}", row)
@@ -279,7 +281,7 @@ class Segmenter(Machine):
                 self.edge(waiting)
                 self.close("pc_mismatch")
             else:
-                self.edge(waiting, bad="conflict")
+                self.edge(waiting, bad="conflict", why="pc_mismatch")
                 self.gap("pc_mismatch", row, expected=waiting.next_pc, observed=item.start)
         else:
             self.edge(waiting, hint=item)
@@ -311,7 +313,7 @@ class Segmenter(Machine):
             function, offset = ELF, hex(number(elf) or 0)
         return module, function, offset
 
-    def edge(self, item: Range, hint: Range | None = None, bad: str | None = None, invalid: bool = False) -> None:
+    def edge(self, item: Range, hint: Range | None = None, bad: str | None = None, invalid: bool = False, why: str | None = None) -> None:
         row = item.row
         module, function, offset = self.target(item, hint)
         own_function, own_offset = split(row.get("end_symbol") or row.get("start_symbol"))
@@ -330,7 +332,7 @@ class Segmenter(Machine):
                 "dst_address": hex(item.next_pc) if item.next_pc is not None else None,
                 "instruction_count": row.get("instruction_count"),
                 "status": row.get("status") or "resolved",
-                "reason": row.get("reason"),
+                "reason": why or row.get("reason"),
                 "target_source": row.get("target_source"),
                 "confidence": item.confidence,
                 "target_valid": not (invalid or bad),

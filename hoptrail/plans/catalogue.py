@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hoptrail.functions import control, literals, text
-from hoptrail.operators import dataset, graph, joins, model, packets, resolver, segmenter, vocab, windows
+from hoptrail.operators import dataset, graph, joins, model, packets, report, resolver, segmenter, vocab, windows
+from hoptrail.streaming import alarms
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -558,14 +559,15 @@ d{t} AS (SELECT DISTINCT o2, n2 FROM a{t} JOIN b{t} USING (o, n, type)),
 m{t} AS (SELECT o, n FROM m{p} UNION ALL SELECT o2, n2 FROM (SELECT *, count(*) OVER (PARTITION BY o2) AS x, count(*) OVER (PARTITION BY n2) AS y FROM d{t}) WHERE x = 1 AND y = 1)"""
 
 
-@query(f"""WITH eo AS (SELECT DISTINCT l_orderkey AS src, l_orderkey * 3 % 997 AS dst, l_returnflag AS type FROM lineitem WHERE l_orderkey < 997), en AS (SELECT DISTINCT l_orderkey + 10000 AS src, l_orderkey * 3 % 997 + 10000 AS dst, l_returnflag AS type FROM lineitem WHERE l_orderkey < 997 AND l_orderkey % 11 <> 0),
-m0 AS (SELECT DISTINCT l_orderkey AS o, l_orderkey + 10000 AS n FROM lineitem WHERE l_orderkey < 40), {PROP_STEP.format(t=1, p=0)}, {PROP_STEP.format(t=2, p=1)} SELECT o, n FROM m2""")
+@query(f"""WITH c AS (SELECT max(l_orderkey) + 1 AS c FROM lineitem), eo AS (SELECT DISTINCT l_orderkey AS src, l_orderkey * 3 % c AS dst, l_returnflag AS type FROM lineitem, c), en AS (SELECT DISTINCT l_orderkey + 10000 AS src, l_orderkey * 3 % c + 10000 AS dst, l_returnflag AS type FROM lineitem, c WHERE l_orderkey % 11 <> 0),
+m0 AS (SELECT DISTINCT l_orderkey AS o, l_orderkey + 10000 AS n FROM lineitem WHERE l_orderkey % 25 = 0), {PROP_STEP.format(t=1, p=0)}, {PROP_STEP.format(t=2, p=1)} SELECT o, n FROM m2""")
 def q_neighbor_propagate(spark, sf_dir):
     k = F.col("l_orderkey")
-    li = table(spark, sf_dir, "lineitem").filter(k < 997)
-    eo = li.select(k.alias("src"), (k * 3 % 997).alias("dst"), F.col("l_returnflag").alias("type")).distinct()
-    en = li.filter(k % 11 != 0).select((k + 10000).alias("src"), (k * 3 % 997 + 10000).alias("dst"), F.col("l_returnflag").alias("type")).distinct()
-    return joins.propagate(li.filter(k < 40).select(k.alias("o"), (k + 10000).alias("n")).distinct(), eo, en, 2)
+    li = table(spark, sf_dir, "lineitem")
+    nodes = F.lit(li.agg(F.coalesce(F.max(k), F.lit(0))).first()[0] + 1)
+    eo = li.select(k.alias("src"), (k * 3 % nodes).alias("dst"), F.col("l_returnflag").alias("type")).distinct()
+    en = li.filter(k % 11 != 0).select((k + 10000).alias("src"), (k * 3 % nodes + 10000).alias("dst"), F.col("l_returnflag").alias("type")).distinct()
+    return joins.propagate(li.filter(k % 25 == 0).select(k.alias("o"), (k + 10000).alias("n")).distinct(), eo, en, 2)
 
 
 SIMILAR = """pr AS (SELECT a.p_partkey AS o, b.p_partkey AS n, 0.30 * (a.p_brand = b.p_brand)::INT + 0.25 * (a.p_name = b.p_name)::INT + 0.15 * (a.p_type = b.p_type)::INT + 0.15 / (1 + abs(a.p_size - b.p_size)) + 0.10 * least(a.p_size, b.p_size) / greatest(a.p_size, b.p_size) + 0.05 * (a.p_size = b.p_size)::INT AS s
@@ -683,3 +685,91 @@ def q_packet_commit(spark, sf_dir):
     done = packets.dispatch(trace_lines(spark, sf_dir), mode="commit").filter(F.col("action").isin("atom", "commit", "atoms_discarded"))
     total = lambda action, of: F.coalesce(F.sum(F.when(F.col("action") == action, of)), F.lit(0)).cast("bigint")
     return done.groupBy("stream").agg(total("atom", F.lit(1)).alias("atoms_taken"), total("commit", F.col("missing")).alias("atoms_missing"), total("atoms_discarded", F.col("count")).alias("atoms_discarded"))
+
+
+@query("""WITH sy AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY addr, size DESC, name) AS i FROM (SELECT p_size % 5 AS module, 's' || p_partkey AS name, p_partkey // 3 * 40 AS addr, CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_size * 3 END AS size, p_size % 3 AS kind FROM part)),
+lk AS (SELECT module, addr, max(i) AS i FROM sy GROUP BY ALL),
+pt AS (SELECT l_orderkey, l_linenumber, l_suppkey % 6 AS module, l_partkey * 14 + CAST(l_quantity AS BIGINT) AS va FROM lineitem),
+ix AS (SELECT pt.*, lk.i AS last, lk.addr AS near FROM pt ASOF LEFT JOIN lk ON pt.module = lk.module AND pt.va >= lk.addr),
+cd AS (SELECT ix.*, name, addr, sy.i AS i, size, kind, CASE WHEN size > 0 THEN va < addr + size ELSE va = addr END AS holds FROM ix JOIN sy ON ix.module = sy.module AND sy.i BETWEEN last - 8 AND last),
+b AS (SELECT * FROM cd WHERE holds OR addr = near QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, va, module ORDER BY NOT holds, CASE WHEN holds THEN (kind <> 2)::INT END, CASE WHEN holds THEN CASE WHEN size > 0 THEN size ELSE 4611686018427387904 END END, CASE WHEN holds THEN -addr END, CASE WHEN holds THEN name END, i) = 1)
+SELECT ix.l_orderkey, ix.l_linenumber, ix.va, b.name AS symbol, ix.va - b.addr AS symbol_offset, coalesce(b.holds, false) AS symbol_contains FROM ix LEFT JOIN b USING (l_orderkey, l_linenumber, module, va)""")
+def q_symbol_lookup(spark, sf_dir):
+    size = F.col("p_size").cast("bigint")
+    symbols = table(spark, sf_dir, "part").select((size % 5).alias("module"), F.concat(F.lit("s"), "p_partkey").alias("name"), (F.floor(F.col("p_partkey") / 3) * 40).alias("addr"), F.when(size % 7 == 0, 0).otherwise(size * 3).alias("size"), (size % 3).alias("kind"))
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 6).alias("module"), (F.col("l_partkey") * 14 + F.col("l_quantity").cast("bigint")).alias("va"))
+    return joins.symbol_lookup(points, symbols, at="va").drop("module")
+
+
+#: Steps of each user: the event's value is the target's probability, its number the rest.
+STEPS_SQL = f"""{EV}, sp AS (SELECT user_id, row, value / 100 AS dst, (k % 10) / 10 AS ctrl, event_type <> 'signup' AS tv, k % 13 <> 0 AS cv, event_type <> 'purchase' AS gv FROM ev),
+sc AS (SELECT *, CASE WHEN tv AND cv THEN CASE WHEN gv THEN dst * pow(ctrl, 0.2) ELSE ctrl END END AS p, CASE WHEN NOT tv THEN 'unscored_discontinuous_transition' WHEN NOT cv THEN 'unscored_speculative_path' END AS why FROM sp),
+bg AS (SELECT *, CASE WHEN row = 1 OR p IS NULL OR NOT tv OR lag(p) OVER w IS NULL THEN row END AS b FROM sc WINDOW w AS (PARTITION BY user_id ORDER BY row)),
+rn AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY row) AS run FROM bg),
+lc AS (SELECT *, coalesce(p < 0.2, false) AS low, count_if(p < 0.2) OVER w AS lows, greatest(run, row - {SIZE - 1}) AS start_row FROM rn WINDOW w AS (PARTITION BY user_id, run ORDER BY row ROWS BETWEEN {SIZE - 1} PRECEDING AND CURRENT ROW))"""
+
+
+def windowed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    e = events(spark, sf_dir).select("user_id", "row", (F.col("value") / 100).alias("dst_prob"), (k % 10 / 10).alias("ctrl_prob"), (F.col("event_type") != "signup").alias("transition_valid"), (k % 13 != 0).alias("control_valid"), (F.col("event_type") != "purchase").alias("target_valid"))
+    return report.windows_of(e, BY, "row", 0.2, SIZE)
+
+
+@query(f"""WITH {STEPS_SQL} SELECT user_id, row, 0 AS seq, CASE WHEN p IS NULL THEN why ELSE 'low_token' END AS event, round(p, 6) AS score_prob, CASE WHEN p IS NULL THEN 0 ELSE lows END AS low_count, NULL AS start_row FROM lc WHERE p IS NULL OR low
+UNION ALL SELECT user_id, row, 1, 'window_alarm', round(p, 6), lows, start_row FROM lc WHERE p IS NOT NULL AND row - start_row + 1 >= {SIZE} AND lows >= {LEAST}""")
+def q_prediction_report(spark, sf_dir):
+    """Records of unscored and low steps, and alarms after the record that raised them."""
+    done = report.report(windowed_steps(spark, sf_dir), BY, "row", SIZE, LEAST)
+    return done.select("user_id", "row", "seq", "event", F.round("score_prob", 6).alias("score_prob"), "low_count", "start_row")
+
+
+@query(f"""WITH {STEPS_SQL} SELECT count(*) AS total_samples, count(p) AS scored_samples, count(*) - count(p) AS unscored_samples, CAST(count_if(NOT gv) AS BIGINT) AS invalid_target_samples, CAST(count_if(NOT cv) AS BIGINT) AS invalid_control_samples, CAST(count_if(low) AS BIGINT) AS low_samples,
+CAST(count_if(p IS NOT NULL AND row - start_row + 1 >= {SIZE} AND lows >= {LEAST}) AS BIGINT) AS alarm_windows, CAST(max(CASE WHEN p IS NULL THEN 0 ELSE lows END) AS BIGINT) AS max_window_low_count, count_if(low) / count(p) AS low_ratio FROM lc""")
+def q_prediction_summary(spark, sf_dir):
+    return report.summary(windowed_steps(spark, sf_dir), SIZE, LEAST)
+
+
+@query("""WITH n AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS n, count(*) OVER () AS total FROM events), p AS (SELECT *, n // 96 AS b, n % 96 AS i FROM n)
+SELECT event_id, b * 3 + i // 32 AS piece_no, i % 32 AS place FROM p WHERE (i // 32 + 1) * 32 <= least(96, total - b * 96) AND b * 3 + i // 32 < 20""")
+def q_calibration_batches(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "ts")
+    return model.full_batches(e, ORDER, 96, 32, 640).select("event_id", "piece_no", "place")
+
+
+#: Three steps of pruning; between them weights shrink by a share that their tensor gives.
+PRUNE_SQL = """w0 AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS w FROM embeddings, range(1, 9) t(i)),
+c0 AS (SELECT max(m) AS c FROM (SELECT abs(w) AS m, row_number() OVER (ORDER BY abs(w)) AS r, count(*) OVER () AS n FROM w0) WHERE r = CAST(floor(n * 0.2) AS BIGINT)),
+p0 AS (SELECT vec_id, i, w, abs(w) > c AS keep FROM w0, c0),
+w1 AS (SELECT vec_id, i, CASE WHEN keep THEN w * (1 - vec_id % 5 * 0.1) ELSE 0 END AS w FROM p0),
+c1 AS (SELECT max(m) AS c FROM (SELECT abs(w) AS m, row_number() OVER (ORDER BY abs(w)) AS r, count(*) OVER () AS n FROM w1) WHERE r = CAST(floor(n * 0.5) AS BIGINT)),
+p1 AS (SELECT vec_id, i, w, abs(w) > c AS keep FROM w1, c1),
+w2 AS (SELECT vec_id, i, CASE WHEN keep THEN w * (1 - vec_id % 5 * 0.1) ELSE 0 END AS w FROM p1),
+c2 AS (SELECT max(m) AS c FROM (SELECT abs(w) AS m, row_number() OVER (ORDER BY abs(w)) AS r, count(*) OVER () AS n FROM w2) WHERE r = CAST(floor(n * 0.7) AS BIGINT)),
+p2 AS (SELECT vec_id, i, w, abs(w) > c AS keep FROM w2, c2)"""
+
+
+@query(f"""WITH {PRUNE_SQL} {" UNION ALL ".join(f"SELECT {i} AS step, CAST({t} AS DOUBLE) AS target, round(min(c), 7) AS threshold, count(*) AS parameters, CAST(count_if(NOT keep) AS BIGINT) AS zeros FROM p{i}, c{i}" for i, t in enumerate((0.2, 0.5, 0.7)))}""")
+def q_prune_steps(spark, sf_dir):
+    """Steps of pruning with masks that stay while weights move."""
+    w = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "w")).withColumn("w", F.col("w").cast("double"))
+    shrink = lambda df, step: df.withColumn("w", F.col("w") * (1 - F.col("vec_id") % 5 * F.lit(0.1)))
+    return model.prune(w, "w", [0.2, 0.5, 0.7], shrink)[1].withColumn("threshold", F.round("threshold", 7))
+
+
+@query("""WITH bd AS (SELECT p_size % 4 AS module, p_partkey % 40 AS func, p_partkey * 37 % 9000 AS a, p_partkey * 37 % 9000 + p_size * 2 AS b FROM part),
+pt AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 5 AS module, (l_partkey * 11 + l_orderkey) % 9500 AS pos FROM lineitem)
+SELECT pt.l_orderkey, pt.l_linenumber, pt.l_partkey, pt.module, pt.pos, min(func) AS func FROM pt LEFT JOIN bd ON pt.module = bd.module AND pos >= a AND pos < b GROUP BY ALL""")
+def q_containment(spark, sf_dir):
+    """The function whose body, several ranges, holds each address."""
+    size = F.col("p_size").cast("bigint")
+    bodies = table(spark, sf_dir, "part").select((size % 4).alias("module"), (F.col("p_partkey") % 40).alias("func"), (F.col("p_partkey") * 37 % 9000).alias("a"), (F.col("p_partkey") * 37 % 9000 + size * 2).alias("b"))
+    key = ["l_orderkey", "l_linenumber", "l_partkey"]
+    points = table(spark, sf_dir, "lineitem").select(*key, (F.col("l_suppkey") % 5).alias("module"), ((F.col("l_partkey") * 11 + F.col("l_orderkey")) % 9500).alias("pos"))
+    return joins.containing(points.distinct(), bodies, [*key, "module", "pos"], "pos", "func", "a", "b", by=["module"]).select(*key, "module", "pos", "func")
+
+
+@query(f"WITH {RUNS} SELECT user_id AS stream, row, CAST(low_count AS BIGINT) AS low_count, start_row FROM lc WHERE observed >= {SIZE} AND low_count >= {LEAST}")
+def q_stream_alarm(spark, sf_dir):
+    """The alarms of a live stream: events, numbered, go through the state operator and a sink."""
+    e = events(spark, sf_dir).select(F.col("user_id").alias("stream"), "row", F.when(F.col("event_type") != "error", F.col("value")).alias("score"), (F.col("event_type") == "signup").alias("breaks"))
+    return alarms.run_once(e, LOW, SIZE, LEAST)

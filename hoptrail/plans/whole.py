@@ -1,6 +1,6 @@
 """Registered queries that no SQL checks: loops until stable and deep refinement over whole tables.
 
-``catalogue`` has their short forms, cut to what SQL can unroll.
+``catalogue`` has their forms of as many rounds as SQL can unroll.
 """
 
 from __future__ import annotations

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hoptrail.functions import text
+from hoptrail.written import materialize
 
 MAP_LINE = r"^([0-9a-fA-F]+)-([0-9a-fA-F]+)\s+([rwxsp-]{4})\s+([0-9a-fA-F]+)\s+(\S+)\s+(\d+)\s*(.*)$"
 LOCATION = T.StructType([T.StructField(n, T.StringType()) for n in ("module", "runtime_addr", "elf_addr", "function", "function_offset")])
@@ -22,7 +23,7 @@ TOKEN = T.StructType(
 )
 SEGMENT = T.StructType([T.StructField("schema_version", T.IntegerType()), T.StructField("recovery_policy", T.StringType()), T.StructField("segment_id", T.LongType()), T.StructField("context", T.MapType(T.StringType(), T.StringType())), T.StructField("length", T.IntegerType()), T.StructField("start", LOCATION), T.StructField("tokens", T.ArrayType(TOKEN)), T.StructField("break_reason", T.StringType())])
 EVENT = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("event", "module", "atom", "status", "reason", "runtime_start", "runtime_end", "elf_start", "elf_end", "start_symbol", "end_symbol", "next_pc", "target_source", "confidence", "path_confidence", "address", "runtime_addr", "elf_addr", "symbol", "map", "map_file_offset", "pc", "detail", "trace_id", "context_id", "vmid", "el", "security", "isa", "kind")]
+    [T.StructField(n, T.StringType()) for n in ("event", "module", "atom", "status", "reason", "runtime_start", "runtime_end", "elf_start", "elf_end", "start_symbol", "end_symbol", "next_pc", "target_source", "confidence", "path_confidence", "address", "runtime_addr", "elf_addr", "elf_va", "symbol", "map", "map_file_offset", "pc", "detail", "trace_id", "context_id", "vmid", "el", "security", "isa", "kind")]
     + [T.StructField("context", T.StructType([T.StructField(n, T.StringType()) for n in ("context_id", "vmid", "el", "security", "isa")])), T.StructField("modules", T.ArrayType(T.StringType()))]
     + [T.StructField("instruction_count", T.LongType()), T.StructField("waypoint", T.StructType([T.StructField("kind", T.StringType()), T.StructField("asm", T.StringType()), T.StructField("taken", T.BooleanType())]))]
 )
@@ -31,12 +32,17 @@ EVENT = T.StructType(
 def read_lines(spark: SparkSession, path: str, glob: str = "*.txt", recursive: bool = False) -> DataFrame:
     """file, line_no (from 1) and text of every line that isn't blank, stripped.
 
-    A file is read whole as one row of lines, so the order of lines never depends
-    on how files are split; files are the unit of parallelism.
+    A large file is read in many tasks: each split's lines keep their order by a running
+    id, and a line's number is its place in its split after the lines of the splits
+    before. Only the splits' sizes are gathered, one row each.
     """
-    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).option("wholetext", True).text(path)
-    lines = files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "raw"))
-    return lines.select("file", (F.col("n") + 1).cast("bigint").alias("line_no"), F.trim("raw").alias("line")).filter("line != ''")
+    text_ = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).text(path)
+    held = materialize(text_.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value"), "lines")
+    splits = held.groupBy("file", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = held.join(splits.select("file", "split", "first", before.alias("before")), ["file", "split"])
+    line = F.btrim("value", F.lit(" \t\r\n\f\x0b"))
+    return placed.select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), line.alias("line")).filter("line != ''")
 
 
 def parse_maps(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,8 +68,8 @@ def read_events(spark: SparkSession, path: str, glob: str = "*.jsonl", recursive
 
 
 def read_segments(spark: SparkSession, path: str, glob: str = "*.jsonl", recursive: bool = False) -> DataFrame:
-    """Segments with their file; lines that are no objects are skipped, malformed ones fail the read."""
-    lines = read_lines(spark, path, glob, recursive).filter(F.col("line").startswith("{"))
+    """Segments with their file; a line that is no object fails the read."""
+    lines = read_lines(spark, path, glob, recursive)
     return lines.withColumn("s", F.from_json("line", SEGMENT, {"mode": "FAILFAST"})).select("file", "line_no", "s.*")
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from hoptrail.written import new_path
+
 OUTPUT = T.StructType([T.StructField("stream", T.LongType()), T.StructField("row", T.LongType()), T.StructField("low_count", T.LongType()), T.StructField("start_row", T.LongType())])
 
 
@@ -59,3 +61,21 @@ def stream_alarms(scores: DataFrame, threshold: float, size: int, least: int, pa
 
 
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_once(scores: DataFrame, threshold: float, size: int, least: int, partial: bool = False) -> DataFrame:
+    """The alarms of rows (stream, row, score, breaks) that are written, streamed once, and read from the sink."""
+    spark = scores.sparkSession
+    paths = {name: new_path(spark, f"stream-{name}") for name in ("in", "out", "state")}
+    scores.write.parquet(paths["in"])
+    before = spark.conf.get(ROCKSDB[0], None)
+    spark.conf.set(*ROCKSDB)
+    try:
+        live = stream_alarms(spark.readStream.schema(scores.schema).parquet(paths["in"]), threshold, size, least, partial)
+        live.writeStream.format("parquet").option("path", paths["out"]).option("checkpointLocation", paths["state"]).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(ROCKSDB[0])
+        else:
+            spark.conf.set(ROCKSDB[0], before)
+    return spark.read.schema(OUTPUT).parquet(paths["out"])

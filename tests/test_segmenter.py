@@ -109,3 +109,19 @@ def test_break_reasons(spark):
         assert one(spark, [good, event])[0].break_reason == reason
     assert one(spark, [good, {"event": "trace_control", "kind": "conditional_flush"}])[0].break_reason == "file_end"
     assert one(spark, [good, {"event": "flow_gap", "reason": "lost"}], policy="strict")[0].break_reason == "flow_gap:lost"
+
+
+def test_forced_conflicts_say_why_and_elf_va_counts(spark):
+    """The edge before a mismatch has its reason; a range may give elf_va in place of elf_start."""
+    plain = {"elf_start": None, "elf_va": "0x100"}
+    rows = [
+        rng(0x4100, 0x4108, "return", 0x4200, **plain),
+        rng(0x4300, 0x4308, "return", 0x4400),
+        rng(0x4350, 0x4358, "return", status="conflict", **plain),
+        rng(0x4100, 0x4108, "return", 0x4500, target_source="software_return_stack", confidence="speculative", **plain),
+        {"event": "address", "runtime_addr": "0x4600", "module": "main"},
+    ]
+    df = spark.createDataFrame([{"file": "f", "event_index": i} | r for i, r in enumerate(rows)], SCHEMA)
+    tokens = [t for r in segment_events(df).orderBy("segment_id").collect() for t in r.tokens]
+    edges = [(t.confidence, t.reason) for t in tokens if t.kind == "return"]
+    assert edges == [("conflict", "pc_mismatch"), ("conflict", "range_before_partial_mismatch"), ("unresolved", None), ("conflict", "address_anchor_mismatch")]
