@@ -418,6 +418,45 @@ def q_segmenter(spark, sf_dir):
     return found.select("user_id", "segment_id", "length", "break_reason", F.size(F.filter("tokens", lambda t: t["target_valid"])).alias("n_valid"))
 
 
+@query(f"""WITH {EV}, r AS (SELECT user_id, row AS n, k, event_type, k % 4 AS here, CASE WHEN k % 19 <> 0 THEN k // 4 % 4 END AS there,
+CASE WHEN event_type = 'signup' THEN 'exception' WHEN event_type = 'error' THEN NULL WHEN k % 29 = 0 THEN 'range:address-not-in-maps' WHEN k % 31 = 0 THEN 'range_status:weird' WHEN event_type <> 'purchase' AND k % 23 = 0 THEN 'range:outside_target_module' END AS cut FROM ev),
+q AS (SELECT *, CASE WHEN cut IS NOT NULL THEN 'C' WHEN event_type = 'error' THEN 'G' WHEN event_type = 'purchase' THEN 'P' ELSE 'N' END AS kind, count(cut) OVER (PARTITION BY user_id ORDER BY n) AS seg FROM r),
+x AS (SELECT *, lead(kind) OVER w AS nk, lead(here) OVER w AS nh, lead(cut) OVER w AS nc FROM q WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+f AS (SELECT *, CASE WHEN nk = 'N' AND nh <> there THEN 'pc_mismatch' WHEN nk = 'P' AND nh IS DISTINCT FROM there THEN 'range_before_partial_mismatch' END AS forced, coalesce(nk IN ('N', 'P') AND nh = there, false) AS hint FROM x WHERE kind = 'N'),
+t AS (SELECT user_id, seg, n + 1 AS em, 0 AS ord, CASE WHEN event_type = 'view' THEN 'return' ELSE 'direct_branch' END AS kind, CASE WHEN forced IS NOT NULL THEN 'conflict' WHEN hint THEN 'confirmed' WHEN event_type = 'view' THEN 'speculative' ELSE 'exact' END AS confidence,
+forced IS NULL AND there IS NOT NULL AND (hint OR event_type <> 'view') AS valid, forced AS reason, CASE WHEN there IS NULL THEN '<UNKNOWN_TARGET>@0x0' WHEN hint THEN 'f' || there || '@0x10' ELSE '<elf>@' || format('0x{{:x}}', there * 64) END AS dst FROM f WHERE NOT coalesce(nc = 'range:outside_target_module' AND nh = there, false)
+UNION ALL SELECT user_id, seg, n + 1, 1, 'flow_gap', 'observed', false, coalesce(forced, 'missing_prev_next_pc'), '<GAP>@0x0' FROM f WHERE forced IS NOT NULL OR nk = 'N' AND there IS NULL
+UNION ALL SELECT user_id, seg, n, 2, 'return', 'unresolved', false, NULL, '<UNKNOWN_TARGET>@0x0' FROM x WHERE kind = 'P'
+UNION ALL SELECT user_id, seg, n, 3, 'flow_gap', 'observed', false, 'range_status:target_unresolved', '<GAP>@0x0' FROM x WHERE kind = 'P'
+UNION ALL SELECT user_id, seg, n, 1, 'flow_gap', 'observed', false, CASE WHEN k % 2 = 0 THEN 'lost' ELSE 'overflowed' END, '<GAP>@0x0' FROM x WHERE kind = 'G'),
+l AS (SELECT *, row_number() OVER w AS i, lag(kind) OVER w AS before FROM t WINDOW w AS (PARTITION BY user_id, seg ORDER BY em, ord)),
+m AS (SELECT *, sum(CASE WHEN kind = 'flow_gap' AND before = 'flow_gap' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, seg ORDER BY i) AS g FROM l),
+why AS (SELECT user_id, seg, g, string_agg(reason, ';' ORDER BY i) AS reasons FROM (SELECT user_id, seg, g, reason, min(i) AS i FROM m WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+k AS (SELECT m.*, coalesce(reasons, '') AS reasons FROM m LEFT JOIN why USING (user_id, seg, g) WHERE NOT (m.kind = 'flow_gap' AND coalesce(before, '') = 'flow_gap')),
+s AS (SELECT user_id, seg, CAST(count(*) AS INTEGER) AS length, string_agg(kind || ' ' || confidence || ' ' || valid || ' ' || CASE WHEN kind <> 'flow_gap' AND before = 'flow_gap' THEN 'after_gap' ELSE 'continuous' END || ' ' || dst || ' ' || reasons, ', ' ORDER BY i) AS tokens FROM k GROUP BY ALL)
+SELECT s.user_id, row_number() OVER (PARTITION BY s.user_id ORDER BY s.seg) - 1 AS segment_id, length, coalesce(q.cut, 'file_end') AS break_reason, tokens FROM s LEFT JOIN q ON q.user_id = s.user_id AND q.cut IS NOT NULL AND q.seg = s.seg + 1""")
+def q_segmenter_evidence(spark, sf_dir):
+    """The evidence policy with every kind of range: whole segments, token by token."""
+    k, kind = F.col("k"), F.col("event_type")
+    here, there, range_ = k % 4, F.when(k % 19 != 0, F.floor(k / 4) % 4), ~kind.isin("signup", "error")
+    place = lambda n, at=0x1000: (n * 64 + at).cast("string")
+    cols = {
+        "event": F.when(kind == "signup", "exception").when(kind == "error", "flow_gap").otherwise("instruction_range"),
+        "reason": F.when(kind == "error", F.when(k % 2 == 0, "lost").otherwise("overflowed")).when(range_ & (k % 29 == 0), "address-not-in-maps"),
+        "status": F.when(k % 31 == 0, "weird").when(kind == "purchase", "target_unresolved"),
+        "module": F.when(k % 23 == 0, "other").otherwise("m"),
+        "start_symbol": F.concat(F.lit("f"), here.cast("string"), F.lit("+0x10")),
+        "next_pc": F.when(kind != "purchase", place(there)),
+        "target_source": F.when(kind == "view", "software_return_stack"),
+        "waypoint": F.struct(F.when(kind.isin("view", "purchase"), "return").otherwise("direct_branch").alias("kind")),
+    }
+    cols |= {c: place(here) for c in ("runtime_start", "runtime_end")} | {c: place(here, 0) for c in ("elf_start", "elf_end")}
+    e = events(spark, sf_dir).select("user_id", F.col("row").alias("n"), *[v.alias(c) for c, v in cols.items()])
+    found = segmenter.segment_events(e, by="user_id", order="n", target_modules=("m",))
+    words = F.transform("tokens", lambda t: F.concat_ws(" ", t["kind"], t["confidence"], t["target_valid"].cast("string"), t["continuity"], F.concat(t["dst_function"], F.lit("@"), t["dst_offset"]), F.coalesce(t["reason"], F.lit(""))))
+    return found.select("user_id", "segment_id", "length", "break_reason", F.array_join(words, ", ").alias("tokens"))
+
+
 SHARED_SQL = {"module": (["src_module", "dst_module"], 10, []), "function": (["src_ctrl_func", "dst_func"], 5, []), "offset": (["src_ctrl_off", "dst_off"], 60, []), "node": (["dst_node"], 80, ["<UNKNOWN_TARGET>@0x0", "<GAP>@0x0"]), "ctrl_type": (["ctrl_type"], 0, [])}
 
 
