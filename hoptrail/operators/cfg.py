@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from hoptrail.functions.control import confidence_rank, edge_class, return_kind
 from hoptrail.operators.graph import keep_best
+from hoptrail.operators.joins import interval_join, merged_ranges
+from hoptrail.written import materialize
 
 #: Where an edge is known from, and how sure that is.
 FLOW, FALLTHROUGH, BLOCKS = "ghidra_instruction_flow", "instruction_fallthrough", "block_model"
@@ -109,3 +111,42 @@ def check_versions(old: dict, new: dict) -> list[str]:
     return [] if old["compiler_spec"] == new["compiler_spec"] else [f"compilers differ: {old['compiler_spec']} and {new['compiler_spec']}"]
 
 
+
+
+#: Phases in which a failure leaves no graph, and the error of a destination without a block.
+FATAL = ("collect_blocks", "extract_cfg")
+NO_BLOCK = ("resolve_destination_block", "MissingDestinationBlock")
+
+
+@dataclass
+class Graphs:
+    """What ``function_graphs`` gives: blocks and edges of the functions that have a graph, all functions' states, and errors."""
+
+    blocks: DataFrame
+    edges: DataFrame
+    states: DataFrame
+    errors: DataFrame
+
+
+def function_graphs(functions: DataFrame, bodies: DataFrame, blocks: DataFrame, references: DataFrame, failures: DataFrame) -> Graphs:
+    """The graph of each function inside its own body.
+
+    ``functions``: function; ``bodies``: function, start, stop (ranges that may touch or overlap); ``blocks``: function,
+    block (its first address), block_stop and what else they carry; ``references``: function, src_block, dst_address,
+    call and type; ``failures``: function, phase, block, error_type, message of the ingest. Calls and places outside of the
+    body are no edges. A destination in the body but in no block is an error. A function with an error of ``FATAL``
+    is FAILED and has no graph, with any other it is PARTIAL.
+    """
+    own = materialize(merged_ranges(bodies, ["function"], "start", "stop"), "bodies")
+    flows = references.filter(~F.col("call")).select("function", "src_block", "dst_address", "type").distinct()
+    inside = interval_join(flows, own, "dst_address", "start", "stop", "inner", by=["function"]).drop("start", "stop")
+    placed = interval_join(materialize(inside, "flows"), blocks.select("function", F.col("block").alias("dst"), "block_stop"), "dst_address", "dst", "block_stop", by=["function"])
+    placed = materialize(placed, "placed")
+    lost = placed.filter("dst IS NULL").select("function", F.lit(NO_BLOCK[0]).alias("phase"), F.col("src_block").alias("block"), F.lit(NO_BLOCK[1]).alias("error_type"), F.concat(F.lit("no block in the body holds "), F.col("dst_address")).alias("message"))
+    fatal = failures.filter(F.col("phase").isin(*FATAL)).select("function").distinct()
+    errors = failures.select("function", "phase", "block", "error_type", "message").unionByName(lost.join(fatal, "function", "left_anti"))
+    counted = errors.groupBy("function").agg(F.count("*").alias("n_errors"), F.max(F.col("phase").isin(*FATAL)).alias("fatal"))
+    state = F.when(F.coalesce("fatal", F.lit(False)), "FAILED").when(F.col("n_errors") > 0, "PARTIAL").otherwise("OK")
+    states = functions.select("function").distinct().join(counted, "function", "left").select("function", state.alias("status"), F.coalesce("n_errors", F.lit(0)).alias("n_errors"))
+    edges = placed.filter("dst IS NOT NULL").select("function", F.col("src_block").alias("src"), "dst", "type").distinct()
+    return Graphs(blocks.join(fatal, "function", "left_anti"), edges.join(fatal, "function", "left_anti"), states, errors)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hoptrail.functions.literals import signed_hex
 from hoptrail.operators.graph import block_similarity, block_status, degrees, function_status
 from hoptrail.operators.joins import both_ways, mutual_best, propagate
+from hoptrail.operators.windows import numbered
 from hoptrail.written import materialize
 
 #: The likeness that a block's best match needs, and its lead over the next one.
@@ -144,7 +145,7 @@ def summaries(pairs: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFram
 def match_rows(old: DataFrame, new: DataFrame, matches: DataFrame) -> DataFrame:
     """MATCHED, AMBIGUOUS, OLD_ONLY and NEW_ONLY rows of functions (name, entry, signature) after ``matches`` (old_entry, new_entry, method, confidence).
 
-    Functions left on both sides of a name are one ambiguous row, of entries and signatures in order. Matches are numbered by name and entry.
+    Functions left on both sides of a name are one ambiguous row, of entries and signatures in order. Matches have a pair_id, numbered in the order of name, old and new entry.
     """
     a = old.select("name", F.col("entry").alias("old_entry"), F.col("signature").alias("old_signature"))
     b = new.select("name", F.col("entry").alias("new_entry"), F.col("signature").alias("new_signature"))
@@ -157,4 +158,5 @@ def match_rows(old: DataFrame, new: DataFrame, matches: DataFrame) -> DataFrame:
     twice = rest.filter("x IS NOT NULL AND y IS NOT NULL").select(F.lit("AMBIGUOUS").alias("status"), "name", listed("x", "old_entry"), listed("y", "new_entry"), listed("x", "old_signature"), listed("y", "new_signature"), none.alias("method"), none.alias("confidence"))
     one = rest.filter("y IS NULL").select("name", F.explode("x").alias("r")).select(F.lit("OLD_ONLY").alias("status"), "name", "r.old_entry", none.alias("new_entry"), "r.old_signature", none.alias("new_signature"), none.alias("method"), none.alias("confidence"))
     two = rest.filter("x IS NULL").select("name", F.explode("y").alias("r")).select(F.lit("NEW_ONLY").alias("status"), "name", none.alias("old_entry"), "r.new_entry", none.alias("old_signature"), "r.new_signature", none.alias("method"), none.alias("confidence"))
-    return matched.unionByName(twice).unionByName(one).unionByName(two)
+    matched = numbered(matched, ["name", "old_entry", "new_entry"], "_n").withColumn("pair_id", F.format_string("F%06d", "_n")).drop("_n")
+    return matched.unionByName(twice.unionByName(one).unionByName(two), allowMissingColumns=True)

@@ -143,8 +143,8 @@ def test_match_rows(spark):
     f = lambda rows: spark.createDataFrame(rows, "name string, entry string, signature string")
     old, new = f([("a", "1", "x"), ("b", "2", "x"), ("b", "3", "y"), ("c", "4", "z")]), f([("a", "11", "x"), ("b", "12", "v"), ("b", "13", "w"), ("d", "14", "q")])
     matches = spark.createDataFrame([("1", "11", "name", "high")], "old_entry string, new_entry string, method string, confidence string")
-    got = sorted((r.status, r.name, r.old_entry, r.new_entry, r.old_signature) for r in diff.match_rows(old, new, matches).collect())
-    assert got == [("AMBIGUOUS", "b", "2;3", "12;13", "x;y"), ("MATCHED", "a", "1", "11", "x"), ("NEW_ONLY", "d", None, "14", None), ("OLD_ONLY", "c", "4", None, "z")]
+    got = sorted((r.status, r.name, r.old_entry, r.new_entry, r.old_signature, r.pair_id) for r in diff.match_rows(old, new, matches).collect())
+    assert got == [("AMBIGUOUS", "b", "2;3", "12;13", "x;y", None), ("MATCHED", "a", "1", "11", "x", "F000001"), ("NEW_ONLY", "d", None, "14", None, None), ("OLD_ONLY", "c", "4", None, "z", None)]
 
 
 def test_static_tables(spark):

@@ -5,8 +5,8 @@ import random
 
 import pytest
 
-from hoptrail.operators import joins
-from hoptrail.sources import traces
+from hoptrail.operators import cfg, joins
+from hoptrail.sources import batch, traces
 
 
 def test_lines_of_a_split_file(spark, tmp_path):
@@ -79,3 +79,34 @@ def test_symbols(spark):
             own = [x[1:] for x in symbols if x[0] == r.module]
             assert (r.symbol, r.symbol_offset, r.symbol_contains) == (brute_symbol(own, r.elf_va) if own and r.elf_va is not None else (None, None, False)), r
     assert joins.symbol_lookup(p.limit(0), s).count() == 0
+
+
+def test_broken_files_are_set_aside(spark, tmp_path):
+    rows = {"a": ['{"event": "address"}', '{"event": "instruction_range", "instruction_count": 3}'], "b": ['{"event": "address"}', "{broken"], "c": ['{"event": "flow_gap"}', "", '{"event": "instruction_range", "instruction_count": 4}']}
+    (tmp_path / "in").mkdir()
+    for name, lines in rows.items():
+        (tmp_path / "in" / f"{name}.jsonl").write_text("\n".join(lines))
+    done = batch.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert [(r.file[-7:], r.line_no, r.reason) for r in done.quarantined.collect()] == [("b.jsonl", 2, "malformed: {broken")]
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.file[-7:], r.event_index, r.event) for r in out.collect()) == [("a.jsonl", 1, "address"), ("a.jsonl", 2, "instruction_range"), ("c.jsonl", 1, "flow_gap"), ("c.jsonl", 3, "instruction_range")]
+    assert done.totals == {"events": 4, "instruction_range": 2, "address": 1, "flow_gap": 1, "exception": 0, "instructions": 7}
+    table = spark.createDataFrame([(10, "b"), (9, None), (10, "a")], "n int, s string")
+    batch.write_sorted_csv(table, str(tmp_path / "csv"))
+    lines = [x for f in sorted((tmp_path / "csv").glob("part-*")) for x in f.read_text().splitlines() if x != "n,s"]
+    assert lines == ["10,a", "10,b", "9,"]
+
+
+def test_function_graphs(spark):
+    """Bodies of two ranges, a call, a jump out, a jump to a hole, and a function that failed."""
+    frame = spark.createDataFrame
+    functions = frame([("f",), ("g",), ("h",), ("x",)], "function string")
+    bodies = frame([("f", 0, 8), ("f", 8, 16), ("f", 100, 120), ("g", 200, 220), ("h", 300, 310), ("x", 400, 410)], "function string, start long, stop long")
+    blocks = frame([("f", 0, 8), ("f", 8, 16), ("f", 100, 108), ("g", 200, 204), ("h", 300, 310), ("x", 400, 410)], "function string, block long, block_stop long")
+    refs = [("f", 0, 8, False, "fallthrough"), ("f", 8, 104, False, "direct_jump"), ("f", 8, 104, False, "direct_jump"), ("f", 8, 0, True, "direct_call"), ("f", 100, 200, False, "direct_jump"), ("g", 200, 210, False, "direct_jump"), ("x", 400, 400, False, "direct_jump")]
+    failures = frame([("h", "collect_edges", 300, "E", "m"), ("x", "collect_blocks", None, "E", "m")], "function string, phase string, block long, error_type string, message string")
+    got = cfg.function_graphs(functions, bodies, blocks, frame(refs, "function string, src_block long, dst_address long, call boolean, type string"), failures)
+    assert {tuple(r) for r in got.edges.collect()} == {("f", 0, 8, "fallthrough"), ("f", 8, 100, "direct_jump")}
+    assert {tuple(r) for r in got.states.collect()} == {("f", "OK", 0), ("g", "PARTIAL", 1), ("h", "PARTIAL", 1), ("x", "FAILED", 1)}
+    assert {(r.function, r.phase, r.block) for r in got.errors.collect()} == {("g", "resolve_destination_block", 200), ("h", "collect_edges", 300), ("x", "collect_blocks", None)}
+    assert {r.function for r in got.blocks.collect()} == {"f", "g", "h"}
