@@ -21,19 +21,34 @@ SCHEMA = "row_id long, event string, start long, stop long, kind string, atom st
 
 
 def waypoints(instructions: DataFrame, reach: int = REACH) -> DataFrame:
-    """module, va and the next waypoint from there: its address, kind, target and distance."""
+    """module, va and the next waypoint from there: its address, kind and target; ``hole`` where code ends before it.
+
+    Distance is in bytes: a waypoint counts only if an instruction stands at every fourth byte up to it.
+    """
     known = instructions.withColumn("kind", instruction_kind(F.col("word"))).withColumn("target", branch_target(F.col("va"), F.col("word")))
-    ahead = Window.partitionBy("module").orderBy("va").rowsBetween(0, reach - 1)
-    way = F.first(F.when(F.col("kind") != "normal", F.struct("va", "kind", "target")), ignorenulls=True).over(ahead)
-    return known.withColumn("way", way).select("module", "va", F.col("way.va").alias("way_va"), F.col("way.kind").alias("way_kind"), F.col("way.target").alias("way_target"))
+    inside = Window.partitionBy("module").orderBy("va")
+    known = known.withColumn("_n", F.row_number().over(inside))
+    ahead = inside.rangeBetween(0, 4 * (reach - 1))
+    way = F.first(F.when(F.col("kind") != "normal", F.struct("va", "kind", "target", "_n")), ignorenulls=True).over(ahead)
+    last = F.struct(F.last("va").over(ahead).alias("va"), F.last("_n").over(ahead).alias("_n"))
+    dense = lambda to: to["va"] - F.col("va") == 4 * (to["_n"] - F.col("_n"))
+    known = known.withColumns({"way": way, "last": last})
+    good = F.col("way").isNotNull() & dense(F.col("way"))
+    full = dense(F.col("last")) & (F.col("last.va") - F.col("va") == 4 * (reach - 1))
+    return known.select("module", "va", *[F.when(good, F.col("way")[c]).alias(f"way_{c}") for c in ("va", "kind", "target")], (~good & ~full).alias("hole"))
 
 
 @dataclass
 class Follower(Machine):
-    """State between the packets of one stream; ``ways`` maps an address to its waypoint."""
+    """State between the packets of one stream; ``ways`` maps a module and an address in it to the waypoint from there.
+
+    Addresses of packets are those of the running process; ``place`` is the module that the anchor lies in and its load bias.
+    Static branches stay in their module; a return goes back to the place of its call.
+    """
 
     ways: dict
     pc: int | None = None
+    place: tuple = (None, 0)
     stack: list = field(default_factory=list)
     waiting: dict | None = None
     speculative: bool = False
@@ -69,19 +84,22 @@ class Follower(Machine):
         if not keep:
             self.stack = []
         self.pc, self.waiting, self.speculative = row["address"], None, False
+        self.place = (row.get("module"), row.get("load_bias") or 0)
 
     def step(self, row: dict, atom: str) -> None:
         if self.waiting:
             self.lose(row, "atom-before-address-target")
         if self.pc is None:
             return
-        if (way := self.ways.get(self.pc)) is None:
+        module, bias = self.place
+        if (way := self.ways.get((module, self.pc - bias))) is None:
             self.lose(row, "pc-unresolved")
             return
-        at, kind, target = way
+        at, kind, target, hole = way
         if at is None:
-            self.lose(row, "max-instructions-before-waypoint")
+            self.lose(row, "elf-bytes-unavailable" if hole else "max-instructions-before-waypoint")
             return
+        at, target = at + bias, None if target is None else target + bias
         base = {"start": self.pc, "stop": at, "kind": kind, "atom": atom, "instruction_count": (at - self.pc) // 4 + 1}
         if kind == "conditional_branch":
             self.go(row, base, target if atom == "E" else at + 4)
@@ -96,14 +114,14 @@ class Follower(Machine):
                 self.lose(row, "return-stack-overflow")
                 return
             if kind == "direct_call":
-                self.stack.append(at + 4)
+                self.stack.append((at + 4, self.place))
             self.go(row, base, target)
         elif kind == "return" and self.stack:
-            self.emit(row, "instruction_range", **base, next_pc=self.stack[-1], status="resolved", target_source="software_return_stack", confidence="speculative")
-            self.pc, self.speculative = self.stack.pop(), True
+            self.emit(row, "instruction_range", **base, next_pc=self.stack[-1][0], status="resolved", target_source="software_return_stack", confidence="speculative")
+            (self.pc, self.place), self.speculative = self.stack.pop(), True
         else:  # its target is in the next address packet
             if kind == "indirect_call":
-                self.stack = [*self.stack, at + 4][-DEPTH:]
+                self.stack = [*self.stack, (at + 4, self.place)][-DEPTH:]
             self.waiting, self.pc = base, None
 
     def go(self, row: dict, base: dict, target: int) -> None:
@@ -118,13 +136,14 @@ class Follower(Machine):
 
 
 def follow(packets: DataFrame, ways: DataFrame, by: list[str], order: list[str], most_waypoints: int = 20_000_000) -> DataFrame:
-    """Ranges and gaps of packet streams (row_id, kind, address, atoms, reason).
+    """Ranges and gaps of packet streams (row_id, kind, address, atoms, reason; module and load_bias of an address, where it is resolved).
 
-    The waypoints of the traced modules are held by every task; ``most_waypoints`` bounds them.
+    Without a module the only one of ``ways`` is meant. The waypoints of the traced modules are held by every task; ``most_waypoints`` bounds them.
     """
     rows = ways.limit(most_waypoints + 1).collect()
     if len(rows) > most_waypoints:
         raise ValueError("too many waypoints for one machine: follow modules apart")
-    held = packets.sparkSession.sparkContext.broadcast({r.va: (r.way_va, r.way_kind, r.way_target) for r in rows})
+    single = len({r.module for r in rows}) == 1
+    held = packets.sparkSession.sparkContext.broadcast({k: (r.way_va, r.way_kind, r.way_target, r.hole) for r in rows for k in [(r.module, r.va), *([(None, r.va)] if single else [])]})
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packets.schema.fields if f.name in by)
     return run_machines(packets, by, order, lambda: Follower(held.value), f"{keys}, {SCHEMA}")

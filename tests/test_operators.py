@@ -119,3 +119,19 @@ def test_return_stack(spark):
     df = spark.createDataFrame(rows, "user_id long, n long, row_id long, kind string, address long")
     got = sorted((r.row_id, r.popped, r.depth) for r in sequential.return_stack(df, ["user_id"], ["n"]).collect())
     assert got == [(0, None, 1), (1, None, 2), (2, 20, 1), (3, 10, 0), (4, None, 0)]
+
+
+def test_follower_in_modules_of_equal_addresses(spark):
+    """Two modules with the same file addresses at two biases, and a hole in the second."""
+    nop, ret, b8 = 0xD503201F, 0xD65F03C0, 0x14000002
+    code = [("a", 0, nop), ("a", 4, b8), ("a", 12, ret), ("b", 0, nop), ("b", 4, nop), ("b", 8, ret), ("b", 20, nop), ("b", 28, ret)]
+    ways = follower.waypoints(spark.createDataFrame(code, "module string, va long, word long"))
+    rows = [(1, "address", 0x1000, None, "a", 0x1000), (2, "atom", None, "EE", None, None), (3, "address", 0x5000, None, "b", 0x5000), (4, "atom", None, "E", None, None), (5, "address", 0x5014, None, "b", 0x5000), (6, "atom", None, "E", None, None)]
+    packets = spark.createDataFrame([("s", *r) for r in rows], "stream string, row_id long, kind string, address long, atoms string, module string, load_bias long")
+    got = [(r.row_id, r.event, r.start, r.stop, r.next_pc, r.status or r.reason) for r in follower.follow(packets, ways, ["stream"], ["row_id"]).collect()]
+    assert got == [
+        (2, "instruction_range", 0x1000, 0x1004, 0x100C, "resolved"),
+        (3, "instruction_range", 0x100C, 0x100C, 0x5000, "target_resolved"),
+        (5, "instruction_range", 0x5000, 0x5008, 0x5014, "target_resolved"),
+        (6, "flow_gap", None, None, None, "elf-bytes-unavailable"),
+    ]
