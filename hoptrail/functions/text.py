@@ -29,6 +29,19 @@ def split_symbol(symbol: Column) -> dict[str, Column]:
     }
 
 
+def symbol_of(plain: Column, name: Column, offset: Column) -> Column:
+    """A symbol given as a text, or as name and offset: then always ``name+0x…``."""
+    from hoptrail.functions.literals import hex_text
+
+    return F.coalesce(F.nullif(plain, F.lit("")), F.when(name != "", F.concat(name, F.lit("+"), hex_text(F.coalesce(offset, F.lit(0))))))
+
+
+def waypoint_text(asm: Column, mnemonic: Column, operands: Column) -> Column:
+    """An instruction's text, else its mnemonic and operands, else the mark of what isn't known."""
+    joined = F.trim(F.concat_ws(" ", mnemonic, operands))
+    return F.coalesce(F.nullif(asm, F.lit("")), F.nullif(joined, F.lit("")), F.lit(UNKNOWN))
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hoptrail.functions import control
+from hoptrail.functions import control, text
 from hoptrail.operators import joins, model, report, resolver
 
 FLAGS = report.FLAGS
@@ -119,3 +119,11 @@ def test_scores_and_taken(spark):
     assert tuple(r) == (0.25, "ctrl_only_invalid_target")
     cases = spark.createDataFrame([(None, "conditional_branch", "N"), (True, "conditional_branch", "N"), (None, "return", None), (None, "normal", None)], "x boolean, k string, a string")
     assert [r[0] for r in cases.select(control.taken(F.col("x"), F.col("k"), F.col("a"))).collect()] == [False, True, True, None]
+
+
+def test_texts(spark):
+    rows = [("f+0x3", "g", 1, "b x", "b", "x", None, "lib/m.so", "/a/lib.so.1"), ("", "g", 17, None, "ret", None, "n", None, None), (None, "g", None, "", "", "", None, None, "[heap]"), (None, None, 4, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "s string, n string, o long, a string, m string, p string, name string, elf string, mapped string")
+    col, none = F.col, F.lit(None).cast("string")
+    out = df.select(text.symbol_of(col("s"), col("n"), col("o")), text.waypoint_text(col("a"), col("m"), col("p")), text.module_name(col("name"), none, col("elf"), col("mapped"))).collect()
+    assert [tuple(r) for r in out] == [("f+0x3", "b x", "m"), ("g+0x11", "ret", "n"), ("g+0x0", "<unknown>", None), (None, "<unknown>", None)]
