@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hoptrail.llm.scratch import bounded_batches, looked_up, materialize
+from hoptrail.llm.scratch import SALTS, bounded_batches, looked_up, materialize
 
 #: Entries kept by a worker's memory of encoded pre-tokens, and their longest text.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+#: Copies of a long text from which on its rows are dealt over salts.
+HOT_COPIES = 64
 #: A border this far from a chunk's end is certain: what begins before it can be no contraction that goes on.
 LOOKAHEAD = 3
 
@@ -199,7 +201,12 @@ def encode(
     pieces = long.select("digest", F.col("row")[text_col].alias("rest")).mapInArrow(cut, "digest string, at long, rest string").dropDuplicates(["digest", "at"])
     encoded = pieces.mapInArrow(pre_tokenise, "digest string, at long, rest string, borders array<long>, ends array<long>, ids array<int>")
     stitched = materialize(encoded.groupBy("digest").applyInArrow(join_chunks, "digest string, ids array<int>"), "stitched")
-    out = single.unionByName(looked_up(long, stitched, ["digest"], "inner").select("row", "ids"))  # a text may be that of many rows
+    # A text may be that of many rows: those are dealt over salts, for which the ids of such texts alone are copied. Ids are never
+    # broadcast, since a row of them is as long as its text; the digests of such texts are.
+    hot = materialize(long.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_COPIES).select("digest", F.lit(True).alias("hot")), "hot-texts")
+    dealt = looked_up(long, hot, ["digest"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    every = looked_up(stitched, hot, ["digest"], "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    out = single.unionByName(dealt.select("row", "digest", "salt").join(every.select("digest", "salt", "ids"), ["digest", "salt"]).select("row", "ids"))
     return out.select(*[F.col("row")[c].alias(c) for c in own], F.col("ids").alias(ids_col))
 
 

@@ -74,3 +74,14 @@ def test_long_pre_token_is_gone_through_a_few_times(library):
     text = "z" * 20_000 + " a b c"
     chunks = [bpe.Chunk.of(a, text[a : a + 120], enc) for a in range(0, len(text), 100)]
     assert bpe.stitch(chunks, enc) == bpe.np.array(library.encode_ordinary(text), "<i4").tobytes()
+
+
+def test_many_copies_of_long_texts(spark, monkeypatch):
+    """Rows of a long text that many rows have, and of one that few have."""
+    monkeypatch.setattr(bpe, "HOT_COPIES", 3)
+    rows = [(i, "the hot text " * 9) for i in range(20)] + [(20, "a rare text " * 9), (21, "short"), (22, None)] + [(0, "the hot text " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as salt", "2 as hot", "'d' as digest")
+    out = bpe.encode(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, chunk_chars=40, overlap_chars=10)
+    got = bpe.decode(out, P.path("byte_bpe_multi_50k.tiktoken")).collect()
+    assert len(got) == len(rows) and all((r.decoded.decode(), r.salt, r.hot, r.digest) == (r.text or "", 1, 2, "d") for r in got)
+    assert len({tuple(r.ids) for r in got}) == 4
