@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hoptrail.functions import control, literals, text
-from hoptrail.operators import dataset, graph, joins, model, packets, report, resolver, segmenter, vocab, windows
+from hoptrail.operators import dataset, graph, joins, likeness, model, packets, report, resolver, segmenter, vocab, windows
 from hoptrail.streaming import alarms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -618,12 +618,11 @@ y AS (SELECT o, n FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY rou
 SELECT o, n, round(s, 9) AS similarity FROM x JOIN y USING (o, n)""")
 def q_mutual_best(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    a, b = p.filter("p_partkey % 2 = 0").alias("a"), p.filter("p_partkey % 2 = 1").alias("b")
-    same = lambda c: F.col(f"a.{c}") == F.col(f"b.{c}")
-    ratio = F.least("a.p_size", "b.p_size") / F.greatest("a.p_size", "b.p_size")
-    s = graph.block_similarity(same("p_brand"), same("p_name"), same("p_type"), F.abs(F.col("a.p_size") - F.col("b.p_size")), ratio, same("p_size"))
-    pairs = a.join(b, same("p_type")).select(F.col("a.p_partkey").alias("o"), F.col("b.p_partkey").alias("n"), F.round(s, 9).alias("similarity"))
-    return joins.mutual_best(pairs, 0.4, 0.02)
+
+    def score(same, a, b):
+        return graph.block_similarity(same["p_brand"], same["p_name"], F.lit(True), F.abs(a - b), F.least(a, b) / F.greatest(a, b), a == b)
+
+    return likeness.mutual_best(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1"), "p_partkey", ["p_type"], ["p_brand", "p_name"], "p_size", score, 0.4, 0.02)
 
 
 EDGES = "a AS (SELECT l_partkey AS src, l_suppkey AS dst, min(l_returnflag) AS t FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY ALL), b AS (SELECT l_partkey AS src, l_suppkey AS dst, min(l_returnflag) AS t FROM lineitem WHERE l_orderkey % 3 <> 1 GROUP BY ALL), df AS (SELECT src, dst, a.t AS old_type, b.t AS new_type, CASE WHEN a.t IS NULL THEN 'ADDED' WHEN b.t IS NULL THEN 'REMOVED' WHEN a.t = b.t THEN 'UNCHANGED' ELSE 'TYPE_CHANGED' END AS status FROM a FULL JOIN b USING (src, dst))"
