@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hoptrail.functions import control, literals, text
-from hoptrail.operators import dataset, graph, joins, likeness, model, packets, report, resolver, segmenter, vocab, windows
+from hoptrail.operators import biases, dataset, graph, joins, likeness, model, packets, report, resolver, segmenter, vocab, windows
 from hoptrail.streaming import alarms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,9 +184,10 @@ def q_candidate_score(spark, sf_dir):
 c AS (SELECT bias, count(*) AS coverage FROM b JOIN part ON true JOIN supplier ON p_size = s_nationkey AND p_partkey * 8 - s_suppkey * 4 = bias GROUP BY bias)
 SELECT bias, coverage FROM c ORDER BY coverage DESC, abs(bias), bias LIMIT 1""")
 def q_bias_coverage(spark, sf_dir):
-    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    pairs = p.join(s, p.p_size == s.s_nationkey).select((F.col("p_partkey") * 8 - F.col("s_suppkey") * 4).alias("bias"))
-    return pairs.groupBy("bias").agg(F.count("*").alias("coverage")).orderBy(F.desc("coverage"), F.abs("bias"), "bias").limit(1)
+    """Biases are 4 times the distance of twice the part and the supplier."""
+    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("bigint").alias("place"), (F.col("p_partkey") * 2).alias("a"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("bigint").alias("place"), F.col("s_suppkey").alias("b"))
+    return biases.most_covered(p, s, "place", "a", "b").select((F.col("bias") * 4).alias("bias"), "coverage")
 
 
 @query("""SELECT o_orderkey, '0x' || lower(printf('%x', o_orderkey)) AS short_hex, '0x' || lower(printf('%016x', o_orderkey)) AS long_hex,
