@@ -191,7 +191,12 @@ def merged_ranges(ranges: DataFrame, by: list[str], start: str, stop: str) -> Da
 
 
 def containing(points: DataFrame, bodies: DataFrame, key: list[str], point: str, owner: str, start: str, stop: str, by: list[str] | None = None) -> DataFrame:
-    """``points``, unique by ``key``, with the owner whose body, a set of ranges, holds each; the smallest owner of several; null without one."""
+    """``points``, unique by ``key``, with the owner whose body, a set of ranges, holds each; the smallest owner of several; null without one.
+
+    Each distinct address is looked up once, its owners are a minimum that tasks combine before
+    they shuffle, and it goes back to its rows by a join.
+    """
+    at = [*(by or []), point]
     whole = merged_ranges(bodies.select(*(by or []), owner, start, stop), [*(by or []), owner], start, stop)
-    joined = interval_join(points, whole, point, start, stop, by=by)
-    return best_interval(joined, key, [F.col(owner)]).drop(start, stop)
+    held = interval_join(points.select(*at).dropna().distinct(), whole, point, start, stop, how="inner", by=by)
+    return points.join(held.groupBy(*at).agg(F.min(owner).alias(owner)), at, "left").select(*points.columns, owner)
