@@ -6,12 +6,15 @@ gives. ``segments``: elf, seg_idx, p_offset, p_vaddr, p_filesz, p_memsz, flags.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hoptrail.functions.literals import align_down, align_up, file_offset, permission_compatible, permission_text
 from hoptrail.functions.text import base_name
 from hoptrail.operators.joins import best_interval, interval_join, symbol_lookup
+from hoptrail.operators.windows import numbered
 from hoptrail.written import materialize
 
 #: Reasons of addresses without a module.
@@ -53,8 +56,17 @@ def resolve(points: DataFrame, maps: DataFrame, rules: DataFrame, segments: Data
 
     A module's executable segments at its bias are intervals of runtime addresses;
     an address meets the few that hold it, and the one of the highest score wins,
-    rules and segments in their order on ties.
+    rules and segments in their order on ties. What the lookup reads (address and context) is
+    looked up once where points share it, and goes back to them by a join.
     """
+    asked = [address, "context_id", "vmid", "el"]
+    sought = materialize(numbered(points.select(*asked).distinct(), asked, "_ask"), "asked")
+    found = _resolved(sought, maps, rules, segments, "_ask", address).drop("_ask").withColumnsRenamed({c: f"_{c}" for c in asked})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in asked])
+    return points.join(found, same, "left").drop(*[f"_{c}" for c in asked])
+
+
+def _resolved(points: DataFrame, maps: DataFrame, rules: DataFrame, segments: DataFrame, key: str, address: str) -> DataFrame:
     own = points.columns
     mapped = materialize(find_maps(points, maps, key, address), "mapped")
     code = rules.filter(F.col("load_bias").isNotNull()).join(segments.filter(F.col("flags").bitwiseAND(1) != 0), "elf")
