@@ -99,8 +99,8 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def propagate(mapping: DataFrame, old_edges: DataFrame, new_edges: DataFrame, rounds: int | None = None, named: bool = False) -> DataFrame:
     """Mapped pairs (o, n) grown along edges (src, dst, type): successors that are unique of their type on both sides.
 
-    Without ``rounds`` it goes on until a round adds no pair; pairs and the edges
-    to unmapped nodes are then written every round. With ``named`` each pair has
+    Without ``rounds`` it goes on until a round adds no pair; a round then writes its
+    pairs and the edges that mapped nodes have to unmapped ones. With ``named`` each pair has
     ``how``, the greatest type of the edges that led to it, null for given ones.
     """
 
@@ -110,8 +110,8 @@ def propagate(mapping: DataFrame, old_edges: DataFrame, new_edges: DataFrame, ro
     def step(edges: DataFrame, done: DataFrame, own: str, other: str) -> DataFrame:
         return edges.join(done.select("o", "n"), F.col("src") == F.col(own)).groupBy("o", "n", "type").agg(F.count("*").alias("_c"), F.min("dst").alias(other)).filter("_c = 1").drop("_c")
 
-    def added(old_free: DataFrame, new_free: DataFrame, done: DataFrame) -> DataFrame:
-        both = step(old_free, done, "o", "o2").join(step(new_free, done, "n", "n2"), ["o", "n", "type"]).groupBy("o2", "n2").agg(F.max("type").alias("how"))
+    def chosen(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.join(new, ["o", "n", "type"]).groupBy("o2", "n2").agg(F.max("type").alias("how"))
         sole = both.withColumns({"_a": F.count("*").over(Window.partitionBy("o2")), "_b": F.count("*").over(Window.partitionBy("n2"))}).filter("_a = 1 AND _b = 1")
         return sole.select(F.col("o2").alias("o"), F.col("n2").alias("n"), "how")
 
@@ -119,16 +119,51 @@ def propagate(mapping: DataFrame, old_edges: DataFrame, new_edges: DataFrame, ro
     columns = ["o", "n", "how"] if named else ["o", "n"]
     if rounds is not None:
         for _ in range(rounds):
-            mapping = mapping.unionByName(added(free(old_edges, mapping, "o"), free(new_edges, mapping, "n"), mapping))
+            mapping = mapping.unionByName(chosen(step(free(old_edges, mapping, "o"), mapping, "o", "o2"), step(free(new_edges, mapping, "n"), mapping, "n", "n2")))
         return mapping.select(*columns)
     done = last = materialize(mapping, "pairs")
-    while not last.isEmpty():
-        old_edges, new_edges = materialize(free(old_edges, last, "o"), "old-edges"), materialize(free(new_edges, last, "n"), "new-edges")
-        last = materialize(added(old_edges, new_edges, done), "pairs")
-        done = materialize(done.unionByName(last), "pairs")
+    sides = [_Reach(old_edges, "o", "o2"), _Reach(new_edges, "n", "n2")]
+    while n := last.count():
+        both = [side.after(last, n) for side in sides]
+        last = materialize(chosen(*both), "pairs")
+        done = done.unionByName(last)
     return done.select(*columns)
 
 
+#: An edge table is written again when a round's pairs are at least this part of it.
+REWRITE = 1 / 32
+
+
+class _Reach:
+    """One side's edges from mapped to unmapped nodes, kept from round to round.
+
+    ``rest`` has the edges whose source isn't mapped. It is written again only when a good part of it
+    changes, so all its writings together are a multiple of the first; else a round costs what its pairs reach.
+    """
+
+    def __init__(self, edges: DataFrame, own: str, other: str):
+        self.rest, self.rows, self.own, self.other = edges, 0, own, other
+        self.open = self.since = None  # edges (o, n, type, dst) found so far; nodes mapped since rest was written
+
+    def after(self, last: DataFrame, n: int) -> DataFrame:
+        """o, n, type and the one unmapped node there, when ``last`` (n pairs) is mapped too."""
+        pairs, nodes = last.select("o", "n"), last.select(F.col(self.own).alias("dst"))
+        self.since = nodes if self.since is None else self.since.unionByName(nodes)
+        at = F.col("src") == F.col(self.own)
+        if n >= self.rows * REWRITE:
+            told = materialize(self.rest.join(self.since, "dst", "left_anti").join(pairs, at, "left"), "edges")
+            self.rest, found = told.filter(F.col(self.own).isNull()).select("src", "dst", "type"), told.filter(F.col(self.own).isNotNull())
+            self.rows, self.since = self.rest.count(), None
+        else:
+            found = self.rest.join(pairs, at).join(self.since, "dst", "left_anti")
+        found = found.select("o", "n", "type", "dst")
+        if self.open is None:
+            self.open = found  # of the table just written
+        else:
+            self.open = materialize(self.open.join(nodes, "dst", "left_anti").unionByName(found), "open")
+        return self.open.groupBy("o", "n", "type").agg(F.count("*").alias("_c"), F.min("dst").alias(self.other)).filter("_c = 1").drop("_c")
+
+
 def mutual_best(pairs: DataFrame, least: float, margin: float) -> DataFrame:
     """Pairs (o, n, similarity) that are each other's best, by a margin over the next one."""
 
