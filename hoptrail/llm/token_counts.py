@@ -33,8 +33,10 @@ from pyspark.sql import types as T
 
 from hoptrail.llm.scratch import bounded_batches
 
-#: A worker's memory: stretches and pieces of at most so many characters, and so many of either; it starts anew when full.
-CACHE_CHARS, CACHE_ENTRIES, CACHE_PIECES, CACHE_CHANGES = 48, 600_000, 250_000, 8_000_000
+#: A worker's memory: stretches and pieces of at most so many characters, and so many of either; when full it keeps what was asked for again.
+CACHE_CHARS, CACHE_ENTRIES, CACHE_PIECES, CACHE_CHANGES = 48, 600_000, 125_000, 8_000_000
+#: Beginnings of pieces of so many bytes are counted once, and so many of them are remembered.
+HEADS, CACHE_HEADS = (10, 7, 4), 150_000
 #: Where the pieces of a prefix aren't prefixes of the whole text's pieces.
 _UNEVEN = regex.compile(r"\s\s|'(?:s|t|re|ve|m|ll|d)")
 _CONTRACTION = regex.compile("'(?:s|t|re|ve|m|ll|d)")
@@ -65,6 +67,7 @@ class PrefixCounter:
         pairs = [tuple(map(as_bytes, m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
         self._merges = {self.vocabulary[a] << 20 | self.vocabulary[b]: rank << 20 | self.vocabulary[a + b] for rank, (a, b) in enumerate(pairs)}
         self._pair_of = {rank: (self.vocabulary[a], self.vocabulary[b]) for rank, (a, b) in enumerate(pairs)}
+        self._last_merge: dict[int, int | None] = {}
         self._byte = [self.vocabulary[bytes([x])] for x in range(256)]
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.split_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
@@ -74,6 +77,8 @@ class PrefixCounter:
         self._root = self._state(b"")
         self._apart: dict[int, bool] = {}
         self._pieces: dict[str, tuple] = {}
+        self._older_pieces: dict[str, tuple] = {}
+        self._heads: dict[bytes, tuple] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -81,15 +86,43 @@ class PrefixCounter:
         self._after_blank: dict[str, int] = {}
         self._other: dict[str, int] = {}
         self._places, self._counts, self._ends, self._sizes, self._totals = array("i"), array("i"), array("q", [0]), array("q"), array("q")
+        self._again = np.zeros(CACHE_ENTRIES + 1, np.bool_)  # by number: whether a later text asked for it
+
+    def _tidy(self) -> None:
+        """Keep the stretches that were asked for again; start anew if that frees too little."""
+        n = min(len(self._sizes), len(self._again))
+        keep = np.flatnonzero(self._again[:n])
+        chosen = np.full(len(self._sizes), -1, np.int64)
+        chosen[keep] = np.arange(len(keep))
+        at, many = self._held(keep)
+        held = [np.frombuffer(x, np.int32)[at].tobytes() if len(x) else b"" for x in (self._places, self._counts)]
+        held += [np.concatenate(([0], np.cumsum(many))).astype(np.int64).tobytes(), *(np.frombuffer(x, np.int64)[keep].tobytes() for x in (self._sizes, self._totals))]
+        known = [{w: m for w, m in zip(d, chosen[list(d.values())].tolist(), strict=True) if m >= 0} for d in (self._after_blank, self._other)]
+        self._forget()
+        if 2 * len(keep) > CACHE_ENTRIES or 2 * len(at) > CACHE_CHANGES:
+            return
+        self._after_blank, self._other = known
+        self._ends = array("q")
+        for kept, raw in zip((self._places, self._counts, self._ends, self._sizes, self._totals), held, strict=True):
+            kept.frombytes(raw)
+
+    def _held(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the changes of stretches lie, one after another, and how many each has."""
+        ends = np.frombuffer(self._ends, np.int64)
+        start, many = ends[numbers], ends[numbers + 1] - ends[numbers]
+        after = np.cumsum(many)
+        return np.arange(after[-1] if len(after) else 0) + np.repeat(start - after + many, many), many
 
-    def merge(self, ids: list[int]) -> list[int]:
-        """Byte-pair merges in order of rank."""
+    def merge(self, ids: list[int], before: int = -1) -> list[int]:
+        """Byte-pair merges in order of rank, up to the one that leaves ``before`` alone."""
         get, none = self._merges.get, 1 << 60
         while len(ids) > 1:
             best = min([get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)])
             if best == none:
                 break
             (first, second), whole = self._pair_of[best >> 20], best & 0xFFFFF
+            if len(ids) == 2 and whole == before:
+                break
             out, i = [], 0
             while i < len(ids):
                 if ids[i] == first and i + 1 < len(ids) and ids[i + 1] == second:
@@ -105,7 +138,7 @@ class PrefixCounter:
         """Next states by byte, what was read, and the tokens that end there with their lengths, longest first."""
         found = self._states.get(read)
         if found is None:
-            ends = tuple((self.vocabulary[read[k:]], len(read) - k) for k in range(len(read)) if read[k:] in self.vocabulary)
+            ends = tuple((self.vocabulary[read[k:]], len(read) - k) for k in range(len(read)) if read[k:] in self.vocabulary and self._made_by(self.vocabulary[read[k:]]) is not None)
             found = self._states[read] = ({}, read, ends)
         return found
 
@@ -116,18 +149,46 @@ class PrefixCounter:
         found = state[0][byte] = self._state(read)
         return found
 
+    def _made_by(self, token: int) -> int | None:
+        """The rank of the merge that makes a token last when it stands alone: -1 of a byte, None if it doesn't come out whole."""
+        if token not in self._last_merge:
+            parts, rank = self.merge([self._byte[x] for x in self.tokens[token]], before=token), -1
+            if len(parts) == 2:
+                rank = self._merges[parts[0] << 20 | parts[1]] >> 20
+            self._last_merge[token] = rank if len(parts) == 2 or parts == [token] else None
+        return self._last_merge[token]
+
     def _fits(self, before: int, token: int) -> bool:
-        """Whether ``token`` stands alone (before -1) or stays apart from the token before it."""
+        """Whether ``token``, which can stand alone, stays apart from the token before it (-1: none).
+
+        Both are taken apart, the later merge first. The parts at the border merge across it if
+        their own merge comes before those that take them up: of equal ranks, the left one.
+        """
         if len(self._apart) > CACHE_ENTRIES:
             self._apart.clear()
-        pair = [t for t in (before, token) if t >= 0]
-        found = self._apart[before << 20 | token] = self.merge([self._byte[x] for t in pair for x in self.tokens[t]]) == pair
+        none = 1 << 60
+        a, b, limit, found = before, token, none >> 20, before < 0
+        while not found:
+            if self._merges.get(a << 20 | b, none) >> 20 < limit:
+                break
+            x, y = self._made_by(a), self._made_by(b)
+            if x > y:
+                a, limit = self._pair_of[x][1], x
+            elif y >= 0:
+                b, limit = self._pair_of[y][0], y + 1
+            else:
+                found = True
+        self._apart[before << 20 | token] = found
         return found
 
     def counts(self, piece: bytes) -> list[int]:
         """Tokens of each prefix of a pre-token, from 0 bytes to all."""
-        state, last, count, apart = self._root, [-1], [0], self._apart
-        for i, byte in enumerate(piece, 1):
+        state, last, count, apart, n = self._root, [-1], [0], self._apart, len(piece)
+        for size in HEADS:
+            if n > size and (head := self._heads.get(piece[:size])):
+                state, last, count = head[0], [*head[1]], [*head[2]]
+                break
+        for i, byte in enumerate(piece[len(last) - 1 :], len(last)):
             state = state[0].get(byte) or self._next(state, byte)
             for token, size in state[2]:
                 before = last[i - size]
@@ -138,6 +199,10 @@ class PrefixCounter:
                     last.append(token)
                     count.append(count[i - size] + 1)
                     break
+            if i in HEADS and i < n <= CACHE_CHARS:
+                if len(self._heads) >= CACHE_HEADS:
+                    self._heads.clear()
+                self._heads[piece[:i]] = state, tuple(last), tuple(count)
         return count
 
     def _by_char(self, piece: str) -> list[int]:
@@ -148,18 +213,25 @@ class PrefixCounter:
 
     def _piece(self, piece: str) -> tuple[tuple[int, ...], tuple[int, ...], int, int]:
         """Where the count changes within a piece, the counts there, characters and tokens."""
-        n = self._by_char(piece)
-        at = tuple([i for i in range(1, len(n)) if n[i] != n[i - 1]])
-        found = at, tuple([n[i] for i in at]), len(piece), n[-1]
+        found = self._older_pieces.get(piece)
+        if found is None:
+            n = self._by_char(piece)
+            at = tuple([i for i in range(1, len(n)) if n[i] != n[i - 1]])
+            found = at, tuple([n[i] for i in at]), len(piece), n[-1]
         if len(piece) <= CACHE_CHARS:
             if len(self._pieces) >= CACHE_PIECES:
-                self._pieces.clear()
+                self._pieces, self._older_pieces = {}, self._pieces
             self._pieces[piece] = found
         return found
 
     def _number(self, stretch: str) -> int:
         """A new number, under which the stretch's changes are held."""
-        if _UNEVEN.search(stretch):
+        word = stretch[1:] if stretch.startswith(" ") else stretch
+        if word.isalpha():  # one piece
+            at, n, size, total = self._pieces.get(stretch) or self._piece(stretch)
+            self._places.extend(at)
+            self._counts.extend(n)
+        elif _UNEVEN.search(stretch):
             n = [0, *self._every_ordinary(stretch)]
             at = [i for i in range(1, len(n)) if n[i] != n[i - 1]]
             self._places.extend(at)
@@ -215,12 +287,13 @@ class PrefixCounter:
     def _ordinary(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Lengths of prefixes of a text without special strings at which the count changes, and the counts, without (0, 0)."""
         if len(self._sizes) > CACHE_ENTRIES or len(self._places) > CACHE_CHANGES:
-            self._forget()
+            self._tidy()
+        before = min(len(self._sizes), len(self._again))
         own = np.array(self._numbers(text), np.int64)
-        ends, sizes, totals = (np.frombuffer(x, np.int64) for x in (self._ends, self._sizes, self._totals))
-        start, many, size, total = ends[own], ends[own + 1] - ends[own], sizes[own], totals[own]
-        after = np.cumsum(many)
-        at = np.arange(after[-1] if len(after) else 0) + np.repeat(start - after + many, many)
+        self._again[own[own < before]] = True
+        sizes, totals = (np.frombuffer(x, np.int64) for x in (self._sizes, self._totals))
+        size, total = sizes[own], totals[own]
+        at, many = self._held(own)
         places, counts = (np.frombuffer(x, np.int32)[at] if len(x) else np.zeros(0, np.int32) for x in (self._places, self._counts))
         return places + np.repeat(np.cumsum(size) - size, many), counts + np.repeat(np.cumsum(total) - total, many)
 

@@ -54,3 +54,29 @@ def test_query(spark, library):
         assert library(t[: r.chars_within_limit]) <= 512 and (r.chars_within_limit == len(t)) == (library(t) <= 512)
         if r.over_limit:
             assert library(t[: r.chars_within_limit + 1]) > 512
+
+
+def test_pairs_stay_apart_as_their_merges_say():
+    count, rng = token_counts.PrefixCounter(PATH, P.PATTERN), random.Random(3)
+    whole = [t for t in range(len(count.tokens)) if count._made_by(t) is not None]
+    runs = [count.vocabulary[b"a" * n] for n in range(1, 5) if b"a" * n in count.vocabulary]
+    pairs = [(a, b) for a in runs for b in runs] + [(rng.choice(whole), rng.choice(whole)) for _ in range(3000)]
+    for t in rng.sample(whole, 3000):  # both parts of a token, and other cuts of it
+        k = rng.randint(1, max(1, len(count.tokens[t]) - 1))
+        parts = [count.vocabulary.get(x) for x in (count.tokens[t][:k], count.tokens[t][k:])]
+        pairs += [tuple(parts)] if all(p is not None and count._made_by(p) is not None for p in parts) else []
+    for a, b in pairs:
+        assert count._fits(a, b) == (count.merge([count._byte[x] for t in (a, b) for x in count.tokens[t]]) == [a, b]), (count.tokens[a], count.tokens[b])
+
+
+def test_full_memory_keeps_what_is_asked_for_again(library, monkeypatch):
+    for name in ("CACHE_ENTRIES", "CACHE_PIECES", "CACHE_HEADS"):
+        monkeypatch.setattr(token_counts, name, 40)
+    count, made = token_counts.PrefixCounter(PATH, P.PATTERN), []
+    number = count._number
+    count._number = lambda stretch: made.append(stretch) or number(stretch)
+    for i in range(60):
+        t = f"often asked words again one{'qz' * i} more{'kv' * i}, and{i}"
+        chars, tokens = count.changes(t)
+        assert [int(tokens[chars.searchsorted(j, side="right") - 1]) for j in range(len(t) + 1)] == [library(t[:j]) for j in range(len(t) + 1)]
+    assert made.count(" asked") == 1
