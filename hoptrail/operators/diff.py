@@ -38,38 +38,54 @@ class Side:
         return cls(materialize(counted, f"{name}-blocks"), keyed)
 
 
-def _unique(old: Side, new: Side, mapped: DataFrame, fields: list[str], method: str) -> DataFrame:
-    """Pairs of unmapped blocks of a function pair that alone share ``fields`` on either side."""
+def _unique(left: DataFrame, right: DataFrame, fields: list[str], method: str) -> DataFrame:
+    """Pairs of free blocks of a function pair that alone share ``fields`` on either side."""
 
-    def once(side: Side, own: str) -> DataFrame:
-        free = side.blocks.join(mapped.select(F.col(own).alias("key")), "key", "left_anti")
-        return free.groupBy("pair_id", *fields).agg(F.count("*").alias("_n"), F.min("key").alias(own)).filter("_n = 1").drop("_n")
+    def once(blocks: DataFrame, own: str) -> DataFrame:
+        return blocks.groupBy("pair_id", *fields).agg(F.count("*").alias("_n"), F.min("key").alias(own)).filter("_n = 1").drop("_n")
 
-    return once(old, "o").join(once(new, "n"), ["pair_id", *fields]).select("o", "n", F.lit(method).alias("method"))
+    return once(left, "o").join(once(right, "n"), ["pair_id", *fields]).select("o", "n", F.lit(method).alias("method"))
+
+
+def _rest(left: DataFrame, right: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The free blocks after ``more`` is mapped, of function pairs that have some on both sides: no other pair can grow."""
+    left = materialize(left.join(more.select(F.col("o").alias("key")), "key", "left_anti"), "free")
+    right = right.join(more.select(F.col("n").alias("key")), "key", "left_anti")
+    right = materialize(right.join(left.select("pair_id").distinct(), "pair_id", "left_semi"), "free")
+    return materialize(left.join(right.select("pair_id").distinct(), "pair_id", "left_semi"), "free"), right
 
 
 def map_blocks(old: Side, new: Side) -> DataFrame:
-    """o, n (keys) and method of the blocks that correspond; the cascade ends when likeness adds nothing."""
-    both = [both_ways(s.edges) for s in (old, new)]
+    """o, n (keys) and method of the blocks that correspond; the cascade ends when likeness adds nothing.
 
-    def add(mapped: DataFrame, more: DataFrame) -> DataFrame:
-        return materialize(mapped.unionByName(more), "mapped")
+    A step writes the pairs it adds, and the blocks that are still free; later steps read these and their functions' edges alone.
+    """
 
-    def grown(mapped: DataFrame) -> DataFrame:
-        # A neighbour may be reached both ways: then it counts as reached outwards.
-        all_ = propagate(mapped.select("o", "n"), *both, named=True)
-        return add(mapped, all_.join(mapped.select("o", "n"), ["o", "n"], "left_anti").select("o", "n", F.when(F.col("how").startswith("out:"), "mapped_neighbor_out").otherwise("mapped_neighbor_in").alias("method")))
+    def unique(fields: list[str], method: str) -> None:
+        nonlocal mapped, left, right
+        more = materialize(_unique(left, right, fields, method), "mapped")
+        mapped, (left, right) = mapped.unionByName(more), _rest(left, right, more)
 
-    entry = [Side(s.blocks.filter("relative_offset = 0"), s.edges) for s in (old, new)]
-    none = old.blocks.select(F.col("key").alias("o"), F.col("key").alias("n")).limit(0)
-    mapped = materialize(_unique(*entry, none, [], "entry"), "mapped")
+    def grow() -> None:
+        nonlocal mapped, left, right
+        live = left.select("pair_id").distinct()
+        both = [both_ways(s.edges.join(live, "pair_id", "left_semi")) for s in (old, new)]
+        # A neighbour may be reached both ways: then it counts as reached outwards.
+        found = propagate(mapped.select("o", "n"), *both, named=True).filter("how IS NOT NULL")
+        more = materialize(found.select("o", "n", F.when(F.col("how").startswith("out:"), "mapped_neighbor_out").otherwise("mapped_neighbor_in").alias("method")), "mapped")
+        mapped, (left, right) = mapped.unionByName(more), _rest(left, right, more)
+
+    columns = ["key", "pair_id", "relative_offset", "terminal_flow", "in_degree", "out_degree", "instruction_count", "mnemonic_hash", "instruction_hash"]
+    left, right = (s.blocks.select(*columns) for s in (old, new))
+    mapped = materialize(_unique(*(x.filter("relative_offset = 0") for x in (left, right)), [], "entry"), "mapped")
+    # Nearly every pair is live after its entry: only the entries themselves go.
+    left, right = (materialize(x.join(mapped.select(F.col(own).alias("key")), "key", "left_anti"), "free") for x, own in ((left, "o"), (right, "n")))
     shape = ["terminal_flow", "in_degree", "out_degree"]
-    mapped = add(mapped, _unique(old, new, mapped, ["instruction_hash", *shape], "unique_instruction_block"))
-    mapped = add(mapped, _unique(old, new, mapped, ["mnemonic_hash", *shape], "unique_mnemonic_block"))
-    mapped = grown(mapped)
-    mapped = add(mapped, _unique(old, new, mapped, ["mnemonic_hash", *shape, "relative_offset"], "same_relative_structure"))
+    unique(["instruction_hash", *shape], "unique_instruction_block")
+    unique(["mnemonic_hash", *shape], "unique_mnemonic_block")
+    grow()
+    unique(["mnemonic_hash", *shape, "relative_offset"], "same_relative_structure")
     while True:
-        left, right = (s.blocks.join(mapped.select(F.col(own).alias("key")), "key", "left_anti") for s, own in ((old, "o"), (new, "n")))
         a, b = left.alias("a"), right.alias("b")
         same = lambda c: F.col(f"a.{c}") == F.col(f"b.{c}")
         gap = F.abs(F.col("a.in_degree") - F.col("b.in_degree")) + F.abs(F.col("a.out_degree") - F.col("b.out_degree"))
@@ -80,7 +96,8 @@ def map_blocks(old: Side, new: Side) -> DataFrame:
         more = materialize(mutual_best(pairs, LEAST, LEAD).select("o", "n", F.lit("mutual_best_similarity").alias("method")), "alike")
         if more.isEmpty():
             return mapped
-        mapped = grown(add(mapped, more))
+        mapped, (left, right) = mapped.unionByName(more), _rest(left, right, more)
+        grow()
 
 
 def block_rows(old: Side, new: Side, mapped: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hoptrail.operators import diff, graph, joins, sequential
+from hoptrail.written import materialize
 
 
 def q_wl_fingerprint_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,27 +34,30 @@ def q_neighbor_propagate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def function_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Blocks and edges of two versions of a function for each order: blocks are its line numbers, some moved, changed or gone."""
     rest = F.struct("l_returnflag", "l_quantity", "l_partkey", "l_suppkey", "l_linestatus")
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min(rest).alias("s")).select("l_orderkey", "l_linenumber", "s.*")
     k, i = F.col("l_orderkey"), F.col("l_linenumber")
+    there = ~((k % 3 == 0) & (i == 3))
+    # Both versions and their edges are read from one table, which one shuffle by order makes.
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min(rest).alias("s")).select("l_orderkey", "l_linenumber", "s.*")
+    order = Window.partitionBy("l_orderkey")
+    follows = F.lead("l_linenumber").over(order.orderBy("l_linenumber")) == i + 1
+    kept_next = F.lead(there).over(order.orderBy("l_linenumber"))
+    li = materialize(li.withColumns({"follows": k.isNotNull() & follows, "follows_new": k.isNotNull() & there & follows & kept_next, "led": k.isNotNull() & (F.min("l_linenumber").over(order) == 1)}), "versions")
 
     def blocks(offset, content):
         return [k.alias("pair_id"), i.alias("block"), offset.cast("long").alias("relative_offset"), F.col("l_returnflag").alias("terminal_flow"), (i * 4).cast("long").alias("address_count"), F.col("l_quantity").cast("long").alias("instruction_count"), F.concat(F.lit("m"), F.col("l_partkey") % 50).alias("mnemonic_hash"), content.alias("instruction_hash")]
 
     plain = F.concat(F.lit("i"), "l_suppkey")
     old = li.select(*blocks((i - 1) * 16, plain))
-    there = ~((k % 3 == 0) & (i == 3))
     new = li.filter(there).select(*blocks((i - 1) * 16 + F.when((k % 5 == 0) & (i > 3), 16).otherwise(0), F.when((k % 7 == 0) & (i == 2), F.concat(plain, F.lit("x"))).otherwise(plain)))
-    steps = li.select(k.alias("pair_id"), i.alias("src"), (i + 1).alias("dst"), F.lit("fallthrough").alias("type"))
-    jumps = li.filter("l_linestatus = 'O' AND l_linenumber > 2").select(k.alias("pair_id"), i.alias("src"), F.lit(1).cast(li.schema["l_linenumber"].dataType).alias("dst"), F.lit("conditional_taken").alias("type"))
-    every = steps.unionByName(jumps)
+    first = F.lit(1).cast(li.schema["l_linenumber"].dataType)
 
-    def inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-        for end in ("src", "dst"):
-            edges = edges.join(nodes.select("pair_id", F.col("block").alias(end)), ["pair_id", end], "left_semi")
-        return edges.select("pair_id", "src", "dst", "type").distinct()
+    def edges(follows_: str, jumping: Column, changes: Column) -> DataFrame:
+        steps = li.filter(follows_).select(k.alias("pair_id"), i.alias("src"), (i + 1).alias("dst"), F.lit("fallthrough").alias("type"))
+        jumps = li.filter(jumping).select(k.alias("pair_id"), i.alias("src"), first.alias("dst"), F.when(changes, "direct_jump").otherwise("conditional_taken").alias("type"))
+        return steps.unionByName(jumps)
 
-    changed = every.withColumn("type", F.when((F.col("pair_id") % 11 == 0) & (F.col("type") != "fallthrough"), "direct_jump").otherwise(F.col("type")))
-    return old, inside(every, old), new, inside(changed, new)
+    jumps = F.col("led") & F.expr("l_linestatus = 'O' AND l_linenumber > 2")  # block 1 is in either version, or in none
+    return old, edges("follows", jumps, F.lit(False)), new, edges("follows_new", jumps & there, k % 11 == 0)
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> tuple[diff.Side, diff.Side, DataFrame]:

@@ -188,3 +188,18 @@ def test_return_stack(spark):
             popped = stack.pop() if stack else None
         want[r.event_id] = (popped, len(stack))
     assert {r.row_id: (r.popped, r.depth) for r in whole.q_return_stack(spark, SF).collect()} == want
+
+
+def test_mapped_functions_take_no_part_in_growth(spark, monkeypatch):
+    from hoptrail.operators import diff
+
+    # Function 1 is mapped by its hashes; in function 2 block 2's hashes and shape changed, so only growth finds it.
+    rows = lambda two: [(1, 1, 0, "f", 4, 1, "m1", "i1"), (1, 2, 8, "f", 4, 1, "m2", "i2"), (2, 1, 0, "f", 4, 1, "m1", "i1"), (2, 2, 8, *two)]
+    names = "pair_id int, block int, relative_offset long, terminal_flow string, address_count long, instruction_count long, mnemonic_hash string, instruction_hash string"
+    edges = spark.createDataFrame([(1, 1, 2, "t"), (2, 1, 2, "t")], "pair_id int, src int, dst int, type string")
+    sides = [diff.Side.of(spark.createDataFrame(rows(two), names), edges, "x") for two in (("f", 4, 1, "m2", "i2"), ("g", 9, 7, "m9", "i9"))]
+    seen, whole = [], diff.propagate
+    monkeypatch.setattr(diff, "propagate", lambda pairs, a, b, **kw: seen.append({r.src.split(diff.SEP)[0] for e in (a, b) for r in e.collect()}) or whole(pairs, a, b, **kw))
+    got = {(r.o.replace(diff.SEP, "."), r.n.replace(diff.SEP, "."), r.method) for r in diff.map_blocks(*sides).collect()}
+    assert got == {("1.1", "1.1", "entry"), ("2.1", "2.1", "entry"), ("1.2", "1.2", "unique_instruction_block"), ("2.2", "2.2", "mapped_neighbor_out")}
+    assert seen == [{"2"}]
