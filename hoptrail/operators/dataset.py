@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,18 +126,36 @@ def encoded_rows(edges: DataFrame, vocabs: dict[str, DataFrame], by: list[str],
 
 @dataclass
 class Dataset:
-    rows: DataFrame
-    vocabs: dict[str, DataFrame]
-    stats: DataFrame
+    """What is made of segments, each part when it is first asked for: counts need neither row ids nor vocabularies."""
+
+    segments: DataFrame
+    by: list[str]
+    limits: Limits
+
+    def _long(self) -> DataFrame:
+        return self.segments.filter(F.size("tokens") >= self.limits.min_length)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return materialize(windows.row_ids(raw_edges(self._long(), self.by), self.by, ["pos"]).withColumn("row_id", F.col("row_id").cast("long")), "edges")
+
+    @cached_property
+    def vocabs(self) -> dict[str, DataFrame]:
+        return vocabularies(self.edges, self.limits)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return encoded_rows(self.edges, self.vocabs, self.by, self.limits)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        edges = self.edges if "edges" in vars(self) else raw_edges(self._long(), self.by)
+        return scan_stats(self.segments, edges, self.by, self.limits)
 
 
 def build(segments: DataFrame, by: list[str], limits: Limits | None = None) -> Dataset:
     """Rows, vocabularies and counts of segments (``by`` in whose order they stand, and tokens)."""
-    limits = limits or Limits()
-    long = segments.filter(F.size("tokens") >= limits.min_length)
-    edges = materialize(windows.row_ids(raw_edges(long, by), by, ["pos"]).withColumn("row_id", F.col("row_id").cast("long")), "edges")
-    vocabs = vocabularies(edges, limits)
-    return Dataset(encoded_rows(edges, vocabs, by, limits), vocabs, scan_stats(segments, edges, by, limits))
+    return Dataset(segments, by, limits or Limits())
 
 
 def sizes(vocabs: dict[str, DataFrame], limits: Limits) -> dict[str, int]:

@@ -37,3 +37,16 @@ def test_empty_and_limits(spark):
     for bad in ({"module": 1}, {"function": -1}, {"node": 3}, {"count_clip": -1}, {"min_length": 0}):
         with pytest.raises(ValueError):
             dataset.Limits(**bad)
+
+
+def test_counts_need_no_vocabularies(spark, monkeypatch):
+    from hoptrail.operators import dataset
+    from hoptrail.plans import catalogue
+
+    def never(*_):
+        raise AssertionError("made for counts")
+
+    monkeypatch.setattr(dataset, "vocabularies", never)
+    monkeypatch.setattr(dataset.windows, "row_ids", never)
+    found = dataset.build(catalogue.edge_segments(spark, "/root/testdata/sf0.001"), ["user_id"], catalogue.LIMITS).stats.first()
+    assert found.edges > found.examples > 0
