@@ -15,7 +15,9 @@ def parse_int(text: Column) -> Column:
     sign = F.when(trimmed.startswith("-"), -1).otherwise(1)
     body = F.regexp_replace(trimmed, r"^[+-]", "")
     hexed = F.conv(F.substr(body, F.lit(3)), 16, 10).try_cast("bigint")
-    return F.when(body.rlike("^0[xX][0-9a-fA-F]{1,16}$"), hexed * sign).when(body.rlike("^[0-9]+$"), body.try_cast("bigint") * sign)
+    # Most texts are short and without sign: one pattern and one conversion.
+    plain = F.when(trimmed.rlike("^[0-9]{1,18}$"), trimmed.try_cast("bigint")).when(trimmed.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substr(trimmed, F.lit(3)), 16, 10).try_cast("bigint"))
+    return plain.when(body.rlike("^0[xX][0-9a-fA-F]{1,16}$"), hexed * sign).when(body.rlike("^[0-9]+$"), body.try_cast("bigint") * sign)
 
 
 def optional_int(text: Column) -> Column:

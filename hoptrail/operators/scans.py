@@ -49,3 +49,13 @@ def scan(df: DataFrame, by: list[str], at: str, fills: dict[str, Column] | None
         | {k: F.least(F.col(k), F.col(f"_m_{k}")) for k in mins}
     )
     return out.drop(*[c for c in out.columns if c.startswith(("_f_", "_s_", "_m_", "_b_"))], "_block")
+
+
+def running(df: DataFrame, by: list[str], at: str, fills: dict[str, Column] | None = None, sums: dict[str, Column] | None = None, mins: dict[str, Column] | None = None) -> DataFrame:
+    """As ``scan`` for streams of no more rows than a block: one window, nothing written."""
+    inside = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns(
+        {k: F.last(c, ignorenulls=True).over(inside) for k, c in (fills or {}).items()}
+        | {k: F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in (sums or {}).items()}
+        | {k: F.min(c).over(inside) for k, c in (mins or {}).items()}
+    )

@@ -4,7 +4,9 @@ What a reader of the stream would remember is found for all events at once: the
 context, trace and module are last values; the addresses that name a place are
 looked up as of the event; a range's edge is emitted by the first event after it
 that ends its wait, a value from behind; segments are a running sum of closes.
-Long streams are cut into blocks (``scans``), and so are hot addresses.
+Streams of no more events than a block are windows over their one partition, from
+events to segments; longer ones are cut into blocks (``scans``), and so are hot
+addresses, which are looked up only where events name any.
 
 Edges and gaps are tokens in the order (event, place in the event): the waiting
 range's edge, the gap of its mismatch, a close, the event's own edge, its own gap.
@@ -12,12 +14,16 @@ range's edge, the gap of its mismatch, a close, the event's own edge, its own ga
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hoptrail.functions.control import EVIDENCE
+from hoptrail.functions.control import EVIDENCE, target_quality
+from hoptrail.functions.fence import fenced
 from hoptrail.functions.literals import ELF, GAP, OPAQUE, UNKNOWN, UNKNOWN_TARGET, parse_int, signed_hex
-from hoptrail.operators.scans import scan
+from hoptrail.operators.scans import BLOCK, running, scan
 from hoptrail.written import materialize
 
 #: Reasons of addresses outside of code, and statuses of ranges that are evidence only in part.
@@ -30,45 +36,82 @@ TOKEN = (
     "dst_address:string,instruction_count:bigint,status:string,reason:string,target_source:string,confidence:string,target_valid:boolean,"
     "control_valid:boolean,continuity:string,path_confidence:string,return_stack_match:boolean,expected_pc:string,observed_pc:string>"
 )
-SEEN = "struct<forced:string,next_pc:bigint,next_start:bigint,next_speculative:boolean>"
 PLACES = 8
+#: Lines of an event: its edge, the gap and the close after its edge, its own gap, its own close.
+EDGE, HELD_GAP, HELD_CLOSE, OWN_GAP, OWN_CLOSE = range(5)
+Scan = Callable[..., DataFrame]
 
 
 def _base(path: Column) -> Column:
     return F.when((path != "") & ~path.startswith("["), F.element_at(F.split(path, "/"), -1))
 
 
-def _split(symbol: Column) -> tuple[Column, Column]:
-    """Function and offset of ``name+0x10``."""
-    parts = r"(?s)^(.*)\+([^+]*)$"
-    offset = parse_int(F.regexp_extract(symbol, parts, 2))
-    name = F.regexp_extract(symbol, parts, 1)
-    good = symbol.rlike(parts) & offset.isNotNull() & (name != "")
-    none = symbol.isNull() | (symbol == "")
-    return F.when(none, UNKNOWN).when(good, F.regexp_replace(name, "~$", "")).otherwise(symbol), F.when(none, None).when(good, signed_hex(offset)).otherwise("0x0")
+def _number(symbol: Column) -> Column:
+    """The number after the last plus of ``name+0x10``."""
+    return F.when(symbol.contains("+"), parse_int(F.substring_index(symbol, "+", -1)))
+
+
+def _split(symbol: Column, number: Column) -> tuple[Column, Column]:
+    """Function and offset of ``name+0x10`` with the number that ``_number`` gives."""
+    name = F.left(symbol, F.length(symbol) - F.length(F.substring_index(symbol, "+", -1)) - 1)
+    none, good = symbol.isNull(), number.isNotNull() & (name != "")
+    clean = F.when(name.contains("~"), F.regexp_replace(name, "~$", "")).otherwise(name)
+    return F.when(none, UNKNOWN).when(good, clean).otherwise(symbol), F.when(none, None).when(good, signed_hex(number)).otherwise("0x0")
+
+
+def _halves(df: DataFrame, symbols: dict[str, Column]) -> DataFrame:
+    """``df`` with each symbol's number (``_n``), function (``_f``) and offset (``_o``)."""
+    df = df.withColumns({f"{k}_n": _number(v) for k, v in symbols.items()})
+    parts = {k: _split(v, F.col(f"{k}_n")) for k, v in symbols.items()}
+    df = df.withColumns({f"{k}_{x}": c for k, pair in parts.items() for x, c in zip("fo", pair, strict=True)})
+    return df
 
 
-def _flat(events: DataFrame, by: str, order: str) -> DataFrame:
-    """One plain column for each field that the layers read; absent ones are null, empty texts too where a text is asked for."""
+def _flat(events: DataFrame, by: str, order: str, targets: tuple[str, ...]) -> DataFrame:
+    """Events, written, with one plain column for each field that the layers read and their numbers; absent fields are null literals, empty texts are null."""
     have = set(events.columns)
-    cols = {c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in have else F.lit(None).cast("string") for c in TEXTS}
+    cols = {c: F.nullif(F.col(c).cast("string"), F.lit("")) for c in TEXTS if c in have}
+    absent = {c: F.lit(None).cast("string") for c in TEXTS if c not in have}
     fields = lambda c: {f.name for f in events.schema[c].dataType.fields} if c in have else set()
-    inner = lambda c, f, kind: F.col(c)[f].cast(kind) if f in fields(c) else F.lit(None).cast(kind)
-    nested = [inner("context", f, "string") for f in CONTEXT]
+    inner = {f: F.col("context")[f].cast("string") if f in fields("context") else F.lit(None).cast("string") for f in CONTEXT}
     some = F.lit(False)
-    for f in nested:
+    for f in inner.values():
         some = some | f.isNotNull()
-    count = F.col("instruction_count").cast("bigint") if "instruction_count" in have else F.lit(None).cast("bigint")
-    names = F.filter("modules", lambda m: m != "") if "modules" in have else F.array().cast("array<string>")
-    return events.select(
-        F.col(by).alias("s"),
-        F.col(order).cast("bigint").alias("i"),
-        *[v.alias(c) for c, v in cols.items()],
-        F.when(some, F.struct(*[v.alias(f) for f, v in zip(CONTEXT, nested, strict=True)])).alias("nested"),
-        count.alias("instruction_count"),
-        inner("waypoint", "kind", "string").alias("way"),
-        F.when(F.size(names) == 1, F.get(names, F.lit(0))).alias("sole"),
-    )
+    nested = F.when(some, F.struct(*[v.alias(f) for f, v in inner.items()]))
+    names = F.filter("modules", lambda m: m != "") if "modules" in have else None
+    special = {
+        "nested": nested if fields("context") & set(CONTEXT) else None,
+        "instruction_count": F.col("instruction_count").cast("bigint") if "instruction_count" in have else None,
+        "way": F.col("waypoint")["kind"].cast("string") if "kind" in fields("waypoint") else None,
+        "sole": F.when(F.size(names) == 1, F.get(names, F.lit(0))) if names is not None else None,
+    }
+    kinds = {"nested": "struct<" + ",".join(f"{c}:string" for c in CONTEXT) + ">", "instruction_count": "bigint", "way": "string", "sole": "string"}
+    absent |= {k: F.lit(None).cast(kinds[k]) for k, v in special.items() if v is None}
+    cols |= {k: v for k, v in special.items() if v is not None}
+    e = events.select(F.col(by).alias("s"), F.col(order).cast("bigint").alias("i"), *[v.alias(k) for k, v in cols.items()]).filter("s IS NOT NULL")
+    kept = e.columns
+    e = e.withColumns(absent)
+    ev, reason = F.col("event"), F.col("reason")
+    is_address = ev == "address"
+    own = F.coalesce(F.col("module"), _base(F.col("map")))
+    opaque = is_address & F.coalesce(reason == "no-configured-elf", F.lit(False))
+    outside = F.coalesce(~own.isin(*targets), F.lit(True)) if targets else F.lit(False)
+    bad = F.coalesce(reason.isin(*CUT), F.lit(False))
+    numbers = {
+        "start": parse_int(F.col("runtime_start")),
+        "end": parse_int(F.col("runtime_end")),
+        "elf_from": F.coalesce("elf_start", "elf_va"),
+        "to": parse_int(F.col("next_pc")),
+        "e_start": parse_int(F.coalesce("elf_start", "elf_va")),
+        "e_end": parse_int(F.col("elf_end")),
+        "a_at": F.when(is_address, parse_int(F.coalesce("runtime_addr", "address"))),
+        "a_elf": F.when(is_address, parse_int(F.coalesce("elf_addr", "elf_va"))),
+        "opaque": opaque,
+        "named": is_address & ~opaque & ~bad & ~outside,
+        "name": own,
+    }
+    e = e.withColumns(numbers).select(*kept, *numbers)
+    return materialize(e, "events").withColumns(absent)
 
 
 def _lookup(events: DataFrame, probes: DataFrame, block: int | None) -> DataFrame:
@@ -81,54 +124,40 @@ def _lookup(events: DataFrame, probes: DataFrame, block: int | None) -> DataFram
     return seen.groupBy("s", F.col("at").alias("i"), "tag").agg(F.coalesce(F.first(F.when(F.col("k") == "r", F.col("found")), True), F.first(F.col("found"), True)).alias("found"))
 
 
-def _typed(events: DataFrame, strict: bool, targets: tuple[str, ...], block: int | None) -> DataFrame:
-    """Events with their numbers, module, symbols, and what they do: a type, a reason, and whether a context change cuts before it."""
+def _typed(e: DataFrame, strict: bool, targets: tuple[str, ...], go: Scan, asked: bool, block: int | None) -> DataFrame:
+    """Events with their module, symbols, and what they do: a type, a reason, and whether a context change cuts before it."""
     ev, reason = F.col("event"), F.col("reason")
     is_range, is_address = ev == "instruction_range", ev == "address"
-    own = F.coalesce(F.col("module"), _base(F.col("map")))
-    opaque = is_address & F.coalesce(reason == "no-configured-elf", F.lit(False))
-    outside = F.coalesce(~own.isin(*targets), F.lit(True)) if targets else F.lit(False)
     bad = F.coalesce(reason.isin(*CUT), F.lit(False))
-    e = events.withColumns(
-        {
-            "start": parse_int(F.col("runtime_start")),
-            "end": parse_int(F.col("runtime_end")),
-            "elf_from": F.coalesce("elf_start", "elf_va"),
-            "to": parse_int(F.col("next_pc")),
-            "a_at": F.when(is_address, parse_int(F.coalesce("runtime_addr", "address"))),
-            "a_elf": F.when(is_address, parse_int(F.coalesce("elf_addr", "elf_va"))),
-            "opaque": opaque,
-            "named": is_address & ~opaque & ~bad & ~outside,
-            "name": own,
-        }
-    ).withColumns({"e_start": parse_int(F.col("elf_from")), "e_end": parse_int(F.col("elf_end"))})
-    e = materialize(e, "events")
-    ends = [("first", "start", "e_start"), ("last", "end", "e_end")]
-    probes = None
-    for tag, r, x in ends:
-        one = e.filter(is_range).select("s", "i", F.lit(tag).alias("tag"), F.col(r).alias("r"), F.col(x).alias("e"))
-        probes = one if probes is None else probes.unionByName(one)
-    found = _lookup(e, probes, block).groupBy("s", "i").agg(*[F.first(F.when(F.col("tag") == t, F.col("found")), True).alias(t) for t, *_ in ends])
-    e = e.join(found, ["s", "i"], "left")
-    stated = F.coalesce(F.col("name"), F.col("first.name"), F.col("last.name"))
+    stated, start_name, end_name = F.col("name"), F.col("start_symbol"), F.col("end_symbol")
+    if asked:
+        ends = [("first", "start", "e_start"), ("last", "end", "e_end")]
+        probes = None
+        for tag, r, x in ends:
+            one = e.filter(is_range).select("s", "i", F.lit(tag).alias("tag"), F.col(r).alias("r"), F.col(x).alias("e"))
+            probes = one if probes is None else probes.unionByName(one)
+        found = _lookup(e, probes, block).groupBy("s", "i").agg(*[F.first(F.when(F.col("tag") == t, F.col("found")), True).alias(t) for t, *_ in ends])
+        e = e.join(found, ["s", "i"], "left")
+        stated = F.coalesce(F.col("name"), F.col("first.name"), F.col("last.name"))
+        start_name, end_name = F.coalesce("start_symbol", "first.symbol"), F.coalesce("end_symbol", "last.symbol")
     key = F.struct(*[F.col(c) for c in CONTEXT])
     text = lambda c: F.struct(c.alias("v"))
-    e = e.withColumns({"stated": F.when(is_range, stated), "said_context": F.when(ev == "context", key).when(is_range, F.col("nested"))})
+    e = e.withColumns({"stated": F.when(is_range, stated), "said_context": F.when(ev == "context", key).when(is_range, F.col("nested")), "start_name": start_name, "end_name": end_name})
     sets = F.when((ev == "header") & F.col("sole").isNotNull(), F.col("sole")).when(is_range, F.col("stated")).when(is_address & F.col("named"), F.col("name"))
     sets = F.when(F.col("opaque"), F.struct(_base(F.col("map")).alias("v"), F.col("i").alias("i"))).when(sets.isNotNull(), F.struct(sets.alias("v"), F.col("i").alias("i")))
     trace = F.when((ev == "trace_stream") & F.col("trace_id").isNotNull(), text(F.col("trace_id"))).when(ev == "context", text(F.lit(None).cast("string")))
     e = e.withColumn("sets", sets)
-    e = scan(e, ["s"], "i", fills={"b_context": F.col("said_context"), "b_trace": trace, "b_module": F.col("sets"), "default": F.when((ev == "header") & F.col("sole").isNotNull(), F.col("sole")), "b_silent": F.when(is_range & F.col("stated").isNull(), F.col("i"))}, block=block)
+    e = go(e, ["s"], "i", fills={"b_context": F.col("said_context"), "b_trace": trace, "b_module": F.col("sets"), "default": F.when((ev == "header") & F.col("sole").isNotNull(), F.col("sole")), "b_silent": F.when(is_range & F.col("stated").isNull(), F.col("i"))})
     # A range that says nothing takes the default where the module isn't known, and then it is known.
     before = F.coalesce("b_module.v", F.when(F.col("b_silent") > F.coalesce("b_module.i", F.lit(-1)), F.col("default")))
     empty = F.struct(*[F.lit(None).cast("string").alias(c) for c in CONTEXT])
     changed = F.col("said_context").isNotNull() & ~F.col("said_context").eqNullSafe(F.coalesce("b_context", empty))
     e = e.withColumns({"module_before": before, "changed": changed})
     e = e.withColumn("of", F.when(is_range, F.coalesce("stated", "module_before", "default")))
-    e = materialize(e, "modules")  # plain columns: what follows refers to them again and again
     e = e.withColumn("module_now", F.when(F.col("opaque"), F.col("sets.v")).otherwise(F.coalesce("sets.v", "of", "module_before")))
-    status = F.coalesce("status", F.lit("resolved"))
-    partial, flow = status.isin(*PARTIAL), ev.isin("flow_gap", "overflow")
+    e = e.withColumn("status", F.coalesce("status", F.lit("resolved")))
+    status = F.col("status")
+    partial_, flow = status.isin(*PARTIAL), ev.isin("flow_gap", "overflow")
     beyond = F.coalesce(~F.col("of").isin(*targets), F.lit(True)) if targets else F.lit(False)
     label = lambda mark, *rest: F.concat(F.lit(mark), F.coalesce(*rest))
     control = F.coalesce("kind", "reason", "event")
@@ -143,148 +172,180 @@ def _typed(events: DataFrame, strict: bool, targets: tuple[str, ...], block: int
         .when(ev.isin("exception", "exception_return"), ev)
         .when(is_address & ~F.col("opaque") & ~F.col("named"), label("address:", reason, F.lit("outside-target")))
         .when(is_range & bad, F.concat(F.lit("range:"), reason))
-        .when(is_range & (~status.isin(*EVIDENCE) | (F.lit(strict) & partial)), F.concat(F.lit("range_status:"), status))
-        .when(is_range & ~partial & (F.col("start").isNull() | F.col("e_start").isNull()), F.lit("range_missing_start"))
-        .when(is_range & ~partial & (F.col("end").isNull() | F.col("e_end").isNull()), F.lit("range_missing_end"))
-        .when(is_range & ~partial & beyond, F.lit("range:outside_target_module"))
+        .when(is_range & (~status.isin(*EVIDENCE) | (F.lit(strict) & partial_)), F.concat(F.lit("range_status:"), status))
+        .when(is_range & ~partial_ & (F.col("start").isNull() | F.col("e_start").isNull()), F.lit("range_missing_start"))
+        .when(is_range & ~partial_ & (F.col("end").isNull() | F.col("e_end").isNull()), F.lit("range_missing_end"))
+        .when(is_range & ~partial_ & beyond, F.lit("range:outside_target_module"))
     )
-    kind = F.when(F.col("cut").isNotNull(), "cut").when(flow | F.col("opaque"), "soft").when(is_range, F.when(partial, "partial").otherwise("range")).when(is_address, "address")
-    e = e.withColumns({"cut": cut, "status": status}).withColumn("type", kind)
+    kind = F.when(F.col("cut").isNotNull(), "cut").when(flow | F.col("opaque"), "soft").when(is_range, F.when(partial_, "partial").otherwise("range")).when(is_address, "address")
+    e = e.withColumn("cut", cut).withColumn("type", kind)
     drops = F.col("cut").startswith("address:") | (F.col("cut") == "range:outside_target_module")
     why = F.when(F.col("opaque"), "unconfigured_executable_module").when(ev == "flow_gap", F.coalesce(reason, ev)).when(ev == "overflow", ev)
     doubtful = F.coalesce(F.col("path_confidence") == "speculative", F.lit(False)) | F.coalesce(F.col("target_source") == "software_return_stack", F.lit(False))
-    return e.withColumns({"precut": is_range & F.col("changed"), "drops": F.coalesce(drops, F.lit(False)), "why": why, "doubtful": doubtful, "start_name": F.coalesce("start_symbol", "first.symbol"), "end_name": F.coalesce("end_symbol", "last.symbol")})
+    e = e.withColumns({"precut": F.coalesce(is_range & F.col("changed"), F.lit(False)), "drops": F.coalesce(drops, F.lit(False)), "why": why, "doubtful": doubtful})
+    return _halves(e, {"start": F.col("start_name"), "end": F.col("end_name")})
 
 
-def _emitted(e: DataFrame, strict: bool, block: int | None) -> DataFrame:
-    """Each range with when and how its edge is emitted: ``em``, ``hint`` (the range it leads to), ``forced``, ``gap``, ``close``, ``shown``."""
+def _emitted(e: DataFrame, strict: bool, go: Scan) -> DataFrame:
+    """Events; each range with when and how its edge is emitted: ``em``, ``hint`` (the range it leads to), ``forced``, ``gap``, ``close``, ``shown``."""
     kind = F.col("type")
     ends = kind.isin("cut", "soft", "partial", "range") | F.col("precut")
-    after = F.struct("i", "type", "precut", "drops", F.coalesce("start", "a_at").alias("at"), "start", "start_name", F.col("of").alias("of"), F.col("elf_from").alias("elf"), F.coalesce(F.col("path_confidence") == "speculative", F.lit(False)).alias("speculative"), F.coalesce("pc", "address", "runtime_addr").alias("place"))
+    place = F.coalesce("pc", "address", "runtime_addr")
+    after = F.struct("i", "type", "precut", "drops", F.coalesce("start", "a_at").alias("at"), "start", "start_f", "start_o", "of", F.col("elf_from").isNotNull().alias("elf"), F.col("e_start").alias("elf_at"), F.coalesce(F.col("path_confidence") == "speculative", F.lit(False)).alias("speculative"), place.alias("place"), F.col("module_now").alias("now"))
     waits = F.when(kind == "range", F.struct("i", "to", "doubtful")).when(ends, F.struct(F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("bigint").alias("to"), F.lit(False).alias("doubtful")))
-    e = scan(e, ["s"], "i", fills={"waiting": waits}, block=block)
-    e = scan(e.withColumn("back", -F.col("i")), ["s"], "back", fills={"then": F.when(ends, after)}, block=block)
-    e = materialize(e, "waits")
-    met = e.filter((kind == "address") & F.col("waiting.doubtful") & F.col("a_at").isNotNull() & F.col("waiting.to").isNotNull())
+    e = go(e, ["s"], "i", fills={"waiting": waits})
+    # Addresses that speak of a doubtful range are met before the next one ends its wait: the first of them is the last from behind.
+    met = (kind == "address") & F.col("waiting.doubtful") & F.col("a_at").isNotNull() & F.col("waiting.to").isNotNull()
     same = F.col("a_at") == F.col("waiting.to")
-    met = met.groupBy("s", F.col("waiting.i").alias("i")).agg(F.min(F.when(~same, F.struct("i", "a_at", "module_before", F.coalesce("pc", "address", "runtime_addr").alias("place")))).alias("miss"), F.min(F.when(same, F.col("i"))).alias("hit"))
-    ranges = e.filter(kind == "range").join(met, ["s", "i"], "left")
-    missed = F.col("miss").isNotNull() & F.lit(not strict)
-    confirmed = F.col("hit").isNotNull() & (F.lit(strict) | F.col("miss").isNull() | (F.col("hit") < F.col("miss.i")))
-    n = F.col("then.type")
-    plain = F.col("then").isNull() | F.col("then.precut") | n.isin("cut", "soft")
-    leads = F.col("to").eqNullSafe(F.col("then.start"))
-    hint = ~missed & ~plain & leads & (F.col("to").isNotNull() | (n == "partial"))
-    forced = F.when(missed, "address_anchor_mismatch").when(plain | hint | F.lit(strict), None).when(n == "partial", "range_before_partial_mismatch").when(F.col("to").isNotNull(), "pc_mismatch")
-    lost = ~missed & ~plain & (n == "range") & F.col("to").isNull()
+    miss = F.when(met & ~same, F.struct(F.col("waiting.i").alias("whose"), "i", "a_at", "module_before", place.alias("place")))
+    e = e.withColumns({"back": -F.col("i"), "a_miss": miss, "a_hit": F.when(met & same, F.struct(F.col("waiting.i").alias("whose"), "i"))})
+    e = go(e, ["s"], "back", fills={"then": F.when(ends, after), "miss": F.col("a_miss"), "hit": F.col("a_hit")}, mins={"back_last": F.col("back")})
+    e = e.withColumns({"miss": F.when(F.col("miss.whose") == F.col("i"), F.col("miss")), "hit": F.when(F.col("hit.whose") == F.col("i"), F.col("hit.i")), "last_i": F.coalesce(-F.col("back_last"), F.col("i"))})
+    n, is_range = F.col("then.type"), F.coalesce(kind == "range", F.lit(False))
+    e = e.withColumns({"missed": is_range & F.col("miss").isNotNull() & F.lit(not strict), "plain": F.col("then").isNull() | F.col("then.precut") | n.isin("cut", "soft"), "leads": F.col("to").eqNullSafe(F.col("then.start"))})
+    missed, plain, leads = F.col("missed"), F.col("plain"), F.col("leads")
+    hint = is_range & ~missed & ~plain & leads & (F.col("to").isNotNull() | (n == "partial"))
+    e = e.withColumns({"hint": F.coalesce(hint, F.lit(False)), "lost": F.coalesce(is_range & ~missed & ~plain & (n == "range") & F.col("to").isNull(), F.lit(False))})
+    lost = F.col("lost")
+    forced = F.when(~is_range, None).when(missed, "address_anchor_mismatch").when(plain | F.col("hint") | F.lit(strict), None).when(n == "partial", "range_before_partial_mismatch").when(F.col("to").isNotNull(), "pc_mismatch")
     dropped = ~missed & F.coalesce(~F.col("then.precut") & F.col("then.drops") & F.col("to").eqNullSafe(F.col("then.at")), F.lit(False)) | (lost & F.lit(strict))
-    close = F.when(F.lit(strict) & ~plain & (n == "range"), F.when(lost, "missing_prev_next_pc").when(~leads, "pc_mismatch"))
-    return ranges.withColumns(
+    confirmed = is_range & F.col("hit").isNotNull() & (F.lit(strict) | F.col("miss").isNull() | (F.col("hit") < F.col("miss.i")))
+    e = e.withColumn("forced", forced)
+    return e.withColumns(
         {
-            "em": F.when(missed, F.col("miss.i")).otherwise(F.col("then.i")),
-            "hint": hint,
-            "forced": forced,
-            "invalid": F.coalesce(lost, F.lit(False)),
-            "gap": F.coalesce(forced, F.when(lost & F.lit(not strict), "missing_prev_next_pc")),
-            "close": close,
-            "shown": ~F.coalesce(dropped, F.lit(False)),
+            "em": F.when(is_range, F.coalesce(F.when(missed, F.col("miss.i")).otherwise(F.col("then.i")), F.col("last_i") + 1)).otherwise(F.col("i")),
+            "invalid": lost | F.coalesce(kind == "partial", F.lit(False)),
+            "gap": F.coalesce("forced", F.when(lost & F.lit(not strict), "missing_prev_next_pc")),
+            "close": F.when(is_range & F.lit(strict) & ~plain & (n == "range"), F.when(lost, "missing_prev_next_pc").when(~leads, "pc_mismatch")),
+            "edge": (is_range & ~F.coalesce(dropped, F.lit(False))) | F.coalesce(kind == "partial", F.lit(False)),
             "confidence": F.when(confirmed, "confirmed").otherwise(F.col("confidence")),
-            "missed": missed,
         }
     )
 
 
-def layered(events: DataFrame, by: str, order: str, strict: bool, targets: tuple[str, ...], least: int, block: int | None = None) -> DataFrame:
-    """(s, segment_id, first_event, length, break_reason, tokens): the segments of each stream."""
-    e = materialize(_typed(_flat(events, by, order), strict, targets, block), "typed")
-    ranges = materialize(_emitted(e, strict, block), "emitted")
-    last = e.groupBy("s").agg(F.max("i").alias("last_i"))
-    ranges = ranges.join(last, "s").withColumn("em", F.coalesce("em", F.col("last_i") + 1))
-    partial = e.filter("type = 'partial'").join(last, "s")
-    null = lambda t: F.lit(None).cast(t)
-    edges = ranges.filter("shown").select("*", F.lit(0).alias("ord")).unionByName(
-        partial.withColumns({"em": F.col("i"), "ord": F.lit(3), "hint": F.lit(False), "forced": null("string"), "invalid": F.lit(True), "gap": null("string"), "close": null("string"), "shown": F.lit(True), "missed": F.lit(False)}),
-        allowMissingColumns=True,
-    )
+def rating(edge: dict[str, Column], forced: Column, next_pc: Column, next_start: Column, next_speculative: Column) -> dict[str, Column]:
+    """The quality of an edge's target; its own target_valid says whether it may be valid at all."""
+    q = target_quality(edge["status"], edge["kind"], edge["target_source"], edge["confidence"], next_pc, next_start, next_speculative)
+    confidence = F.coalesce(forced, q["confidence"])
+    match = F.when(q["target_source"] == "software_return_stack", F.when(confidence == "confirmed", True).when(confidence == "conflict", False))
+    return {"target_source": q["target_source"], "confidence": confidence, "target_valid": edge["target_valid"] & q["target_valid"] & edge["control_valid"], "return_stack_match": match}
+
+
+def _lines(e: DataFrame, named: DataFrame | None, block: int | None) -> DataFrame:
+    """(s, pos, first, token, close): edges, gaps and closes of each event, in the order ``pos``."""
     # Where an edge goes: to the range that follows, to what an address said of it, or on from its own file's place.
     derived = F.when(F.col("start").isNotNull() & F.col("e_start").isNotNull(), F.col("e_start") + F.col("to") - F.col("start"))
-    edges = materialize(edges.withColumn("derived", derived), "edges")
-    asks = edges.filter("NOT hint AND to IS NOT NULL").select("s", F.col("em").alias("i"), F.concat_ws(":", F.col("i").cast("string"), F.col("ord").cast("string")).alias("tag"), F.col("to").alias("r"), F.col("derived").alias("e"))
-    told = _lookup(e, asks, block).select("s", F.col("tag"), F.col("found"))
-    edges = edges.withColumn("tag", F.concat_ws(":", F.col("i").cast("string"), F.col("ord").cast("string"))).join(told, ["s", "tag"], "left")
-    names = {"hinted": F.col("then.start_name"), "told": F.col("found.symbol"), "ended": F.col("end_name"), "own": F.coalesce("end_name", "start_name")}
-    edges = edges.select("*", *[x.alias(f"{k}_{part}") for k, v in names.items() for part, x in zip("fo", _split(v), strict=True)])
+    e = e.withColumn("derived", F.when(F.col("edge"), derived))
+    there = F.lit(False)
+    if named is not None:
+        e = materialize(e, "emitted")
+        asks = e.filter("edge AND NOT hint AND to IS NOT NULL").select("s", F.col("em").alias("i"), F.col("i").cast("string").alias("tag"), F.col("to").alias("r"), F.col("derived").alias("e"))
+        told = _lookup(named, asks, block).select("s", F.col("tag").cast("bigint").alias("i"), "found")
+        e = e.join(told, ["s", "i"], "left").withColumn("told_elf", parse_int(F.col("found.elf")))
+        e, there = _halves(e, {"told": F.col("found.symbol")}), F.col("found").isNotNull()
+    told_ = lambda c: F.col(c) if named is not None else F.lit(None).cast("string")
     goes_on = F.coalesce((F.col("to") == F.col("end") + 4) & F.col("end_name").isNotNull(), F.lit(False))
-    edges = materialize(edges.withColumn("goes_on", goes_on), "named")
-    there, goes_on = F.col("found").isNotNull(), F.col("goes_on")
-    function = F.when(F.col("hint"), F.col("hinted_f")).when(there, F.col("told_f")).when(goes_on, F.col("ended_f")).otherwise(UNKNOWN)
-    offset = F.when(F.col("hint"), F.col("hinted_o")).when(there, F.col("told_o")).when(goes_on, signed_hex(F.coalesce(parse_int(F.col("ended_o")), F.lit(0)) + 4))
-    elf = F.when(F.col("hint"), F.col("then.elf")).when(there, F.col("found.elf")).otherwise(signed_hex(F.col("derived")))
-    module = F.when(F.col("hint"), F.col("then.of")).when(there, F.col("found.name")).otherwise(F.col("of"))
-    edges = materialize(edges.withColumns({"function": function, "offset": offset, "elf": elf, "dst": module}), "targets")
-    by_elf = (F.col("function") == UNKNOWN) & F.col("elf").isNotNull()
+    # Ranges that end without a symbol have the one they start with.
+    hint, some_end = F.col("hint"), F.col("end_name").isNotNull()
+    e = e.withColumns(
+        {
+            "t_function": F.when(hint, F.col("then.start_f")).when(there, told_("told_f")).when(goes_on, F.col("end_f")).otherwise(UNKNOWN),
+            "t_offset": F.when(hint, F.col("then.start_o")).when(there, told_("told_o")).when(goes_on, signed_hex(F.coalesce(F.when(F.col("end_o") != "0x0", F.col("end_n")), F.lit(0)) + 4)),
+            "t_elf": F.when(hint, F.col("then.elf")).when(there, told_("found.elf").isNotNull()).otherwise(F.col("derived").isNotNull()),
+            "t_elf_at": F.when(hint, F.col("then.elf_at")).when(there, told_("told_elf").cast("bigint")).otherwise(F.col("derived")),
+            "t_module": F.when(hint, F.col("then.of")).when(there, told_("found.name")).otherwise(F.col("of")),
+            "own_f": F.when(some_end, F.col("end_f")).otherwise(F.col("start_f")),
+            "own_o": F.when(some_end, F.col("end_o")).otherwise(F.col("start_o")),
+            "control_valid": ~F.coalesce(F.col("path_confidence") == "speculative", F.lit(False)),
+            "way": F.coalesce("way", F.lit("unknown")),
+            "place": F.coalesce("pc", "address", "runtime_addr"),
+        }
+    )
+    next_start, next_speculative = F.when(hint, F.col("then.start")), F.coalesce(hint & F.col("then.speculative"), F.lit(False))
+    may = ~F.col("invalid") & F.col("forced").isNull()
+    rates = rating({"status": F.col("status"), "kind": F.col("way"), "target_source": F.col("target_source"), "confidence": F.col("confidence"), "target_valid": may, "control_valid": F.col("control_valid")}, F.when(F.col("forced").isNotNull(), "conflict"), F.col("to"), next_start, next_speculative)
+    e = e.withColumns({f"q_{k}": v for k, v in rates.items()})
+    is_partial, is_soft = F.col("type") == "partial", F.col("type") == "soft"
+    says = {EDGE: F.col("edge"), HELD_GAP: F.col("edge") & F.col("gap").isNotNull(), HELD_CLOSE: F.col("close").isNotNull(), OWN_GAP: is_partial | is_soft, OWN_CLOSE: F.col("cut").isNotNull() | F.col("precut")}
+    e = e.withColumn("said", fenced(F.array_compact(F.array(*[F.when(v, k) for k, v in says.items()]))))
+    e = e.withColumn("line", F.explode("said"))
+    line = F.col("line")
+    edge, held, own = line == EDGE, line == HELD_GAP, line == OWN_GAP
+    by_elf = (F.col("t_function") == UNKNOWN) & F.col("t_elf")
     away = F.col("to").isNull()
     own_elf = (F.col("own_f") == UNKNOWN) & F.col("elf_end").isNotNull()
-    token = F.struct(
-        F.coalesce("way", F.lit("unknown")).alias("kind"),
-        F.col("atom"),
-        F.col("of").alias("module"),
-        F.when(own_elf, ELF).otherwise(F.col("own_f")).alias("function"),
-        F.when(own_elf, F.col("elf_end")).otherwise(F.col("own_o")).alias("function_offset"),
-        F.when(~away, F.col("dst")).alias("dst_module"),
-        F.when(away, UNKNOWN_TARGET).when(by_elf, ELF).otherwise(F.col("function")).alias("dst_function"),
-        F.when(away, "0x0").when(by_elf, signed_hex(F.coalesce(parse_int(F.col("elf")), F.lit(0)))).otherwise(F.col("offset")).alias("dst_offset"),
-        signed_hex(F.col("to")).alias("dst_address"),
-        F.col("instruction_count"),
-        F.col("status"),
-        F.coalesce("forced", "reason").alias("reason"),
-        F.col("target_source"),
-        F.col("confidence"),
-        (~F.col("invalid") & F.col("forced").isNull()).alias("target_valid"),
-        (~F.coalesce(F.col("path_confidence") == "speculative", F.lit(False))).alias("control_valid"),
-        null("string").alias("continuity"),
-        F.col("path_confidence"),
-        null("boolean").alias("return_stack_match"),
-        null("string").alias("expected_pc"),
-        null("string").alias("observed_pc"),
-    ).cast(TOKEN)
-    seen = F.struct(F.when(F.col("forced").isNotNull(), "conflict").alias("forced"), F.col("to").alias("next_pc"), F.when(F.col("hint"), F.col("then.start")).alias("next_start"), F.coalesce(F.col("hint") & F.col("then.speculative"), F.lit(False)).alias("next_speculative")).cast(SEEN)
-
-    def gaps(df: DataFrame, em: Column, ord_: int, why: Column, module_: Column, place: Column, expected: Column | None = None, observed: Column | None = None, function_: Column | None = None, offset_: Column | None = None) -> DataFrame:
-        f, o = F.coalesce(function_, F.lit(GAP)) if function_ is not None else F.lit(GAP), F.coalesce(offset_, F.lit("0x0")) if offset_ is not None else F.lit("0x0")
-        values = {"kind": F.lit("flow_gap"), "module": module_, "function": f, "function_offset": o, "dst_module": module_, "dst_function": f, "dst_offset": o, "dst_address": place, "status": F.lit("gap"), "reason": why, "target_source": F.lit("none"), "confidence": F.lit("observed"), "target_valid": F.lit(False), "continuity": F.lit("continuous"), "expected_pc": expected if expected is not None else null("string"), "observed_pc": observed if observed is not None else null("string")}
-        fields = [(values[n] if n in values else null(t)).cast(t).alias(n) for n, t in (x.split(":") for x in TOKEN[7:-1].split(","))]
-        return df.select("s", em.alias("em"), F.lit(ord_).alias("ord"), F.struct(*fields).cast(TOKEN).alias("token"), null(SEEN).alias("seen"))
-
-    place, now = F.coalesce("pc", "address", "runtime_addr"), F.col("module_now")
-    state = e.select("s", F.col("i").alias("em"), F.col("module_now").alias("state"))
-    held = edges.filter("ord = 0 AND gap IS NOT NULL").join(state, ["s", "em"])
-    after_partial = F.col("gap") == "range_before_partial_mismatch"
     known = F.col("gap").isin("address_anchor_mismatch", "pc_mismatch")
-    expected = F.when(known, signed_hex(F.col("to")))
+    at_opaque = own & F.col("opaque")
+    gap_module = F.when(own, F.col("module_now")).when(F.col("missed"), F.col("miss.module_before")).otherwise(F.col("then.now"))
+    gap_f, gap_o = F.when(at_opaque, OPAQUE).otherwise(GAP), F.coalesce(F.when(at_opaque, F.col("map_file_offset")), F.lit("0x0"))
+    gap_place = F.when(own, F.col("place")).when(F.col("missed"), F.col("miss.place")).when(F.col("gap") != "range_before_partial_mismatch", F.col("then.place"))
     observed = F.when(F.col("missed"), signed_hex(F.col("miss.a_at"))).when(known, signed_hex(F.col("then.start")))
-    tokens = edges.select("s", "em", "ord", token.alias("token"), seen.alias("seen"))
-    tokens = tokens.unionByName(gaps(held, F.col("em"), 1, F.col("gap"), F.when(F.col("missed"), F.col("miss.module_before")).otherwise(F.col("state")), F.when(F.col("missed"), F.col("miss.place")).when(~after_partial, F.col("then.place")), expected, observed))
-    tokens = tokens.unionByName(gaps(partial, F.col("i"), 4, F.concat(F.lit("range_status:"), "status"), now, place, F.col("pc")))
-    soft = e.filter("type = 'soft'")
-    tokens = tokens.unionByName(gaps(soft, F.col("i"), 4, F.col("why"), now, place, F.col("pc"), None, F.when(F.col("opaque"), OPAQUE), F.when(F.col("opaque"), F.col("map_file_offset"))))
-    cuts = e.filter("cut IS NOT NULL OR precut").select("s", F.col("i").alias("em"), F.when(F.col("precut"), "context_change").otherwise(F.col("cut")).alias("close"))
-    cuts = cuts.unionByName(ranges.filter("close IS NOT NULL").select("s", "em", "close"))
+    either = lambda a, b: F.when(edge, a).otherwise(b)
+    fields = {
+        "kind": either(F.col("way"), F.lit("flow_gap")),
+        "atom": F.when(edge, F.col("atom")),
+        "module": either(F.col("of"), gap_module),
+        "function": either(F.when(own_elf, ELF).otherwise(F.col("own_f")), gap_f),
+        "function_offset": either(F.when(own_elf, F.col("elf_end")).otherwise(F.col("own_o")), gap_o),
+        "dst_module": either(F.when(~away, F.col("t_module")), gap_module),
+        "dst_function": either(F.when(away, UNKNOWN_TARGET).when(by_elf, ELF).otherwise(F.col("t_function")), gap_f),
+        "dst_offset": either(F.when(away, "0x0").when(by_elf, signed_hex(F.coalesce("t_elf_at", F.lit(0)))).otherwise(F.col("t_offset")), gap_o),
+        "dst_address": either(signed_hex(F.col("to")), gap_place),
+        "instruction_count": F.when(edge, F.col("instruction_count")),
+        "status": either(F.col("status"), F.lit("gap")),
+        "reason": F.when(edge, F.coalesce("forced", "reason")).when(held, F.col("gap")).when(is_partial, F.concat(F.lit("range_status:"), "status")).otherwise(F.col("why")),
+        "target_source": either(F.col("q_target_source"), F.lit("none")),
+        "confidence": either(F.col("q_confidence"), F.lit("observed")),
+        "target_valid": either(F.col("q_target_valid"), F.lit(False)),
+        "control_valid": F.when(edge, F.col("control_valid")),
+        "continuity": F.lit("continuous"),
+        "path_confidence": F.when(edge, F.col("path_confidence")),
+        "return_stack_match": F.when(edge, F.col("q_return_stack_match")),
+        "expected_pc": F.when(own, F.col("pc")).when(held & known, signed_hex(F.col("to"))),
+        "observed_pc": F.when(held, observed),
+    }
+    token = F.struct(*[v.alias(k) for k, v in fields.items()]).cast(TOKEN)
     # A context change before a cut of the same range leaves the cut nothing to close, unless a partial edge stands between: a partial range is never a cut.
-    lines = tokens.withColumn("close", null("string")).unionByName(cuts.select("s", "em", F.lit(2).alias("ord"), null(TOKEN).alias("token"), null(SEEN).alias("seen"), "close"))
-    lines = lines.withColumn("pos", F.col("em") * PLACES + F.col("ord"))
-    lines = scan(lines, ["s"], "pos", fills={"prior": F.coalesce("token.kind", F.lit("close"))}, sums={"run": F.col("close").isNotNull().cast("bigint")}, block=block)
-    merged = F.coalesce((F.col("token.kind") == "flow_gap") & (F.col("prior") == "flow_gap"), F.lit(False))
-    lines = scan(lines.withColumn("begins", F.col("close").isNull() & ~merged), ["s"], "pos", sums={"number": F.col("begins").cast("bigint")}, block=block)
-    lines = materialize(lines.withColumn("number", F.col("number") + F.col("begins").cast("bigint")), "lines")
-    reasons = lines.filter(F.col("token.kind") == "flow_gap").groupBy("s", "number", F.col("token.reason").alias("reason")).agg(F.min("pos").alias("pos"))
-    reasons = reasons.groupBy("s", "number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "reason"))), lambda x: x["reason"]), ";").alias("reasons"))
-    kept = lines.filter("begins").join(reasons, ["s", "number"], "left")
-    is_gap = F.col("token.kind") == "flow_gap"
-    continuity = F.when(~is_gap & F.coalesce(F.col("prior") == "flow_gap", F.lit(False)), "after_gap").otherwise("continuous")
-    kept = kept.withColumn("token", F.col("token").withField("continuity", continuity).withField("reason", F.when(is_gap, F.col("reasons")).otherwise(F.col("token.reason"))))
-    segments = kept.groupBy("s", "run").agg(F.min("em").alias("first_event"), F.count("*").cast("int").alias("length"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "token", "seen"))), lambda x: F.struct(x["token"].alias("token"), x["seen"].alias("seen"))).alias("tokens"))
-    segments = scan(segments, ["s"], "run", sums={"segment_id": F.lit(1).cast("bigint")}, block=block)
-    closes = lines.filter("close IS NOT NULL").select("s", "run", F.col("close").alias("break_reason"))
-    out = segments.join(closes, ["s", "run"], "left").join(last, "s").filter(F.col("length") >= least)
-    return out.select("s", "segment_id", F.least("first_event", "last_i").alias("first_event"), "length", F.coalesce("break_reason", F.lit("file_end")).alias("break_reason"), "tokens")
+    close = F.when(line == HELD_CLOSE, F.col("close")).when(line == OWN_CLOSE, F.when(F.col("precut"), "context_change").otherwise(F.col("cut")))
+    em = F.when(line < OWN_GAP, F.col("em")).otherwise(F.col("i"))
+    ord_ = F.when(edge, F.when(is_partial, 3).otherwise(0)).when(held, 1).when(own, 4).otherwise(2)
+    return e.select("s", (em * PLACES + ord_).alias("pos"), F.least(em, F.col("last_i")).alias("first"), F.when(edge | held | own, token).alias("token"), close.alias("close"))
+
+
+def _segments(e: DataFrame, strict: bool, targets: tuple[str, ...], go: Scan, named: DataFrame | None, block: int | None) -> DataFrame:
+    """All segments of streams, however short, with null reasons where their stream ends."""
+    lines = _lines(_emitted(_typed(e, strict, targets, go, named is not None, block), strict, go), named, block)
+    is_gap = F.coalesce(F.col("token.kind") == "flow_gap", F.lit(False))
+    lines = go(lines, ["s"], "pos", fills={"prior": F.coalesce("token.kind", F.lit("close"))}, sums={"run": F.col("close").isNotNull().cast("bigint")})
+    after_gap = F.coalesce(F.col("prior") == "flow_gap", F.lit(False))
+    lines = lines.withColumns({"begins": F.col("close").isNull() & ~(is_gap & after_gap), "continuity": F.when(~is_gap & after_gap, "after_gap").otherwise("continuous")})
+    lines = go(lines, ["s"], "pos", sums={"number": F.col("begins").cast("bigint")})
+    lines = lines.withColumn("number", F.col("number") + F.col("begins").cast("bigint"))
+    begun = lambda c: F.when(F.col("begins"), c)
+    # Gaps that follow each other are one token with the reasons of all.
+    merged = lines.groupBy("s", "run", "number").agg(
+        F.min(begun(F.col("pos"))).alias("pos"),
+        F.min(begun(F.col("first"))).alias("first"),
+        F.first(begun(F.struct("token", "continuity")), True).alias("x"),
+        F.max("close").alias("close"),
+        F.collect_list(F.when(is_gap, F.struct("pos", "token.reason"))).alias("reasons"),
+    )
+    reasons = F.array_join(F.array_distinct(F.sort_array("reasons")["reason"]), ";")
+    token = F.col("x.token").withField("continuity", F.col("x.continuity")).withField("reason", F.when(F.size("reasons") > 0, reasons).otherwise(F.col("x.token.reason")))
+    merged = merged.select("s", "run", "first", "close", F.when(F.col("x").isNotNull(), F.struct("pos", token.alias("token"))).alias("x"))
+    segments = merged.groupBy("s", "run").agg(F.min("first").alias("first_event"), F.count("x").cast("int").alias("length"), F.max("close").alias("break_reason"), F.sort_array(F.collect_list("x")).alias("x"))
+    return go(segments.filter("length > 0"), ["s"], "run", sums={"segment_id": F.lit(1).cast("bigint")})
+
+
+def layered(events: DataFrame, by: str, order: str, strict: bool, targets: tuple[str, ...], least: int, block: int | None = None) -> DataFrame:
+    """(s, segment_id, first_event, length, break_reason, tokens): the segments of each stream."""
+    e = _flat(events, by, order, targets)
+    named = None if e.filter("named").isEmpty() else e
+    long = e.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") > (block or BLOCK)).select("s")
+    if long.isEmpty():
+        out = _segments(e, strict, targets, running, named, block)
+    else:
+        long = materialize(long, "long")
+        parts = [_segments(e.join(long, "s", how), strict, targets, go, named, block) for how, go in (("left_anti", running), ("left_semi", partial(scan, block=block)))]
+        out = parts[0].unionByName(parts[1])
+    return out.filter(F.col("length") >= least).select("s", "segment_id", "first_event", "length", F.coalesce("break_reason", F.lit("file_end")).alias("break_reason"), F.col("x")["token"].alias("tokens"))

@@ -3,32 +3,27 @@
 A range waits until it is known where control went; it then becomes an edge of
 the open segment. Breaks close the segment. Under the evidence policy, doubtful
 steps become edges with invalid targets and gap tokens; under the strict policy
-they break. ``segment_layers`` finds tokens and segments; what a target is worth
-follows from ``control.target_quality``, in columns.
+they break. ``segment_layers`` finds tokens and segments, and rates each edge's
+target by ``control.target_quality`` before tokens are gathered.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from hoptrail.functions.control import target_quality
-from hoptrail.operators.segment_layers import layered
+from hoptrail.operators.segment_layers import layered, rating
 
 
 def segment_events(events: DataFrame, by: str = "file", order: str = "event_index", policy: str = "evidence", target_modules: tuple[str, ...] = (), min_edges: int = 1, block: int | None = None) -> DataFrame:
     """Segments of event streams, with their key; a stream is cut into blocks of ``block`` events."""
     if policy not in ("evidence", "strict") or min_edges < 1:
         raise ValueError("policy is evidence or strict, min_edges at least 1")
-    found = layered(events, by, order, policy == "strict", target_modules, min_edges, block).withColumnRenamed("s", by)
-    return found.withColumn("tokens", F.transform("tokens", lambda x: F.when(x["seen"].isNull(), x["token"]).otherwise(rated(x["token"], x["seen"]))))
+    return layered(events, by, order, policy == "strict", target_modules, min_edges, block).withColumnRenamed("s", by)
 
 
 def rated(token: Column, seen: Column) -> Column:
     """An edge's token with the quality of its target; its own target_valid says whether it may be valid at all."""
-    q = target_quality(token["status"], token["kind"], token["target_source"], token["confidence"], seen["next_pc"], seen["next_start"], seen["next_speculative"])
-    confidence = F.coalesce(seen["forced"], q["confidence"])
-    match = F.when(q["target_source"] == "software_return_stack", F.when(confidence == "confirmed", True).when(confidence == "conflict", False))
-    for name, value in (("target_source", q["target_source"]), ("confidence", confidence), ("target_valid", token["target_valid"] & q["target_valid"] & token["control_valid"]), ("return_stack_match", match)):
+    found = rating({c: token[c] for c in ("status", "kind", "target_source", "confidence", "target_valid", "control_valid")}, seen["forced"], seen["next_pc"], seen["next_start"], seen["next_speculative"])
+    for name, value in found.items():
         token = token.withField(name, value)
     return token
