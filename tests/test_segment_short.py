@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from test_segment_layers import event, frame
 
@@ -10,7 +11,8 @@ from hoptrail.operators import scans, segment_layers
 from hoptrail.operators.segmenter import segment_events
 
 
-def test_short_streams_are_written_once(spark, monkeypatch):
+@pytest.mark.parametrize("policy", ["evidence", "strict"])
+def test_short_streams_are_written_once(spark, monkeypatch, policy):
     written = []
 
     def seen(of):
@@ -25,10 +27,10 @@ def test_short_streams_are_written_once(spark, monkeypatch):
     rng = random.Random(5)
     streams = {f"s{k}": [e for e in (event(rng) for _ in range(30)) if e["event"] != "address"] for k in range(20)}
     df = frame(spark, streams)
-    short = sorted(segment_events(df).collect(), key=lambda r: (r.file, r.segment_id))
+    short = sorted(segment_events(df, policy=policy).collect(), key=lambda r: (r.file, r.segment_id))
     assert short and written == ["events"]
     # Cut into blocks they give the same.
-    assert sorted(segment_events(df, block=6).collect(), key=lambda r: (r.file, r.segment_id)) == short
+    assert sorted(segment_events(df, policy=policy, block=6).collect(), key=lambda r: (r.file, r.segment_id)) == short
     assert len(written) > 3
 
 
