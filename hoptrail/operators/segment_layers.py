@@ -97,15 +97,22 @@ def _flat(events: DataFrame, by: str, order: str, targets: tuple[str, ...]) -> D
     opaque = is_address & F.coalesce(reason == "no-configured-elf", F.lit(False))
     outside = F.coalesce(~own.isin(*targets), F.lit(True)) if targets else F.lit(False)
     bad = F.coalesce(reason.isin(*CUT), F.lit(False))
-    numbers = {
-        "start": parse_int(F.col("runtime_start")),
-        "end": parse_int(F.col("runtime_end")),
+    texts = {
+        "start": ("runtime_start",),
+        "end": ("runtime_end",),
+        "to": ("next_pc",),
+        "e_start": ("elf_start", "elf_va"),
+        "e_end": ("elf_end",),
+        "a_at": ("runtime_addr", "address"),
+        "a_elf": ("elf_addr", "elf_va"),
+    }
+    said = [k for k, names in texts.items() if have & set(names)]
+    # One lambda for all texts: a parse for each in one generated method is too long for the JVM to compile.
+    if said:
+        of = lambda k: F.when(is_address, F.coalesce(*texts[k])) if k.startswith("a_") else F.coalesce(*texts[k])
+        e = e.withColumn("parsed", F.transform(F.array(*[of(k) for k in said]), parse_int))
+    numbers = {k: F.col("parsed")[said.index(k)] if k in said else F.lit(None).cast("bigint") for k in texts} | {
         "elf_from": F.coalesce("elf_start", "elf_va"),
-        "to": parse_int(F.col("next_pc")),
-        "e_start": parse_int(F.coalesce("elf_start", "elf_va")),
-        "e_end": parse_int(F.col("elf_end")),
-        "a_at": F.when(is_address, parse_int(F.coalesce("runtime_addr", "address"))),
-        "a_elf": F.when(is_address, parse_int(F.coalesce("elf_addr", "elf_va"))),
         "opaque": opaque,
         "named": is_address & ~opaque & ~bad & ~outside,
         "name": own,
@@ -312,17 +319,15 @@ def _lines(e: DataFrame, named: DataFrame | None, block: int | None) -> DataFram
     return e.select("s", (em * PLACES + ord_).alias("pos"), F.least(em, F.col("last_i")).alias("first"), F.when(edge | held | own, token).alias("token"), close.alias("close"))
 
 
-def _segments(e: DataFrame, strict: bool, targets: tuple[str, ...], go: Scan, named: DataFrame | None, block: int | None) -> DataFrame:
-    """All segments of streams, however short, with null reasons where their stream ends."""
-    lines = _lines(_emitted(_typed(e, strict, targets, go, named is not None, block), strict, go), named, block)
+def _merged(lines: DataFrame, said: dict[str, Column], go: Scan) -> DataFrame:
+    """Lines of segments; gaps that follow each other are one token with the reasons of all."""
     is_gap = F.coalesce(F.col("token.kind") == "flow_gap", F.lit(False))
-    lines = go(lines, ["s"], "pos", fills={"prior": F.coalesce("token.kind", F.lit("close"))}, sums={"run": F.col("close").isNotNull().cast("bigint")})
+    lines = go(lines, ["s"], "pos", fills={"prior": F.coalesce("token.kind", F.lit("close"))}, sums=said)
     after_gap = F.coalesce(F.col("prior") == "flow_gap", F.lit(False))
     lines = lines.withColumns({"begins": F.col("close").isNull() & ~(is_gap & after_gap), "continuity": F.when(~is_gap & after_gap, "after_gap").otherwise("continuous")})
     lines = go(lines, ["s"], "pos", sums={"number": F.col("begins").cast("bigint")})
     lines = lines.withColumn("number", F.col("number") + F.col("begins").cast("bigint"))
     begun = lambda c: F.when(F.col("begins"), c)
-    # Gaps that follow each other are one token with the reasons of all.
     merged = lines.groupBy("s", "run", "number").agg(
         F.min(begun(F.col("pos"))).alias("pos"),
         F.min(begun(F.col("first"))).alias("first"),
@@ -332,7 +337,19 @@ def _segments(e: DataFrame, strict: bool, targets: tuple[str, ...], go: Scan, na
     )
     reasons = F.array_join(F.array_distinct(F.sort_array("reasons")["reason"]), ";")
     token = F.col("x.token").withField("continuity", F.col("x.continuity")).withField("reason", F.when(F.size("reasons") > 0, reasons).otherwise(F.col("x.token.reason")))
-    merged = merged.select("s", "run", "first", "close", F.when(F.col("x").isNotNull(), F.struct("pos", token.alias("token"))).alias("x"))
+    return merged.select("s", "run", "first", "close", F.when(F.col("x").isNotNull(), F.struct("pos", token.alias("token"))).alias("x"))
+
+
+def _segments(e: DataFrame, strict: bool, targets: tuple[str, ...], go: Scan, named: DataFrame | None, block: int | None) -> DataFrame:
+    """All segments of streams, however short, with null reasons where their stream ends."""
+    lines = _lines(_emitted(_typed(e, strict, targets, go, named is not None, block), strict, go), named, block)
+    said = {"run": F.col("close").isNotNull().cast("bigint")}
+    if strict:  # breaks where the other policy has gaps, so there are none
+        lines = go(lines, ["s"], "pos", sums=said)
+        begun = lambda c: F.when(F.col("close").isNull(), c)
+        merged = lines.select("s", "run", begun(F.col("first")).alias("first"), "close", begun(F.struct("pos", "token")).alias("x"))
+    else:
+        merged = _merged(lines, said, go)
     segments = merged.groupBy("s", "run").agg(F.min("first").alias("first_event"), F.count("x").cast("int").alias("length"), F.max("close").alias("break_reason"), F.sort_array(F.collect_list("x")).alias("x"))
     return go(segments.filter("length > 0"), ["s"], "run", sums={"segment_id": F.lit(1).cast("bigint")})
 
@@ -340,12 +357,13 @@ def _segments(e: DataFrame, strict: bool, targets: tuple[str, ...], go: Scan, na
 def layered(events: DataFrame, by: str, order: str, strict: bool, targets: tuple[str, ...], least: int, block: int | None = None) -> DataFrame:
     """(s, segment_id, first_event, length, break_reason, tokens): the segments of each stream."""
     e = _flat(events, by, order, targets)
-    named = None if e.filter("named").isEmpty() else e
-    long = e.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") > (block or BLOCK)).select("s")
-    if long.isEmpty():
+    sizes = e.groupBy("s").agg(F.count("*").alias("n"), F.max("named").alias("named"))
+    most, names = sizes.agg(F.max("n"), F.max("named")).first()
+    named = e if names else None
+    if (most or 0) <= (block or BLOCK):
         out = _segments(e, strict, targets, running, named, block)
     else:
-        long = materialize(long, "long")
+        long = materialize(sizes.filter(F.col("n") > (block or BLOCK)).select("s"), "long")
         parts = [_segments(e.join(long, "s", how), strict, targets, go, named, block) for how, go in (("left_anti", running), ("left_semi", partial(scan, block=block)))]
         out = parts[0].unionByName(parts[1])
     return out.filter(F.col("length") >= least).select("s", "segment_id", "first_event", "length", F.coalesce("break_reason", F.lit("file_end")).alias("break_reason"), F.col("x")["token"].alias("tokens"))
