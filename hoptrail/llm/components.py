@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoptrail.llm.scratch import materialize, release
+from hoptrail.llm.scratch import materialize, release, shuffled
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,9 +20,9 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"), F.col("u").alias("o")).filter(F.col("u") > F.col("o")).select("u", "v").distinct()
+        large = both.join(shuffled(least), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"), F.col("u").alias("o")).filter(F.col("u") > F.col("o")).select("u", "v").distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        paired = large.join(smallest, "u")
+        paired = large.join(shuffled(smallest), "u")
         small = paired.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(paired.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         edges = materialize(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

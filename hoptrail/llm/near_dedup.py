@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hoptrail.llm.components import connected_components
-from hoptrail.llm.scratch import bounded_batches, broadcast_within, looked_up, materialize, release
+from hoptrail.llm.scratch import bounded_batches, broadcast_within, looked_up, materialize, release, shuffled
 from hoptrail.llm.words import SPACED, U, hashed_words, mix, slices, string_buffers
 
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -246,13 +246,13 @@ class NearDedup:
         rank = F.xxhash64(F.lit(turn), *(["key"] if turn > 1 else []), "rep")
         centre = F.min_by(F.struct("rep", "n", "label"), F.struct(rank.alias("r"), F.col("rep"))).alias("c")
         centres = buckets.groupBy("key").agg(centre, F.count("*").alias("m")).filter("m > 1").select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.label").alias("centre_label"))
-        pairs = buckets.join(centres, "key").filter("label != centre_label").filter(self.sizes_fit("n", "centre_n"))
+        pairs = buckets.join(shuffled(centres), "key").filter("label != centre_label").filter(self.sizes_fit("n", "centre_n"))
         return pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
     def near(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """The pairs whose sketches agree often enough to be links."""
         one, two = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
-        return pairs.join(one, "a").join(two, "b").filter(_agreeing("sa", "sb") >= self.least_agree).select("a", "b")
+        return shuffled(shuffled(pairs).join(one, "a")).join(two, "b").filter(_agreeing("sa", "sb") >= self.least_agree).select("a", "b")
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
         """Full shingle sets of the documents of a written table of ids."""
@@ -265,13 +265,13 @@ class NearDedup:
         sets = materialize(self.sets_of(ids), f"{name}-sets")
         one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
-        kept = pairs.join(one, "a").join(two, "b").withColumn("both", both).filter(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * self.percent)
+        kept = shuffled(shuffled(pairs).join(one, "a")).join(two, "b").withColumn("both", both).filter(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * self.percent)
         return materialize(kept.select("a", "b").distinct(), f"{name}-links")
 
     def mixed(self, buckets: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """The rows of buckets that hold several components of the links so far, with the components as labels."""
         labels = materialize(connected_components(links), f"{name}-labels")
-        marked = buckets.drop("label").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
+        marked = buckets.drop("label").join(shuffled(labels.withColumnRenamed("node", "rep")), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
         several = materialize(marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key"), f"{name}-several")
         return materialize(looked_up(marked, several, ["key"], "inner"), f"{name}-mixed")
 
@@ -280,19 +280,19 @@ class NearDedup:
         sketches = self.held.select("rep", "sketch")
         members = self.held.select("rep", "n", F.explode("bands").alias("key"))
         shared = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-        buckets = materialize(members.join(shared, "key").withColumn("label", F.col("rep")), "buckets")
+        buckets = materialize(members.join(shuffled(shared), "key").withColumn("label", F.col("rep")), "buckets")
         tested = materialize(self.near(self.star(buckets, 0).unionByName(self.star(buckets, 1)).distinct(), sketches), "star")
         links = self.confirm(tested, "star")
         left = self.mixed(buckets, links, "star")
-        again = materialize(self.near(self.star(left, 2).join(tested, ["a", "b"], "left_anti"), sketches), "second")
+        again = materialize(self.near(self.star(left, 2).join(shuffled(tested), ["a", "b"], "left_anti"), sketches), "second")
         tested = tested.unionByName(again)
         links = links.unionByName(self.confirm(again, "second"))
         # Buckets that still hold several components: pairs across components, each once.
         ids = materialize(self.mixed(left, links, "second").select("rep", "label").distinct(), "mixed-ids")
         sets = self.sets_of(ids.select(F.col("rep").alias("doc_id"))).groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles"))
-        rest = self.across(materialize(sets.join(ids, "rep"), "mixed-sets"))
+        rest = self.across(materialize(sets.join(shuffled(ids), "rep"), "mixed-sets"))
         release(self.docs.sparkSession)
-        return links.unionByName(self.confirm(materialize(self.near(rest.join(tested, ["a", "b"], "left_anti"), sketches), "rest"), "rest"))
+        return links.unionByName(self.confirm(materialize(self.near(rest.join(shuffled(tested), ["a", "b"], "left_anti"), sketches), "rest"), "rest"))
 
     def keyed(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of the prefix filter, and its keys that hold several components: largest component, salts and pairs to visit."""
@@ -311,7 +311,7 @@ class NearDedup:
         """Pairs of members (rep, label, shingles) of two components that may be links; no link is missed."""
         rows, groups = self.keyed(members)
         key = ["token", "small", "large"]
-        held = materialize(rows.join(groups.drop("visits"), key), "prefix-rows")
+        held = materialize(rows.join(shuffled(groups.drop("visits")), key), "prefix-rows")
         left = held.filter("own = small").select(*key, "main", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "room", "label")], F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         right = held.filter("own = large").select(*key, *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "room", "label")], F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), (F.col("label") == F.col("main")).alias("main_b"))
 
@@ -319,19 +319,19 @@ class NearDedup:
             fits = self.sizes_fit("n_a", "n_b") & (F.least("room_a", "room_b").cast("long") * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")).cast("long") * self.percent)
             once = (F.col("l.small") < F.col("l.large")) | (F.col("rep_a") < F.col("rep_b"))
             same = reduce(lambda x, c: x & (F.col(f"l.{c}") == F.col(f"r.{c}")), [*key[1:], "salt"], F.col("l.token") == F.col("r.token"))
-            return one.alias("l").join(two.alias("r"), same & (F.col("label_a") != F.col("label_b")) & once & fits).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+            return one.alias("l").join(shuffled(two.alias("r")), same & (F.col("label_a") != F.col("label_b")) & once & fits).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
         return pairs(left.filter("label_a != main"), right).unionByName(pairs(left.filter("label_a = main"), right.filter("NOT main_b"))).distinct()
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept, one row for each row of the table."""
         labels = connected_components(self.links())
-        classes = materialize(self.held.select("d1", "d2", "rep", "copies").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "copies", F.coalesce("component", "rep").alias("component")), "labelled")
+        classes = materialize(self.held.select("d1", "d2", "rep", "copies").join(shuffled(labels.withColumnRenamed("node", "rep")), "rep", "left").select("d1", "d2", "copies", F.coalesce("component", "rep").alias("component")), "labelled")
         # Sets of many rows are few: those rows look theirs up, whatever share of the table one set has.
         hot = materialize(classes.filter(F.col("copies") > HOT_ROWS).select("d1", "d2", F.col("component").alias("hot")), "hot-classes")
         rows = self.sketched.select("doc_id", "n_shingles", "d1", "d2")
         marked = looked_up(rows.filter("n_shingles > 0"), hot, ["d1", "d2"], "left")
-        cold = marked.filter("hot IS NULL").join(classes.filter(F.col("copies") <= HOT_ROWS).drop("copies"), ["d1", "d2"], "left")
+        cold = marked.filter("hot IS NULL").join(shuffled(classes.filter(F.col("copies") <= HOT_ROWS).drop("copies")), ["d1", "d2"], "left")
         out = cold.select("doc_id", "n_shingles", "component").unionByName(marked.filter("hot IS NOT NULL").select("doc_id", "n_shingles", F.col("hot").alias("component")))
         out = out.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
         own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
